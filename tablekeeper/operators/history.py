@@ -110,7 +110,18 @@ def _given(column):
 
 def duration_text(ms):
     """``1.5s`` from a second on, else whole milliseconds; empty when unset."""
-    seconds = F.concat(F.format_string("%.1f", ms / 1000), F.lit("s"))
+    tenths = F.floor(ms / 100)
+    rest = ms - tenths * 100
+    # on a tie the binary value of ms / 1000 decides, and half goes to even: its distance from the
+    # exact quotient comes from splitting it into two short halves, whose products are exact
+    whole = ms / 1000
+    high = whole * 134217729.0 - (whole * 134217729.0 - whole)
+    error = (high * 1000 - ms) + (whole - high) * 1000
+    tie = (error > 0) | ((error == 0) & (tenths % 2 == 1))
+    up = (rest > 50) | ((rest == 50) & tie)
+    tenths = tenths + F.when(up, 1).otherwise(0)
+    part = (tenths % 10).cast("string")
+    seconds = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), part, F.lit("s"))
     return (
         F.when(ms.isNull(), "").when(ms >= 1000, seconds)
         .otherwise(F.concat(ms.cast("bigint").cast("string"), F.lit("ms")))
@@ -135,7 +146,7 @@ def activity_summary(event, payload):
         ", ", _given(p["compression"]), _given(duration_text(p["duration_ms"])), pruned
     )
     chosen = F.concat(
-        F.size("payload.restore_selection").cast("string"), F.lit(" "),
+        F.array_size(p["restore_selection"]).cast("string"), F.lit(" "),
         F.coalesce(_given(p["restore_selection_kind"]), F.lit("items")),
     )
     # the log holds one retention.deleted line per run, without a count
@@ -152,7 +163,7 @@ def activity_summary(event, payload):
         "backup.completed": F.coalesce(_given(done), F.lit("ok")),
         "backup.failed": error,
         "restore.started": F.when(
-            F.coalesce(F.size("payload.restore_selection"), F.lit(0)) > 0, chosen
+            F.coalesce(F.array_size(p["restore_selection"]), F.lit(0)) > 0, chosen
         ).otherwise("full restore"),
         "restore.completed": F.lit("ok"),
         "restore.failed": error,

@@ -5,6 +5,8 @@ Each builder has an SQL twin (a CTE text) so that both engines start from the sa
 
 from pyspark.sql import functions as F
 
+from tablekeeper.sources.event_log import parse_lines
+
 AS_OF_MS = 1706659200000  # 2024-01-31 00:00:00 UTC
 HOUR_MS = 3_600_000
 MAX_AGE_MS = 26 * HOUR_MS
@@ -229,6 +231,20 @@ def log_records(spark, folder):
     )
 
 
+def log_lines(spark, folder):
+    """The log as text lines, with blank and cut-off lines among them."""
+    records = log_records(spark, folder)
+    noise = records.filter(F.col("k").isin(97, 98)).select(
+        "line_no", F.when(F.col("k") == 97, "").otherwise('{"event": "backup.st').alias("value")
+    )
+    line = F.to_json(F.struct("event", "payload", "timestamp")).alias("value")
+    return records.select("line_no", line).unionAll(noise)
+
+
+def run_log(spark, folder):
+    return parse_lines(log_lines(spark, folder))
+
+
 RUN_LOG = f"""
 run_log AS (
   SELECT event_id AS line_no, strftime(ts, {CLOCK_SQL}) AS timestamp, event,

@@ -18,9 +18,9 @@ def parse_lines(df):
 
     Every known payload field becomes part of the ``payload`` struct; ``at`` is the parsed time.
     """
-    parsed = df.withColumn("_v", F.try_parse_json(F.trim("value"))).filter(
-        F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT"))
-    )
+    line = F.trim("value")
+    parsed = df.filter(line.startswith("{")).withColumn("_v", F.try_parse_json(line))
+    parsed = parsed.filter(F.col("_v").isNotNull())
     fields = [
         F.try_variant_get("_v", f"$.payload.{name}", kind).alias(name)
         for name, kind in PAYLOAD_FIELDS.items()
