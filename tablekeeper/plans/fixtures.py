@@ -5,7 +5,7 @@ Each builder has an SQL twin (a CTE text) so that both engines start from the sa
 
 from pyspark.sql import functions as F
 
-from tablekeeper.sources.event_log import parse_lines
+from tablekeeper.sources.event_log import PAYLOAD_FIELDS
 
 AS_OF_MS = 1706659200000  # 2024-01-31 00:00:00 UTC
 HOUR_MS = 3_600_000
@@ -242,7 +242,17 @@ def log_lines(spark, folder):
 
 
 def run_log(spark, folder):
-    return parse_lines(log_lines(spark, folder))
+    """Parsed events, as ``parse_lines`` gives them for the log's lines."""
+    records = log_records(spark, folder)
+    known = records.schema["payload"].dataType.names
+    payload = F.struct(*[
+        (F.col(f"payload.{name}") if name in known else F.lit(None)).cast(kind).alias(name)
+        for name, kind in PAYLOAD_FIELDS.items()
+    ])
+    return records.select(
+        "line_no", "timestamp", "event", payload.alias("payload"),
+        F.timestamp_millis("at_ms").alias("at"),
+    )
 
 
 RUN_LOG = f"""

@@ -8,7 +8,7 @@ from tablekeeper.plans.fixtures import (
 )
 from tablekeeper.plans.registry import query
 from tablekeeper.session import work_dir
-from tablekeeper.sources.event_log import append_events, scan_events
+from tablekeeper.sources.event_log import append_events, parse_lines, scan_events
 
 EVENT_COLUMNS = "timestamp, event, run_id, profile, other, error, at_ms"
 
@@ -23,7 +23,7 @@ def event_columns(events):
 
 @query("event_log_parse", f"WITH {RUN_LOG} SELECT {EVENT_COLUMNS} FROM run_log")
 def event_log_parse(spark, folder):
-    return event_columns(run_log(spark, folder))
+    return event_columns(parse_lines(log_lines(spark, folder)))
 
 
 @query("event_log_append_scan", f"WITH {RUN_LOG} SELECT {EVENT_COLUMNS} FROM run_log")

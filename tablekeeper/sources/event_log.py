@@ -19,20 +19,16 @@ def parse_lines(df):
     Every known payload field becomes part of the ``payload`` struct; ``at`` is the parsed time.
     """
     line = F.trim("value")
-    parsed = df.filter(line.startswith("{")).withColumn("_v", F.try_parse_json(line))
-    parsed = parsed.filter(F.col("_v").isNotNull())
-    fields = [
-        F.try_variant_get("_v", f"$.payload.{name}", kind).alias(name)
-        for name, kind in PAYLOAD_FIELDS.items()
-    ]
-    stamp = F.try_variant_get("_v", "$.timestamp", "string")
+    payload = ", ".join(f"{name}: {kind}" for name, kind in PAYLOAD_FIELDS.items())
+    schema = f"timestamp string, event string, payload struct<{payload}>"
     rest = [c for c in df.columns if c != "value"]
+    # the keys of a line that is no JSON object are NULL
+    parsed = df.filter(F.json_object_keys(line).isNotNull()).select(
+        *rest, F.from_json(line, schema).alias("_e")
+    )
     return parsed.select(
-        *rest,
-        stamp.alias("timestamp"),
-        F.try_variant_get("_v", "$.event", "string").alias("event"),
-        F.struct(*fields).alias("payload"),
-        parse_timestamp(stamp).alias("at"),
+        *rest, "_e.timestamp", "_e.event", "_e.payload",
+        parse_timestamp(F.col("_e.timestamp")).alias("at"),
     )
 
 
