@@ -1,4 +1,4 @@
 """Collects every registered query."""
 
-from tablekeeper.plans import fleet_queries, history_queries, masking_queries  # noqa: F401
+from tablekeeper.plans import chunk_queries, fleet_queries, history_queries, masking_queries  # noqa: F401
 from tablekeeper.plans.registry import QUERIES, SQL  # noqa: F401
