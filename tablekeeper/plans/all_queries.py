@@ -1,4 +1,10 @@
 """Collects every registered query."""
 
-from tablekeeper.plans import chunk_queries, fleet_queries, history_queries, masking_queries  # noqa: F401
+from tablekeeper.plans import (  # noqa: F401
+    chunk_queries,
+    fleet_queries,
+    history_queries,
+    lineage_queries,
+    masking_queries,
+)
 from tablekeeper.plans.registry import QUERIES, SQL  # noqa: F401
