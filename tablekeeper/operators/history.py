@@ -20,8 +20,9 @@ def latest_runs(catalog, group=("profile",)):
     """Newest run of each group by (finished, written, id)."""
     group = list(group)
     order = ["finished_ms", "mtime_ms", "run_id"]
-    rest = [c for c in catalog.columns if c not in group + order]
-    newest = F.max(F.struct(*order, *rest)).alias("r")
+    rest = [c for c in catalog.columns if c not in group]
+    # run ids are unique, so there are no ties
+    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("r")
     return catalog.groupBy(*group).agg(newest).select(*group, "r.*").select(*catalog.columns)
 
 

@@ -22,10 +22,10 @@ def resolve_parent(new_runs, catalog, group):
     ``new_runs`` has run_id, the group and requested_mode; the catalogue also carries ``backup_type``
     (effective) and ``depth``. The newest run comes from one aggregate, not from sorting the group.
     """
-    others = chunked(catalog).select(
+    stored = chunked(catalog).join(new_runs.select("run_id"), "run_id", "left_anti")
+    others = stored.select(
         *group, F.struct(*ORDER, F.col("depth").alias("depth")).alias("r"), "backup_type"
     )
-    # two candidates per group: should the newest be the new run itself, the next one counts
     newest = others.groupBy(*group).agg(
         F.max(F.when(F.col("backup_type") == FULL, F.col("r"))).alias("_full"),
         F.max("r").alias("_any"),

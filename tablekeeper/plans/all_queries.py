@@ -6,5 +6,7 @@ from tablekeeper.plans import (  # noqa: F401
     history_queries,
     lineage_queries,
     masking_queries,
+    snapshot_queries,
+    text_queries,
 )
 from tablekeeper.plans.registry import QUERIES, SQL  # noqa: F401
