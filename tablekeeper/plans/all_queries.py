@@ -7,6 +7,7 @@ from tablekeeper.plans import (  # noqa: F401
     lineage_queries,
     masking_queries,
     snapshot_queries,
+    streaming_queries,
     text_queries,
 )
 from tablekeeper.plans.registry import QUERIES, SQL  # noqa: F401
