@@ -66,10 +66,15 @@ def _over_window(df, group, order, outputs):
     base = Window.partitionBy(*group).orderBy(*order)
     for name, (kind, column, inclusive) in outputs.items():
         frame = base.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        df = df.withColumn(name, _value(kind, column).over(frame))
+        df = df.withColumn(name, _over(kind, column, frame))
     return df
 
 
+def _over(kind, column, frame):
+    value = _value(kind, column).over(frame)
+    return F.coalesce(value, F.lit(0)) if kind == "sum" else value
+
+
 def _value(kind, column):
     if kind == "last":
         return F.last(column, ignorenulls=True)
@@ -78,7 +83,7 @@ def _value(kind, column):
     if kind == "max":
         return F.max(column)
     if kind == "sum":
-        return F.coalesce(F.sum(column), F.lit(0))
+        return F.sum(column)
     return F.count(F.lit(1))
 
 
@@ -102,7 +107,7 @@ def _over_slices(df, group, order, outputs, slices):
     carry = cut.groupBy(*group, "_slice").agg(*summaries)
     for name, (kind, _, _) in outputs.items():
         over = "sum" if kind == "count" else kind
-        carry = carry.withColumn(f"_b_{name}", _value(over, f"_c_{name}").over(before))
+        carry = carry.withColumn(f"_b_{name}", _over(over, f"_c_{name}", before))
     carry = carry.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         F.col("_slice").alias("_s"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow.fs
@@ -18,6 +19,14 @@ def read_artifacts(spark, path):
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
+def _locate(path):
+    """File system and name of a path as Spark lists it."""
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    uri = quote(path.replace("s3a://", "s3://", 1), safe="/:@")
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
 def _read_blocks(size, with_data):
     def read(batches):
         for batch in batches:
@@ -32,8 +41,7 @@ def _read_blocks(size, with_data):
 def _read_piece(piece, size, with_data):
     rows = []
     for path, wanted in piece.groupby("path", sort=False):
-        uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") else path
-        system, name = pyarrow.fs.FileSystem.from_uri(uri)
+        system, name = _locate(path)
         with system.open_input_file(name) as handle:
             for idx in wanted["idx"]:
                 data = handle.read_at(size, int(idx) * size)
