@@ -39,8 +39,9 @@ def _number(hex_text, start, length):
 
 
 def _pick(words, hex_text, start):
-    place = _number(hex_text, start, 4).cast("int") % len(words) + 1
-    return F.element_at(F.array(*[F.lit(w) for w in words]), place)
+    # get() and not element_at(), which gives the last word for a NULL place in Spark 4.1
+    place = _number(hex_text, start, 4).cast("int") % len(words)
+    return F.get(F.array(*[F.lit(w) for w in words]), place)
 
 
 def as_hash(value, key, constant=None):

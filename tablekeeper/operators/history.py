@@ -248,7 +248,7 @@ def worst_status(checks):
     """Worst check status per profile (``checks``: profile, check, status)."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("status"))
     return checks.groupBy("profile").agg(
-        F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.max(rank).cast("int"))
+        F.get(F.array(*[F.lit(s) for s in SEVERITIES]), F.max(rank).cast("int") - 1)
         .alias("status"),
         F.count(F.lit(1)).alias("checks"),
     )

@@ -67,7 +67,7 @@ def split_valid(df):
 
 def client_ip(forwarded, real):
     """First forwarded-for entry, else the real address, else ``unknown``."""
-    first = F.trim(F.element_at(F.split(forwarded, ","), 1))
+    first = F.trim(F.get(F.split(forwarded, ","), F.lit(0)))
     return F.coalesce(_given(first), _given(real), F.lit("unknown"))
 
 

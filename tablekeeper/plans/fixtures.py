@@ -33,9 +33,7 @@ def run_reports(spark, folder):
     """One backup report per event."""
     k = F.col("k")
     ts = F.col("ts").cast("timestamp")
-    db = F.element_at(
-        F.array(*[F.lit(x) for x in ("postgres", "mysql", "mongo", "sqlite")]), k % 4 + 1
-    )
+    db = F.get(F.array(*[F.lit(x) for x in ("postgres", "mysql", "mongo", "sqlite")]), k % 4)
     mode = (
         F.when(F.col("event_type") == "signup", "full")
         .when(F.col("event_type") == "view", "differential")

@@ -56,8 +56,8 @@ def _one_column(name, column, expression_sql):
 
 _one_column("mask_hash", "email", lambda h: f"substr({h}, 1, 32)")
 _one_column("mask_email", "email", email_sql)
-_one_column("mask_name", "name", name_sql)
-_one_column("mask_phone", "phone", phone_sql)
+_one_column("mask_name", "email", name_sql)
+_one_column("mask_phone", "email", phone_sql)
 
 
 @query("mask_digest", f"""WITH {PEOPLE}

@@ -39,8 +39,8 @@ def _catalogue(lines):
     return rows.filter(F.col("finished_ms").isNotNull())
 
 
-def _lines(reader, path):
-    return reader.text(path).select(
+def _lines(reader, path, whole):
+    return reader.text(path, wholetext=whole).select(
         "value",
         F.col("_metadata.file_path").alias("manifest_path"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"),
@@ -50,7 +50,7 @@ def _lines(reader, path):
 def scan_manifests(spark, root, profiles=None):
     """Catalogue of the manifests below ``root`` written by ``write_manifests``."""
     reader = spark.read.option("recursiveFileLookup", "true")
-    rows = _catalogue(_lines(reader, root))
+    rows = _catalogue(_lines(reader, root, False))
     if profiles is not None:
         rows = rows.filter(F.col("profile").isin(list(profiles)))
     return rows
@@ -59,8 +59,7 @@ def scan_manifests(spark, root, profiles=None):
 def scan_run_folders(spark, root, profiles=None):
     """Catalogue of ``<profile>/<run>/manifest.json`` files below ``root`` (local, HDFS or S3A)."""
     names = "*" if profiles is None else "{" + ",".join(profiles) + "}"
-    reader = spark.read.option("wholetext", "true")
-    rows = _catalogue(_lines(reader, f"{root}/{names}/*/manifest.json"))
+    rows = _catalogue(_lines(spark.read, f"{root}/{names}/*/manifest.json", True))
     folder = F.regexp_extract("manifest_path", r"^(.*)/manifest\.json$", 1)
     return rows.withColumn("run_dir", folder).withColumn(
         "profile", F.regexp_extract("run_dir", r"([^/]+)/[^/]+$", 1)
@@ -70,7 +69,7 @@ def scan_run_folders(spark, root, profiles=None):
 def scan_chunk_files(spark, root, profiles=None):
     """Manifest rows of ``<profile>/<run>/chunks.json`` files; unreadable ones are left out."""
     names = "*" if profiles is None else "{" + ",".join(profiles) + "}"
-    files = spark.read.option("wholetext", "true").text(f"{root}/{names}/*/chunks.json")
+    files = spark.read.text(f"{root}/{names}/*/chunks.json", wholetext=True)
     path = F.col("_metadata.file_path")
     schema = (
         "version bigint, algorithm string, chunk_size bigint, total_bytes bigint, "
