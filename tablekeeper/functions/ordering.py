@@ -49,13 +49,14 @@ def group_sizes(df, group):
     return (row[0] or 0), (row[1] or 0)
 
 
-def running(df, group, order, outputs, rows_per_task=ROWS_PER_TASK):
+def running(df, group, order, outputs, rows_per_task=ROWS_PER_TASK, sizes=None):
     """Running values over each group in ascending, unique ``order``.
 
     ``outputs`` maps a new column to ``(kind, column, inclusive)`` where kind is ``last`` or
-    ``first`` (non-NULL value so far), ``max``, ``sum`` or ``count``.
+    ``first`` (non-NULL value so far), ``max``, ``sum`` or ``count``. ``sizes`` may hand on the
+    ``group_sizes`` of the same rows.
     """
-    largest, total = group_sizes(df, group)
+    largest, total = sizes or group_sizes(df, group)
     if largest <= rows_per_task:
         return _over_window(df, group, order, outputs)
     slices = min(max(math.ceil(total / rows_per_task), 2), MAX_SLICES)

@@ -35,9 +35,12 @@ def redact(text, secrets=()):
 
 
 def pattern_hits(text):
-    """{pattern name: number of hits}, each counted in the text the earlier patterns leave."""
+    """({pattern name: number of hits}, redacted text).
+
+    Each pattern is counted in the text the earlier ones leave.
+    """
     hits = {}
     for name, pattern, replacement in PATTERNS:
         hits[name] = F.regexp_count(text, F.lit(pattern))
         text = F.regexp_replace(text, pattern, replacement)
-    return hits
+    return hits, text

@@ -129,6 +129,14 @@ def duration_text(ms):
     )
 
 
+def choose(value, options, otherwise):
+    """The option for a value, in one flat CASE."""
+    chain = F
+    for name, result in options.items():
+        chain = chain.when(value == name, result)
+    return chain.otherwise(otherwise)
+
+
 def activity_summary(event, payload):
     """One line about an event; ``payload`` is its struct column."""
     p = {name: payload[name] for name in (
@@ -178,10 +186,7 @@ def activity_summary(event, payload):
         "notification.sent": sent,
         "notification.failed": error,
     }
-    line = F.lit("")
-    for name, text in texts.items():
-        line = F.when(event == name, text).otherwise(line)
-    return line
+    return choose(event, texts, F.lit(""))
 
 
 def activity(events):

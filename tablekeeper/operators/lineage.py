@@ -6,7 +6,7 @@ A catalogue row needs ``run_id``, the group columns, ``requested_mode`` and the
 
 from pyspark.sql import functions as F
 
-from tablekeeper.functions.ordering import ROWS_PER_TASK, running
+from tablekeeper.functions.ordering import ROWS_PER_TASK, group_sizes, running
 
 ORDER = ["finished_ms", "mtime_ms", "run_id"]
 FULL, DIFFERENTIAL, INCREMENTAL = "full", "differential", "incremental"
@@ -49,8 +49,10 @@ def lineage(catalog, group, rows_per_task=ROWS_PER_TASK):
     starts with, ``position`` the place in that stretch, ``root_id`` the first run of the chain.
     """
     mode = F.col("requested_mode")
+    runs = chunked(catalog)
+    sizes = group_sizes(runs, group)
     steps = running(
-        chunked(catalog).withColumn("_full", F.when(mode == FULL, F.col("run_id"))),
+        runs.withColumn("_full", F.when(mode == FULL, F.col("run_id"))),
         group, ORDER,
         {
             "n": ("count", None, True),
@@ -58,7 +60,7 @@ def lineage(catalog, group, rows_per_task=ROWS_PER_TASK):
             "_last_full": ("last", "_full", False),
             "_previous": ("last", "run_id", False),
         },
-        rows_per_task,
+        rows_per_task, sizes,
     )
     is_full = (mode == FULL) | (F.col("n") == 1)
     steps = (
@@ -78,7 +80,7 @@ def lineage(catalog, group, rows_per_task=ROWS_PER_TASK):
             ),
         ))
     )
-    steps = running(steps, group, ORDER, {"_a": ("last", "_anchor", True)}, rows_per_task)
+    steps = running(steps, group, ORDER, {"_a": ("last", "_anchor", True)}, rows_per_task, sizes)
     position = F.col("n") - F.col("_a.n")
     depth = position + F.col("_a.base")
     return steps.select(
@@ -118,6 +120,7 @@ def broken_chains(history, deleted, group, rows_per_task=ROWS_PER_TASK):
 
     Restores still work, as every manifest lists all its own blocks; this only reports.
     """
+    sizes = group_sizes(history, group)
     gone = deleted.select("run_id", F.lit(True).alias("_gone"))
     marked = history.join(gone, "run_id", "left").withColumn(
         "_lost", F.when(F.col("_gone"), F.struct("position", "anchor_id", "run_id"))
@@ -127,7 +130,7 @@ def broken_chains(history, deleted, group, rows_per_task=ROWS_PER_TASK):
     marked = running(
         marked, group, ORDER,
         {"_last_lost": ("last", "_lost", False), "_full": ("last", "_base", False)},
-        rows_per_task,
+        rows_per_task, sizes,
     ).withColumn("_anchor_full", F.when(F.col("backup_type") == DIFFERENTIAL, F.col("_full")))
     marked = marked.withColumn("_is_anchor", F.col("position") == 0)
     own = F.when(F.col("_is_anchor"), F.coalesce(
@@ -135,7 +138,7 @@ def broken_chains(history, deleted, group, rows_per_task=ROWS_PER_TASK):
     ))
     marked = running(
         marked.withColumn("_own", own), group, ORDER, {"_under": ("last", "_own", True)},
-        rows_per_task,
+        rows_per_task, sizes,
     )
     in_stretch = F.coalesce(F.col("_last_lost.anchor_id") == F.col("anchor_id"), F.lit(False))
     nearest = F.when(in_stretch & (F.col("position") > 0), F.col("_last_lost.run_id")).when(

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tablekeeper.operators.history import choose
+
 # Events sent unless a profile chooses its own, and their titles.
 TITLES = {
     "backup.completed": "Backup completed",
@@ -20,9 +22,7 @@ ERROR_LENGTH = 400
 
 def message_text(event, payload, sender="tablekeeper"):
     """Message of an event: title, then one line per field that is set."""
-    title = event
-    for name, text in TITLES.items():
-        title = F.when(event == name, text).otherwise(title)
+    title = choose(event, TITLES, event)
     lines = [F.concat(F.lit(f"[{sender}] "), title)]
     for name, label in LINES:
         value = F.nullif(payload[name], F.lit(""))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablekeeper.functions.redaction import pattern_hits, redact
+from tablekeeper.functions.redaction import pattern_hits, redact, redact_secrets
 
 
 def redact_text(df, column, secrets=()):
@@ -12,8 +12,8 @@ def redact_text(df, column, secrets=()):
 
 def redaction_report(df, column, group, secrets=()):
     """Rows, changed rows and hits per pattern for each group."""
-    hits = pattern_hits(F.col(column))
-    changed = ~redact(F.col(column), secrets).eqNullSafe(F.col(column))
+    hits, redacted = pattern_hits(F.col(column))
+    changed = ~redact_secrets(redacted, secrets).eqNullSafe(F.col(column))
     rows = df.select(
         *group, changed.alias("_changed"), *[n.cast("bigint").alias(name) for name, n in hits.items()]
     )

@@ -108,11 +108,12 @@ def catalog_of(spark, root, table=None):
 def _run_rows(spark, root, table):
     """Manifests of one table; a list of snapshots is small."""
     try:
-        return catalog_of(spark, root, table).orderBy("finished_ms", "mtime_ms", "run_id").collect()
+        rows = catalog_of(spark, root, table).collect()
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return []
         raise
+    return sorted(rows, key=lambda r: (r["finished_ms"], r["mtime_ms"], r["run_id"]))
 
 
 def snapshot(spark, df, table, root, started_at, mode=FULL, run_id=None):

@@ -9,7 +9,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tablekeeper.functions.ordering import ROWS_PER_TASK, running
+from tablekeeper.functions.ordering import ROWS_PER_TASK, group_sizes, running
 from tablekeeper.session import checkpoint
 
 WINDOW_MS = 60_000
@@ -106,12 +106,14 @@ def _jump(events, window_ms, limit, rows_per_task):
     opened = _openings(times.select("key", "at"), window_ms, rows_per_task)
     # the opening event is the first one at that time
     first = times.join(opened, ["key", "at"]).select("key", "at", "id", F.lit(True).alias("_opens"))
+    sizes = group_sizes(events, ["key"])
     numbered = running(
         events.join(first, ["key", "at", "id"], "left"), ["key"], ["at", "id"],
-        {"_n": ("count", None, True)}, rows_per_task,
+        {"_n": ("count", None, True)}, rows_per_task, sizes,
     ).withColumn("_start", F.when(F.col("_opens"), F.col("_n")))
     placed = running(
-        numbered, ["key"], ["at", "id"], {"_from": ("last", "_start", True)}, rows_per_task
+        numbered, ["key"], ["at", "id"], {"_from": ("last", "_start", True)}, rows_per_task,
+        sizes,
     )
     allowed = F.col("_n") - F.col("_from") < limit
     return placed.select(*events.columns, allowed.alias("allowed"))

@@ -18,18 +18,21 @@ OUTPUT = (
     "previous string, state string, kind string"
 )
 SHORT = "server_id string, at timestamp, n bigint, success bigint, reported bigint, run_id string, status string"
-STATE = T.StructType([
-    T.StructField("next", T.LongType()),
-    T.StructField("success", T.LongType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("state", T.StringType()),
-])
 PENDING = T.StructType([
+    T.StructField("n", T.LongType()),
     T.StructField("success", T.LongType()),
     T.StructField("reported", T.LongType()),
     T.StructField("run_id", T.StringType()),
     T.StructField("status", T.StringType()),
 ])
+# ``pending`` holds at most one entry per instant the watermark has not reached
+STATE = T.StructType([
+    T.StructField("next", T.LongType()),
+    T.StructField("success", T.LongType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("state", T.StringType()),
+    T.StructField("pending", T.ArrayType(PENDING)),
+])
 
 
 def _shorten(start, period):
@@ -70,9 +73,17 @@ class AlertProcessor(StatefulProcessor):
     def init(self, handle):
         self.handle = handle
         self.now = handle.getValueState("now", STATE)
-        self.pending = handle.getMapState(
-            "pending", T.StructType([T.StructField("n", T.LongType())]), PENDING
-        )
+
+    def _read(self):
+        """(next instant, last success, last status, state, pending by instant), None when new."""
+        kept = self.now.get()
+        if kept is None:
+            return None
+        return (*kept[:4], {row[0]: tuple(row)[1:] for row in kept[4]})
+
+    def _write(self, due, success, status, state, pending):
+        rows = [(n, *values) for n, values in pending.items()]
+        self.now.update((due, success, status, state, rows))
 
     def _instant(self, n):
         return self.start + n * self.period
@@ -80,35 +91,34 @@ class AlertProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         if key[0] == HEARTBEAT:
             return
-        state = tuple(self.now.get()) if self.now.exists() else None
-        due = state[0] if state else None
+        known = self._read()
+        due, success, status, state, pending = known or (None, None, None, "ok", {})
         for batch in rows:
-            for row in batch.itertuples(index=False):
+            columns = [batch[c].tolist() for c in ("n", "success", "reported", "run_id", "status")]
+            for n, reached, reported, run_id, result in zip(*columns):
                 # what arrives after its instant was checked counts from the next check on
-                n = int(row.n) if due is None or state is None else max(int(row.n), due)
-                new = (_number(row.success), int(row.reported), row.run_id, row.status)
-                if self.pending.containsKey((n,)):
-                    old = tuple(self.pending.getValue((n,)))
+                n = n if known is None else max(n, due)
+                new = (_number(reached), reported, run_id, result)
+                if n in pending:
+                    old = pending[n]
                     newer = max(old, new, key=lambda r: (r[1], r[2]))
                     new = (_larger(old[0], new[0]), *newer[1:])
-                self.pending.updateValue((n,), new)
-                if state is None:
-                    due = n if due is None else min(due, n)
-        if state is None:
-            self.now.update((due, None, None, "ok"))
+                pending[n] = new
+        if known is None:
+            due = min(pending)
             self.handle.registerTimer(self._instant(due))
+        self._write(due, success, status, state, pending)
         return
         yield
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due, success, status, state = tuple(self.now.get())
+        due, success, status, state, pending = self._read()
         watermark = timerValues.getCurrentWatermarkInMs()
         changes = []
         while self._instant(due) <= watermark and (self.checks is None or due < self.checks):
-            if self.pending.containsKey((due,)):
-                got = tuple(self.pending.getValue((due,)))
+            if due in pending:
+                got = pending.pop(due)
                 success, status = _larger(success, got[0]), got[3]
-                self.pending.removeKey((due,))
             at = self._instant(due)
             if success is None or at - success > self.max_age:
                 new = "overdue"
@@ -118,7 +128,7 @@ class AlertProcessor(StatefulProcessor):
                 kind = "problem" if state == "ok" else "recovered" if new == "ok" else None
                 changes.append((key[0], at, success, status, state, new, kind))
             state, due = new, due + 1
-        self.now.update((due, success, status, state))
+        self._write(due, success, status, state, pending)
         if self.checks is None or due < self.checks:
             self.handle.registerTimer(self._instant(due))
         if changes:
