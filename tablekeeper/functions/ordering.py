@@ -16,6 +16,17 @@ ROWS_PER_TASK = 5_000_000
 MAX_SLICES = 20_000
 
 
+SMALL_ROWS = 100_000
+
+
+def small_side(df, rows=SMALL_ROWS):
+    """Side of a join, broadcast when counting shows that it is small.
+
+    A larger side joins by shuffle, where adaptive execution splits skewed partitions.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def salt_column(df, spread):
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return F.pmod(F.xxhash64(*spread), F.lit(max(parts, 2)))

@@ -1,24 +1,46 @@
 """Secrets in text, replaced by ``***``."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
 REDACTED = "***"
 
-# Fixed values: (name, pattern, replacement), applied in this order. Blanks are Unicode blanks.
+# Fixed values: (name, text every match contains, pattern, replacement), applied in this order.
+# Blanks are Unicode blanks.
 _BLANK = r"\s\x1c-\x1f"
 PATTERNS = [
-    ("mongodb_uri", rf"(?iU)(mongodb(?:\+srv)?://[^:/@{_BLANK}]+:)([^@/{_BLANK}]+)(@)", "$1***$3"),
-    ("postgres_uri", rf"(?iU)(postgres(?:ql)?://[^:/@{_BLANK}]+:)([^@/{_BLANK}]+)(@)", "$1***$3"),
-    ("mysql_uri", rf"(?iU)(mysql://[^:/@{_BLANK}]+:)([^@/{_BLANK}]+)(@)", "$1***$3"),
-    ("password_option", rf"(?U)(--password(?:=|[{_BLANK}]+))([^{_BLANK}]+)", "$1***"),
-    ("password_field", rf"(?iU)(password=)([^&{_BLANK}]+)", "$1***"),
+    ("mongodb_uri", "://",
+     rf"(?iU)(mongodb(?:\+srv)?://[^:/@{_BLANK}]+:)([^@/{_BLANK}]+)(@)", "$1***$3"),
+    ("postgres_uri", "://",
+     rf"(?iU)(postgres(?:ql)?://[^:/@{_BLANK}]+:)([^@/{_BLANK}]+)(@)", "$1***$3"),
+    ("mysql_uri", "://", rf"(?iU)(mysql://[^:/@{_BLANK}]+:)([^@/{_BLANK}]+)(@)", "$1***$3"),
+    ("password_option", "--password",
+     rf"(?U)(--password(?:=|[{_BLANK}]+))([^{_BLANK}]+)", "$1***"),
+    ("password_field", "=", rf"(?iU)(password=)([^&{_BLANK}]+)", "$1***"),
 ]
 
 
+def _steps(text):
+    """(text before, patterns) for each group of patterns with one contained text, and the result.
+
+    Texts without the contained text skip the patterns; redaction never brings it in.
+    """
+    original, steps = text, []
+    for contained, group in itertools.groupby(PATTERNS, key=lambda p: p[1]):
+        group = list(group)
+        possible = original.contains(contained)
+        changed, hits = text, {}
+        for name, _, pattern, replacement in group:
+            hits[name] = F.when(possible, F.regexp_count(changed, F.lit(pattern))).otherwise(0)
+            changed = F.regexp_replace(changed, pattern, replacement)
+        steps.append(hits)
+        text = F.when(possible, changed).otherwise(text)
+    return steps, text
+
+
 def redact_patterns(text):
-    for _, pattern, replacement in PATTERNS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    return _steps(text)[1]
 
 
 def redact_secrets(text, secrets):
@@ -39,8 +61,5 @@ def pattern_hits(text):
 
     Each pattern is counted in the text the earlier ones leave.
     """
-    hits = {}
-    for name, pattern, replacement in PATTERNS:
-        hits[name] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, replacement)
-    return hits, text
+    steps, redacted = _steps(text)
+    return {name: n for hits in steps for name, n in hits.items()}, redacted

@@ -7,6 +7,7 @@ where they are written or put together again.
 from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
+from tablekeeper.functions.ordering import small_side
 from tablekeeper.session import work_dir
 from tablekeeper.sources.files import delete_folders
 
@@ -16,6 +17,7 @@ MANIFEST_VERSION = 1
 PLACE = ["run_id", "idx"]
 HASHES_PER_ROW = 1 << 16
 BLOCKS_PER_PART = 64
+USES_PER_TASK = 1024
 
 
 def chunk(artifacts, size=CHUNK_SIZE, with_data=False):
@@ -187,10 +189,27 @@ def explode_manifests(manifests):
 
 # --- reassembly ----------------------------------------------------------------------------------
 
-def ordered_blocks(manifests, store):
-    """Blocks of the manifests with their bytes (``data`` NULL where the store lacks one)."""
-    bytes_of = store.select("profile", "hash", "data")
-    return manifests.join(bytes_of, ["profile", "hash"], "left")
+def ordered_blocks(manifests, store, uses_per_task=USES_PER_TASK):
+    """Blocks of the manifests with their bytes (``data`` NULL where the store lacks one).
+
+    A block that very many places use (say, of zeros) is copied once per ``uses_per_task`` of them,
+    so no task has to hand out all its copies.
+    """
+    key = ["profile", "hash"]
+    uses = manifests.groupBy(*key).agg(F.count(F.lit(1)).alias("_uses"))
+    copies = F.ceil(F.col("_uses") / F.lit(uses_per_task)).cast("bigint").alias("_copies")
+    popular = small_side(
+        uses.filter(F.col("_uses") > uses_per_task).select(*key, copies)
+    )
+    many = F.coalesce("_copies", F.lit(1).cast("bigint"))
+    wanted = manifests.join(popular, key, "left").withColumn(
+        "_copy", F.pmod(F.xxhash64(*PLACE), many)
+    ).drop("_copies")
+    kept = store.select(*key, "data").join(popular, key, "left")
+    kept = kept.select(
+        *key, "data", F.explode(F.sequence(F.lit(0).cast("bigint"), many - 1)).alias("_copy")
+    )
+    return wanted.join(kept, [*key, "_copy"], "left").drop("_copy")
 
 
 def check_restorable(manifests, store, runs=None):
@@ -205,14 +224,14 @@ def check_restorable(manifests, store, runs=None):
             raise KeeperError(f"nothing to reassemble for run {empty[0]['run_id']}")
 
 
-def reassemble(manifests, store, blocks_per_part=BLOCKS_PER_PART):
+def reassemble(manifests, store, blocks_per_part=BLOCKS_PER_PART, uses_per_task=USES_PER_TASK):
     """Content of each run as consecutive parts of at most ``blocks_per_part`` blocks.
 
     One row never holds more than one part, however large the artifact. A part with a missing block
     fails the job.
     """
     part = F.call_function("div", F.col("idx"), F.lit(blocks_per_part))
-    found = ordered_blocks(manifests, store).withColumn(
+    found = ordered_blocks(manifests, store, uses_per_task).withColumn(
         "data",
         F.when(F.col("data").isNotNull(), F.col("data")).otherwise(
             F.raise_error(F.concat(F.lit("block missing from the store: "), F.col("hash")))

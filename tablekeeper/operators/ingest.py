@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tablekeeper.functions.ordering import small_side
+
 REPORT_COLUMNS = [
     "server_id", "server_name", "run_id", "profile", "db_type", "backup_type", "status",
     "size_bytes", "duration_ms", "started_at", "finished_at", "error",
@@ -79,7 +81,8 @@ def authorise(df, tokens, shared_token=None):
         .agg(F.min("id").alias("token_id"))
     )
     token = _given(F.col("token"))
-    joined = df.withColumn("_hash", F.sha2(token, 256)).join(known, "_hash", "left").drop("_hash")
+    hashed = df.withColumn("_hash", F.sha2(token, 256))
+    joined = hashed.join(small_side(known), "_hash", "left").drop("_hash")
     allowed = F.col("token_id").isNotNull()
     if shared_token:
         allowed = allowed | F.coalesce(token == shared_token, F.lit(False))

@@ -118,10 +118,15 @@ def with_total(counts):
 
 
 def join_rows(left, left_key, right, right_key):
-    """Number of rows an inner join gives, from per-key counts (the join itself is never built)."""
+    """Number of rows an inner join gives, from per-key counts (the join itself is never built).
+
+    The number is a decimal: two keys with very many rows each make more than a bigint holds.
+    """
     a = left.groupBy(F.col(left_key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("a"))
     b = right.groupBy(F.col(right_key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("b"))
-    return a.join(b, "k").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("n"))
+    pairs = F.col("a").cast("decimal(19,0)") * F.col("b").cast("decimal(19,0)")
+    total = F.sum(pairs.cast("decimal(38,0)"))
+    return a.join(b, "k").agg(F.coalesce(total, F.lit(0).cast("decimal(38,0)")).alias("n"))
 
 
 def join_safety(left, left_key, right, right_key, strategy, key):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablekeeper.functions.ordering import small_side
 from tablekeeper.operators.history import choose
 
 # Events sent unless a profile chooses its own, and their titles.
@@ -39,7 +40,7 @@ def outbox(events, subscriptions, default=None, sender="tablekeeper"):
     """Messages to send. ``subscriptions`` (profile, events) replace the default set."""
     usual = F.array(*[F.lit(e) for e in (DEFAULT_EVENTS if default is None else default)])
     own = subscriptions.select(F.col("profile").alias("_profile"), F.col("events").alias("_events"))
-    joined = events.join(own, F.col("payload.profile") == F.col("_profile"), "left")
+    joined = events.join(small_side(own), F.col("payload.profile") == F.col("_profile"), "left")
     return joined.filter(F.array_contains(F.coalesce("_events", usual), F.col("event"))).select(
         "line_no", F.col("payload.profile").alias("profile"), "event",
         message_text(F.col("event"), F.col("payload"), sender).alias("message"),

@@ -163,6 +163,10 @@ def sanitize_copy(spark, folder):
     return spark.read.parquet(f"{out}/orders").drop("o_orderdate")
 
 
+def _as_bigint(row):
+    return row.select(*[F.col(c).cast("bigint").alias(c) for c in row.columns])
+
+
 @query("mask_join_safety", f"""WITH {PEOPLE},
 vals AS (SELECT CAST(c_custkey AS VARCHAR) AS v FROM people
   UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders)
@@ -174,9 +178,9 @@ SELECT (SELECT count(*) FROM people JOIN orders ON c_custkey = o_custkey) AS raw
    HAVING count(*) > 1)) AS merged_values""")
 def mask_join_safety(spark, folder):
     tables = _tables(spark, folder)
-    return om.join_safety(
+    return _as_bigint(om.join_safety(
         tables["people"], "c_custkey", tables["orders"], "o_custkey", "hash", KEY
-    )
+    ))
 
 
 @query("mask_name_collisions", f"""WITH {PEOPLE},
@@ -188,4 +192,4 @@ SELECT (SELECT count(*) FROM people a JOIN people b USING (name)) AS raw_join_ro
   (SELECT count(*) FROM (SELECT m FROM m GROUP BY m HAVING count(*) > 1)) AS merged_values""")
 def mask_name_collisions(spark, folder):
     df = people(spark, folder)
-    return om.join_safety(df, "name", df, "name", "name", KEY)
+    return _as_bigint(om.join_safety(df, "name", df, "name", "name", KEY))

@@ -125,3 +125,14 @@ def test_hot_block_does_not_meet_itself(spark):
     )
     summary = chunks.run_summary(chunks.chunk(df, 4096)).agg(F.sum("new"), F.sum("reused")).first()
     assert tuple(summary) == (2001, 999)
+
+
+def test_popular_block_is_copied(spark):
+    """Many runs that use one block come back whole when its uses are split."""
+    zeros = b"\0" * 8
+    many = [zeros * 3 + bytes([i]) * 5 for i in range(40)]
+    blocks = chunks.chunk(artifact(spark, *many), 8, with_data=True)
+    store = blocks.dropDuplicates(["profile", "hash"])
+    manifests = blocks.select("profile", "run_id", "idx", "hash")
+    parts = chunks.reassemble(manifests, store, 100, uses_per_task=7).orderBy("run_id").collect()
+    assert [bytes(r.content) for r in parts] == many
