@@ -27,6 +27,17 @@ def small_side(df, rows=SMALL_ROWS):
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def settle(df, rows=SMALL_ROWS):
+    """``df`` as a broadcast table of known rows when it is small, else as it is.
+
+    For settings that several joins use: what they are computed from is read only once.
+    """
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
 def salt_column(df, spread):
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return F.pmod(F.xxhash64(*spread), F.lit(max(parts, 2)))

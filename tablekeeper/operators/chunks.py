@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
 from tablekeeper.functions.ordering import small_side
-from tablekeeper.session import work_dir
+from tablekeeper.session import checkpoint, work_dir
+from tablekeeper.sources.artifacts import CHUNK_SIZE, read_ranges, scan_file_blocks
 from tablekeeper.sources.files import delete_folders
 
-CHUNK_SIZE = 1 << 20
 ALGORITHM = "sha256"
 MANIFEST_VERSION = 1
 PLACE = ["run_id", "idx"]
@@ -51,8 +51,9 @@ def classify(blocks, store=None):
     """Blocks with ``is_new``.
 
     The first places join back on the unique (run, block) key, so a block repeated very often does
-    not gather in one task.
+    not gather in one task. The content is read and hashed once.
     """
+    blocks = checkpoint(blocks)
     new = first_blocks(blocks, store).select("profile", *PLACE, F.lit(True).alias("_new"))
     return (
         blocks.join(new, ["profile", *PLACE], "left")
@@ -61,7 +62,8 @@ def classify(blocks, store=None):
 
 
 def run_summary(blocks, store=None):
-    """Blocks, new and reused blocks and bytes per run."""
+    """Blocks, new and reused blocks and bytes per run. The content is read and hashed once."""
+    blocks = checkpoint(blocks)
     totals = blocks.groupBy("profile", "run_id").agg(
         F.count(F.lit(1)).alias("count"), F.sum("n_bytes").alias("total_bytes")
     )
@@ -90,9 +92,33 @@ def read_store(spark, path):
 
 
 def append_store(blocks, path, store=None):
-    """Write each missing block once (``blocks`` with data); blocks already kept stay as they are."""
-    new = first_blocks(blocks.drop("data"), store).select("profile", *PLACE)
-    rows = blocks.join(new, ["profile", *PLACE], "left_semi").select(
+    """Write each missing block once (``blocks`` with data); blocks already kept stay as they are.
+
+    Which blocks are missing comes from hashes alone. Few of them reach the content by broadcast, so
+    no bytes are shuffled to find them; else the content joins on its unique place.
+    """
+    new = checkpoint(first_blocks(blocks.drop("data"), store))
+    data = blocks.select("profile", *PLACE, "data")
+    _write_store(data.join(small_side(new), ["profile", *PLACE]), path)
+
+
+def append_files(spark, files, path, profile, size=CHUNK_SIZE, store=None):
+    """Keep the blocks of files under one profile; returns the block table of the files.
+
+    The first pass only hashes. The second reads just the byte ranges of missing blocks.
+    """
+    blocks = checkpoint(
+        scan_file_blocks(spark, files, size).withColumn("profile", F.lit(profile))
+        .withColumnRenamed("path", "run_id").withColumn("run_seq", F.col("run_id"))
+    )
+    new = first_blocks(blocks, store).withColumnRenamed("run_id", "path")
+    data = read_ranges(new.select("path", "idx", "n_bytes"), size, with_data=True)
+    _write_store(data.withColumn("profile", F.lit(profile)), path)
+    return blocks
+
+
+def _write_store(rows, path):
+    rows = rows.select(
         "profile", F.substring("hash", 1, 2).alias("prefix"), "hash", "n_bytes", "data"
     )
     _by_hash(rows).write.mode("append").partitionBy("profile").parquet(path)

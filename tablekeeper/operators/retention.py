@@ -6,7 +6,7 @@ A catalogue row needs ``run_id``, ``profile``, the group columns, ``finished_ms`
 from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
-from tablekeeper.functions.ordering import newest_per_group, small_side
+from tablekeeper.functions.ordering import newest_per_group, settle
 
 DAY_MS = 86_400_000
 ORDER = ["finished_ms", "mtime_ms", "run_id"]
@@ -53,7 +53,8 @@ def _newest():
 
 def over_count(catalog, policies, group):
     """Runs beyond the newest ``keep_last`` of their group."""
-    ruled = catalog.join(small_side(policies.filter(F.col("keep_last").isNotNull())), "profile")
+    policies = settle(policies)
+    ruled = catalog.join(policies.filter(F.col("keep_last").isNotNull()), "profile")
     most = policies.agg(F.max("keep_last")).first()[0]
     if most is None:
         return ruled.filter(F.lit(False)).select("run_id")
@@ -67,13 +68,14 @@ def over_count(catalog, policies, group):
 
 def over_age(catalog, policies, as_of_ms):
     """Runs that finished before ``as_of`` less ``max_age_days``."""
-    ruled = catalog.join(small_side(policies.filter(F.col("max_age_days").isNotNull())), "profile")
+    ruled = catalog.join(settle(policies).filter(F.col("max_age_days").isNotNull()), "profile")
     cutoff = F.lit(as_of_ms) - F.col("max_age_days") * F.lit(DAY_MS)
     return ruled.filter(F.col("finished_ms") < cutoff).select("run_id")
 
 
 def deletion_plan(catalog, policies, group, as_of_ms):
     """Runs to delete, each once with its sorted reasons."""
+    policies = settle(policies)
     reasons = (
         over_count(catalog, policies, group).withColumn("reason", F.lit("keep_last"))
         .unionByName(

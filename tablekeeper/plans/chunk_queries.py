@@ -177,6 +177,16 @@ def chunk_missing(spark, folder):
     )
 
 
+@query("artifact_file_store")
+def artifact_file_store(spark, folder):
+    """The tables' own files kept as blocks, put together again and checked by length."""
+    path = work_dir(spark, "store")
+    blocks = chunks.append_files(spark, f"{folder}/*.parquet", path, "files", 64 << 10)
+    parts = chunks.reassemble(blocks, chunks.read_store(spark, path), 16)
+    length = F.sum(F.octet_length("content")).alias("n_bytes")
+    return parts.groupBy("run_id").agg(length, F.count(F.lit(1)).alias("parts"))
+
+
 @query("artifact_file_blocks")
 def artifact_file_blocks(spark, folder):
     """Blocks of the tables' own files, read by byte range."""

@@ -8,8 +8,7 @@ import pandas as pd
 import pyarrow.fs
 from pyspark.sql import functions as F
 
-from tablekeeper.operators.chunks import CHUNK_SIZE
-
+CHUNK_SIZE = 1 << 20
 BYTES_PER_TASK = 256 << 20
 BLOCKS_PER_BATCH = 32
 
@@ -51,20 +50,30 @@ def _read_piece(piece, size, with_data):
     return frame if with_data else frame[columns[:-1]]
 
 
-def scan_file_blocks(spark, path, size=CHUNK_SIZE, with_data=False, bytes_per_task=BYTES_PER_TASK):
-    """Blocks of files of any size: every task reads its own byte ranges.
-
-    Only names and lengths are listed first; a very large file is spread over many tasks.
-    """
+def file_ranges(spark, path, size=CHUNK_SIZE):
+    """(path, idx, n_bytes) of every block of the files; only names and lengths are listed."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
-    total = files.agg(F.sum("length")).first()[0] or 0
     last = F.call_function("div", F.col("length") - 1, F.lit(size))
     ranges = files.filter(F.col("length") > 0).select(
-        "path", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("idx")
+        "path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("idx")
     )
+    n_bytes = F.least(F.lit(size).cast("bigint"), F.col("length") - F.col("idx") * size)
+    return ranges.select("path", "idx", n_bytes.alias("n_bytes"))
+
+
+def read_ranges(ranges, size=CHUNK_SIZE, with_data=False, bytes_per_task=BYTES_PER_TASK):
+    """Blocks at the given places; every task reads its own byte ranges from storage.
+
+    The places are spread evenly, so a very large file is read by many tasks.
+    """
+    total = ranges.agg(F.sum("n_bytes")).first()[0] or 0
     tasks = max(1, math.ceil(total / bytes_per_task))
     schema = "path string, idx bigint, hash string, n_bytes bigint"
     schema += ", data binary" if with_data else ""
-    return ranges.repartition(tasks, "path", "idx").mapInPandas(
-        _read_blocks(size, with_data), schema
-    )
+    places = ranges.select("path", "idx").repartition(tasks, "path", "idx")
+    return places.mapInPandas(_read_blocks(size, with_data), schema)
+
+
+def scan_file_blocks(spark, path, size=CHUNK_SIZE, with_data=False, bytes_per_task=BYTES_PER_TASK):
+    """Blocks of files of any size."""
+    return read_ranges(file_ranges(spark, path, size), size, with_data, bytes_per_task)

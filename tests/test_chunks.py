@@ -136,3 +136,19 @@ def test_popular_block_is_copied(spark):
     manifests = blocks.select("profile", "run_id", "idx", "hash")
     parts = chunks.reassemble(manifests, store, 100, uses_per_task=7).orderBy("run_id").collect()
     assert [bytes(r.content) for r in parts] == many
+
+
+def test_files_go_to_the_store_once(spark, tmp_path):
+    files, path = tmp_path / "files", str(tmp_path / "store")
+    files.mkdir()
+    (files / "a.bin").write_bytes(b"a" * 4096 + b"b" * 100)
+    (files / "b.bin").write_bytes(b"a" * 8192)
+    blocks = chunks.append_files(spark, f"{files}/*", path, "p", 4096)
+    assert blocks.count() == 4 and chunks.read_store(spark, path).count() == 2
+    (files / "c.bin").write_bytes(b"c" * 4097 + b"")
+    blocks = chunks.append_files(spark, f"{files}/*", path, "p", 4096, chunks.read_store(spark, path))
+    store = chunks.read_store(spark, path)
+    assert store.count() == 4
+    whole = chunks.reassemble(blocks, store).orderBy("run_id").collect()
+    assert [bytes(r.content) for r in whole] == [
+        (files / n).read_bytes() for n in ("a.bin", "b.bin", "c.bin")]
