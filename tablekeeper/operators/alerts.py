@@ -67,16 +67,18 @@ def check_history(runs, start, period, checks, max_age=DEFAULT_MAX_AGE_MS):
             F.max(F.struct("reported_at", "run_id", "status"))["status"].alias("_status"),
         )
     )
-    every = per_check.groupBy("server_id").agg(F.min("n").alias("first")).select(
-        "server_id", F.explode(F.sequence("first", F.lit(checks - 1))).alias("n")
-    )
     by_time = Window.partitionBy("server_id").orderBy("n")
     so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    # each row also stands for the instants up to the next one with news
+    until = F.lead("n", 1, checks).over(by_time) - 1
     at = F.lit(start).cast("bigint") + F.col("n").cast("bigint") * F.lit(period).cast("bigint")
     return (
-        every.join(per_check, ["server_id", "n"], "left")
-        .withColumn("last_success", F.max("_success").over(so_far))
-        .withColumn("last_status", F.last("_status", ignorenulls=True).over(so_far))
+        per_check.withColumn("last_success", F.max("_success").over(so_far))
+        .withColumn("_until", until)
+        .select(
+            "server_id", "last_success", F.col("_status").alias("last_status"),
+            F.explode(F.sequence("n", "_until")).alias("n"),
+        )
         .withColumn("checked_at", at)
         .withColumn(
             "state",

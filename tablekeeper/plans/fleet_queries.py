@@ -181,14 +181,14 @@ def run_insert_ignore(spark, folder):
 
 
 @query("run_id_clashes", f"""WITH {RECEIVED},
-short AS (SELECT server_id, substr(run_id, 1, 3) AS run_id FROM received)
-SELECT run_id, count(DISTINCT server_id) AS n_servers FROM short
+named AS (SELECT server_id, profile || '-' || size_bytes AS run_id FROM received)
+SELECT run_id, count(DISTINCT server_id) AS n_servers FROM named
 GROUP BY run_id HAVING count(DISTINCT server_id) > 1""")
 def run_id_clashes(spark, folder):
-    short = received_reports(spark, folder).select(
-        "server_id", F.substring("run_id", 1, 3).alias("run_id")
-    )
-    return ingest.clashing_run_ids(short)
+    # senders that name their runs by profile and size meet each other's names
+    name = F.concat_ws("-", "profile", "size_bytes")
+    named = received_reports(spark, folder).select("server_id", name.alias("run_id"))
+    return ingest.clashing_run_ids(named)
 
 
 @query("fleet_overview", f"WITH {FLEET} SELECT * FROM overview ORDER BY last_seen_at DESC, id")

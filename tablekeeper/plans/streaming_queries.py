@@ -13,7 +13,7 @@ from tablekeeper.plans.history_queries import EVENT_COLUMNS, event_columns
 from tablekeeper.plans.registry import query
 from tablekeeper.plans.text_queries import throttle_events, throttle_sql
 from tablekeeper.session import work_dir
-from tablekeeper.sources.event_log import stream_events
+from tablekeeper.sources.event_log import append_event_stream, scan_events, stream_events
 from tablekeeper.streaming import alerts, counts, ingest, throttle
 from tablekeeper.streaming.state import finish, write_parquet
 
@@ -101,6 +101,15 @@ def stream_event_log(spark, folder):
     return _run(spark, event_columns(events), "events")
 
 
+@query("stream_event_log_append", f"WITH {RUN_LOG} SELECT {EVENT_COLUMNS} FROM run_log")
+def stream_event_log_append(spark, folder):
+    """Events read as a stream, appended to another log as a stream, and scanned there."""
+    root = work_dir(spark, "log")
+    events = stream_events(spark, _log_folder(spark, folder))
+    finish(append_event_stream(events, f"{root}/copy", f"{root}/checkpoint"))
+    return event_columns(scan_events(spark, f"{root}/copy"))
+
+
 @query("stream_outcome_counts", f"""WITH {RUN_LOG}
 SELECT profile, (at_ms // {DAY_MS}) * {DAY_MS} AS window_start,
   split_part(event, '.', 1) AS category, split_part(event, '.', 2) AS status, count(*) AS n

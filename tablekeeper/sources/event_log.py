@@ -60,3 +60,9 @@ def to_lines(events):
 def append_events(events, path):
     """Append events (timestamp, event, payload) to a log folder."""
     to_lines(events).write.mode("append").text(path)
+
+
+def append_event_stream(events, path, checkpoint):
+    """Append a stream of events to a log folder; takes what is there and ends."""
+    writer = to_lines(events).writeStream.format("text").outputMode("append")
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
