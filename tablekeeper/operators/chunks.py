@@ -87,8 +87,12 @@ def dedup_ratio(summary):
 
 # --- store ---------------------------------------------------------------------------------------
 
+STORE_SCHEMA = "prefix string, hash string, n_bytes bigint, data binary, profile string"
+
+
 def read_store(spark, path):
-    return spark.read.parquet(path)
+    # the schema keeps profiles such as "007" as they are
+    return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
 def append_store(blocks, path, store=None):
@@ -182,7 +186,7 @@ def collect_garbage(spark, path, manifests):
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("profile").parquet(path)
     empty = touched.join(kept.select("profile").distinct(), "profile", "left_anti")
-    delete_folders(spark, path, empty, ["profile"])
+    delete_folders(spark, path, "profile", empty)
     return removed
 
 

@@ -1,6 +1,7 @@
 """Run reports on their way in: fill, check, authorise, store once."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekeeper.functions.ordering import small_side
 
@@ -22,9 +23,12 @@ def _given(column):
     return F.nullif(column, F.lit(""))
 
 
-def _whole(column):
-    """Whole number of a value, NULL when it is not one."""
-    text = F.trim(column.cast("string"))
+def _whole(df, name):
+    """Whole number of a value, NULL when it is not one; numbers lose their fraction."""
+    column = F.col(name)
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return column.try_cast("bigint")
+    text = F.trim(column)
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
 
 
@@ -37,8 +41,8 @@ def normalise(df, default_server="localhost"):
         "server_name": F.coalesce(_given(F.col("server_name")), server),
         "run_id": F.coalesce(_given(F.col("run_id")), F.concat_ws(":", server, *text)),
         "backup_type": F.coalesce(_given(F.col("backup_type")), F.lit("full")),
-        "size_bytes": _whole(F.col("size_bytes")),
-        "duration_ms": _whole(F.col("duration_ms")),
+        "size_bytes": _whole(df, "size_bytes"),
+        "duration_ms": _whole(df, "duration_ms"),
     }
     return df.select(*[
         made[name].alias(name) if name in made else F.col(name) for name in df.columns

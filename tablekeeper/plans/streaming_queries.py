@@ -65,7 +65,9 @@ def stream_alert_changes(spark, folder):
                        F.lit("success").alias("status"), F.lit(end).alias("reported_at"))
     beat.write.mode("append").parquet(path)
     stream = _stream(spark, path, reports.schema)
-    changes = alerts.alert_changes(stream, FIRST_CHECK_MS, DAY_MS, MAX_AGE_MS, checks=CHECKS)
+    changes = alerts.alert_changes(
+        stream, FIRST_CHECK_MS, DAY_MS, MAX_AGE_MS, delay="0 seconds", checks=CHECKS
+    )
     return _run(spark, changes, "alerts")
 
 

@@ -1,5 +1,7 @@
 """Run manifests: write them, and scan a folder of them into a catalogue."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tablekeeper.functions.timestamps import parse_timestamp
@@ -10,6 +12,7 @@ MANIFEST_SCHEMA = (
     "source map<string, string>, metadata map<string, string>, parent_run_id string, "
     "chain array<string>"
 )
+PLAIN_NAME = re.compile(r"[A-Za-z0-9_.-]+\Z")
 FIELDS = [
     "run_id", "profile", "db_type", "backup_type", "started_at", "finished_at", "duration_ms",
     "artifact_path", "compression", "source", "metadata", "parent_run_id", "chain",
@@ -50,7 +53,11 @@ def _lines(reader, path, whole):
 def scan_manifests(spark, root, profiles=None):
     """Catalogue of the manifests below ``root`` written by ``write_manifests``."""
     reader = spark.read.option("recursiveFileLookup", "true")
-    rows = _catalogue(_lines(reader, root, False))
+    path = root
+    if profiles and all(PLAIN_NAME.match(p) for p in profiles):
+        # only the folders asked for are listed
+        path = f"{root}/profile={{{','.join(profiles)}}}"
+    rows = _catalogue(_lines(reader, path, False))
     if profiles is not None:
         rows = rows.filter(F.col("profile").isin(list(profiles)))
     return rows

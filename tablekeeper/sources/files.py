@@ -33,17 +33,22 @@ def current(spark, root):
     return spark.read.parquet(f"{root}/version={versions[-1]:010d}") if versions else None
 
 
-def delete_folders(spark, root, folders, columns):
-    """Delete partition folders below ``root``; ``folders`` lists the values of ``columns``."""
+def folder_name(spark, column, value):
+    """Name of a partition folder, written as Spark writes it."""
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return names.getPartitionPathString(column, value)
+
+
+def delete_folders(spark, root, column, values):
+    """Delete the partition folders of ``column`` below ``root`` for a list of values."""
     _, system = _file_system(spark, root)
     new_path = spark._jvm.org.apache.hadoop.fs.Path
     # folder names only, one partition of the list at a time
-    for row in folders.select(*columns).toLocalIterator():
-        names = "/".join(f"{c}={row[c]}" for c in columns)
-        system.delete(new_path(f"{root}/{names}"), True)
+    for row in values.select(column).toLocalIterator():
+        system.delete(new_path(f"{root}/{folder_name(spark, column, row[0])}"), True)
 
 
-def inventory(spark, root, depth=0):
+def inventory(spark, root):
     """Files and bytes per profile below ``root``; file contents are never read."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")

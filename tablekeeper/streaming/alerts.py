@@ -67,8 +67,9 @@ def _larger(a, b):
 
 
 class AlertProcessor(StatefulProcessor):
-    def __init__(self, start, period, max_age, checks):
+    def __init__(self, start, period, max_age, checks, by_arrival):
         self.start, self.period, self.max_age, self.checks = start, period, max_age, checks
+        self.by_arrival = by_arrival
 
     def init(self, handle):
         self.handle = handle
@@ -113,9 +114,12 @@ class AlertProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         due, success, status, state, pending = self._read()
-        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.by_arrival:
+            now = timerValues.getCurrentProcessingTimeInMs()
+        else:
+            now = timerValues.getCurrentWatermarkInMs()
         changes = []
-        while self._instant(due) <= watermark and (self.checks is None or due < self.checks):
+        while self._instant(due) <= now and (self.checks is None or due < self.checks):
             if due in pending:
                 got = pending.pop(due)
                 success, status = _larger(success, got[0]), got[3]
@@ -140,19 +144,23 @@ class AlertProcessor(StatefulProcessor):
         pass
 
 
-def alert_changes(reports, start, period, max_age=DEFAULT_MAX_AGE_MS, delay="0 seconds", checks=None):
+def alert_changes(
+    reports, start, period, max_age=DEFAULT_MAX_AGE_MS, delay=None, checks=None
+):
     """State changes of a stream of reports (server_id, run_id, status, reported_at).
 
-    Reports later than ``delay`` behind the newest one may be dropped by the watermark. Heartbeats
-    are reports of the server ``heartbeat``.
+    Without ``delay`` checks follow the clock, as reports are stamped on arrival: nothing is dropped,
+    and what comes in after a check counts from the next one. With ``delay`` checks follow the
+    watermark, for replaying a history; reports later than that behind the newest one may be dropped.
+    Heartbeats are reports of the server ``heartbeat``.
     """
     use_state_store(reports.sparkSession)
+    by_arrival = delay is None
     short = reports.select("server_id", "run_id", "status", "reported_at").mapInPandas(
         _shorten(start, period), SHORT
     )
-    return (
-        short.withWatermark("at", delay).groupBy("server_id")
-        .transformWithStateInPandas(
-            AlertProcessor(start, period, max_age, checks), OUTPUT, "append", "eventTime"
-        )
-    )
+    if not by_arrival:
+        short = short.withWatermark("at", delay)
+    processor = AlertProcessor(start, period, max_age, checks, by_arrival)
+    mode = "processingTime" if by_arrival else "eventTime"
+    return short.groupBy("server_id").transformWithStateInPandas(processor, OUTPUT, "append", mode)

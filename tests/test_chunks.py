@@ -73,12 +73,13 @@ def test_store_garbage_and_restore(spark, tmp_path):
 
 def test_profile_that_is_all_garbage(spark, tmp_path):
     path = str(tmp_path / "store")
-    both = artifact(spark, b"one" * 3000).unionAll(artifact(spark, b"two" * 3000, profile="q"))
+    both = artifact(spark, b"one" * 3000, profile="007").unionAll(
+        artifact(spark, b"two" * 3000, profile="a/b:c"))
     blocks = chunks.chunk(both, 4096, with_data=True)
     chunks.append_store(blocks, path)
-    chunks.collect_garbage(spark, path, blocks.filter("profile = 'p'").select("profile", "hash"))
+    chunks.collect_garbage(spark, path, blocks.filter("profile = '007'").select("profile", "hash"))
     left = chunks.read_store(spark, path)
-    assert {r.profile for r in left.collect()} == {"p"}
+    assert {r.profile for r in left.collect()} == {"007"}
 
 
 def test_empty_run_cannot_be_restored(spark):

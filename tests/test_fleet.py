@@ -22,6 +22,12 @@ def test_defaults(spark):
     assert ingest.normalise(raw(spark, server_id=None), "host").first().server_id == "host"
 
 
+def test_numbers_lose_their_fraction(spark):
+    df = raw(spark).withColumn("size_bytes", F.lit(12.7)).withColumn("duration_ms", F.lit(-3))
+    row = ingest.normalise(df).first()
+    assert (row.size_bytes, row.duration_ms) == (12, -3)
+
+
 @pytest.mark.parametrize("fields, reasons", [
     ({}, []),
     ({"size_bytes": None, "error": None}, []),

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
+from tablekeeper.operators.alerts import check_history
 from tablekeeper.plans import fixtures as fx
 from tablekeeper.plans import streaming_queries as sq
-from tablekeeper.streaming import ingest
+from tablekeeper.streaming import alerts, ingest
 from tablekeeper.streaming.state import finish
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,3 +39,23 @@ def test_reports_sent_twice_count_once(spark, tmp_path):
     assert runs.count() == n
     seen = ingest.read_part(spark, root, "accepted").agg(F.max("reported_at")).first()[0]
     assert servers.agg(F.max("last_seen_at")).first()[0] == seen
+
+
+def test_alerts_by_clock(spark, tmp_path):
+    """Reports that arrive at once, long after: every check is due with all of them known."""
+    start, period, checks = sq.FIRST_CHECK_MS, fx.DAY_MS, 8
+    reports = fx.run_reports(spark, FOLDER).select("server_id", "run_id", "status", "reported_at")
+    reports.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(reports.schema).parquet(str(tmp_path / "in"))
+    changes = alerts.alert_changes(stream, start, period, fx.MAX_AGE_MS, checks=checks)
+    # checks by the clock never end by themselves, so one batch is run
+    query = (
+        changes.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+    )
+    assert query.awaitTermination(120)
+    want = check_history(reports, start, period, checks, fx.MAX_AGE_MS).filter("state <> previous")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(
+        map(tuple, want.collect()), key=repr)
+    assert got.count() > 0
