@@ -21,26 +21,15 @@ PATTERNS = [
 ]
 
 
-def _steps(text):
-    """(text before, patterns) for each group of patterns with one contained text, and the result.
-
-    Texts without the contained text skip the patterns; redaction never brings it in.
-    """
-    original, steps = text, []
+def redact_patterns(text):
+    """Texts without the contained text skip its patterns; redaction never brings it in."""
+    original = text
     for contained, group in itertools.groupby(PATTERNS, key=lambda p: p[1]):
-        group = list(group)
-        possible = original.contains(contained)
-        changed, hits = text, {}
-        for name, _, pattern, replacement in group:
-            hits[name] = F.when(possible, F.regexp_count(changed, F.lit(pattern))).otherwise(0)
+        changed = text
+        for _, _, pattern, replacement in group:
             changed = F.regexp_replace(changed, pattern, replacement)
-        steps.append(hits)
-        text = F.when(possible, changed).otherwise(text)
-    return steps, text
-
-
-def redact_patterns(text):
-    return _steps(text)[1]
+        text = F.when(original.contains(contained), changed).otherwise(text)
+    return text
 
 
 def redact_secrets(text, secrets):
@@ -54,12 +43,3 @@ def redact_secrets(text, secrets):
 
 def redact(text, secrets=()):
     return redact_secrets(redact_patterns(text), secrets)
-
-
-def pattern_hits(text):
-    """({pattern name: number of hits}, redacted text).
-
-    Each pattern is counted in the text the earlier ones leave.
-    """
-    steps, redacted = _steps(text)
-    return {name: n for hits in steps for name, n in hits.items()}, redacted
