@@ -15,6 +15,7 @@ below the size limit are never linked; an empty table gives no records; other co
 """
 
 import base64
+import gzip
 import hashlib
 
 from pyspark.sql import functions as F
@@ -258,7 +259,7 @@ def write_warcs(arcs, folder, least=LEAST_LINKED, archive_bytes=ARCHIVE_BYTES):
     """Convert ARC archives and write WARC archives of about ``archive_bytes`` into ``folder``.
 
     The records are spread by their page id; the files are those of Spark's text writer, whose line end is
-    set to the two line ends that close a WARC record.
+    set to the two line ends that close a WARC record, and compressed.
     """
     records = arc_records(arcs)
     size = records.agg(F.sum("payload_bytes")).first()[0] or 0
@@ -280,7 +281,7 @@ def write_warcs(arcs, folder, least=LEAST_LINKED, archive_bytes=ARCHIVE_BYTES):
 
     (
         rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", "\r\n\r\n").text(folder)
+        .write.option("lineSep", "\r\n\r\n").text(folder, compression="gzip")
     )
 
 
@@ -298,7 +299,7 @@ def read_warcs(spark, folder):
         for batch in batches:
             for content in batch.column("content"):
                 out = {k: [] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")}
-                for fields, block in parse_warc(content.as_buffer().to_pybytes()):
+                for fields, block in parse_warc(gzip.decompress(content.as_py())):
                     http, payload = split_http(block)
                     revisit = fields["warc-type"] == "revisit"
                     digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
