@@ -83,11 +83,12 @@ def _long_hash(data):
     return mixed(total + np.uint64(len(data)))[0]
 
 
-def word_hashes(column, kind=NOT_SPACE):
+def word_hashes(column, kind=NOT_SPACE, prefix=0):
     """(hashes, bounds): words of all rows in order, row i has those of ``bounds[i]:bounds[i + 1]``.
 
     Letters A-Z count as a-z. Equal words have equal hashes; different ones differ but for the chance of
-    64 random bits. Memory beside the result is bounded by a piece of 1 MiB, however long a text is.
+    64 random bits. With ``prefix``, a third array has the hashes of the words' first so many bytes. Memory
+    beside the result is bounded by a piece of 1 MiB, however long a text is.
     """
     data, offsets = text_bytes(column)
     inside = kind[data]
@@ -101,17 +102,24 @@ def word_hashes(column, kind=NOT_SPACE):
     stop[last] = inside[last]
     starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
     out = np.empty(len(starts), np.uint64)
+    short = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         to = int(np.searchsorted(ends, starts[at] + _PIECE, "right"))
+        base = starts[at]
         if to <= at:
-            out[at] = _long_hash(data[starts[at]:ends[at]])
+            out[at] = _long_hash(data[base:ends[at]])
+            if prefix:
+                short[at] = _long_hash(data[base:base + prefix])
             at += 1
             continue
-        base = starts[at]
-        out[at:to] = _piece_hashes(data[base:ends[to - 1]], starts[at:to] - base, ends[at:to] - base)
+        piece, s, e = data[base:ends[to - 1]], starts[at:to] - base, ends[at:to] - base
+        out[at:to] = _piece_hashes(piece, s, e)
+        if prefix:
+            short[at:to] = _piece_hashes(piece, s, np.minimum(e, s + prefix))
         at = to
-    return out, np.searchsorted(starts, offsets)
+    bounds = np.searchsorted(starts, offsets)
+    return (out, bounds, short) if prefix else (out, bounds)
 
 
 def small_batches(batches, limit=4 << 20):
@@ -119,10 +127,8 @@ def small_batches(batches, limit=4 << 20):
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            size = max(1, batch.num_rows - at)
-            while size > 1 and batch.slice(at, size).get_total_buffer_size() > 0 and (
-                batch.slice(at, size).nbytes > limit
-            ):
-                size = max(1, size // 2)
+            size = batch.num_rows - at
+            while size > 1 and batch.slice(at, size).nbytes > limit:
+                size //= 2
             yield batch.slice(at, size)
             at += size

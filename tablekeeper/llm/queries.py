@@ -1,17 +1,19 @@
 """Registered queries of the numbered operators, and their SQL where SQL can express them."""
 
-from tablekeeper.llm import decontaminate, mixing, quality_rules, token_cache, warc
+from tablekeeper.llm import decontaminate, jaccard_join, mixing, quality_rules, token_cache, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_token_counts": token_cache.op4_token_counts,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_arc_to_warc": warc.op10_arc_to_warc,
 }
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op9_jaccard_join": jaccard_join.OP9_SQL,
     "op10_arc_to_warc": warc.OP10_SQL,
 }
