@@ -148,8 +148,8 @@ def _shared(postings, tasks):
 
 
 def _sets(docs, wanted, levels):
-    """(``cid``, ``n``, ``keys``) of the classes in ``wanted`` (``doc_id``, ``cid``): the text of one document
-    each goes around once, by its id."""
+    """(``cid``, ``keys``) of the classes in ``wanted`` (``doc_id``, ``cid``): the text of one document each is
+    looked up by its id. Rows that repeat an id may give a class twice, which changes no link."""
 
     def run(batches):
         import pyarrow as pa
@@ -161,13 +161,12 @@ def _sets(docs, wanted, levels):
                 if class_of(hashes) == cid:
                     out[cid] = global_keys(hashes, known)
             yield pa.RecordBatch.from_arrays([
-                pa.array(list(out), pa.int64()), pa.array([len(x) for x in out.values()], pa.int64()),
-                pa.array([x.tobytes() for x in out.values()], pa.binary()),
-            ], ["cid", "n", "keys"])
+                pa.array(list(out), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary()),
+            ], ["cid", "keys"])
 
     texts = docs.select(F.col("doc_id").alias("own"), "text").join(
-        wanted.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("doc_id")))
-    return texts.select("text", "cid").mapInArrow(run, "cid long, n long, keys binary").dropDuplicates(["cid"])
+        wanted.select("doc_id", "cid").hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("doc_id")))
+    return texts.select("text", "cid").mapInArrow(run, "cid long, keys binary")
 
 
 # --- the prefix tree -----------------------------------------------------------------------------
@@ -290,65 +289,109 @@ def _look_up(trees, probes, tasks, first):
 
 # --- the join ------------------------------------------------------------------------------------
 
-def _stars(shared, sets, tasks):
-    """Links of every class with the class that shares most in one of its groups."""
-    scores = shared.groupBy("cid").agg(F.count("*").alias("score"))
+def _least_shared(n, low, high):
+    """Fewest prefix shingles that a set of size ``n`` shares with a linked one of size ``low`` to ``high``.
+
+    Of the set whose prefix ends first, at most n minus the overlap are not in the other, and the rest of its
+    prefix lies within the other's. NULL where no size in the range can link.
+    """
+    fifth = lambda x: F.ceil(x * 4 / 5)
+    low = F.greatest(low, fifth(n))
+    high = F.least(high, F.floor(n * 5 / 4))
+    overlap = lambda x: F.ceil((n + x) * 4 / 9)
+    bound = F.least(overlap(low) - fifth(n) + 1, overlap(high) - fifth(high) + 1)
+    # Roundings may shift each term by one.
+    return F.when(low <= high, F.greatest(F.lit(1), bound - 2))
+
+
+def _star_pairs(shared, classes):
+    """(``tree``, ``cid``): every class beside the class that shares most of its prefix in one of its groups."""
+    own = shared.groupBy("cid").agg(F.collect_list("token").alias("tokens")).join(classes, "cid").select(
+        "cid", "n", "tokens")
+    scores = own.select("cid", (F.size("tokens") / (F.floor(F.col("n") / 5) + 1)).alias("score"))
     tops = shared.join(scores, "cid").groupBy("token").agg(F.max(F.struct("score", "cid")).alias("top"))
     pairs = shared.join(tops, "token").select(F.col("top.cid").alias("tree"), "cid").where(
         "tree != cid").distinct()
-    pairs = staged(pairs, "star-pairs")
+    tree = own.select(F.col("cid").alias("tree"), F.col("n").alias("m"), F.col("tokens").alias("others"))
+    return pairs.join(own, "cid").join(tree, "tree").where(
+        F.size(F.array_intersect("tokens", "others")) >= _least_shared(F.col("n"), F.col("m"), F.col("m"))
+    ).select("tree", "cid")
+
+
+def _stars(pairs, sets, tasks):
+    """Links among ``pairs``."""
     size = pairs.groupBy("tree").agg(F.ceil(F.count("*") / TREE_SETS).alias("parts"))
     members = pairs.join(size, "tree").select(
-        "tree", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), "cid").join(
-        sets.select("cid", "keys"), "cid")
+        "tree", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), "cid").join(sets, "cid")
     probes = size.select("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(
         sets.select(F.col("cid").alias("tree"), "keys"), "tree").withColumn("cid", F.col("tree"))
     return _look_up(members, probes, tasks, False)
 
 
-def _rest(shared, labels, sets, tasks):
-    """Links between different components that share a prefix shingle."""
-    own = shared.select("cid").distinct().join(labels.withColumnRenamed("id", "cid"), "cid", "left").select(
-        "cid", F.coalesce("component", "cid").alias("component"))
-    own = staged(own, "classes")
-    sizes = own.groupBy("component").agg(F.count("*").alias("size"))
-    own = own.join(sizes, "component")
+def _rest_probes(shared, own):
+    """(``cid``, ``tree``): members of smaller components beside the larger ones they may link with."""
     at = shared.join(own, "cid")
     # Groups that lie in one component have nothing left to find.
     groups = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low != high").select("token")
-    open_ = staged(at.join(groups, "token", "left_semi").select("token", "cid", "component", "size"), "open")
-    tops = open_.select("token", F.col("component").alias("tree"), F.col("size").alias("tree_size")).distinct()
-    probes = open_.join(tops, "token").where(
-        F.struct("tree_size", "tree") > F.struct("size", "component")).select("cid", "tree").distinct()
-    probes = staged(probes, "probes")
-    trees = probes.select("tree").distinct().join(sizes.withColumnRenamed("component", "tree"), "tree").select(
-        "tree", F.ceil(F.col("size") / TREE_SETS).alias("parts"))
+    open_ = staged(at.join(groups, "token", "left_semi").select(
+        "token", "cid", "n", "component", "size", "least", "most"), "open")
+    tops = open_.select(
+        "token", F.col("component").alias("tree"), F.col("size").alias("tree_size"),
+        F.col("least").alias("tree_least"), F.col("most").alias("tree_most"),
+    ).distinct()
+    return open_.join(tops, "token").where(
+        F.struct("tree_size", "tree") > F.struct("size", "component")
+    ).groupBy("cid", "n", "tree", "tree_least", "tree_most").agg(F.count("*").alias("shares")).where(
+        F.col("shares") >= _least_shared(F.col("n"), F.col("tree_least"), F.col("tree_most"))
+    ).select("cid", "tree")
+
+
+def _rest(probes, own, sets, tasks):
+    """Links between probes and the components of their trees."""
+    trees = probes.select("tree").distinct().join(
+        own.groupBy(F.col("component").alias("tree")).agg(F.ceil(F.count("*") / TREE_SETS).alias("parts")), "tree")
     members = own.select("cid", F.col("component").alias("tree")).join(trees, "tree").select(
-        "tree", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), "cid").join(
-        sets.select("cid", "keys"), "cid")
+        "tree", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), "cid").join(sets, "cid")
     asked = probes.join(trees, "tree").select(
         "cid", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(
-        sets.select("cid", "keys"), "cid")
+        sets, "cid")
     return _look_up(members, asked, tasks, True)
 
 
 def joined(docs):
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
-    spark = docs.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     slim = staged(_slim(docs), "shingles")
     levels = _levels(slim)
     rows = slim.where("bucket IS NULL").drop("bucket")
+    classes = staged(
+        rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
     shared = staged(_shared(_postings(docs, levels), tasks), "shared")
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi")
-    sets = staged(_sets(docs, wanted, levels), "sets")
-    stars = staged(_stars(shared, sets, tasks), "stars")
-    rest = staged(_rest(shared, components(stars), sets, tasks), "rest")
-    labels = components(stars.unionByName(rest))
-    named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
-        "component", F.coalesce("component", "cid"))
+
+    pairs = staged(_star_pairs(shared, classes), "star-pairs")
+    in_pairs = pairs.select("cid").unionByName(pairs.select(F.col("tree").alias("cid"))).distinct()
+    sets = staged(_sets(docs, classes.join(in_pairs, "cid"), levels), "sets")
+    stars = staged(_stars(pairs, sets, tasks), "stars")
+
+    labels = components(stars).withColumnRenamed("id", "cid")
+    own = classes.join(shared.select("cid").distinct(), "cid", "left_semi").join(labels, "cid", "left").select(
+        "cid", "n", F.coalesce("component", "cid").alias("component"))
+    sizes = own.groupBy("component").agg(
+        F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    own = staged(own.join(sizes, "component"), "candidates")
+    probes = staged(_rest_probes(shared, own), "probes")
+    in_rest = own.join(probes.select(F.col("tree").alias("component")).distinct(), "component", "left_semi").select(
+        "cid").unionByName(probes.select("cid")).distinct()
+    new = in_rest.join(in_pairs, "cid", "left_anti")
+    sets = sets.unionByName(staged(_sets(docs, classes.join(new, "cid"), levels), "sets"))
+    sets = sets.join(in_rest, "cid", "left_semi")
+    rest = staged(_rest(probes, own, sets, tasks), "rest")
+
+    # The stars are shallow by now: each class hangs on its component.
+    links = own.select(F.col("cid").alias("a"), F.col("component").alias("b")).unionByName(rest)
+    labels = components(links).withColumnRenamed("id", "cid")
+    named = classes.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = named.join(least, "component").select("cid", "component_id")
     full = rows.where("n > 0").join(by_class, "cid").select(
