@@ -34,8 +34,8 @@ from tablekeeper.llm.components import components
 from tablekeeper.llm.tables import load, staged
 
 ORDER = 5
-#: Buckets of the counts that steer the order: 2 ** 22 counts of at most one byte each are sent to tasks.
-BUCKET_BITS = 22
+#: Buckets of the counts that steer the order: 2 ** 24 levels of one byte each are sent to all tasks.
+BUCKET_BITS = 24
 #: Sets in one prefix tree, and postings of a frequent shingle in one part.
 TREE_SETS = 256
 PART_POSTINGS = 4096
@@ -90,7 +90,7 @@ def _slim(docs):
                 batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()),
                 pa.array([class_of(x) for x in sets], pa.int64()), pa.nulls(len(sets), pa.int32()),
             ], ["doc_id", "n", "cid", "bucket"])
-        found = np.flatnonzero(counts >= 2 * total / len(counts) + 5)
+        found = np.flatnonzero(counts >= 2 * total / len(counts) + 3)
         if len(found):
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(len(found), id_type), pa.array(counts[found].astype(np.int64)),
@@ -110,33 +110,36 @@ def _levels(slim):
 
 
 def _postings(docs, levels):
-    """(``token``, ``cid``, ``parts``): the prefix shingles of each set; ``parts`` over 1 marks frequent ones."""
+    """(``token``, ``cid``, ``at``, ``parts``): the prefix shingles of each set with their positions in the
+    order; ``parts`` over 1 marks frequent ones."""
 
     def run(batches):
         import pyarrow as pa
 
         known = levels.value
         for batch in hashing.small_batches(batches):
-            tokens, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            tokens, owners, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for hashes in shingle_sets(batch.column("text")):
                 n = len(hashes)
                 if n > 1:
                     keys = global_keys(hashes, known)[:n - -(-4 * n // 5) + 1]
                     tokens.append(keys)
                     owners.append(np.full(len(keys), class_of(hashes)))
+                    places.append(np.arange(len(keys), dtype=np.int32))
             token = np.concatenate(tokens)
             level = (token >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)
             parts = np.maximum(1, (1 << np.minimum(level, 40)) // PART_POSTINGS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token.view(np.int64)), pa.array(np.concatenate(owners)), pa.array(parts)],
-                ["token", "cid", "parts"],
+                [pa.array(token.view(np.int64)), pa.array(np.concatenate(owners)),
+                 pa.array(np.concatenate(places)), pa.array(parts)],
+                ["token", "cid", "at", "parts"],
             )
 
-    return docs.select("text").mapInArrow(run, "token long, cid long, parts long")
+    return docs.select("text").mapInArrow(run, "token long, cid long, at int, parts long")
 
 
 def _shared(postings, tasks):
-    """(``token``, ``cid``) of the prefix shingles that several classes have.
+    """(``token``, ``cid``, ``at``) of the prefix shingles that several classes have.
 
     Rows go around once. A frequent shingle is cut into parts beforehand and is always kept.
     """
@@ -144,7 +147,7 @@ def _shared(postings, tasks):
     own = Window.partitionBy("token", "part")
     return postings.withColumn("part", part).repartition(tasks, "token", "part").withColumn(
         "low", F.min("cid").over(own)).withColumn("high", F.max("cid").over(own)).where(
-        "low != high OR parts > 1").select("token", "cid").distinct()
+        "low != high OR parts > 1").select("token", "cid", "at").distinct()
 
 
 def _sets(docs, wanted, levels):
@@ -304,16 +307,19 @@ def _least_shared(n, low, high):
     return F.when(low <= high, F.greatest(F.lit(1), bound - 2))
 
 
-def _star_pairs(shared, classes):
+def _star_pairs(shared, lists):
     """(``tree``, ``cid``): every class beside the class that shares most of its prefix in one of its groups."""
-    own = shared.groupBy("cid").agg(F.collect_list("token").alias("tokens")).join(classes, "cid").select(
-        "cid", "n", "tokens")
-    scores = own.select("cid", (F.size("tokens") / (F.floor(F.col("n") / 5) + 1)).alias("score"))
+    scores = lists.select("cid", (F.size("tokens") / (F.floor(F.col("n") / 5) + 1)).alias("score"))
     tops = shared.join(scores, "cid").groupBy("token").agg(F.max(F.struct("score", "cid")).alias("top"))
     pairs = shared.join(tops, "token").select(F.col("top.cid").alias("tree"), "cid").where(
         "tree != cid").distinct()
-    tree = own.select(F.col("cid").alias("tree"), F.col("n").alias("m"), F.col("tokens").alias("others"))
-    return pairs.join(own, "cid").join(tree, "tree").where(
+    return _enough_shared(pairs, lists)
+
+
+def _enough_shared(pairs, lists):
+    """The pairs of classes (``tree``, ``cid``) that share as many prefix shingles as linked ones must."""
+    tree = lists.select(F.col("cid").alias("tree"), F.col("n").alias("m"), F.col("tokens").alias("others"))
+    return pairs.join(lists, "cid").join(tree, "tree").where(
         F.size(F.array_intersect("tokens", "others")) >= _least_shared(F.col("n"), F.col("m"), F.col("m"))
     ).select("tree", "cid")
 
@@ -328,23 +334,32 @@ def _stars(pairs, sets, tasks):
     return _look_up(members, probes, tasks, False)
 
 
-def _rest_probes(shared, own):
-    """(``cid``, ``tree``): members of smaller components beside the larger ones they may link with."""
+def _rest_probes(shared, own, lists):
+    """(``cid``, ``tree``): members of smaller components beside the larger ones they may link with.
+
+    The first shingle that two linked sets have in common lies so early in both that enough are left.
+    """
     at = shared.join(own, "cid")
     # Groups that lie in one component have nothing left to find.
     groups = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low != high").select("token")
     open_ = staged(at.join(groups, "token", "left_semi").select(
-        "token", "cid", "n", "component", "size", "least", "most"), "open")
-    tops = open_.select(
+        "token", "cid", "at", "n", "component", "size", "least", "most"), "open")
+    tops = open_.groupBy(
         "token", F.col("component").alias("tree"), F.col("size").alias("tree_size"),
         F.col("least").alias("tree_least"), F.col("most").alias("tree_most"),
-    ).distinct()
-    return open_.join(tops, "token").where(
-        F.struct("tree_size", "tree") > F.struct("size", "component")
-    ).groupBy("cid", "n", "tree", "tree_least", "tree_most").agg(F.count("*").alias("shares")).where(
-        F.col("shares") >= _least_shared(F.col("n"), F.col("tree_least"), F.col("tree_most"))
-    ).select("cid", "tree")
+    ).agg(F.min("at").alias("tree_at"))
+    n, low, high = F.col("n"), F.col("tree_least"), F.col("tree_most")
+    low, high = F.greatest(low, F.ceil(n * 4 / 5)), F.least(high, F.floor(n * 5 / 4))
+    overlap = lambda x: F.ceil((n + x) * 4 / 9)
+    pairs = open_.alias("o").join(
+        tops.alias("t"), (F.col("o.token") == F.col("t.token"))
+        & (F.struct("tree_size", "tree") > F.struct("size", "component")) & (low <= high)
+        & (F.col("at") <= n - overlap(low)) & (F.col("tree_at") <= high - overlap(high)),
+    ).select("cid", "tree", "tree_size").distinct()
+    pairs = staged(pairs, "rest-pairs")
+    single = _enough_shared(pairs.where("tree_size = 1").select("tree", "cid"), lists)
+    return pairs.where("tree_size > 1").select("tree", "cid").unionByName(single)
 
 
 def _rest(probes, own, sets, tasks):
@@ -369,18 +384,20 @@ def joined(docs):
         rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
     shared = staged(_shared(_postings(docs, levels), tasks), "shared")
 
-    pairs = staged(_star_pairs(shared, classes), "star-pairs")
+    lists = staged(shared.groupBy("cid").agg(F.collect_list("token").alias("tokens")).join(
+        classes.select("cid", "n"), "cid"), "lists")
+    pairs = staged(_star_pairs(shared, lists), "star-pairs")
     in_pairs = pairs.select("cid").unionByName(pairs.select(F.col("tree").alias("cid"))).distinct()
     sets = staged(_sets(docs, classes.join(in_pairs, "cid"), levels), "sets")
     stars = staged(_stars(pairs, sets, tasks), "stars")
 
     labels = components(stars).withColumnRenamed("id", "cid")
-    own = classes.join(shared.select("cid").distinct(), "cid", "left_semi").join(labels, "cid", "left").select(
+    own = lists.select("cid", "n").join(labels, "cid", "left").select(
         "cid", "n", F.coalesce("component", "cid").alias("component"))
     sizes = own.groupBy("component").agg(
         F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
     own = staged(own.join(sizes, "component"), "candidates")
-    probes = staged(_rest_probes(shared, own), "probes")
+    probes = staged(_rest_probes(shared, own, lists), "probes")
     in_rest = own.join(probes.select(F.col("tree").alias("component")).distinct(), "component", "left_semi").select(
         "cid").unionByName(probes.select("cid")).distinct()
     new = in_rest.join(in_pairs, "cid", "left_anti")
