@@ -1,14 +1,31 @@
-"""Registered queries of the numbered operators, and their SQL where SQL can express them."""
+"""Registered queries of the numbered operators and the pipeline, and their SQL where SQL can express them."""
 
-from tablekeeper.llm import decontaminate, jaccard_join, mixing, quality_rules, token_cache, warc
+import corpus_pipeline
+from tablekeeper.llm import (
+    decontaminate,
+    jaccard_join,
+    lm_trie,
+    mixing,
+    pii,
+    quality_rules,
+    token_cache,
+    tool_calls,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_lm_score": lm_trie.op2_lm_score,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_token_counts": token_cache.op4_token_counts,
+    "op5_personal_data": pii.op5_personal_data,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_tool_calls": tool_calls.op7_tool_calls,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_arc_to_warc": warc.op10_arc_to_warc,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
