@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tablekeeper.session import checkpoint
 
 ROWS_PER_TASK = 5_000_000
-MAX_SLICES = 20_000
 
 
 SMALL_ROWS = 100_000
@@ -81,7 +80,7 @@ def running(df, group, order, outputs, rows_per_task=ROWS_PER_TASK, sizes=None):
     largest, total = sizes or group_sizes(df, group)
     if largest <= rows_per_task:
         return _over_window(df, group, order, outputs)
-    slices = min(max(math.ceil(total / rows_per_task), 2), MAX_SLICES)
+    slices = max(math.ceil(total / rows_per_task), 2)
     return _over_slices(df, group, order, outputs, slices)
 
 

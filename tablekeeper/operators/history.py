@@ -1,6 +1,5 @@
 """Backup history and run-log views."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
@@ -11,7 +10,6 @@ HISTORY_COLUMNS = [
     "compression", "started_at", "finished_at", "duration_ms",
 ]
 LIST_DEPTH = 200
-SEARCH_DEPTH = 400
 
 
 # --- backup runs ---------------------------------------------------------------------------------
@@ -69,24 +67,24 @@ def recent_events(events, limit=LIST_DEPTH):
     return events.orderBy(*newest_order()).limit(limit)
 
 
-def newest_events_per_profile(events, depth=SEARCH_DEPTH):
+def newest_events_per_profile(events, depth):
     return newest_per_group(
         events_by_profile(events), ["for_profile"], newest_order(), depth, ["line_no"]
     )
 
 
-def latest_event(events, names, depth=SEARCH_DEPTH):
-    """Per profile the newest event with one of the names, among its newest ``depth`` events."""
-    # at most ``depth`` rows per profile arrive here
-    per_profile = newest_events_per_profile(events, depth).filter(F.col("event").isin(list(names)))
-    first = Window.partitionBy("for_profile").orderBy("rank")
-    return (
-        per_profile.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") == 1)
-        .drop("_n", "rank")
-    )
+def latest_event(events, names, depth=None):
+    """Per profile the newest event with one of the names; with ``depth``, only among its newest so many
+    events, whatever their names."""
+    wanted = F.col("event").isin(list(names))
+    if depth is None:
+        found = events_by_profile(events.filter(wanted))
+    else:
+        found = newest_events_per_profile(events, depth).filter(wanted).drop("rank")
+    return newest_per_group(found, ["for_profile"], newest_order(), 1, ["line_no"]).drop("rank")
 
 
-def latest_outcome(events, completed, failed, depth=SEARCH_DEPTH):
+def latest_outcome(events, completed, failed, depth=None):
     """Per profile the newest completed or failed event as ``ok`` or ``error``."""
     found = latest_event(events, [completed, failed], depth)
     return found.withColumn("status", F.when(F.col("event") == completed, "ok").otherwise("error"))

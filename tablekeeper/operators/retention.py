@@ -105,16 +105,16 @@ def deletion_log(plan, timestamp):
 
 
 def policy_summary(catalog, policies, plan):
-    """Limits, runs and runs to delete per profile; nothing is deleted."""
+    """Limits, runs and runs to delete per profile that has a policy or runs; nothing is deleted."""
     n = F.count(F.lit(1))
     totals = catalog.groupBy("profile").agg(n.alias("total_runs"))
     pending = plan.groupBy("profile").agg(n.alias("_pending"))
     return (
-        totals.join(policies.withColumn("_set", F.lit(True)), "profile", "left")
+        totals.join(policies.withColumn("_set", F.lit(True)), "profile", "full")
         .join(pending, "profile", "left")
         .select(
             "profile", F.coalesce("_set", F.lit(False)).alias("configured"), "keep_last",
-            "max_age_days", "total_runs",
+            "max_age_days", F.coalesce("total_runs", F.lit(0)).alias("total_runs"),
             F.coalesce("_pending", F.lit(0)).alias("pending_deletions"),
         )
     )

@@ -52,7 +52,7 @@ def event_recent(spark, folder):
 RANKED = f"""{RUN_LOG},
 newest AS (
   SELECT *, row_number() OVER (PARTITION BY for_profile ORDER BY at_ms DESC, line_no) AS rank
-  FROM log_by_profile QUALIFY rank <= 400
+  FROM log_by_profile
 )"""
 
 

@@ -16,7 +16,8 @@ PAYLOAD_FIELDS = {
 def parse_lines(df):
     """Events of log lines (column ``value``); blank and corrupt lines are skipped.
 
-    Every known payload field becomes part of the ``payload`` struct; ``at`` is the parsed time.
+    Every known payload field becomes part of the ``payload`` struct, and the whole payload is kept as text in
+    ``payload_json``; ``at`` is the parsed time.
     """
     line = F.trim("value")
     payload = ", ".join(f"{name}: {kind}" for name, kind in PAYLOAD_FIELDS.items())
@@ -24,10 +25,10 @@ def parse_lines(df):
     rest = [c for c in df.columns if c != "value"]
     # the keys of a line that is no JSON object are NULL
     parsed = df.filter(F.json_object_keys(line).isNotNull()).select(
-        *rest, F.from_json(line, schema).alias("_e")
+        *rest, F.from_json(line, schema).alias("_e"), F.get_json_object(line, "$.payload").alias("payload_json")
     )
     return parsed.select(
-        *rest, "_e.timestamp", "_e.event", "_e.payload",
+        *rest, "_e.timestamp", "_e.event", "_e.payload", "payload_json",
         parse_timestamp(F.col("_e.timestamp")).alias("at"),
     )
 
@@ -53,7 +54,11 @@ def stream_events(spark, path, **options):
 
 
 def to_lines(events):
-    """Log lines of events: keys in order, unset fields left out."""
+    """Log lines of events: keys in order, unset fields left out. Events read from a log keep all of their
+    payload."""
+    if "payload_json" in events.columns:
+        whole = F.struct("event", F.try_parse_json("payload_json").alias("payload"), "timestamp")
+        return events.select(F.to_json(whole).alias("value"))
     return events.select(F.to_json(F.struct("event", "payload", "timestamp")).alias("value"))
 
 

@@ -1,7 +1,7 @@
 """Reports from the wire to the tables, batch by batch.
 
-Every micro-batch writes folders named after its number, so a batch that runs again replaces what it
-wrote before. The servers and runs tables follow from the accepted reports.
+Every micro-batch writes folders named after its stream and number, so a batch that runs again replaces what
+it wrote before, and a stream that starts anew leaves the rows of the one before. The servers and runs tables follow from the accepted reports.
 """
 
 from pyspark.sql import functions as F
@@ -12,14 +12,14 @@ from tablekeeper.sources import files
 PARTS = ("accepted", "rejected", "audit")
 
 
-def write_batch(reports, batch, root, tokens, shared_token=None):
+def write_batch(reports, batch, root, tokens, shared_token=None, stream="batches"):
     """Authorise, fill and check one batch of raw reports; three folders below ``root``."""
     checked = ingest.authorise(reports, tokens, shared_token)
     known = checked.filter("authorised").drop("authorised", "token", "forwarded_for", "real_ip")
     valid, rejected = ingest.split_valid(ingest.normalise(known))
     parts = {"accepted": valid, "rejected": rejected, "audit": ingest.unauthorised_audit(checked)}
     for name, rows in parts.items():
-        rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/stream={stream}/batch={batch}")
 
 
 def ingest_stream(reports, root, checkpoint, tokens, shared_token=None, available_now=True):
@@ -28,7 +28,9 @@ def ingest_stream(reports, root, checkpoint, tokens, shared_token=None, availabl
     def each(batch, number):
         kept = batch.persist()
         try:
-            write_batch(kept, number, root, tokens, shared_token)
+            # the id stays through restarts from one checkpoint
+            stream = kept.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            write_batch(kept, number, root, tokens, shared_token, stream)
         finally:
             kept.unpersist()
 
@@ -42,7 +44,7 @@ def read_part(spark, root, name):
 
 def tables(spark, root):
     """(servers, runs) from everything accepted so far."""
-    accepted = read_part(spark, root, "accepted").drop("batch")
+    accepted = read_part(spark, root, "accepted").drop("stream", "batch")
     return ingest.servers_of(accepted), ingest.first_reports(accepted)
 
 
@@ -53,7 +55,6 @@ def publish_tables(spark, root):
     files.publish(runs, f"{root}/tables/runs")
 
 
-def unique_runs(reports, delay="7 days"):
-    """First report of each run id as a stream; ids are remembered for ``delay``."""
-    timed = reports.withColumn("at", F.timestamp_millis("reported_at"))
-    return timed.withWatermark("at", delay).dropDuplicatesWithinWatermark(["run_id"])
+def unique_runs(reports):
+    """First report of each run id as a stream. Ids are remembered for ever, and no report is too late."""
+    return reports.withColumn("at", F.timestamp_millis("reported_at")).dropDuplicates(["run_id"])
