@@ -145,9 +145,10 @@ def _shared(postings, tasks):
     """
     part = F.when(F.col("parts") > 1, F.pmod(F.col("cid"), F.col("parts"))).otherwise(F.lit(0))
     own = Window.partitionBy("token", "part")
-    return postings.withColumn("part", part).repartition(tasks, "token", "part").withColumn(
-        "low", F.min("cid").over(own)).withColumn("high", F.max("cid").over(own)).where(
-        "low != high OR parts > 1").select("token", "cid", "at").distinct()
+    once = postings.withColumn("part", part).repartition(tasks, "token", "part").groupBy(
+        "token", "part", "cid").agg(F.min("at").alias("at"), F.max("parts").alias("parts"))
+    return once.withColumn("low", F.min("cid").over(own)).withColumn("high", F.max("cid").over(own)).where(
+        "low != high OR parts > 1").select("token", "cid", "at")
 
 
 def _sets(docs, wanted, levels):
@@ -167,8 +168,9 @@ def _sets(docs, wanted, levels):
                 pa.array(list(out), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary()),
             ], ["cid", "keys"])
 
+    wanted = staged(wanted.select("doc_id", "cid"), "wanted")  # its size tells Spark how to join
     texts = docs.select(F.col("doc_id").alias("own"), "text").join(
-        wanted.select("doc_id", "cid").hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("doc_id")))
+        wanted, F.col("own").eqNullSafe(F.col("doc_id")))
     return texts.select("text", "cid").mapInArrow(run, "cid long, keys binary")
 
 
@@ -307,11 +309,12 @@ def _least_shared(n, low, high):
     return F.when(low <= high, F.greatest(F.lit(1), bound - 2))
 
 
-def _star_pairs(shared, lists):
+def _star_pairs(lists):
     """(``tree``, ``cid``): every class beside the class that shares most of its prefix in one of its groups."""
-    scores = lists.select("cid", (F.size("tokens") / (F.floor(F.col("n") / 5) + 1)).alias("score"))
-    tops = shared.join(scores, "cid").groupBy("token").agg(F.max(F.struct("score", "cid")).alias("top"))
-    pairs = shared.join(tops, "token").select(F.col("top.cid").alias("tree"), "cid").where(
+    score = F.size("tokens") / (F.floor(F.col("n") / 5) + 1)
+    rows = lists.select("cid", score.alias("score"), F.explode("tokens").alias("token"))
+    tops = rows.groupBy("token").agg(F.max(F.struct("score", "cid")).alias("top"))
+    pairs = rows.select("cid", "token").join(tops, "token").select(F.col("top.cid").alias("tree"), "cid").where(
         "tree != cid").distinct()
     return _enough_shared(pairs, lists)
 
@@ -319,7 +322,7 @@ def _star_pairs(shared, lists):
 def _enough_shared(pairs, lists):
     """The pairs of classes (``tree``, ``cid``) that share as many prefix shingles as linked ones must."""
     tree = lists.select(F.col("cid").alias("tree"), F.col("n").alias("m"), F.col("tokens").alias("others"))
-    return pairs.join(lists, "cid").join(tree, "tree").where(
+    return pairs.join(lists.drop("places"), "cid").join(tree, "tree").where(
         F.size(F.array_intersect("tokens", "others")) >= _least_shared(F.col("n"), F.col("m"), F.col("m"))
     ).select("tree", "cid")
 
@@ -334,12 +337,14 @@ def _stars(pairs, sets, tasks):
     return _look_up(members, probes, tasks, False)
 
 
-def _rest_probes(shared, own, lists):
+def _rest_probes(own, lists):
     """(``cid``, ``tree``): members of smaller components beside the larger ones they may link with.
 
     The first shingle that two linked sets have in common lies so early in both that enough are left.
     """
-    at = shared.join(own, "cid")
+    at = lists.select("cid", F.arrays_zip("tokens", "places").alias("x")).join(own, "cid").select(
+        "*", F.explode("x").alias("y")).select(
+        F.col("y.tokens").alias("token"), F.col("y.places").alias("at"), *own.columns)
     # Groups that lie in one component have nothing left to find.
     groups = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low != high").select("token")
@@ -382,11 +387,12 @@ def joined(docs):
     rows = slim.where("bucket IS NULL").drop("bucket")
     classes = staged(
         rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
-    shared = staged(_shared(_postings(docs, levels), tasks), "shared")
+    shared = _shared(_postings(docs, levels), tasks)
 
-    lists = staged(shared.groupBy("cid").agg(F.collect_list("token").alias("tokens")).join(
-        classes.select("cid", "n"), "cid"), "lists")
-    pairs = staged(_star_pairs(shared, lists), "star-pairs")
+    lists = shared.groupBy("cid").agg(F.collect_list(F.struct("token", "at")).alias("x")).join(
+        classes.select("cid", "n"), "cid")
+    lists = staged(lists.select("cid", "n", F.col("x.token").alias("tokens"), F.col("x.at").alias("places")), "lists")
+    pairs = staged(_star_pairs(lists), "star-pairs")
     in_pairs = pairs.select("cid").unionByName(pairs.select(F.col("tree").alias("cid"))).distinct()
     sets = staged(_sets(docs, classes.join(in_pairs, "cid"), levels), "sets")
     stars = staged(_stars(pairs, sets, tasks), "stars")
@@ -397,7 +403,7 @@ def joined(docs):
     sizes = own.groupBy("component").agg(
         F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
     own = staged(own.join(sizes, "component"), "candidates")
-    probes = staged(_rest_probes(shared, own, lists), "probes")
+    probes = staged(_rest_probes(own, lists), "probes")
     in_rest = own.join(probes.select(F.col("tree").alias("component")).distinct(), "component", "left_semi").select(
         "cid").unionByName(probes.select("cid")).distinct()
     new = in_rest.join(in_pairs, "cid", "left_anti")
