@@ -7,7 +7,7 @@ into shards by the predicted word, and one exchange takes both the training coun
 
 Each task packs the tokens of a block of documents per shard: words, contexts, and which documents have
 them. A shard builds its trie (see ``elias_fano``) from the training documents, maps it from a temporary file,
-looks up every distinct pair once, and returns sums per document. A word so frequent that it would fill a
+looks up every distinct pair once, and returns sums, packed per block of documents, which then meet. A word so frequent that it would fill a
 shard is cut by its context. Longer n-grams would need a second exchange of all tokens, see the README.
 
 Probabilities are stored as 16-bit codes of their logs in steps of ``STEP``. Sums are of whole numbers, so
@@ -27,14 +27,18 @@ from tablekeeper.llm.tables import load, staged
 
 HELD_OUT = (7, 2)
 MASS = 1000.0
-#: Tokens aimed at for one shard of the trie.
-SHARD_TOKENS = 4_000_000
+#: Tokens aimed at for one shard of the trie, and shards of one task, whose sums per document are merged.
+SHARD_TOKENS = 1_000_000
+TASK_SHARDS = 4
 #: Bits of the hash that tells a word's contexts apart.
 CONTEXT_BITS = 40
 LOWEST, STEP = -20.0, 40.0 / 65536
 FIXED = float(1 << 36)
 START, END = (hashing.mixed(np.array([k], np.uint64))[0] for k in (0x5354415254, 0x454E44))
 _BLOCK = 1 << 20
+#: Bits of the row number within one block of documents whose sums meet in one task.
+_MEET = 10
+_SUMS = (np.int64,) * 4
 _COUNTED = 4 << 20
 
 
@@ -105,13 +109,13 @@ def _pack(arrays):
 _TYPES = (np.uint64, np.uint32, np.uint32, np.uint8, np.uint32, np.uint32, np.uint32, np.int64, np.bool_)
 
 
-def _unpack(blob):
+def _unpack(blob, types=_TYPES):
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(blob)
-    head = np.frombuffer(data, np.int64, len(_TYPES))
+    head = np.frombuffer(data, np.int64, len(types))
     at, out = head.nbytes, []
-    for n, kind in zip(head, _TYPES):
+    for n, kind in zip(head, types):
         out.append(np.frombuffer(data, kind, n, at))
         at += out[-1].nbytes
     return out
@@ -267,42 +271,66 @@ def score(docs, shard_tokens=SHARD_TOKENS):
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", id_type), ("row", pa.int64()), ("held_out", pa.bool_()),
-                            ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.int64()),
-                            ("code", pa.int64())])
+        schema = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("doc_id", id_type), ("row", pa.int64()),
+                            ("held_out", pa.bool_()), ("n_tokens", pa.int64())])
 
-        def flushed(blobs):
-            for ids, known, base, code in _scored_shard(blobs, total, distinct, counts.value):
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([
-                    pa.nulls(n, schema[0].type), pa.array(ids), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()),
-                    pa.array(known), pa.array(base), pa.array(code)], schema=schema)
+        def merged(sums):
+            ids, inverse = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+            n = len(ids)
+            out = [np.zeros(n, np.int64) for _ in range(3)]
+            for k in range(3):
+                np.add.at(out[k], inverse, np.concatenate([x[k + 1] for x in sums]))
+            edges = np.flatnonzero(np.concatenate(([True], np.diff(ids >> _MEET) != 0)))
+            blobs = [_pack([x[a:b] for x in (ids, *out)]) for a, b in zip(edges, np.append(edges[1:], n))]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids[edges] >> _MEET), pa.array(blobs, pa.binary()),
+                *(pa.nulls(len(blobs), f.type) for f in list(schema)[2:])], schema=schema)
 
-        held, blobs = None, []
+        held, blobs, done, waiting = None, [], 0, []
         for batch in batches:
             shard, blob = batch.column("shard").to_pylist(), batch.column("blob")
             own = batch.filter(blob.is_null())
             n = own.num_rows
             if n:
-                zero = pa.array(np.zeros(n, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [*(own.column(c).cast(schema.field(c).type) for c in ("doc_id", "row", "held_out", "n_tokens")),
-                     zero, zero, zero], schema=schema)
+                    [pa.array(own.column("row").to_numpy() >> _MEET), pa.nulls(n, pa.binary()),
+                     *(own.column(c).cast(schema.field(c).type) for c in ("doc_id", "row", "held_out", "n_tokens"))],
+                    schema=schema)
             for i, value in enumerate(blob):
                 if value.is_valid:
                     if shard[i] != held and blobs:
-                        yield from flushed(blobs)
-                        blobs = []
+                        waiting += _scored_shard(blobs, total, distinct, counts.value)
+                        blobs, done = [], done + 1
+                        if done % TASK_SHARDS == 0:
+                            yield from merged(waiting)
+                            waiting = []
                     held = shard[i]
                     blobs.append(value.as_py())
         if blobs:
-            yield from flushed(blobs)
+            waiting += _scored_shard(blobs, total, distinct, counts.value)
+        if waiting:
+            yield from merged(waiting)
+
+    parts = _blocks(docs, shards, cuts).repartition(max(12, -(-shards // TASK_SHARDS)), "shard").sortWithinPartitions("shard").mapInArrow(
+        run, f"block long, sums binary, doc_id {kind}, row long, held_out boolean, n_tokens long")
+
+    def meet(table):
+        import pyarrow as pa
 
-    parts = _blocks(docs, shards, cuts).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
-        run, f"doc_id {kind}, row long, held_out boolean, n_tokens long, n_known long, base long, code long")
-    sums = parts.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        *[F.sum(c).alias(c) for c in ("n_known", "base", "code")])
+        blobs = table.column("sums").combine_chunks()
+        own = table.filter(blobs.is_null()).sort_by("row")
+        ids = own.column("row").to_numpy()
+        out = [np.zeros(len(ids), np.int64) for _ in range(3)]
+        for blob in blobs.drop_null():
+            rows, *sums = _unpack(blob.as_py(), _SUMS)
+            for total_, part in zip(out, sums):
+                total_[np.searchsorted(ids, rows)] += part
+        return pa.table(
+            [*(own.column(c) for c in ("doc_id", "held_out", "n_tokens")), *map(pa.array, out)],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base", "code"])
+
+    sums = parts.groupBy("block").applyInArrow(
+        meet, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base long, code long")
     return sums.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") / FIXED - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"),
