@@ -116,17 +116,25 @@ def _depths(messages):
         ids, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("parent") == F.col("p_id")), "left"
     ).select("conv_id", "msg_id", F.col("p_id").alias("up"), F.col("p_id").isNotNull().cast("long").alias("depth"))
     steps = staged(steps, "depths")
+    done, active = [steps.where("up IS NULL")], steps.where("up IS NOT NULL")
     longest = steps.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     for _ in range(longest.bit_length()):
-        far = steps.select(F.col("conv_id").alias("f_conv"), F.col("msg_id").alias("f_id"),
+        every = active
+        for part in done:
+            every = every.unionByName(part)
+        far = every.select(F.col("conv_id").alias("f_conv"), F.col("msg_id").alias("f_id"),
                            F.col("up").alias("f_up"), F.col("depth").alias("f_depth"))
-        steps = staged(steps.join(
+        steps = staged(active.join(
             far, F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("up") == F.col("f_id")), "left"
         ).select("conv_id", "msg_id", F.col("f_up").alias("up"),
                  (F.col("depth") + F.coalesce("f_depth", F.lit(0))).alias("depth")), "depths")
-        if not steps.where("up IS NOT NULL").limit(1).count():
+        done.append(steps.where("up IS NULL"))
+        active = steps.where("up IS NOT NULL")
+        if active.isEmpty():
             break
-    return steps.select("conv_id", "msg_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    for part in done:  # what is still active lies on or below a cycle
+        active = active.unionByName(part)
+    return active.select("conv_id", "msg_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
 def formatted(messages, schemas=SCHEMAS):
