@@ -4,13 +4,14 @@ Block tables carry ``profile, run_id, run_seq, idx, hash, n_bytes``; the bytes (
 where they are written or put together again.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
 from tablekeeper.functions.ordering import small_side
-from tablekeeper.session import checkpoint, work_dir
+from tablekeeper.session import checkpoint
 from tablekeeper.sources.artifacts import CHUNK_SIZE, read_ranges, scan_file_blocks
-from tablekeeper.sources.files import delete_folders
+from tablekeeper.sources.files import delete_files, exists
 
 ALGORITHM = "sha256"
 MANIFEST_VERSION = 1
@@ -95,12 +96,22 @@ def read_store(spark, path):
     return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
+def _known(spark, path, store):
+    """The given store, else what is at ``path``, None before the first append."""
+    if store is None and exists(spark, path):
+        return read_store(spark, path)
+    return store
+
+
 def append_store(blocks, path, store=None):
     """Write each missing block once (``blocks`` with data); blocks already kept stay as they are.
 
+    Two appends at the same time may both write a block; readers take one of the copies.
+
     Which blocks are missing comes from hashes alone. Few of them reach the content by broadcast, so
     no bytes are shuffled to find them; else the content joins on its unique place.
     """
+    store = _known(blocks.sparkSession, path, store)
     new = checkpoint(first_blocks(blocks.drop("data"), store))
     data = blocks.select("profile", *PLACE, "data")
     _write_store(data.join(small_side(new), ["profile", *PLACE]), path)
@@ -115,7 +126,7 @@ def append_files(spark, files, path, profile, size=CHUNK_SIZE, store=None):
         scan_file_blocks(spark, files, size).withColumn("profile", F.lit(profile))
         .withColumnRenamed("path", "run_id").withColumn("run_seq", F.col("run_id"))
     )
-    new = first_blocks(blocks, store).withColumnRenamed("run_id", "path")
+    new = first_blocks(blocks, _known(spark, path, store)).withColumnRenamed("run_id", "path")
     data = read_ranges(new.select("path", "idx", "n_bytes"), size, with_data=True)
     _write_store(data.withColumn("profile", F.lit(profile)), path)
     return blocks
@@ -137,8 +148,8 @@ def _by_hash(rows):
 
 
 def list_store(store):
-    """All kept hashes; the bytes are not read."""
-    return store.select("profile", "hash", "n_bytes")
+    """All kept hashes, each once; the bytes are not read."""
+    return store.select("profile", "hash", "n_bytes").distinct()
 
 
 def held(hashes, store):
@@ -164,29 +175,24 @@ def garbage(store, manifests):
 def collect_garbage(spark, path, manifests):
     """Remove unreferenced blocks from the store at ``path``; returns how many.
 
-    Only folders of profiles that hold garbage are touched. Their survivors go to a staging folder
-    first and replace the old folders from there; after a crash in between, the staged rows are
-    still complete.
+    Only files that hold garbage are touched. Their other blocks are written to new files first, then the
+    old files go. Readers take one copy of a block, so the store is complete at every moment, also after
+    a crash in between, and a repeated call finishes the work. Files of an append that runs meanwhile are
+    not touched; its manifests must be among ``manifests`` if it reuses blocks that were garbage.
     """
-    store = read_store(spark, path)
-    gone = garbage(store, manifests)
-    staged = work_dir(spark, "gc")
-    gone.write.parquet(f"{staged}/garbage")
-    gone = spark.read.parquet(f"{staged}/garbage")
-    removed = gone.count()
+    placed = read_store(spark, path).withColumn("_file", F.col("_metadata.file_path"))
+    gone = checkpoint(
+        placed.select("profile", "hash", "_file").join(referenced(manifests), ["profile", "hash"], "left_anti")
+    )
+    removed = gone.select("profile", "hash").distinct().count()
     if not removed:
         return 0
-    touched = gone.select("profile").distinct()
-    survivors = store.join(touched, "profile", "left_semi").join(
+    touched = gone.select("profile", "_file").distinct()
+    survivors = placed.join(touched, ["profile", "_file"], "left_semi").join(
         gone.select("profile", "hash"), ["profile", "hash"], "left_anti"
     )
-    survivors.select(*store.columns).write.parquet(f"{staged}/survivors")
-    kept = spark.read.schema(store.schema).parquet(f"{staged}/survivors")
-    _by_hash(kept).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("profile").parquet(path)
-    empty = touched.join(kept.select("profile").distinct(), "profile", "left_anti")
-    delete_folders(spark, path, "profile", empty)
+    _write_store(survivors, path)
+    delete_files(spark, touched.select("_file"))
     return removed
 
 
@@ -235,10 +241,14 @@ def ordered_blocks(manifests, store, uses_per_task=USES_PER_TASK):
     wanted = manifests.join(popular, key, "left").withColumn(
         "_copy", F.pmod(F.xxhash64(*PLACE), many)
     ).drop("_copies")
-    kept = store.select(*key, "data").join(popular, key, "left")
+    # damaged copies do not count as kept
+    kept = store.select(*key, "data").filter(F.sha2("data", 256) == F.col("hash")).join(popular, key, "left")
     kept = kept.select(
         *key, "data", F.explode(F.sequence(F.lit(0).cast("bigint"), many - 1)).alias("_copy")
     )
+    # one of the copies that a block may have; the window shares the exchange and the order of the join
+    one = Window.partitionBy(*key, "_copy").orderBy("_copy")
+    kept = kept.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")
     return wanted.join(kept, [*key, "_copy"], "left").drop("_copy")
 
 
@@ -269,5 +279,7 @@ def reassemble(manifests, store, blocks_per_part=BLOCKS_PER_PART, uses_per_task=
         ),
     )
     pieces = F.sort_array(F.collect_list(F.struct("idx", "data")))
-    whole = F.aggregate(pieces["data"], F.lit(b""), lambda joined, piece: F.concat(joined, piece))
+    # a string is its bytes here; joining them copies each byte once
+    texts = F.transform(pieces["data"], lambda piece: piece.cast("string"))
+    whole = F.array_join(texts, "").cast("binary")
     return found.groupBy("profile", "run_id", part.alias("part")).agg(whole.alias("content"))

@@ -58,39 +58,50 @@ def scan_manifests(spark, root, profiles=None):
         # only the folders asked for are listed
         path = f"{root}/profile={{{','.join(profiles)}}}"
     rows = _catalogue(_lines(reader, path, False))
-    if profiles is not None:
-        rows = rows.filter(F.col("profile").isin(list(profiles)))
-    return rows
+    return _only(rows, profiles)
+
+
+def _decoded(name):
+    """A folder name out of a file path, which escapes some characters."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def _folders(profiles):
+    """Glob of profile folders. Names that a glob would read otherwise are looked for among all."""
+    plain = profiles and all(PLAIN_NAME.match(p) for p in profiles)
+    return "{" + ",".join(profiles) + "}" if plain else "*"
+
+
+def _only(rows, profiles):
+    return rows if profiles is None else rows.filter(F.col("profile").isin(list(profiles)))
 
 
 def scan_run_folders(spark, root, profiles=None):
     """Catalogue of ``<profile>/<run>/manifest.json`` files below ``root`` (local, HDFS or S3A)."""
-    names = "*" if profiles is None else "{" + ",".join(profiles) + "}"
-    rows = _catalogue(_lines(spark.read, f"{root}/{names}/*/manifest.json", True))
+    rows = _catalogue(_lines(spark.read, f"{root}/{_folders(profiles)}/*/manifest.json", True))
     folder = F.regexp_extract("manifest_path", r"^(.*)/manifest\.json$", 1)
-    return rows.withColumn("run_dir", folder).withColumn(
-        "profile", F.regexp_extract("run_dir", r"([^/]+)/[^/]+$", 1)
-    )
+    named = rows.withColumn("run_dir", folder).withColumn("profile", _decoded(F.regexp_extract("run_dir", r"([^/]+)/[^/]+$", 1)))
+    return _only(named, profiles)
 
 
 def scan_chunk_files(spark, root, profiles=None):
     """Manifest rows of ``<profile>/<run>/chunks.json`` files; unreadable ones are left out."""
-    names = "*" if profiles is None else "{" + ",".join(profiles) + "}"
-    files = spark.read.text(f"{root}/{names}/*/chunks.json", wholetext=True)
+    files = spark.read.text(f"{root}/{_folders(profiles)}/*/chunks.json", wholetext=True)
     path = F.col("_metadata.file_path")
     schema = (
         "version bigint, algorithm string, chunk_size bigint, total_bytes bigint, "
         "hashes array<string>"
     )
     parsed = files.select(
-        F.regexp_extract(path, r"([^/]+)/[^/]+/chunks\.json$", 1).alias("profile"),
+        _decoded(F.regexp_extract(path, r"([^/]+)/[^/]+/chunks\.json$", 1)).alias("profile"),
         F.regexp_extract(path, r"([^/]+)/chunks\.json$", 1).alias("run_id"),
         F.lit(0).cast("bigint").alias("part"),
         F.from_json("value", schema).alias("m"),
     )
-    return parsed.filter(F.col("m.hashes").isNotNull()).select(
+    rows = parsed.filter(F.col("m.hashes").isNotNull()).select(
         "profile", "run_id", "part", "m.*", F.lit(0).cast("bigint").alias("first_idx")
     )
+    return _only(rows, profiles)
 
 
 def find_run(catalog, text):

@@ -8,6 +8,11 @@ def _file_system(spark, path):
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark, path):
+    folder, system = _file_system(spark, path)
+    return system.exists(folder)
+
+
 def complete_versions(spark, root):
     """Numbers of the ``version=`` folders whose write finished."""
     pattern, system = _file_system(spark, f"{root}/version=*/_SUCCESS")
@@ -33,19 +38,14 @@ def current(spark, root):
     return spark.read.parquet(f"{root}/version={versions[-1]:010d}") if versions else None
 
 
-def folder_name(spark, column, value):
-    """Name of a partition folder, written as Spark writes it."""
-    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    return names.getPartitionPathString(column, value)
-
-
-def delete_folders(spark, root, column, values):
-    """Delete the partition folders of ``column`` below ``root`` for a list of values."""
-    _, system = _file_system(spark, root)
-    new_path = spark._jvm.org.apache.hadoop.fs.Path
-    # folder names only, one partition of the list at a time
-    for row in values.select(column).toLocalIterator():
-        system.delete(new_path(f"{root}/{folder_name(spark, column, row[0])}"), True)
+def delete_files(spark, paths):
+    """Delete the files named in the one column of ``paths``, written as ``_metadata.file_path`` has them."""
+    conf = spark._jsc.hadoopConfiguration()
+    new_path, new_uri = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.java.net.URI
+    # names only, one partition of the list at a time
+    for row in paths.toLocalIterator():
+        path = new_path(new_uri(row[0]))
+        path.getFileSystem(conf).delete(path, False)
 
 
 def inventory(spark, root):

@@ -153,3 +153,51 @@ def test_files_go_to_the_store_once(spark, tmp_path):
     whole = chunks.reassemble(blocks, store).orderBy("run_id").collect()
     assert [bytes(r.content) for r in whole] == [
         (files / n).read_bytes() for n in ("a.bin", "b.bin", "c.bin")]
+
+
+def test_block_kept_twice_or_damaged(spark, tmp_path):
+    path = str(tmp_path / "store")
+    data = b"".join(bytes([i]) * 256 for i in range(200, 240))
+    blocks = chunks.chunk(artifact(spark, data), 4096, with_data=True)
+    chunks.append_store(blocks, path)
+    n = chunks.read_store(spark, path).count()
+    chunks.append_store(blocks, path)  # a repeated append finds everything there
+    assert chunks.read_store(spark, path).count() == n
+    chunks._write_store(blocks, path)  # two appends at the same time
+    damaged = blocks.withColumn("data", F.lit(b"?"))
+    chunks._write_store(damaged, path)
+    store = chunks.read_store(spark, path)
+    assert store.count() == 3 * n and chunks.list_store(store).count() == n
+    manifests = blocks.select("profile", "run_id", "idx", "hash")
+    assert [bytes(r.content) for r in chunks.reassemble(manifests, store).collect()] == [data]
+    with pytest.raises(Exception, match="block missing"):
+        chunks.reassemble(manifests, store.filter(F.octet_length("data") == 1)).collect()
+
+
+def test_garbage_collection_that_stops_before_deleting(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    blocks = chunks.chunk(artifact(spark, b"a" * 4096 + b"b" * 4096, b"c" * 5000), 4096, with_data=True)
+    chunks.append_store(blocks, path)
+    kept = blocks.filter("run_id = 0").select("profile", "run_id", "idx", "hash")
+    with monkeypatch.context() as patch:
+        patch.setattr(chunks, "delete_files", lambda *args: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            chunks.collect_garbage(spark, path, kept)
+    whole = lambda: [bytes(r.content) for r in chunks.reassemble(kept, chunks.read_store(spark, path)).collect()]
+    assert whole() == [b"a" * 4096 + b"b" * 4096]
+    assert chunks.collect_garbage(spark, path, kept) == 2
+    assert whole() == [b"a" * 4096 + b"b" * 4096]
+    assert chunks.list_store(chunks.read_store(spark, path)).count() == 2
+
+
+def test_chunk_files_of_some_profiles(spark, tmp_path):
+    good = '{"version": 1, "algorithm": "sha256", "chunk_size": 4, "total_bytes": 6, "hashes": ["aa"]}'
+    for name in ("p", "q[1]", "r s"):
+        folder = tmp_path / name / "r1"
+        folder.mkdir(parents=True)
+        (folder / "chunks.json").write_text(good)
+    root = str(tmp_path)
+    assert [r.profile for r in scan_chunk_files(spark, root, ["q[1]"]).collect()] == ["q[1]"]
+    assert [r.profile for r in scan_chunk_files(spark, root, ["r s"]).collect()] == ["r s"]
+    assert [r.profile for r in scan_chunk_files(spark, root, ["p"]).collect()] == ["p"]
+    assert scan_chunk_files(spark, root, []).collect() == []
