@@ -177,17 +177,55 @@ def chunk_missing(spark, folder):
     )
 
 
-@query("artifact_file_store")
-def artifact_file_store(spark, folder):
-    """The tables' own files kept as blocks, put together again and checked by length."""
-    path = work_dir(spark, "store")
-    blocks = chunks.append_files(spark, f"{folder}/*.parquet", path, "files", 64 << 10)
-    parts = chunks.reassemble(blocks, chunks.read_store(spark, path), 16)
-    length = F.sum(F.octet_length("content")).alias("n_bytes")
-    return parts.groupBy("run_id").agg(length, F.count(F.lit(1)).alias("parts"))
+# --- files ---------------------------------------------------------------------------------------
+
+FILE_BLOCK, FILE_PART = 16 << 10, 4
+FILES = """file_texts AS (
+  SELECT coalesce(source, 'none') AS profile, doc_id % 16 AS part,
+    encode(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS content
+  FROM documents GROUP BY ALL
+)"""
+
+
+def _name():
+    """Partition folders of a file."""
+    return F.regexp_extract("path", r"(profile=[^/]+/part=[^/]+)/", 1).alias("name")
 
 
-@query("artifact_file_blocks")
+def text_files(spark, folder):
+    """A folder with one file for every source and remainder of the document ids: the texts by id."""
+    root = work_dir(spark, "files")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select(
+        F.coalesce("source", F.lit("none")).alias("profile"), (F.col("doc_id") % 16).alias("part"), "doc_id",
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    rows.repartition("profile", "part").sortWithinPartitions("profile", "part", "doc_id").drop(
+        "doc_id").write.partitionBy("profile", "part").text(root)
+    return root
+
+
+@query("artifact_file_store", f"""WITH {FILES},
+parts AS (SELECT profile, part, octet_length(content) AS size, unnest(range(0, octet_length(content),
+  {FILE_BLOCK * FILE_PART})) AS pos, content FROM file_texts)
+SELECT 'profile=' || profile || '/part=' || part AS name, pos // {FILE_BLOCK * FILE_PART} AS nth,
+  sha256(content[pos + 1 : least(pos + {FILE_BLOCK * FILE_PART}, size)]) AS digest FROM parts""")
+def artifact_file_store(spark, folder):
+    """Files kept as blocks and put together again."""
+    path = work_dir(spark, "store")
+    blocks = chunks.append_files(spark, f"{text_files(spark, folder)}/*/*/*.txt", path, "files", FILE_BLOCK)
+    parts = chunks.reassemble(blocks, chunks.read_store(spark, path), FILE_PART)
+    return parts.withColumnRenamed("run_id", "path").select(
+        _name(), F.col("part").alias("nth"), F.sha2("content", 256).alias("digest"))
+
+
+@query("artifact_file_blocks", f"""WITH {FILES},
+cut AS (SELECT profile, part, octet_length(content) AS size,
+  unnest(range(0, octet_length(content), {FILE_BLOCK})) AS pos, content FROM file_texts)
+SELECT 'profile=' || profile || '/part=' || part AS name, pos // {FILE_BLOCK} AS idx,
+  sha256(content[pos + 1 : least(pos + {FILE_BLOCK}, size)]) AS hash, least({FILE_BLOCK}, size - pos) AS n_bytes
+FROM cut""")
 def artifact_file_blocks(spark, folder):
-    """Blocks of the tables' own files, read by byte range."""
-    return scan_file_blocks(spark, f"{folder}/*.parquet", size=64 << 10, bytes_per_task=1 << 20)
+    """Blocks of files, read by byte range."""
+    blocks = scan_file_blocks(
+        spark, f"{text_files(spark, folder)}/*/*/*.txt", size=FILE_BLOCK, bytes_per_task=1 << 20)
+    return blocks.select(_name(), "idx", "hash", "n_bytes")

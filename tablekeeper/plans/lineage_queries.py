@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablekeeper.operators import history, lineage, retention
+from tablekeeper.plans.chunk_queries import FILES, text_files
 from tablekeeper.plans.fixtures import (
     AS_OF_MS, DAY_MS, DEFAULT_POLICY, POLICIES, PROFILE_POLICIES, RUN_CATALOG, RUN_LOG,
     run_log,
@@ -35,11 +36,11 @@ def manifest_write_scan(spark, folder):
     )
 
 
-@query("storage_inventory")
+@query("storage_inventory", f"""WITH {FILES}
+SELECT profile, count(*) AS files, CAST(sum(octet_length(content)) AS BIGINT) AS bytes
+FROM file_texts GROUP BY profile""")
 def storage_inventory(spark, folder):
-    root = work_dir(spark, "manifests")
-    catalogue.write_manifests(catalog_rows(spark, folder), root)
-    return files.inventory(spark, root)
+    return files.inventory(spark, text_files(spark, folder))
 
 
 ORDERED = "OVER (PARTITION BY server_id, profile ORDER BY finished_ms, reported_at, run_id"
@@ -252,7 +253,7 @@ def profile_status_board(spark, folder):
 
 @query("check_rollup", f"""WITH {PLAN},
 old AS (SELECT profile, count(*) AS n FROM plan GROUP BY profile),
-failed AS (SELECT profile, count(*) AS n FROM run_reports WHERE status = 'failed' AND k < 3
+failed AS (SELECT profile, count(*) AS n FROM run_reports WHERE status = 'failed'
   GROUP BY profile),
 checks AS (
   SELECT profile, CASE WHEN o.n > 0 THEN 2 ELSE 1 END AS s FROM policies LEFT JOIN old o USING (profile)
@@ -268,7 +269,7 @@ def check_rollup(spark, folder):
     pending = summary.select(
         "profile", F.when(F.col("pending_deletions") > 0, "warning").otherwise("ok").alias("status")
     )
-    bad = (F.col("status") == "failed") & (F.col("k") < 3)
+    bad = F.col("status") == "failed"
     failing = run_reports(spark, folder).groupBy("profile").agg(
         F.when(F.count(F.when(bad, 1)) > 0, "error").otherwise("ok").alias("status")
     )

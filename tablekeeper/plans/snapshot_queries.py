@@ -11,7 +11,15 @@ from tablekeeper.session import work_dir
 from tablekeeper.sources import tables as st
 
 START = datetime.datetime(2024, 1, 1, 12)
-COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+
+
+SHOWN = "* REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate)"
+
+
+def _shown(df):
+    """Times without a zone as text, to compare with other engines."""
+    return df.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 def _versions(spark, folder):
@@ -42,12 +50,12 @@ def _history(spark, folder):
     return root, ids
 
 
-@query("table_snapshot_full", f"WITH {VERSIONS} SELECT * FROM first_v")
+@query("table_snapshot_full", f"WITH {VERSIONS} SELECT {SHOWN} FROM first_v")
 def table_snapshot_full(spark, folder):
     root = work_dir(spark, "snapshots")
     orders = st.read_table(spark, f"{folder}/orders.parquet").select(*COLUMNS.split(", "))
     run = sn.snapshot(spark, orders, "orders", root, START)
-    return sn.contents(spark, root, "orders", run)
+    return _shown(sn.contents(spark, root, "orders", run))
 
 
 @query("table_snapshot_delta", """WITH
@@ -65,13 +73,13 @@ def table_snapshot_delta(spark, folder):
     return sn.difference(items.select(*names), new)
 
 
-@query("table_restore_chain", f"WITH {VERSIONS} SELECT * FROM third_v")
+@query("table_restore_chain", f"WITH {VERSIONS} SELECT {SHOWN} FROM third_v")
 def table_restore_chain(spark, folder):
     root, ids = _history(spark, folder)
     target = work_dir(spark, "restored")
     orders, _, _ = _versions(spark, folder)
     sn.restore(spark, root, "orders", ids[-1], target, like=orders)
-    return st.read_table(spark, target)
+    return _shown(st.read_table(spark, target))
 
 
 @query("table_restore_selected", """SELECT 'nation' AS restored, count(*) AS n FROM nation
@@ -103,16 +111,16 @@ def table_verify_latest(spark, folder):
 
 
 @query("table_compare_rows", f"""WITH {VERSIONS}
-SELECT *, CAST(1 AS BIGINT) AS _change FROM (SELECT * FROM third_v EXCEPT ALL SELECT * FROM first_v)
+SELECT {SHOWN}, CAST(1 AS BIGINT) AS _change FROM (SELECT * FROM third_v EXCEPT ALL SELECT * FROM first_v)
 UNION ALL
-SELECT *, CAST(-1 AS BIGINT) FROM (SELECT * FROM first_v EXCEPT ALL SELECT * FROM third_v)""")
+SELECT {SHOWN}, CAST(-1 AS BIGINT) FROM (SELECT * FROM first_v EXCEPT ALL SELECT * FROM third_v)""")
 def table_compare_rows(spark, folder):
     first, _, third = _versions(spark, folder)
     change = sn.difference(first, third)
     more = sn.expand_copies(change.filter("_change > 0")).withColumn("_change", F.lit(1))
     less = change.filter("_change < 0").withColumn("_change", -F.col("_change"))
     less = sn.expand_copies(less).withColumn("_change", F.lit(-1))
-    return more.unionByName(less).withColumn("_change", F.col("_change").cast("bigint"))
+    return _shown(more.unionByName(less)).withColumn("_change", F.col("_change").cast("bigint"))
 
 
 @query("table_compare_keys", f"""WITH {VERSIONS}

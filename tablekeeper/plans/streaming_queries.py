@@ -20,16 +20,25 @@ from tablekeeper.streaming.state import finish, write_parquet
 HALF_MS = FIRST_CHECK_MS + 15 * DAY_MS
 
 
-def _in_steps(spark, df, time, name):
-    """A folder that fills in two steps by time, as a stream reading one file set at a time."""
-    path = work_dir(spark, name)
-    for step in (F.col(time) < HALF_MS, F.col(time) >= HALF_MS):
-        df.filter(step).coalesce(1).write.mode("append").parquet(path)
-    return path
+def _stream(spark, path, schema):
+    return spark.readStream.schema(schema).parquet(path)
 
 
-def _stream(spark, path, schema):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _in_steps(spark, df, time, start, last=None):
+    """Fill a folder with the rows of the first half of time, run the stream of it to the end, fill in the
+    rest, and run it again from where it stopped."""
+    path = work_dir(spark, "input")
+    steps = [df.filter(F.col(time) < HALF_MS), df.filter(F.col(time) >= HALF_MS)]
+    for step in steps + ([] if last is None else [last]):
+        step.write.mode("append").parquet(path)
+        finish(start(_stream(spark, path, df.schema)))
+
+
+def _run_in_steps(spark, df, time, name, transform, last=None):
+    out = work_dir(spark, name)
+    _in_steps(spark, df, time, lambda stream: write_parquet(
+        transform(stream), f"{out}/rows", f"{out}/checkpoint"), last)
+    return spark.read.parquet(f"{out}/rows")
 
 
 def _run(spark, df, name):
@@ -58,25 +67,20 @@ SELECT *, CASE WHEN state <> 'ok' AND previous = 'ok' THEN 'problem'
 FROM steps WHERE state <> previous""")
 def stream_alert_changes(spark, folder):
     reports = run_reports(spark, folder).select("server_id", "run_id", "status", "reported_at")
-    path = _in_steps(spark, reports, "reported_at", "reports")
     # a heartbeat after the last check lets the timers of silent servers fire
     end = FIRST_CHECK_MS + CHECKS * DAY_MS + HOUR_MS
-    beat = reports.agg(F.lit(alerts.HEARTBEAT).alias("server_id"), F.lit("-").alias("run_id"),
-                       F.lit("success").alias("status"), F.lit(end).alias("reported_at"))
-    beat.write.mode("append").parquet(path)
-    stream = _stream(spark, path, reports.schema)
-    changes = alerts.alert_changes(
-        stream, FIRST_CHECK_MS, DAY_MS, MAX_AGE_MS, delay="0 seconds", checks=CHECKS
-    )
-    return _run(spark, changes, "alerts")
+    none = F.lit(None).cast("string")
+    beat = reports.agg(none.alias("server_id"), none.alias("run_id"), none.alias("status"),
+                       F.lit(end).alias("reported_at"))
+    return _run_in_steps(spark, reports, "reported_at", "alerts", lambda stream: alerts.alert_changes(
+        stream, FIRST_CHECK_MS, DAY_MS, MAX_AGE_MS, delay="0 seconds", checks=CHECKS), beat)
 
 
 @query("stream_throttle", throttle_sql(DAY_MS, 2))
 def stream_throttle(spark, folder):
     events = throttle_events(spark, folder)
-    path = _in_steps(spark, events, "at", "events")
-    stream = _stream(spark, path, events.schema)
-    return _run(spark, throttle.throttle_stream(stream, DAY_MS, 2), "throttle")
+    return _run_in_steps(
+        spark, events, "at", "throttle", lambda stream: throttle.throttle_stream(stream, DAY_MS, 2))
 
 
 @query("event_outcome_counts", f"""WITH {RUN_LOG}
@@ -99,7 +103,7 @@ def _log_folder(spark, folder):
 
 @query("stream_event_log", f"WITH {RUN_LOG} SELECT {EVENT_COLUMNS} FROM run_log")
 def stream_event_log(spark, folder):
-    events = stream_events(spark, _log_folder(spark, folder), maxFilesPerTrigger=1)
+    events = stream_events(spark, _log_folder(spark, folder))
     return _run(spark, event_columns(events), "events")
 
 
@@ -117,12 +121,13 @@ SELECT profile, (at_ms // {DAY_MS}) * {DAY_MS} AS window_start,
   split_part(event, '.', 1) AS category, split_part(event, '.', 2) AS status, count(*) AS n
 FROM run_log WHERE split_part(event, '.', 2) IN ('completed', 'failed') GROUP BY ALL""")
 def stream_outcome_counts(spark, folder):
-    path = _log_folder(spark, folder)
-    # an event of a far later day closes all windows before it
-    last = '{"event": "clock.completed", "timestamp": "00:00:00 2030-01-01"}'
-    log_lines(spark, folder).agg(F.lit(last).alias("value")).write.mode("append").text(path)
-    events = stream_events(spark, path)
-    return _run(spark, counts.stream_outcome_counts(events, delay="60 days"), "counts")
+    """Half of the lines come when events of all days have been counted already."""
+    path, root = work_dir(spark, "log"), work_dir(spark, "counts")
+    lines = log_lines(spark, folder)
+    for step in (F.col("line_no") % 2 == 0, F.col("line_no") % 2 == 1):
+        lines.filter(step).select("value").write.mode("append").text(path)
+        finish(counts.count_stream(stream_events(spark, path), f"{root}/counts", f"{root}/checkpoint"))
+    return counts.read_counts(spark, f"{root}/counts")
 
 
 # --- ingestion -----------------------------------------------------------------------------------
@@ -150,9 +155,8 @@ wire AS (
 def _ingested(spark, folder):
     root = work_dir(spark, "ingest")
     wire = _wire(spark, folder)
-    path = _in_steps(spark, wire, "reported_at", "wire")
-    stream = _stream(spark, path, wire.schema)
-    finish(ingest.ingest_stream(stream, root, f"{root}/checkpoint", tokens(spark, folder)))
+    _in_steps(spark, wire, "reported_at", lambda stream: ingest.ingest_stream(
+        stream, root, f"{root}/checkpoint", tokens(spark, folder)))
     return root
 
 
@@ -187,7 +191,5 @@ SELECT run_id, count(DISTINCT run_id) AS n FROM r GROUP BY run_id""")
 def stream_unique_runs(spark, folder):
     reports = run_reports(spark, folder).select("run_id", "reported_at")
     again = reports.withColumn("reported_at", F.col("reported_at") + HOUR_MS)
-    path = _in_steps(spark, reports.unionAll(again), "reported_at", "reports")
-    stream = _stream(spark, path, reports.schema)
-    unique = _run(spark, ingest.unique_runs(stream), "unique")
+    unique = _run_in_steps(spark, reports.unionAll(again), "reported_at", "unique", ingest.unique_runs)
     return unique.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StatefulProcessor
 from tablekeeper.operators.alerts import DEFAULT_MAX_AGE_MS
 from tablekeeper.streaming.state import use_state_store
 
-HEARTBEAT = "heartbeat"
 OUTPUT = (
     "server_id string, checked_at bigint, last_success bigint, last_status string, "
     "previous string, state string, kind string"
@@ -46,7 +45,7 @@ def _shorten(start, period):
                 success=at.where(batch["status"] == "success").astype("Int64"),
             )
             batch = batch.sort_values(["reported_at", "run_id"])
-            rows = batch.groupby(["server_id", "n"], as_index=False).agg(
+            rows = batch.groupby(["server_id", "n"], as_index=False, dropna=False).agg(
                 success=("success", "max"), reported=("reported_at", "last"),
                 run_id=("run_id", "last"), status=("status", "last"),
             )
@@ -90,7 +89,7 @@ class AlertProcessor(StatefulProcessor):
         return self.start + n * self.period
 
     def handleInputRows(self, key, rows, timerValues):
-        if key[0] == HEARTBEAT:
+        if key[0] is None:  # a heartbeat
             return
         known = self._read()
         due, success, status, state, pending = known or (None, None, None, "ok", {})
@@ -152,7 +151,7 @@ def alert_changes(
     Without ``delay`` checks follow the clock, as reports are stamped on arrival: nothing is dropped,
     and what comes in after a check counts from the next one. With ``delay`` checks follow the
     watermark, for replaying a history; reports later than that behind the newest one may be dropped.
-    Heartbeats are reports of the server ``heartbeat``.
+    A heartbeat is a row without a server; it moves the watermark only.
     """
     use_state_store(reports.sparkSession)
     by_arrival = delay is None

@@ -22,6 +22,22 @@ def outcome_counts(events, window="1 day"):
     )
 
 
-def stream_outcome_counts(events, window="1 day", delay="1 hour"):
-    """The same for a stream: a window is given out once the watermark has passed it."""
-    return outcome_counts(events.withWatermark("at", delay), window)
+def count_stream(events, root, checkpoint, window="1 day", available_now=True):
+    """Start counting a stream: every micro-batch adds its own counts below ``root``.
+
+    No event is too late to count and no state is kept. A batch that runs again replaces its folder.
+    """
+
+    def each(batch, number):
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        part = outcome_counts(batch, window)
+        part.write.mode("overwrite").parquet(f"{root}/stream={stream}/batch={number}")
+
+    writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_counts(spark, root):
+    """Counts of everything seen so far."""
+    parts = spark.read.parquet(root)
+    return parts.groupBy("profile", "window_start", "category", "status").agg(F.sum("n").alias("n"))

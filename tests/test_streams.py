@@ -4,7 +4,7 @@ from tablekeeper.operators.alerts import check_history
 from tablekeeper.plans import fixtures as fx
 from tablekeeper.plans import streaming_queries as sq
 from tablekeeper.streaming import alerts, ingest
-from tablekeeper.streaming.state import finish
+from tablekeeper.streaming.state import finish, write_parquet
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -59,3 +59,40 @@ def test_alerts_by_clock(spark, tmp_path):
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(
         map(tuple, want.collect()), key=repr)
     assert got.count() > 0
+
+
+def test_server_of_any_name_gets_alerts(spark, tmp_path):
+    """A server may be called heartbeat; rows without a server only move the watermark."""
+    day = fx.DAY_MS
+    rows = [("heartbeat", "r1", "failed", 1), (None, None, None, 5 * day)]
+    reports = spark.createDataFrame(rows, "server_id string, run_id string, status string, reported_at bigint")
+    reports.write.parquet(str(tmp_path / "in"))
+    stream = sq._stream(spark, str(tmp_path / "in"), reports.schema)
+    changes = alerts.alert_changes(stream, day, day, delay="0 seconds", checks=3)
+    finish(write_parquet(changes, str(tmp_path / "out"), str(tmp_path / "cp")))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.server_id, r.kind) for r in got] == [("heartbeat", "problem")]
+
+
+def test_lost_checkpoint_keeps_earlier_reports(spark, tmp_path):
+    wire, tokens = sq._wire(spark, FOLDER), fx.tokens(spark, FOLDER)
+    root = str(tmp_path / "root")
+    for n, step in enumerate((F.col("seq") % 2 == 0, F.col("seq") % 2 == 1)):
+        path = str(tmp_path / f"wire{n}")
+        wire.filter(step).write.parquet(path)
+        stream = sq._stream(spark, path, wire.schema)
+        finish(ingest.ingest_stream(stream, root, str(tmp_path / f"cp{n}"), tokens))
+    _, runs = ingest.tables(spark, root)
+    other = str(tmp_path / "other")
+    ingest.write_batch(wire, 0, other, tokens)
+    assert runs.count() == ingest.tables(spark, other)[1].count()
+
+
+def test_batch_has_several_partitions(spark, tmp_path):
+    path, seen = str(tmp_path / "in"), []
+    spark.range(0, 1000, numPartitions=4).write.parquet(path)
+    stream = sq._stream(spark, path, spark.range(1).schema)
+    finish(stream.writeStream.foreachBatch(
+        lambda batch, n: seen.append(batch.rdd.getNumPartitions())
+    ).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    assert max(seen) > 1
