@@ -4,14 +4,17 @@ A full snapshot holds all rows. A differential or incremental one holds only cha
 ``_change`` in number of copies, so tables with repeated rows come back exactly.
 """
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
+from tablekeeper.operators import retention
 from tablekeeper.operators.history import latest_runs
 from tablekeeper.operators.lineage import DIFFERENTIAL, FULL, INCREMENTAL
-from tablekeeper.sources import catalogue
+from tablekeeper.session import checkpoint
+from tablekeeper.sources import catalogue, event_log, files
 from tablekeeper.sources.tables import replace_table
 
 CHANGE = "_change"
@@ -61,9 +64,23 @@ def apply_changes(base, changes):
     return expand_copies(total_change(rows))
 
 
+def _digest(columns):
+    return F.xxhash64(*sorted(columns)).cast("decimal(20,0)")
+
+
+def fingerprint_change(delta):
+    """(rows, checksum) that a list of changes adds to the fingerprint of its base."""
+    change = F.col(CHANGE)
+    digest = _digest([c for c in delta.columns if c != CHANGE])
+    rows, checksum = delta.agg(
+        F.coalesce(F.sum(change), F.lit(0)), F.coalesce(F.sum(change * digest), F.lit(0)).cast("string")
+    ).first()
+    return rows, int(checksum)
+
+
 def fingerprint(df):
     """Row count and an order-free checksum, in one row."""
-    digest = F.xxhash64(*df.columns).cast("decimal(20,0)")
+    digest = _digest(df.columns)
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("checksum"),
@@ -101,8 +118,12 @@ def schema_id(df):
 
 
 def catalog_of(spark, root, table=None):
-    """Snapshots below ``root``."""
-    return catalogue.scan_manifests(spark, f"{root}/manifests", [table] if table else None)
+    """Snapshots below ``root`` that have not been deleted."""
+    runs = catalogue.scan_manifests(spark, f"{root}/manifests", [table] if table else None)
+    if files.exists(spark, f"{root}/deleted"):
+        gone = spark.read.schema("profile string, run_id string").json(f"{root}/deleted")
+        runs = runs.join(gone, ["profile", "run_id"], "left_anti")
+    return runs
 
 
 def _run_rows(spark, root, table):
@@ -131,23 +152,27 @@ def snapshot(spark, df, table, root, started_at, mode=FULL, run_id=None):
     run_dir = f"{started_at:%Y%m%dT%H%M%S}_{run_id}"
     path = f"{root}/data/{table}/{run_dir}"
     if parent is None:
-        mode, chain = FULL, []
+        mode, chain, parts = FULL, [], [path]
         df.write.parquet(path)
-        print_of = fingerprint(spark.read.parquet(path)).first()
+        row_count, checksum = fingerprint(spark.read.parquet(path)).first()
     else:
         if parent["metadata"]["schema"] != schema_id(df):
             raise KeeperError(f"columns of {table!r} changed, take a full snapshot")
         chain = [*parent["chain"], parent["run_id"]]
         difference(_contents(spark, root, table, parent), df).write.parquet(path)
-        print_of = fingerprint(df).first()
+        parts = [*_parts(spark, root, table, parent), path]
+        # the source is read once: what was written says how the fingerprint moves
+        rows, moved = fingerprint_change(spark.read.parquet(path))
+        row_count = int(parent["metadata"]["row_count"]) + rows
+        checksum = int(parent["metadata"]["checksum"]) + moved
     stamp = f"{started_at:%H:%M:%S %Y-%m-%d}"
     row = {
         "run_id": run_id, "profile": table, "db_type": "table", "backup_type": mode,
         "started_at": stamp, "finished_at": stamp, "duration_ms": 0, "artifact_path": path,
         "compression": "chunked" if parent else "none", "source": {"table": table},
         "metadata": {
-            "schema": schema_id(df), "row_count": str(print_of["row_count"]),
-            "checksum": print_of["checksum"],
+            "schema": schema_id(df), "row_count": str(row_count), "checksum": str(checksum),
+            "parts": json.dumps(parts),
         },
         "parent_run_id": parent["run_id"] if parent else None, "chain": chain,
     }
@@ -163,16 +188,20 @@ def _find(spark, root, table, run_id):
     raise KeeperError(f"no snapshot {run_id!r} of {table!r}")
 
 
-def _contents(spark, root, table, run):
-    if not run["chain"]:
-        return spark.read.parquet(run["artifact_path"])
+def _parts(spark, root, table, run):
+    """Folders a snapshot is made of: a full one and the changes after it."""
+    if "parts" in run["metadata"]:
+        return json.loads(run["metadata"]["parts"])
     by_id = {r["run_id"]: r for r in _run_rows(spark, root, table)}
     lost = [r for r in run["chain"] if r not in by_id]
     if lost:
         raise KeeperError(f"snapshot {run['run_id']!r} needs deleted snapshot {lost[0]!r}")
-    parts = [by_id[r] for r in run["chain"]] + [run]
-    full, *changes = [spark.read.parquet(r["artifact_path"]) for r in parts]
-    return apply_changes(full, changes)
+    return [by_id[r]["artifact_path"] for r in run["chain"]] + [run["artifact_path"]]
+
+
+def _contents(spark, root, table, run):
+    full, *changes = [spark.read.parquet(path) for path in _parts(spark, root, table, run)]
+    return apply_changes(full, changes) if changes else full
 
 
 def contents(spark, root, table, run_id):
@@ -188,6 +217,24 @@ def restore(spark, root, table, run_id, target, like=None):
     replace_table(_contents(spark, root, table, run), target)
 
 
+def prune(spark, root, plan, log, timestamp):
+    """Delete the snapshots of a deletion plan and log each; returns the snapshots that are left.
+
+    Data that a remaining snapshot builds on stays until that one goes too, so each of them can be restored.
+    The deletions are noted before data goes; the next call finishes what one that was cut off left.
+    """
+    plan = checkpoint(plan.withColumn("run_dir", F.col("artifact_path")))
+    if not plan.isEmpty():
+        event_log.append_events(retention.deletion_log(plan, timestamp), log)
+        plan.select("profile", "run_id").write.mode("append").json(f"{root}/deleted")
+    left = catalog_of(spark, root)
+    parts = F.from_json(F.col("metadata")["parts"], "array<string>")
+    needed = left.select(F.explode(parts).alias("path"))
+    written = catalogue.scan_manifests(spark, f"{root}/manifests").select(F.col("artifact_path").alias("path"))
+    files.delete_folders(spark, written.join(needed, "path", "left_anti"))
+    return left
+
+
 def select_names(tables=None, collections=None, database=None):
     """Names asked for, blanks dropped; None means everything.
 

@@ -4,10 +4,12 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from tablekeeper.operators import retention
 from tablekeeper.operators import snapshot as sn
 from tablekeeper.plans.fixtures import load
 from tablekeeper.plans.registry import query
 from tablekeeper.session import work_dir
+from tablekeeper.sources import event_log
 from tablekeeper.sources import tables as st
 
 START = datetime.datetime(2024, 1, 1, 12)
@@ -82,6 +84,23 @@ def table_restore_chain(spark, folder):
     return _shown(st.read_table(spark, target))
 
 
+@query("table_restore_after_pruning", f"""WITH {VERSIONS}
+SELECT {SHOWN}, CAST(2 AS BIGINT) AS snapshots, CAST(1 AS BIGINT) AS logged FROM third_v""")
+def table_restore_after_pruning(spark, folder):
+    """The full snapshot goes, and the newest one is restored all the same."""
+    root, ids = _history(spark, folder)
+    log, target = work_dir(spark, "log"), work_dir(spark, "restored")
+    catalog = sn.catalog_of(spark, root)
+    policies = retention.resolve_policies(
+        catalog.select("profile").distinct(), [{"profile": "orders", "keep_last": 2}])
+    plan = retention.deletion_plan(catalog, policies, ["profile"], 0)
+    left = sn.prune(spark, root, plan, log, "00:00:00 2024-01-31").count()
+    sn.restore(spark, root, "orders", ids[-1], target)
+    logged = event_log.scan_events(spark, log).filter("event = 'retention.deleted'").count()
+    return _shown(st.read_table(spark, target)).select(
+        "*", F.lit(left).cast("bigint").alias("snapshots"), F.lit(logged).cast("bigint").alias("logged"))
+
+
 @query("table_restore_selected", """SELECT 'nation' AS restored, count(*) AS n FROM nation
 UNION ALL SELECT 'supplier', count(*) FROM supplier""")
 def table_restore_selected(spark, folder):

@@ -48,6 +48,13 @@ def delete_files(spark, paths):
         path.getFileSystem(conf).delete(path, False)
 
 
+def delete_folders(spark, paths):
+    """Delete the folders named in the one column of ``paths``; absent ones are passed over."""
+    for row in paths.toLocalIterator():
+        folder, system = _file_system(spark, row[0])
+        system.delete(folder, True)
+
+
 def inventory(spark, root):
     """Files and bytes per profile below ``root``; file contents are never read."""
     files = (

@@ -3,8 +3,9 @@ import datetime
 import pytest
 
 from tablekeeper.errors import KeeperError
+from tablekeeper.operators import retention
 from tablekeeper.operators import snapshot as sn
-from tablekeeper.sources import files
+from tablekeeper.sources import event_log, files
 from tablekeeper.sources import tables as st
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -107,3 +108,28 @@ def test_compression_setting():
     assert st.compression_for() == "gzip" and st.compression_for(False) == "none"
     assert st.compression_for(True, "none") == "gzip" and st.compression_for(True, disabled=True) == "none"
     assert st.compression_for(None, "none") == "none"
+
+
+def test_pruned_base_keeps_later_snapshots(spark, tmp_path):
+    root, log = str(tmp_path / "snap"), str(tmp_path / "log")
+    states = [[(1, "x")], [(1, "x"), (2, "y")], [(2, "y"), (3, "z")], [(4, "w")]]
+    modes = ["full", "incremental", "incremental", "full"]
+    ids = [sn.snapshot(spark, frame(spark, s), "t", root, T0 + datetime.timedelta(hours=i), m)
+           for i, (s, m) in enumerate(zip(states, modes))]
+
+    def keep(n):
+        catalog = sn.catalog_of(spark, root)
+        policies = retention.resolve_policies(catalog.select("profile").distinct(), [{"profile": "t", "keep_last": n}])
+        plan = retention.deletion_plan(catalog, policies, ["profile"], 0)
+        return {r.run_id for r in sn.prune(spark, root, plan, log, "00:00:00 2024-02-01").collect()}
+
+    assert keep(2) == set(ids[2:])
+    assert rows(sn.contents(spark, root, "t", ids[2])) == states[2]
+    with pytest.raises(KeeperError, match="no snapshot"):
+        sn.contents(spark, root, "t", ids[1])
+    assert len(list((tmp_path / "snap" / "data" / "t").iterdir())) == 4
+    assert keep(2) == set(ids[2:])  # nothing more to do
+    assert keep(1) == {ids[3]}
+    assert [p.name[-12:] for p in (tmp_path / "snap" / "data" / "t").iterdir()] == [ids[3]]
+    assert rows(sn.contents(spark, root, "t", ids[3])) == states[3]
+    assert event_log.scan_events(spark, log).count() == 3
