@@ -40,6 +40,8 @@ BUCKET_BITS = 24
 TREE_SETS = 256
 PART_POSTINGS = 4096
 LEVEL_BITS = 6
+#: Places of the bitmap of looked-up ids: at most 2 ** 18 rows of 64 bits are sent to all tasks.
+MARK_BITS = 24
 
 
 # --- sets ----------------------------------------------------------------------------------------
@@ -151,27 +153,43 @@ def _shared(postings, tasks):
         "low != high OR parts > 1").select("token", "cid", "at")
 
 
-def _sets(docs, wanted, levels):
-    """(``cid``, ``keys``) of the classes in ``wanted`` (``doc_id``, ``cid``): the text of one document each is
-    looked up by its id. Rows that repeat an id may give a class twice, which changes no link."""
+def _maybe(docs, wanted):
+    """The rows of ``docs`` whose id may be among those of ``wanted``, by a bitmap of 2 ** MARK_BITS places.
+
+    Every wanted row stays; the others mostly go before their sets are built and exchanged. Where the
+    bitmap is full, all rows stay.
+    """
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << MARK_BITS))
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    marks = wanted.select(place("doc_id").alias("place")).groupBy(
+        F.expr("place div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    texts = docs.select(F.col("doc_id").alias("own"), "text").withColumn("at", place("own"))
+    return texts.join(F.broadcast(marks), F.expr("at div 64 = word")).where(
+        F.getbit("bits", (F.col("at") % 64).cast("int")) == 1).select("own", "text")
+
+
+def _with_sets(docs, asked, classes, levels):
+    """``asked`` (``cid`` and more) with the ``keys`` of each class, from the text of one document of it.
+
+    Rows that repeat an id may give a class twice, which changes no link.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         known = levels.value
         for batch in hashing.small_batches(batches):
-            out = {}
-            for hashes, cid in zip(shingle_sets(batch.column("text")), batch.column("cid").to_pylist()):
-                if class_of(hashes) == cid:
-                    out[cid] = global_keys(hashes, known)
+            sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([
-                pa.array(list(out), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary()),
-            ], ["cid", "keys"])
+                batch.column("own"), pa.array([class_of(x) for x in sets], pa.int64()),
+                pa.array([global_keys(x, known).tobytes() for x in sets], pa.binary()),
+            ], ["own", "own_class", "keys"])
 
-    wanted = staged(wanted.select("doc_id", "cid"), "wanted")  # its size tells Spark how to join
-    texts = docs.select(F.col("doc_id").alias("own"), "text").join(
-        wanted, F.col("own").eqNullSafe(F.col("doc_id")))
-    return texts.select("text", "cid").mapInArrow(run, "cid long, keys binary")
+    asked = staged(asked.join(classes.select("cid", "doc_id"), "cid"), "asked")  # its size tells Spark how to join
+    found = _maybe(docs, asked).mapInArrow(run, f"own {kind}, own_class long, keys binary")
+    same = (F.col("own_class") == F.col("cid")) & F.col("own").eqNullSafe(F.col("doc_id"))
+    return found.join(asked, same).drop("own", "own_class", "doc_id")
 
 
 # --- the prefix tree -----------------------------------------------------------------------------
@@ -255,15 +273,13 @@ class PrefixTree:
         return out
 
 
-def _look_up(trees, probes, tasks, first):
+def _look_up(rows, tasks, first):
     """Links (``a``, ``b``) of probes with the sets of their trees.
 
-    ``trees`` and ``probes`` have ``tree``, ``part``, ``cid`` and ``keys``. The rows of a tree come first, so
-    that a task holds one tree at a time and lets the probes stream past.
+    ``rows`` have ``tree``, ``part``, ``role`` (0 in the tree, 1 probe), ``cid`` and ``keys``. The rows of a
+    tree come first, so that a task holds one tree at a time and lets the probes stream past.
     """
     columns = ("tree", "part", "role", "cid", "keys")
-    rows = trees.withColumn("role", F.lit(0)).select(*columns).unionByName(
-        probes.withColumn("role", F.lit(1)).select(*columns))
 
     def run(batches):
         import pyarrow as pa
@@ -288,7 +304,7 @@ def _look_up(trees, probes, tasks, first):
                     b.append(owners[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition(tasks, "tree", "part").sortWithinPartitions("tree", "part", "role").mapInArrow(
+    return rows.select(*columns).repartition(tasks, "tree", "part").sortWithinPartitions("tree", "part", "role").mapInArrow(
         run, "a long, b long")
 
 
@@ -327,14 +343,22 @@ def _enough_shared(pairs, lists):
     ).select("tree", "cid")
 
 
-def _stars(pairs, sets, tasks):
-    """Links among ``pairs``."""
+def _every_part(rows):
+    """A row for each part of its tree."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
+
+def _roles(members, probes):
+    """The rows of one look-up, without their sets."""
+    own_part = F.pmod(F.xxhash64("cid"), F.col("parts"))
+    return members.select("tree", own_part.alias("part"), F.lit(0).alias("role"), "cid").unionByName(
+        _every_part(probes).select("tree", "part", F.lit(1).alias("role"), "cid"))
+
+
+def _star_rows(pairs):
+    """Look-ups of each star's centre among its members."""
     size = pairs.groupBy("tree").agg(F.ceil(F.count("*") / TREE_SETS).alias("parts"))
-    members = pairs.join(size, "tree").select(
-        "tree", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), "cid").join(sets, "cid")
-    probes = size.select("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(
-        sets.select(F.col("cid").alias("tree"), "keys"), "tree").withColumn("cid", F.col("tree"))
-    return _look_up(members, probes, tasks, False)
+    return _roles(pairs.join(size, "tree"), size.withColumn("cid", F.col("tree")))
 
 
 def _rest_probes(own, lists):
@@ -367,16 +391,12 @@ def _rest_probes(own, lists):
     return pairs.where("tree_size > 1").select("tree", "cid").unionByName(single)
 
 
-def _rest(probes, own, sets, tasks):
-    """Links between probes and the components of their trees."""
+def _rest_rows(probes, own):
+    """Look-ups of probes among the components of their trees."""
     trees = probes.select("tree").distinct().join(
         own.groupBy(F.col("component").alias("tree")).agg(F.ceil(F.count("*") / TREE_SETS).alias("parts")), "tree")
-    members = own.select("cid", F.col("component").alias("tree")).join(trees, "tree").select(
-        "tree", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), "cid").join(sets, "cid")
-    asked = probes.join(trees, "tree").select(
-        "cid", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(
-        sets, "cid")
-    return _look_up(members, asked, tasks, True)
+    members = own.select("cid", F.col("component").alias("tree")).join(trees, "tree")
+    return _roles(members, probes.select("cid", "tree").join(trees, "tree"))
 
 
 def joined(docs):
@@ -393,9 +413,7 @@ def joined(docs):
         classes.select("cid", "n"), "cid")
     lists = staged(lists.select("cid", "n", F.col("x.token").alias("tokens"), F.col("x.at").alias("places")), "lists")
     pairs = staged(_star_pairs(lists), "star-pairs")
-    in_pairs = pairs.select("cid").unionByName(pairs.select(F.col("tree").alias("cid"))).distinct()
-    sets = staged(_sets(docs, classes.join(in_pairs, "cid"), levels), "sets")
-    stars = staged(_stars(pairs, sets, tasks), "stars")
+    stars = staged(_look_up(_with_sets(docs, _star_rows(pairs), classes, levels), tasks, False), "stars")
 
     labels = components(stars).withColumnRenamed("id", "cid")
     own = lists.select("cid", "n").join(labels, "cid", "left").select(
@@ -404,12 +422,7 @@ def joined(docs):
         F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
     own = staged(own.join(sizes, "component"), "candidates")
     probes = staged(_rest_probes(own, lists), "probes")
-    in_rest = own.join(probes.select(F.col("tree").alias("component")).distinct(), "component", "left_semi").select(
-        "cid").unionByName(probes.select("cid")).distinct()
-    new = in_rest.join(in_pairs, "cid", "left_anti")
-    sets = sets.unionByName(staged(_sets(docs, classes.join(new, "cid"), levels), "sets"))
-    sets = sets.join(in_rest, "cid", "left_semi")
-    rest = staged(_rest(probes, own, sets, tasks), "rest")
+    rest = staged(_look_up(_with_sets(docs, _rest_rows(probes, own), classes, levels), tasks, True), "rest")
 
     # The stars are shallow by now: each class hangs on its component.
     links = own.select(F.col("cid").alias("a"), F.col("component").alias("b")).unionByName(rest)
