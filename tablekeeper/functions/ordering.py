@@ -15,28 +15,6 @@ from tablekeeper.session import checkpoint
 ROWS_PER_TASK = 5_000_000
 
 
-SMALL_ROWS = 100_000
-
-
-def small_side(df, rows=SMALL_ROWS):
-    """Side of a join, broadcast when counting shows that it is small.
-
-    A larger side joins by shuffle, where adaptive execution splits skewed partitions.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def settle(df, rows=SMALL_ROWS):
-    """``df`` as a broadcast table of known rows when it is small, else as it is.
-
-    For settings that several joins use: what they are computed from is read only once.
-    """
-    found = df.limit(rows + 1).collect()
-    if len(found) > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
-
-
 def salt_column(df, spread):
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return F.pmod(F.xxhash64(*spread), F.lit(max(parts, 2)))
@@ -46,19 +24,19 @@ def newest_per_group(df, group, order, k, spread, limit=None):
     """The first ``k`` rows of each group in ``order``, with their ``rank`` (bigint).
 
     ``order`` must be total. ``spread`` names columns that differ within a group. ``limit`` may name
-    a column holding a smaller bound per row.
+    a column holding a bound per row (NULL: none); it holds together with ``k``, or alone where ``k`` is None.
     """
-    keep = F.col("rank") <= (F.lit(k) if limit is None else F.least(F.lit(k), F.col(limit)))
+    keep = F.lit(True) if k is None else F.col("rank") <= k
+    if limit is not None:
+        keep &= F.col("rank") <= F.coalesce(F.col(limit), F.col("rank"))
     parts = Window.partitionBy(*group, "_salt").orderBy(*order)
     whole = Window.partitionBy(*group).orderBy(*order)
     return (
         df.withColumn("_salt", salt_column(df, spread))
         .withColumn("rank", F.row_number().over(parts))
-        .filter(F.col("rank") <= k)
         .filter(keep)
         .drop("_salt")
         .withColumn("rank", F.row_number().over(whole))
-        .filter(F.col("rank") <= k)
         .filter(keep)
         .withColumn("rank", F.col("rank").cast("bigint"))
     )

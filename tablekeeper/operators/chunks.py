@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
-from tablekeeper.functions.ordering import small_side
 from tablekeeper.session import checkpoint
 from tablekeeper.sources.artifacts import CHUNK_SIZE, read_ranges, scan_file_blocks
 from tablekeeper.sources.files import delete_files, exists
@@ -108,13 +107,13 @@ def append_store(blocks, path, store=None):
 
     Two appends at the same time may both write a block; readers take one of the copies.
 
-    Which blocks are missing comes from hashes alone. Few of them reach the content by broadcast, so
-    no bytes are shuffled to find them; else the content joins on its unique place.
+    Which blocks are missing comes from hashes alone; the content then joins on its unique place. Spark
+    broadcasts the missing ones where their size allows, and no bytes are shuffled then.
     """
     store = _known(blocks.sparkSession, path, store)
     new = checkpoint(first_blocks(blocks.drop("data"), store))
     data = blocks.select("profile", *PLACE, "data")
-    _write_store(data.join(small_side(new), ["profile", *PLACE]), path)
+    _write_store(data.join(new, ["profile", *PLACE]), path)
 
 
 def append_files(spark, files, path, profile, size=CHUNK_SIZE, store=None):
@@ -234,9 +233,7 @@ def ordered_blocks(manifests, store, uses_per_task=USES_PER_TASK):
     key = ["profile", "hash"]
     uses = manifests.groupBy(*key).agg(F.count(F.lit(1)).alias("_uses"))
     copies = F.ceil(F.col("_uses") / F.lit(uses_per_task)).cast("bigint").alias("_copies")
-    popular = small_side(
-        uses.filter(F.col("_uses") > uses_per_task).select(*key, copies)
-    )
+    popular = uses.filter(F.col("_uses") > uses_per_task).select(*key, copies)
     many = F.coalesce("_copies", F.lit(1).cast("bigint"))
     wanted = manifests.join(popular, key, "left").withColumn(
         "_copy", F.pmod(F.xxhash64(*PLACE), many)

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekeeper.functions.ordering import small_side
 
 REPORT_COLUMNS = [
     "server_id", "server_name", "run_id", "profile", "db_type", "backup_type", "status",
@@ -86,7 +85,7 @@ def authorise(df, tokens, shared_token=None):
     )
     token = _given(F.col("token"))
     hashed = df.withColumn("_hash", F.sha2(token, 256))
-    joined = hashed.join(small_side(known), "_hash", "left").drop("_hash")
+    joined = hashed.join(known, "_hash", "left").drop("_hash")
     allowed = F.col("token_id").isNotNull()
     if shared_token:
         allowed = allowed | F.coalesce(token == shared_token, F.lit(False))

@@ -6,7 +6,10 @@ A catalogue row needs ``run_id``, ``profile``, the group columns, ``finished_ms`
 from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
-from tablekeeper.functions.ordering import newest_per_group, settle
+from tablekeeper.functions.ordering import newest_per_group
+from tablekeeper.operators import chunks
+from tablekeeper.session import checkpoint
+from tablekeeper.sources import event_log, files
 
 DAY_MS = 86_400_000
 ORDER = ["finished_ms", "mtime_ms", "run_id"]
@@ -53,13 +56,9 @@ def _newest():
 
 def over_count(catalog, policies, group):
     """Runs beyond the newest ``keep_last`` of their group."""
-    policies = settle(policies)
     ruled = catalog.join(policies.filter(F.col("keep_last").isNotNull()), "profile")
-    most = policies.agg(F.max("keep_last")).first()[0]
-    if most is None:
-        return ruled.filter(F.lit(False)).select("run_id")
     kept = newest_per_group(
-        ruled.select(*dict.fromkeys([*group, *ORDER, "keep_last"])), group, _newest(), int(most),
+        ruled.select(*dict.fromkeys([*group, *ORDER, "keep_last"])), group, _newest(), None,
         ["run_id"], limit="keep_last",
     )
     # run ids are unique, so this join stays even however large one group is
@@ -68,14 +67,13 @@ def over_count(catalog, policies, group):
 
 def over_age(catalog, policies, as_of_ms):
     """Runs that finished before ``as_of`` less ``max_age_days``."""
-    ruled = catalog.join(settle(policies).filter(F.col("max_age_days").isNotNull()), "profile")
+    ruled = catalog.join(policies.filter(F.col("max_age_days").isNotNull()), "profile")
     cutoff = F.lit(as_of_ms) - F.col("max_age_days") * F.lit(DAY_MS)
     return ruled.filter(F.col("finished_ms") < cutoff).select("run_id")
 
 
 def deletion_plan(catalog, policies, group, as_of_ms):
     """Runs to delete, each once with its sorted reasons."""
-    policies = settle(policies)
     reasons = (
         over_count(catalog, policies, group).withColumn("reason", F.lit("keep_last"))
         .unionByName(
@@ -104,6 +102,34 @@ def deletion_log(plan, timestamp):
     )
 
 
+def apply_retention(spark, root, policies, group, as_of_ms, log, timestamp, store=None, manifests=None):
+    """Carry out the deletion plan of the catalogue published at ``root``; returns the remaining catalogue.
+
+    Each deletion is logged before the remaining catalogue is published. Then blocks that no remaining run
+    references leave the block store at ``store`` (``manifests``: run_id, profile, hash of all runs), and each
+    profile that lost blocks gets one ``retention.chunks_gc`` event. Without deletions nothing is written. A
+    call that was cut off before the catalogue was published logs its deletions again when it is repeated;
+    one cut off later leaves its garbage to the next call that deletes.
+    """
+    catalog = files.current(spark, root)
+    plan = checkpoint(deletion_plan(catalog, policies, group, as_of_ms))
+    if plan.isEmpty():
+        return catalog
+    event_log.append_events(deletion_log(plan, timestamp), log)
+    files.publish(survivors(catalog, plan), root)
+    left = files.current(spark, root)
+    if store is not None:
+        needed = manifests.join(left.select("run_id"), "run_id", "left_semi")
+        garbage = chunks.garbage(chunks.read_store(spark, store), needed)
+        lost = checkpoint(garbage.groupBy("profile").agg(F.count(F.lit(1)).alias("chunks_deleted")))
+        if chunks.collect_garbage(spark, store, needed):
+            event_log.append_events(lost.select(
+                F.lit(timestamp).alias("timestamp"), F.lit("retention.chunks_gc").alias("event"),
+                F.struct("profile", "chunks_deleted").alias("payload"),
+            ), log)
+    return left
+
+
 def policy_summary(catalog, policies, plan):
     """Limits, runs and runs to delete per profile that has a policy or runs; nothing is deleted."""
     n = F.count(F.lit(1))

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from tablekeeper.functions.ordering import newest_per_group
-from tablekeeper.operators import chunks
-from tablekeeper.plans.fixtures import ARTIFACTS, CHUNK, artifacts
+from tablekeeper.operators import chunks, retention
+from tablekeeper.plans.fixtures import ARTIFACTS, AS_OF_MS, CHUNK, artifacts
 from tablekeeper.plans.registry import query
 from tablekeeper.session import work_dir
+from tablekeeper.sources import event_log, files
 from tablekeeper.sources.artifacts import scan_file_blocks
 
 KEPT_RUNS = 20
@@ -167,6 +168,33 @@ def chunk_garbage_collect(spark, folder):
     return left.withColumn("removed", F.lit(removed).cast("bigint"))
 
 
+@query("retention_apply_store", f"""WITH {SURVIVING},
+gone AS (SELECT profile, count(*) AS runs_deleted FROM artifacts
+  WHERE run_id NOT IN (SELECT run_id FROM kept) GROUP BY profile),
+dead AS (SELECT profile, count(*) AS chunks_deleted FROM firsts f
+  WHERE NOT EXISTS (SELECT 1 FROM needed n WHERE n.profile = f.profile AND n.hash = f.hash) GROUP BY profile)
+SELECT profile, hash, n_bytes, coalesce(runs_deleted, 0) AS runs_deleted,
+  coalesce(chunks_deleted, 0) AS chunks_deleted
+FROM firsts JOIN needed USING (profile, hash) LEFT JOIN gone USING (profile) LEFT JOIN dead USING (profile)""")
+def retention_apply_store(spark, folder):
+    """Delete old runs, log them, collect their blocks; blocks left beside what the log says per profile."""
+    store, root, log = _stored(spark, folder), work_dir(spark, "catalog"), work_dir(spark, "log")
+    files.publish(artifacts(spark, folder).select(
+        "run_id", "profile", F.col("run_seq").alias("finished_ms"), F.lit(0).cast("bigint").alias("mtime_ms")), root)
+    profiles = files.current(spark, root).select("profile").distinct()
+    policies = retention.resolve_policies(profiles, [], {"keep_last": KEPT_RUNS})
+    retention.apply_retention(
+        spark, root, policies, ["profile"], AS_OF_MS, log, "00:00:00 2024-01-31", store,
+        chunks.explode_manifests(_manifests(spark, folder)))
+    lost = F.get_json_object("payload_json", "$.chunks_deleted").cast("bigint")
+    logged = event_log.scan_events(spark, log).groupBy(F.col("payload.profile").alias("profile")).agg(
+        F.count(F.when(F.col("event") == "retention.deleted", 1)).alias("runs_deleted"),
+        F.coalesce(F.sum(F.when(F.col("event") == "retention.chunks_gc", lost)), F.lit(0)).alias("chunks_deleted"),
+    )
+    left = chunks.list_store(chunks.read_store(spark, store)).join(logged, "profile", "left")
+    return left.fillna(0, ["runs_deleted", "chunks_deleted"])
+
+
 @query("chunk_missing", f"""WITH {SURVIVING}
 SELECT profile, hash FROM firsts f
 WHERE NOT EXISTS (SELECT 1 FROM needed n WHERE n.profile = f.profile AND n.hash = f.hash)""")

@@ -179,13 +179,10 @@ def retention_apply(spark, folder):
     """Publish the remaining catalogue, log each deletion, read both back."""
     root, log = work_dir(spark, "catalog"), work_dir(spark, "log")
     files.publish(catalog_rows(spark, folder), root)
-    catalog = files.current(spark, root)
-    plan = retention.deletion_plan(catalog, _policies(spark, folder), GROUP, AS_OF_MS)
-    event_log.append_events(retention.deletion_log(plan, "00:00:00 2024-01-31"), log)
-    files.publish(retention.survivors(catalog, plan), root)
+    left = retention.apply_retention(
+        spark, root, _policies(spark, folder), GROUP, AS_OF_MS, log, "00:00:00 2024-01-31")
     logged = event_log.scan_events(spark, log).agg(F.count("payload.profile").alias("logged"))
-    left = files.current(spark, root).select("run_id", "profile", F.lit(1).alias("one"))
-    return left.join(logged.withColumn("one", F.lit(1)), "one").drop("one")
+    return left.select("run_id", "profile", logged.scalar().alias("logged"))
 
 
 SUMMARY = f"""{PLAN},

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from tablekeeper.operators import lineage, retention
+from tablekeeper.operators import chunks, lineage, retention
+from tablekeeper.sources import event_log, files
 
 GROUP = ["server_id", "profile"]
 
@@ -131,3 +132,27 @@ def test_retention_by_count_only(spark):
 def test_bad_policies(policy):
     with pytest.raises(ValueError):
         retention.check_policy(policy)
+
+
+def test_apply_retention_twice(spark, tmp_path):
+    """The second call finds nothing to do: no event, no new version of the catalogue."""
+    root, log, store = (str(tmp_path / name) for name in ("catalog", "log", "store"))
+    rows = [("a", "s", "p", "full", 1, 1, "gzip"), ("b", "s", "p", "full", 2, 1, "gzip")]
+    files.publish(frame(spark, rows), root)
+    artifacts = spark.createDataFrame(
+        [("a", "p", 1, b"old bytes"), ("b", "p", 2, b"new bytes")],
+        "run_id string, profile string, run_seq long, content binary")
+    blocks = chunks.chunk(artifacts, 4, with_data=True)
+    chunks.append_store(blocks, store)
+    policies = retention.resolve_policies(frame(spark, rows).select("profile").distinct(), [], {"keep_last": 1})
+    for _ in range(2):
+        left = retention.apply_retention(
+            spark, root, policies, ["profile"], 10, log, "00:00:00 2024-01-31", store, blocks.drop("data"))
+        assert [r.run_id for r in left.collect()] == ["b"]
+        events = {(r.event, r.payload_json) for r in event_log.scan_events(spark, log).collect()}
+        # "old ", "byte" and "s" against "new ", "byte" and "s": one block goes
+        assert {e for e, _ in events} == {"retention.deleted", "retention.chunks_gc"} and len(events) == 2
+        assert '{"profile":"p","chunks_deleted":1}' in {p for _, p in events} or '{"chunks_deleted":1,"profile":"p"}' in {
+            p for _, p in events}
+        assert chunks.list_store(chunks.read_store(spark, store)).count() == 3
+    assert files.complete_versions(spark, root) == [1, 2]
