@@ -8,7 +8,7 @@ The labels say toxic or not. Grade 0 is not toxic; toxic documents have grades 1
 of their words that are marked features.
 
 The model is fitted on a bounded sample: ``SAMPLE`` labelled documents, those of the smallest id digests.
-Features are ``FEATURES`` ones seen in at least ``LEAST`` of its documents, those most tied to toxic ones.
+Features are ``FEATURES`` ones seen in enough of its toxic documents (``least_seen``), those most tied to them.
 All documents are scored, whole.
 
 Defined results: NULL and blank texts score 0 words and are not rejected; labels without a document, or NULL
@@ -16,6 +16,8 @@ ones, are left out; without toxic labels nothing is rejected; repeated rows are
 gives no rows; other columns are ignored.
 """
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from tablekeeper.llm.tables import load, staged
 
 SAMPLE = 20_000
 FEATURES = 4096
+#: The most toxic documents that a feature must be seen in.
 LEAST = 4
 PREFIX = 5
 GRADES = 4
@@ -103,6 +106,11 @@ def fit_ordinal(row, feature, times, grades, size, rounds=400, rate=0.1, ridge=1
     return weights, free[0] + np.concatenate(([0.0], np.cumsum(np.exp(free[1:]))))
 
 
+def least_seen(n_bad, most=LEAST):
+    """Toxic documents that a feature must be seen in: half the binary digits of their number, rounded up."""
+    return min(most, max(1, math.ceil(math.log2(n_bad + 1) / 2)))
+
+
 def train(docs, labels, sample=SAMPLE, most=FEATURES, least=LEAST):
     """Model from at most ``sample`` labelled documents."""
     picked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(
@@ -132,7 +140,7 @@ def train(docs, labels, sample=SAMPLE, most=FEATURES, least=LEAST):
     if not n_bad or not n_good:
         return Ordinal(np.empty(0, np.uint64), np.empty(0), np.array([30.0, 31.0, 32.0]))
     seen = texts.mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(
-        F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= least)
+        F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= least_seen(n_bad, least))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
     chosen = seen.withColumn("odds", odds).where("odds > 1").orderBy(
         F.desc(F.col("odds") * F.col("bad")), "feature").limit(most).collect()

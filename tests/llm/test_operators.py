@@ -268,6 +268,20 @@ def test_toxic_documents_are_found(spark, odd):
     assert not any(r.rejected for r in toxicity.scored(docs, none).collect())
 
 
+def test_few_toxic_labels_give_features(spark):
+    bad = ["vileword", "nastyterm", "uglyslur"]
+    texts = [f"{prose(i, 40)} {bad[i % 3]} {bad[i % 3]}" if i < 18 else prose(i, 40) for i in range(200)]
+    docs = table(spark, texts)
+    # Six of the eighteen toxic documents have labels, each word lies in two of them.
+    labels = spark.createDataFrame([(i, 1, int(i < 6)) for i in range(200) if i < 6 or 18 <= i < 120],
+                                   "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    held_out = {r.doc_id: r.rejected for r in toxicity.scored(docs, model).collect() if r.doc_id in range(6, 18)
+                or r.doc_id >= 120}
+    assert sum(held_out[i] for i in range(6, 18)) >= 11 and sum(held_out[i] for i in range(120, 200)) <= 2
+    assert [toxicity.least_seen(n) for n in (1, 3, 4, 11, 15, 16, 63, 64, 449, 10**6)] == [1, 1, 2, 2, 2, 3, 3, 4, 4, 4]
+
+
 # --- 7 -------------------------------------------------------------------------------------------
 
 def test_tool_calls(spark):
