@@ -12,8 +12,10 @@ Status of a message: ``linked``, ``unanswered`` (call without result), ``orphan`
 ``repeated`` (a further call or result of the same call id; the first by seq counts), ``cycle`` (it depends on
 itself in the end; its depth is NULL) or ``plain``.
 
-Defined results: a NULL conversation or id is a value of its own; a call or result without call id is linked
-with nothing; a dependency on a message that does not exist counts as none; of messages that repeat their id
+Defined results: a NULL conversation is a value of its own; a message without id is a row of its own and linked
+with nothing, whatever its call id (a call is ``unanswered``, a result ``orphan``, any other ``plain``), at depth
+0; a turn without number is such a message, of NULL seq, and as a call misses the argument ``turn``; a call or
+result without call id is linked with nothing; a dependency on a message that does not exist counts as none; of messages that repeat their id
 the others hang on the smallest depth; NULL content is JSON null; arguments that are no JSON object are
 invalid, and written as text; a tool without schema is invalid; an empty table gives no rows; other columns
 are ignored.
@@ -137,19 +139,27 @@ def _depths(messages):
     return active.select("conv_id", "msg_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
+def _without_id(messages):
+    """The messages without id, which no other can name, with the columns of linked ones."""
+    status = F.when(F.col("kind") == "call", "unanswered").when(F.col("kind") == "result", "orphan").otherwise("plain")
+    return messages.where("msg_id IS NULL").withColumn("status", status).withColumn(
+        "parent", F.lit(None).cast("string")).withColumn("depth", F.lit(0).cast("long"))
+
+
 def formatted(messages, schemas=SCHEMAS):
     """``conv_id``, ``msg_id``, ``depth``, ``seq``, ``status``, ``valid``, ``errors`` and ``json`` per message.
 
-    ``messages`` has ``conv_id``, ``msg_id`` (not NULL), ``seq``, ``kind``, ``role``, ``call_id``, ``tool``,
+    ``messages`` has ``conv_id``, ``msg_id``, ``seq``, ``kind``, ``role``, ``call_id``, ``tool``,
     ``arguments`` (JSON text), ``content`` and ``after`` (an id). ``valid`` is NULL for all but calls.
     """
-    rows = _statuses(messages.select(
-        "conv_id", "msg_id", "seq", "kind", "role", "call_id", "tool", "arguments", "content", "after"))
-    rows = staged(rows, "linked")
+    messages = messages.select(
+        "conv_id", "msg_id", "seq", "kind", "role", "call_id", "tool", "arguments", "content", "after")
+    rows = staged(_statuses(messages.where("msg_id IS NOT NULL")), "linked")
     depths = _depths(rows).select(F.col("conv_id").alias("d_conv"), F.col("msg_id").alias("d_id"), "depth")
     rows = rows.join(
         depths, F.col("conv_id").eqNullSafe(F.col("d_conv")) & (F.col("msg_id") == F.col("d_id")), "left"
     ).drop("d_conv", "d_id").withColumn("status", F.when(F.col("depth").isNull(), "cycle").otherwise(F.col("status")))
+    rows = rows.unionByName(_without_id(messages).select(*rows.columns))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     kept = ("conv_id", "msg_id", "depth", "seq", "status")
 
@@ -192,7 +202,7 @@ def as_messages(conversations):
         F.when(kind == "call", F.to_json(F.struct("turn", "text"))).alias("arguments"),
         F.when(kind != "call", F.col("text")).alias("content"),
         (turn - 1).cast("string").alias("after"),
-    ).where("msg_id IS NOT NULL")
+    )
 
 
 def op7_tool_calls(spark, folder):

@@ -317,6 +317,30 @@ def test_long_chain_of_calls(spark):
     assert got.where("depth = seq AND status = 'linked'").count() == 300
 
 
+def test_turns_without_number_are_rows(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, None, "user", "c"), (1, None, "user", "c"),
+            (1, None, "assistant", "d"), (2, None, None, None), (None, None, "user", "e"), (None, 0, "user", "f")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = tool_calls.formatted(tool_calls.as_messages(turns)).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.conv_id, r.msg_id, r.seq, r.depth, r.status, r.valid) for r in got), key=key) == sorted([
+        (1, "0", 0, 0, "linked", True), (1, "1", 1, 1, "linked", None), (1, None, None, 0, "unanswered", False),
+        (1, None, None, 0, "unanswered", False), (1, None, None, 0, "orphan", None), (2, None, None, 0, "plain", None),
+        (None, None, None, 0, "unanswered", False), (None, "0", 0, 0, "unanswered", True)], key=key)
+    lost = [r for r in got if r.msg_id is None]
+    assert {r.errors for r in lost} == {"", "$.turn: missing"} and {r.json for r in lost if r.conv_id == 1} == {
+        '{"content":null,"role":"user","tool_call":{"arguments":{"text":"c"},"id":null,"name":"reply"}}',
+        '{"content":"d","role":"assistant","tool_call_id":null}'}
+    # A call or result without id takes nothing from those that have one.
+    named = [(1, "c", 1, "call", "user", "x", "reply", "{}", None, None), (1, "r", 2, "result", "tool", "x", None, None, "", None),
+             (1, None, 0, "call", "user", "x", "reply", "{}", None, "c"), (1, None, 0, "result", "tool", "x", None, None, "", None)]
+    got = tool_calls.formatted(spark.createDataFrame(
+        named, "conv_id long, msg_id string, seq long, kind string, role string, call_id string, tool string, "
+               "arguments string, content string, after string")).collect()
+    assert sorted((r.msg_id or "", r.status, r.depth) for r in got) == [
+        ("", "orphan", 0), ("", "unanswered", 0), ("c", "linked", 0), ("r", "linked", 1)]
+
+
 # --- 8 -------------------------------------------------------------------------------------------
 
 def normal(text):
