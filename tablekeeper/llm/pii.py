@@ -5,8 +5,10 @@ overlapping spans of the same kinds. Each candidate has a few discrete features
 boosted ensemble of small trees scores it, and a threshold per kind, calibrated on documents that the trees
 have not seen, selects it. Selected candidates that touch no base span and no better candidate are added.
 
-There are no labels of spans; a candidate that touches a base span of its kind counts as personal data, the
-others as not. The trees see the counts of each feature vector over all candidates of all documents: the
+There are no labels of spans. A candidate that touches a base span of its kind counts as personal data; one that
+lies within a base span of another kind, or breaks the format of its kind (``_fits``), as not. All others are
+unlabelled: the trees and thresholds do not see them, and only those that keep the format can be added. A corpus
+without base spans of a kind gives no model of it, and nothing of that kind is added. The trees see the counts of each feature vector over all candidates of all documents: the
 vectors are few, as every feature has few values (``VALUES``), so the table that reaches the driver is bounded.
 
 Everything is DataFrame functions; the trees become column expressions.
@@ -39,9 +41,15 @@ WIDE = {
     "email": r"(?:\G|(?<![^\x20\x09-\x0D@<>()\[\],;:\x22]))[^\x20\x09-\x0D@<>()\[\],;:\x22]++"
              r"(?:@|\x20?[\[(]at[\])]\x20?)[^\x20\x09-\x0D@<>()\[\],;:\x22]++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]{1,3}+(?:\x20?[.,]\x20?[0-9]{1,3}+){3}",
-    "card": r"(?:\G|(?<![0-9]))[0-9]{3,6}+(?:[\x20./-][0-9]{3,6}+){2,4}",
+    "card": r"(?:\G|(?<![0-9]))(?:[0-9]{3,6}+(?:[\x20./-][0-9]{3,6}+){2,4}|[0-9]{14,19}+)",
     "phone": r"(?:\G|(?<![0-9]))\(?[0-9]{2,4}+\)?(?:[\x20./-]{1,2}+[0-9]{2,4}+){2,4}",
 }
+#: Formats that candidates must keep, and shapes of numbers that are no phones: dates, years, addresses.
+_MAIL = r"^[\p{L}\p{N}._%+-]+(?:@|\x20?[\[(]at[\])]\x20?)(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}\.?$"
+_ADDRESS = rf"^{_BYTE}(?:\x20?\.\x20?{_BYTE}){{3}}$"
+_YEAR = "(?:19|20)[0-9]{2}"
+_NO_PHONE = (rf"{_YEAR}[./-][01][0-9][./-][0-3][0-9]|[0-3][0-9][./-][01][0-9][./-]{_YEAR}|^{_YEAR}(?:[\x20./-]+{_YEAR})+$"
+             r"|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
 CONTEXT = 24
 _CUES = {
     "email": r"(?i)mail|contact|write", "ip": r"(?i)\bip\b|host|server|addr", "card": r"(?i)card|visa|pay|credit",
@@ -120,13 +128,35 @@ def _present(text, kind):
             "phone": text.rlike("[0-9]"), "ip": text.rlike(r"[0-9]"), "card": text.rlike(r"[0-9]")}[kind]
 
 
+def _before(text, x):
+    return F.substring(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)).cast("int"),
+                       F.least(x["s"], F.lit(CONTEXT)).cast("int"))
+
+
+def _fits(text, x, kind):
+    """Whether a candidate keeps the format of its kind: a mail has a host with an ending, an address four bytes,
+    a card 14 to 19 digits with a right check digit; a phone 10 to 15, in signs or brackets, or by blanks alone
+    behind a cue, and is no date."""
+    m = x["m"]
+    if kind == "email":
+        return m.rlike(_MAIL)
+    if kind == "ip":
+        return m.rlike(_ADDRESS)
+    digits = _digits(m)
+    apart = ~_before(text, x).rlike(r"[\p{L}0-9]$") & ~F.substring(text, (x["e"] + 1).cast("int"), F.lit(1)).rlike(
+        r"[\p{L}0-9]")
+    if kind == "card":
+        return apart & F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(F.lit(False))
+    return (apart & F.length(digits).between(10, 15) & ~m.rlike(_NO_PHONE) & m.rlike(r"^(?:[^()]|\([0-9]+\))*$")
+            & (m.rlike("[(./-]") | _before(text, x).rlike(_CUES[kind])))
+
+
 def features(text, x, kind):
     """Features of a candidate as a struct of small whole numbers."""
     m = x["m"]
     digits = _digits(m)
     n = F.length(digits)
-    before = F.substring(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)).cast("int"),
-                         F.least(x["s"], F.lit(CONTEXT)).cast("int"))
+    before = _before(text, x)
     after = F.substring(text, (x["e"] + 1).cast("int"), F.lit(1))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return F.struct(
@@ -155,11 +185,15 @@ def prepared(docs, carry=()):
     def touches(x, spans):
         return F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
+    def within(x, kind):
+        return F.exists(F.concat(*[F.col(f"base_{k}") for k in KINDS if k != kind]),
+                        lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
+
     def candidates(kind):
         kept = F.transform(found(F.col("text"), WIDE[kind]), lambda x: F.struct(
             x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"),
-            touches(x, F.col(f"base_{kind}")).alias("is_base"),
-            features(F.col("text"), x, kind).alias("f")))
+            touches(x, F.col(f"base_{kind}")).alias("is_base"), within(x, kind).alias("is_other"),
+            _fits(F.col("text"), x, kind).alias("fits"), features(F.col("text"), x, kind).alias("f")))
         return F.when(_present(F.col("text"), kind), kept)
 
     return rows.withColumn("more", F.filter(
@@ -169,9 +203,10 @@ def prepared(docs, carry=()):
 # --- boosted trees -------------------------------------------------------------------------------
 
 def _histogram(docs):
-    """Counts of (half, kind, features, is_base) over all candidates; halves are by digest of the id."""
+    """Counts of (half, kind, features, is_base) over all labelled candidates; halves are by digest of the id."""
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2))
-    return prepared(docs).select(half.alias("half"), F.explode("more").alias("x")).select(
+    return prepared(docs).select(half.alias("half"), F.explode("more").alias("x")).where(
+        "x.is_base OR x.is_other OR NOT x.fits").select(
         "half", "x.kind", "x.is_base", "x.f.*").groupBy("half", "kind", "is_base", *VALUES).agg(
         F.count("*").alias("n")).collect()
 
@@ -239,7 +274,7 @@ def _branch(of, split, below, above):
 
 
 def train(docs, least_precision=LEAST_PRECISION):
-    """(trees, threshold) per kind from all candidates; a kind without a safe threshold has none.
+    """(trees, threshold) per kind from all labelled candidates; a kind without a safe threshold has none.
 
     The threshold is the lowest score from which on the held-back half has the precision asked for.
     """
@@ -285,7 +320,7 @@ def spans(docs, model, carry=()):
         out = F.lit(None).cast("double")
         for kind, (trees, threshold) in model.items():
             s = tree_score(trees, lambda name: x["f"][name])
-            out = F.when((x["kind"] == kind) & (s >= threshold - 1e-9), s).otherwise(out)
+            out = F.when((x["kind"] == kind) & x["fits"] & (s >= threshold - 1e-9), s).otherwise(out)
         return out
 
     rows = rows.withColumn("base", base).withColumn("picked", F.filter(

@@ -231,6 +231,29 @@ def test_base_spans_and_redaction(spark):
     assert pii.redacted(docs, {}).columns == docs.columns
 
 
+def test_planted_cases_beyond_the_base_patterns_are_found(spark):
+    cards = ["4111111111111111", "5500005555555559", "4012 8888 8888 1881", "340000000000009"]
+    texts = [f"{prose(i, 8)}, tel +1 (200) 555-{1000 + i} mail u{i}@m{i}.example.org card {cards[i % 4]} or a@b, "
+             f"on 2024-01-{10 + i % 20} 12 30 to 12 34 56 78 90 12, lot {10**15 + i} at 10.0.{i}.7, 1,2,3,4" for i in range(60)]
+    # Half of the real cases are beyond the base patterns.
+    planted = [("phone", "(555) 123-4567"), ("phone", "555-123-4568"), ("email", "jane.doe (at) host.example.org"),
+               ("email", "jan[at]host.org"), ("card", "4111.1111.1111.1111"), ("card", "5500/0055/5555/5559"),
+               ("phone", "030 1234 5678"), ("ip", "10 . 0 . 0 . 1")]
+    cue = {"phone": "tel", "email": "mail", "card": "card", "ip": "host"}
+    texts += [f"{prose(100 + i, 8)}, {cue[k]} {what} end" for i, (k, what) in enumerate(planted * 8)]
+    wrong = ["2024-01-05 12 30", "2019 2020 2021 2022", "12 34 56 78 90 12", "4111.1111.1111.1112", "a@b", "1,2,3,4"]
+    texts += [f"{prose(200 + i, 8)}, so {what} end" for i, what in enumerate(wrong * 3)]
+    docs = table(spark, texts)
+    model = pii.train(docs)
+    rows = pii.spans(docs, model).collect()
+    got = {r.doc_id: [(pii.KINDS[x.k], r.text[x.s:x.e]) for x in r.spans] for r in rows}
+    assert [got[60 + i] for i in range(64)] == [[x] for x in planted * 8]
+    assert not any(got[i] for i in range(124, len(texts)))
+    assert all(r.spans == r.base and len(r.base) >= 3 for r in rows if r.doc_id < 60)
+    clean = {r.doc_id: r.text for r in pii.redacted(docs, model).collect()}
+    assert clean[60].endswith("tel [PHONE] end") and clean[62].endswith("mail [EMAIL] end") and clean[64].endswith("card [CARD] end")
+
+
 def test_trees_learn_a_feature():
     base = dict.fromkeys(pii.VALUES, 0)
     rows = [({**base, "luhn": a, "digits": b}, 90 if a else 1, 1 if a else 90) for a in (0, 1) for b in range(4)]
