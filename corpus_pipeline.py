@@ -3,8 +3,9 @@
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``.
 
 * ``toxicity`` drops the documents that the model rejects.
-* ``near_duplicates`` keeps, of every group of linked documents, the one of the smallest id; rows without an
-  id are kept if their group has no id at all; rows that repeat an id count as one document.
+* ``near_duplicates`` keeps, of every group of linked rows, the one of the smallest id, and of a group without
+  any id one row; of rows that repeat their id each counts by its own text; a row without words is its own
+  group, but of those that repeat id and text one is kept.
 * ``decontaminate`` drops the documents that hold a benchmark window.
 * ``personal_data`` puts the kind in the place of every span.
 * ``mix`` returns how many words of each document the mix takes.
@@ -28,25 +29,25 @@ def drop_toxic(spark, docs, folder):
 
 
 def drop_near_duplicates(spark, docs, folder):
-    """One document of each group."""
-    kept = jaccard_join.joined(docs).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").transform(
-        _one_of_each)
-
-
-def _one_of_each(docs):
-    """Rows of one id as one row; rows without id stay as they are if their text differs."""
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    repeated = staged(repeated, "repeated")
-    if repeated.isEmpty():
-        return docs
-    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
-    once = docs.join(repeated, same, "left_anti")
-    twice = docs.join(repeated, same, "left_semi")
-    known = twice.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    unknown = twice.where("doc_id IS NULL").dropDuplicates(["text"])
-    return once.unionByName(known).unionByName(unknown)
+    """One row of each group."""
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        return _one_row_of_each(docs)
+    kept = jaccard_join.joined(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def _one_row_of_each(docs):
+    """The same where ids repeat: rows are numbered, and groups made of their numbers."""
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    # In this order the first row of a group is the one to keep.
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    kept = jaccard_join.joined(rows.select(key.alias("doc_id"), "text")).where(
+        "n_shingles > 0 AND doc_id.row = component_id.row").select(F.col("doc_id.row").alias("_kept"))
+    blank = rows.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).groupBy(
+        "doc_id", "text").agg(F.min("_row").alias("_kept")).select("_kept")
+    return rows.join(kept.unionByName(blank).hint("shuffle_hash"), F.col("_row") == F.col("_kept"), "left_semi").drop(
+        "_row")
 
 
 def drop_contaminated(spark, docs, folder):

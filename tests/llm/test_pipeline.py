@@ -151,3 +151,20 @@ def test_one_row_of_repeated_documents(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (False, 4), (True, 0)]
     assert pii.redacted(docs, {}).count() == 6 and mixing.mix(docs).count() == 6
+
+
+def test_groups_are_decided_by_row(spark):
+    words = prose(7, 200).split()
+    near = " ".join([*words[:-1], "changed"])
+    rows = [(1, " ".join(words)), (None, near), (None, " ".join(words)), (2, near),  # one group, id 1 stays
+            (None, prose(8, 60)), (None, prose(9, 60)), (None, prose(9, 60)),  # two groups without id
+            (5, prose(10, 60)), (5, prose(11, 60)), (5, prose(10, 60)),  # one id, two texts
+            (6, prose(11, 60)), (0, prose(12, 60)), (9, prose(12, 60)), (9, prose(13, 60)),
+            (None, None), (None, None), (None, " "), (3, ""), (3, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5), FOLDER)
+    assert kept.schema == docs.schema
+    want = [(1, " ".join(words)), (None, prose(8, 60)), (None, prose(9, 60)), (5, prose(10, 60)), (5, prose(11, 60)),
+            (0, prose(12, 60)), (9, prose(13, 60)), (None, None), (None, " "), (3, ""), (4, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
