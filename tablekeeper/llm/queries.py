@@ -3,6 +3,7 @@
 import corpus_pipeline
 from tablekeeper.llm import (
     decontaminate,
+    filter_audit,
     jaccard_join,
     lm_trie,
     mixing,
@@ -11,6 +12,8 @@ from tablekeeper.llm import (
     token_cache,
     tool_calls,
     toxicity,
+    url_filter,
+    vector_codes,
     warc,
 )
 
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_arc_to_warc": warc.op10_arc_to_warc,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_url_filter": url_filter.op12_url_filter,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -33,4 +39,7 @@ SQL = {
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
     "op10_arc_to_warc": warc.OP10_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_url_filter": url_filter.OP12_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
