@@ -91,6 +91,9 @@ STORE_SCHEMA = "prefix string, hash string, n_bytes bigint, data binary, profile
 
 
 def read_store(spark, path):
+    """Kept blocks; none before the first append."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], STORE_SCHEMA)
     # the schema keeps profiles such as "007" as they are
     return spark.read.schema(STORE_SCHEMA).parquet(path)
 
@@ -179,6 +182,8 @@ def collect_garbage(spark, path, manifests):
     a crash in between, and a repeated call finishes the work. Files of an append that runs meanwhile are
     not touched; its manifests must be among ``manifests`` if it reuses blocks that were garbage.
     """
+    if not exists(spark, path):
+        return 0
     placed = read_store(spark, path).withColumn("_file", F.col("_metadata.file_path"))
     gone = checkpoint(
         placed.select("profile", "hash", "_file").join(referenced(manifests), ["profile", "hash"], "left_anti")

@@ -185,6 +185,26 @@ def retention_apply(spark, folder):
     return left.select("run_id", "profile", logged.scalar().alias("logged"))
 
 
+@query("retention_apply_resumed", f"""WITH {PLAN}
+SELECT run_id, 'kept' AS part, CAST(0 AS BIGINT) AS times FROM run_catalog WHERE run_id NOT IN (SELECT run_id FROM plan)
+UNION ALL SELECT run_id, 'logged', CAST(1 AS BIGINT) FROM plan""")
+def retention_apply_resumed(spark, folder):
+    """Two calls are cut off, after noting the plan and after logging it; the third finishes. How often each
+    deletion is in the log, beside the runs kept."""
+    root, log = work_dir(spark, "catalog"), work_dir(spark, "log")
+    files.publish(catalog_rows(spark, folder), root)
+    path = retention.note_intent(_plan(spark, folder), root, "00:00:00 2024-01-31")
+    if path is not None:
+        retention.log_intent(spark, path, log)
+        retention.publish_intent(spark, path, root)
+    left = retention.apply_retention(
+        spark, root, _policies(spark, folder), GROUP, AS_OF_MS, log, "00:00:00 2024-01-31")
+    logged = event_log.scan_events(spark, log).groupBy(
+        F.get_json_object("payload_json", "$.run_dir").alias("run_id")).agg(F.count(F.lit(1)).alias("times"))
+    return left.select("run_id", F.lit("kept").alias("part"), F.lit(0).cast("bigint").alias("times")).unionByName(
+        logged.select("run_id", F.lit("logged").alias("part"), "times"))
+
+
 SUMMARY = f"""{PLAN},
 totals AS (SELECT profile, count(*) AS total_runs FROM run_catalog GROUP BY profile),
 pending AS (SELECT profile, count(*) AS n FROM plan GROUP BY profile),

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tablekeeper.functions.timestamps import parse_timestamp
+from tablekeeper.sources import files
 
 MANIFEST_SCHEMA = (
     "run_id string, profile string, db_type string, backup_type string, started_at string, "
@@ -42,8 +43,10 @@ def _catalogue(lines):
     return rows.filter(F.col("finished_ms").isNotNull())
 
 
-def _lines(reader, path, whole):
-    return reader.text(path, wholetext=whole).select(
+def _lines(spark, path, whole, **options):
+    if not files.found(spark, path):
+        return spark.createDataFrame([], "value string, manifest_path string, mtime_ms bigint")
+    return spark.read.options(**options).text(path, wholetext=whole).select(
         "value",
         F.col("_metadata.file_path").alias("manifest_path"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"),
@@ -51,13 +54,12 @@ def _lines(reader, path, whole):
 
 
 def scan_manifests(spark, root, profiles=None):
-    """Catalogue of the manifests below ``root`` written by ``write_manifests``."""
-    reader = spark.read.option("recursiveFileLookup", "true")
+    """Catalogue of the manifests below ``root`` written by ``write_manifests``; empty before the first."""
     path = root
     if profiles and all(PLAIN_NAME.match(p) for p in profiles):
         # only the folders asked for are listed
         path = f"{root}/profile={{{','.join(profiles)}}}"
-    rows = _catalogue(_lines(reader, path, False))
+    rows = _catalogue(_lines(spark, path, False, recursiveFileLookup="true"))
     return _only(rows, profiles)
 
 
@@ -78,7 +80,7 @@ def _only(rows, profiles):
 
 def scan_run_folders(spark, root, profiles=None):
     """Catalogue of ``<profile>/<run>/manifest.json`` files below ``root`` (local, HDFS or S3A)."""
-    rows = _catalogue(_lines(spark.read, f"{root}/{_folders(profiles)}/*/manifest.json", True))
+    rows = _catalogue(_lines(spark, f"{root}/{_folders(profiles)}/*/manifest.json", True))
     folder = F.regexp_extract("manifest_path", r"^(.*)/manifest\.json$", 1)
     named = rows.withColumn("run_dir", folder).withColumn("profile", _decoded(F.regexp_extract("run_dir", r"([^/]+)/[^/]+$", 1)))
     return _only(named, profiles)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablekeeper.functions.timestamps import parse_timestamp
+from tablekeeper.sources import files
 
 PAYLOAD_FIELDS = {
     "artifact_path": "string", "channel": "string", "compression": "string", "db_type": "string",
@@ -34,9 +35,12 @@ def parse_lines(df):
 
 
 def scan_events(spark, path):
-    """Events of the log files below ``path``. ``line_no`` grows in file order."""
+    """Events of the log files below ``path``, none where there is no log yet. ``line_no`` grows in file order."""
+    if not files.found(spark, path):
+        return parse_lines(spark.createDataFrame(
+            [], "value string, line_no struct<file: string, start: bigint, row: bigint>"))
     # rows of one file piece stay together, so their running ids keep the order of the lines
-    lines = spark.read.text(path).select(
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         "value",
         F.struct(
             F.col("_metadata.file_path").alias("file"),
@@ -49,7 +53,7 @@ def scan_events(spark, path):
 
 def stream_events(spark, path, **options):
     """The same events as a stream of newly arriving files."""
-    lines = spark.readStream.options(**options).text(path)
+    lines = spark.readStream.options(recursiveFileLookup="true", **options).text(path)
     return parse_lines(lines)
 
 
@@ -67,6 +71,16 @@ def append_events(events, path):
     to_lines(events).write.mode("append").text(path)
 
 
+def append_events_once(events, path, name):
+    """Append events as a folder of that name; a folder that is complete stays as it is.
+
+    A call that was cut off is repeated with the same name, so its events are in the log once.
+    """
+    target = f"{path}/{name}"
+    if not files.complete(events.sparkSession, target):
+        to_lines(events).write.mode("overwrite").text(target)
+
+
 def append_event_stream(events, path, checkpoint):
     """Append a stream of events to a log folder; takes what is there and ends."""
     writer = to_lines(events).writeStream.format("text").outputMode("append")

@@ -13,6 +13,29 @@ def exists(spark, path):
     return system.exists(folder)
 
 
+def found(spark, pattern):
+    """Whether any file or folder matches a path that may be a glob."""
+    folder, system = _file_system(spark, pattern)
+    return bool(system.globStatus(folder))
+
+
+def complete(spark, path):
+    """Whether the write of the folder at ``path`` finished."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def names(spark, root):
+    """Sorted names of what lies in a folder; none if it is absent."""
+    folder, system = _file_system(spark, root)
+    return sorted(f.getPath().getName() for f in system.listStatus(folder)) if system.exists(folder) else []
+
+
+def mark(spark, path):
+    """Create an empty file."""
+    file, system = _file_system(spark, path)
+    system.create(file, True).close()
+
+
 def complete_versions(spark, root):
     """Numbers of the ``version=`` folders whose write finished."""
     pattern, system = _file_system(spark, f"{root}/version=*/_SUCCESS")

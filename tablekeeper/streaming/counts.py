@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from tablekeeper.operators.history import event_category, event_status
+from tablekeeper.sources import files
+
+COUNTS_SCHEMA = "profile string, window_start bigint, category string, status string, n bigint"
 
 
 def outcome_counts(events, window="1 day"):
@@ -38,6 +41,8 @@ def count_stream(events, root, checkpoint, window="1 day", available_now=True):
 
 
 def read_counts(spark, root):
-    """Counts of everything seen so far."""
+    """Counts of everything seen so far; none before the first batch."""
+    if not files.found(spark, f"{root}/*"):
+        return spark.createDataFrame([], COUNTS_SCHEMA)
     parts = spark.read.parquet(root)
     return parts.groupBy("profile", "window_start", "category", "status").agg(F.sum("n").alias("n"))

@@ -2,8 +2,9 @@ import random
 
 import pytest
 
-from tablekeeper.operators import chunks, lineage, retention
-from tablekeeper.sources import event_log, files
+from tablekeeper.operators import chunks, lineage, retention, snapshot
+from tablekeeper.sources import catalogue, event_log, files
+from tablekeeper.streaming import counts
 
 GROUP = ["server_id", "profile"]
 
@@ -156,3 +157,59 @@ def test_apply_retention_twice(spark, tmp_path):
             p for _, p in events}
         assert chunks.list_store(chunks.read_store(spark, store)).count() == 3
     assert files.complete_versions(spark, root) == [1, 2]
+
+
+STEPS = ["note_intent", "log_intent", "publish_intent", "collect_garbage", "collect_intent", "carry_out"]
+
+
+@pytest.mark.parametrize("last", STEPS)
+def test_retention_cut_off_after_each_step(spark, tmp_path, monkeypatch, last):
+    """A call that ends after a step is finished by the next: one event per deletion, no garbage left."""
+    root, log, store = (str(tmp_path / name) for name in ("catalog", "log", "store"))
+    rows = [(name, "s", "p", "full", n, 1, "gzip") for n, name in enumerate("abc")]
+    files.publish(frame(spark, rows), root)
+    artifacts = spark.createDataFrame(
+        [("a", "p", 1, b"old bytes"), ("b", "p", 2, b"older bytes!"), ("c", "p", 3, b"new bytes")],
+        "run_id string, profile string, run_seq long, content binary")
+    blocks = chunks.chunk(artifacts, 4, with_data=True)
+    chunks.append_store(blocks, store)
+    policies = retention.resolve_policies(frame(spark, rows).select("profile").distinct(), [], {"keep_last": 1})
+
+    def apply():
+        return retention.apply_retention(
+            spark, root, policies, ["profile"], 10, log, "00:00:00 2024-01-31", store, blocks.drop("data"))
+
+    owner = chunks if last == "collect_garbage" else retention
+    step = getattr(owner, last)
+
+    def cut_off(*args, **more):
+        step(*args, **more)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(owner, last, cut_off)
+        with pytest.raises(RuntimeError):
+            apply()
+    for _ in range(2):
+        assert [r.run_id for r in apply().collect()] == ["c"]
+    events = [(r.event, r.payload_json) for r in event_log.scan_events(spark, log).collect()]
+    assert sorted(e for e, _ in events) == ["retention.chunks_gc"] + ["retention.deleted"] * 2
+    assert len(set(events)) == 3 and any('"chunks_deleted":4' in p for _, p in events)
+    assert chunks.garbage(chunks.read_store(spark, store), blocks.filter("run_id = 'c'")).isEmpty()
+    assert retention.open_intents(spark, root) == []
+
+
+def test_nothing_there_yet(spark, tmp_path):
+    """Absent logs, stores, catalogues and counts are empty, with their columns."""
+    root = str(tmp_path / "none")
+    assert event_log.scan_events(spark, root).select("at", "event", "payload.profile", "line_no").count() == 0
+    assert chunks.list_store(chunks.read_store(spark, root)).count() == 0
+    assert chunks.collect_garbage(spark, root, chunks.read_store(spark, root)) == 0
+    for profiles in (None, ["p"]):
+        assert catalogue.scan_manifests(spark, root, profiles).select("run_id", "finished_ms").count() == 0
+        assert catalogue.scan_run_folders(spark, root, profiles).select("run_dir", "profile").count() == 0
+    assert snapshot.catalog_of(spark, root).count() == 0
+    assert counts.read_counts(spark, root).select("profile", "n").count() == 0
+    policies = spark.createDataFrame([("p", 1, None)], "profile string, keep_last long, max_age_days long")
+    left = retention.apply_retention(spark, root, policies, ["server_id", "profile"], 1, root, "00:00:00 2024-01-31")
+    assert left.count() == 0 and "server_id" in left.columns
