@@ -1,15 +1,21 @@
 """Table snapshots, restores and content comparison.
 
 A full snapshot holds all rows. A differential or incremental one holds only changed rows with their
-``_change`` in number of copies, so tables with repeated rows come back exactly.
+``_change`` in number of copies, so tables with repeated rows come back exactly. Rows are kept in buckets by their
+digest, and every snapshot has a tree of checksums over its buckets (``digest_index``).
 """
 
+import datetime
+import functools
 import json
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekeeper.errors import KeeperError
+from tablekeeper.operators import digest_index as index
 from tablekeeper.operators import retention
 from tablekeeper.operators.history import latest_runs
 from tablekeeper.operators.lineage import DIFFERENTIAL, FULL, INCREMENTAL
@@ -17,7 +23,7 @@ from tablekeeper.session import checkpoint
 from tablekeeper.sources import catalogue, event_log, files
 from tablekeeper.sources.tables import replace_table
 
-CHANGE = "_change"
+CHANGE = index.CHANGE
 COPIES_PER_ROW = 100_000
 
 
@@ -56,28 +62,10 @@ def expand_copies(rows):
     return once.unionByName(many.select(*columns))
 
 
-def apply_changes(base, changes):
-    """Base rows with a list of changes applied in order."""
-    rows = counted(base)
-    for change in changes:
-        rows = rows.unionByName(change)
-    return expand_copies(total_change(rows))
-
-
 def _digest(columns):
     return F.xxhash64(*sorted(columns)).cast("decimal(20,0)")
 
 
-def fingerprint_change(delta):
-    """(rows, checksum) that a list of changes adds to the fingerprint of its base."""
-    change = F.col(CHANGE)
-    digest = _digest([c for c in delta.columns if c != CHANGE])
-    rows, checksum = delta.agg(
-        F.coalesce(F.sum(change), F.lit(0)), F.coalesce(F.sum(change * digest), F.lit(0)).cast("string")
-    ).first()
-    return rows, int(checksum)
-
-
 def fingerprint(df):
     """Row count and an order-free checksum, in one row."""
     digest = _digest(df.columns)
@@ -118,7 +106,7 @@ def schema_id(df):
 
 
 def catalog_of(spark, root, table=None):
-    """Snapshots below ``root`` that have not been deleted."""
+    """Snapshots below ``root`` that have not been deleted; none before the first."""
     runs = catalogue.scan_manifests(spark, f"{root}/manifests", [table] if table else None)
     if files.exists(spark, f"{root}/deleted"):
         gone = spark.read.schema("profile string, run_id string").json(f"{root}/deleted")
@@ -126,53 +114,63 @@ def catalog_of(spark, root, table=None):
     return runs
 
 
-def _run_rows(spark, root, table):
-    """Manifests of one table; a list of snapshots is small."""
-    try:
-        rows = catalog_of(spark, root, table).collect()
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return []
-        raise
-    return sorted(rows, key=lambda r: (r["finished_ms"], r["mtime_ms"], r["run_id"]))
+def _newest(runs):
+    """The newest manifest as a row, None without any."""
+    return runs.orderBy(*[F.desc(c) for c in retention.ORDER]).first()
 
 
-def snapshot(spark, df, table, root, started_at, mode=FULL, run_id=None):
+def _tree_path(root, run):
+    return run["artifact_path"].replace(f"{root}/data/", f"{root}/trees/", 1)
+
+
+def tree(spark, root, run):
+    """Checksums of a snapshot's buckets and of the groups above them."""
+    return index.read_tree(spark.read.schema(index.TREE_SCHEMA).parquet(_tree_path(root, run)))
+
+
+def snapshot(spark, df, table, root, started_at, mode=FULL, run_id=None, buckets=index.BUCKETS):
     """Take a snapshot of ``df`` as ``table``; returns its run id.
 
-    Without a run to build on, a differential or incremental snapshot becomes a full one.
+    Without a run to build on, a differential or incremental snapshot becomes a full one. A full one keeps the
+    rows in ``buckets`` by their digest; later ones follow its number.
     """
     if mode not in (FULL, DIFFERENTIAL, INCREMENTAL):
         raise KeeperError(f"unknown snapshot mode {mode!r}")
-    earlier = [] if mode == FULL else _run_rows(spark, root, table)
-    if mode == DIFFERENTIAL:
-        earlier = [r for r in earlier if r["backup_type"] == FULL]
-    parent = earlier[-1] if earlier else None
+    parent = None
+    if mode != FULL:
+        earlier = catalog_of(spark, root, table)
+        parent = _newest(earlier.where(F.col("backup_type") == FULL) if mode == DIFFERENTIAL else earlier)
     run_id = run_id or uuid.uuid4().hex[:12]
     run_dir = f"{started_at:%Y%m%dT%H%M%S}_{run_id}"
     path = f"{root}/data/{table}/{run_dir}"
     if parent is None:
         mode, chain, parts = FULL, [], [path]
-        df.write.parquet(path)
-        row_count, checksum = fingerprint(spark.read.parquet(path)).first()
+        index.write_indexed(index.with_digest(df, buckets), path)
+        leaves = index.leaves(index.read_indexed(spark, path, df.schema))
     else:
         if parent["metadata"]["schema"] != schema_id(df):
             raise KeeperError(f"columns of {table!r} changed, take a full snapshot")
+        buckets = int(parent["metadata"]["buckets"])
         chain = [*parent["chain"], parent["run_id"]]
-        difference(_contents(spark, root, table, parent), df).write.parquet(path)
+        new = counted(index.with_digest(df, buckets))
+        index.write_indexed(index.changes(_indexed(spark, root, table, parent, df.schema), new), path)
         parts = [*_parts(spark, root, table, parent), path]
-        # the source is read once: what was written says how the fingerprint moves
-        rows, moved = fingerprint_change(spark.read.parquet(path))
-        row_count = int(parent["metadata"]["row_count"]) + rows
-        checksum = int(parent["metadata"]["checksum"]) + moved
+        # what was written says how the checksums move
+        delta = index.read_indexed(spark, path, _with_change(df.schema))
+        before = spark.read.schema(index.TREE_SCHEMA).parquet(_tree_path(root, parent))
+        leaves = index.leaves(delta, F.col(CHANGE)).unionByName(
+            before.where(F.col("level") == index.depth_of(buckets)).select("node", *index.SUMS))
+    nodes = index.tree_of(leaves, buckets)
+    index.tree_rows(spark, nodes).coalesce(1).write.parquet(_tree_path(root, {"artifact_path": path}))
+    row_count, *sums = index.root_of(nodes)
     stamp = f"{started_at:%H:%M:%S %Y-%m-%d}"
     row = {
         "run_id": run_id, "profile": table, "db_type": "table", "backup_type": mode,
         "started_at": stamp, "finished_at": stamp, "duration_ms": 0, "artifact_path": path,
         "compression": "chunked" if parent else "none", "source": {"table": table},
         "metadata": {
-            "schema": schema_id(df), "row_count": str(row_count), "checksum": str(checksum),
-            "parts": json.dumps(parts),
+            "schema": schema_id(df), "row_count": str(row_count), "checksum": ":".join(map(str, sums)),
+            "parts": json.dumps(parts), "buckets": str(buckets), "fields": df.schema.json(),
         },
         "parent_run_id": parent["run_id"] if parent else None, "chain": chain,
     }
@@ -182,26 +180,61 @@ def snapshot(spark, df, table, root, started_at, mode=FULL, run_id=None):
 
 
 def _find(spark, root, table, run_id):
-    for row in _run_rows(spark, root, table):
-        if row["run_id"] == run_id or row["artifact_path"] == run_id:
-            return row
-    raise KeeperError(f"no snapshot {run_id!r} of {table!r}")
+    wanted = (F.col("run_id") == run_id) | (F.col("artifact_path") == run_id)
+    row = _newest(catalog_of(spark, root, table).where(wanted))
+    if row is None:
+        raise KeeperError(f"no snapshot {run_id!r} of {table!r}")
+    return row
+
+
+def _latest(spark, root, table):
+    row = _newest(catalog_of(spark, root, table))
+    if row is None:
+        raise KeeperError(f"no snapshots of {table!r}")
+    return row
+
+
+def _schema(run):
+    return T.StructType.fromJson(json.loads(run["metadata"]["fields"]))
+
+
+def _with_change(schema):
+    return T.StructType([*schema.fields, T.StructField(CHANGE, T.LongType())])
 
 
 def _parts(spark, root, table, run):
     """Folders a snapshot is made of: a full one and the changes after it."""
     if "parts" in run["metadata"]:
         return json.loads(run["metadata"]["parts"])
-    by_id = {r["run_id"]: r for r in _run_rows(spark, root, table)}
+    chain = catalog_of(spark, root, table).where(F.col("run_id").isin(list(run["chain"])))
+    by_id = {r["run_id"]: r["artifact_path"] for r in chain.select("run_id", "artifact_path").collect()}
     lost = [r for r in run["chain"] if r not in by_id]
     if lost:
         raise KeeperError(f"snapshot {run['run_id']!r} needs deleted snapshot {lost[0]!r}")
-    return [by_id[r]["artifact_path"] for r in run["chain"]] + [run["artifact_path"]]
+    return [by_id[r] for r in run["chain"]] + [run["artifact_path"]]
+
 
+def _read_parts(spark, root, table, run, schema, buckets=None):
+    full, *deltas = _parts(spark, root, table, run)
+    base = index.read_indexed(spark, full, schema, buckets)
+    changed = [index.read_indexed(spark, path, _with_change(schema), buckets) for path in deltas]
+    return base, functools.reduce(DataFrame.unionByName, changed) if changed else None
 
-def _contents(spark, root, table, run):
-    full, *changes = [spark.read.parquet(path) for path in _parts(spark, root, table, run)]
-    return apply_changes(full, changes) if changes else full
+
+def _indexed(spark, root, table, run, schema, buckets=None):
+    """Indexed rows of a snapshot with their copies; a row may come in several pieces that add up."""
+    base, deltas = _read_parts(spark, root, table, run, schema, buckets)
+    return counted(base) if deltas is None else counted(base).unionByName(deltas)
+
+
+def _contents(spark, root, table, run, buckets=None):
+    """Rows of a snapshot. Only rows that a later change touches are exchanged."""
+    base, deltas = _read_parts(spark, root, table, run, _schema(run), buckets)
+    columns = index.plain_columns(base)
+    if deltas is None:
+        return base.select(*columns)
+    same, touched = index.apply_deltas(base, deltas)
+    return same.select(*columns).unionByName(expand_copies(touched.select(*columns, CHANGE)))
 
 
 def contents(spark, root, table, run_id):
@@ -209,6 +242,15 @@ def contents(spark, root, table, run_id):
     return _contents(spark, root, table, _find(spark, root, table, run_id))
 
 
+def stored_changes(spark, root, table, run_id):
+    """Rows that a differential or incremental snapshot stored, with their change in copies."""
+    run = _find(spark, root, table, run_id)
+    if run["backup_type"] == FULL:
+        raise KeeperError(f"snapshot {run_id!r} is a full one")
+    rows = index.read_indexed(spark, run["artifact_path"], _with_change(_schema(run)))
+    return rows.select(*index.plain_columns(rows), CHANGE)
+
+
 def restore(spark, root, table, run_id, target, like=None):
     """Replace the table at ``target`` by a snapshot; ``like`` is a DataFrame it must match."""
     run = _find(spark, root, table, run_id)
@@ -232,9 +274,46 @@ def prune(spark, root, plan, log, timestamp):
     needed = left.select(F.explode(parts).alias("path"))
     written = catalogue.scan_manifests(spark, f"{root}/manifests").select(F.col("artifact_path").alias("path"))
     files.delete_folders(spark, written.join(needed, "path", "left_anti"))
+    trees = F.replace(F.col("path"), F.lit(f"{root}/data/"), F.lit(f"{root}/trees/"))
+    gone = written.join(left.select(F.col("artifact_path").alias("path")), "path", "left_anti")
+    files.delete_folders(spark, gone.select(trees))
     return left
 
 
+# --- comparison through the trees ------------------------------------------------------------------
+
+def changes_between(spark, root, table, older, newer):
+    """(changed rows with their change in copies, buckets read) between two snapshots of a table.
+
+    Trees are compared from the root down; rows are read only in buckets that differ.
+    """
+    a, b = (_find(spark, root, table, run_id) for run_id in (older, newer))
+    if a["metadata"]["schema"] != b["metadata"]["schema"]:
+        raise KeeperError(f"columns of {table!r} changed between the snapshots")
+    schema, n = _schema(a), int(a["metadata"]["buckets"])
+    if int(b["metadata"]["buckets"]) != n:
+        raise KeeperError("the snapshots have different numbers of buckets")
+    buckets = index.differing_buckets(tree(spark, root, a), tree(spark, root, b), n)
+    old, new = (_indexed(spark, root, table, run, schema, buckets) for run in (a, b))
+    changed = index.changes(old, new)
+    return changed.select(*index.plain_columns(changed), CHANGE), buckets
+
+
+def changes_since(spark, root, table, run_id, df):
+    """The same between a snapshot and the rows of ``df``, which is read once for its tree, and once more if
+    any bucket differs."""
+    run = _find(spark, root, table, run_id)
+    if run["metadata"]["schema"] != schema_id(df):
+        raise KeeperError(f"snapshot {run_id!r} does not match the columns of the table")
+    n = int(run["metadata"]["buckets"])
+    rows = index.with_digest(df, n)
+    live = index.tree_of(index.leaves(rows), n)
+    buckets = index.differing_buckets(tree(spark, root, run), live, n)
+    old = _indexed(spark, root, table, run, df.schema, buckets)
+    changed = index.changes(old, counted(rows.where(F.col(index.BUCKET).isin(buckets))))
+    return changed.select(*index.plain_columns(changed), CHANGE), buckets
+
+
 def select_names(tables=None, collections=None, database=None):
     """Names asked for, blanks dropped; None means everything.
 
@@ -264,29 +343,99 @@ def restore_selected(spark, root, target, names=None):
     return sorted(found)
 
 
-def verify_latest(spark, root, table, target, source=None):
-    """Restore the newest snapshot into ``target`` and compare; returns one result row.
+# --- verification ----------------------------------------------------------------------------------
 
-    The restored rows are compared with the fingerprint in the manifest, and with ``source`` when
-    that is given.
+RESULT_SCHEMA = (
+    "profile string, profiles array<string>, target_profile string, db_type string, backup_type string, "
+    "run_id string, artifact_path string, started_at string, finished_at string, duration_ms bigint, "
+    "row_count bigint, buckets_checked int, buckets_differing int, restore_status string, "
+    "comparison_status string, status string"
+)
+
+
+def verification_target(settings, source, explicit=None):
+    """Name of the profile to verify ``source`` in: the explicit one over the configured one.
+
+    ``settings`` has (db_type, verification target or None) by profile. The target must be another profile of
+    the same type.
+    """
+    for name in (source, explicit):
+        if name is not None and name not in settings:
+            raise KeeperError(f"unknown profile {name!r}")
+    kind, configured = settings[source]
+    target = explicit or configured
+    if not target:
+        raise KeeperError(f"profile {source!r} has no verification target")
+    if target not in settings:
+        raise KeeperError(f"unknown profile {target!r}")
+    if target == source:
+        raise KeeperError("the verification target must be another profile")
+    if settings[target][0] != kind:
+        raise KeeperError(f"verification needs one type, {source!r} has {kind!r}, {target!r} has {settings[target][0]!r}")
+    return target
+
+
+def _stamp(moment):
+    return f"{moment:%H:%M:%S %Y-%m-%d}"
+
+
+def verify_latest(spark, root, table, target, source=None, target_profile=None, log=None):
+    """Restore the newest snapshot into the folder ``target`` and compare; returns one result row.
+
+    The tree of the restored rows is compared with the one stored with the snapshot, and then with the tree of
+    ``source`` where that is given; of its rows nothing else is read. With ``log``, the events
+    ``verification.started`` and ``verification.completed`` or ``verification.failed`` are appended; an error is
+    logged as the latter and raised.
     """
-    runs = _run_rows(spark, root, table)
-    if not runs:
-        raise KeeperError(f"no snapshots of {table!r}")
-    run = runs[-1]
     if target.startswith(f"{root}/"):
         raise KeeperError("verification needs a target outside the snapshot folder")
-    replace_table(_contents(spark, root, table, run), target)
-    restored = spark.read.parquet(target)
-    found = fingerprint(restored).withColumn("run_id", F.lit(run["run_id"]))
-    noted = run["metadata"]
-    same = (F.col("row_count") == int(noted["row_count"])) & (F.col("checksum") == noted["checksum"])
-    if source is not None:
-        found = found.withColumn("_one", F.lit(1)).join(
-            same_contents(source, restored).select("same", F.lit(1).alias("_one")), "_one"
-        )
-        same = same & F.col("same")
-    return found.select(
-        F.lit(table).alias("profile"), "run_id", "row_count",
-        F.when(same, "verified").otherwise("failed").alias("status"),
-    )
+    run = _latest(spark, root, table)
+    target_profile = target_profile or target.rstrip("/").rsplit("/", 1)[-1]
+    about = {"profile": table, "profiles": [table, target_profile], "target_profile": target_profile,
+             "run_id": run["run_id"], "artifact_path": run["artifact_path"]}
+
+    def tell(event, **more):
+        if log is not None:
+            line = json.dumps({"event": event, "payload": {**about, **more}, "timestamp": _stamp(_now())}, sort_keys=True)
+            spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(log)
+
+    tell("verification.started")
+    started = _now()
+    try:
+        replace_table(_contents(spark, root, table, run), target)
+        n = int(run["metadata"]["buckets"])
+
+        def live(df):
+            return index.tree_of(index.leaves(index.with_digest(df, n)), n)
+
+        stored = tree(spark, root, run)
+        restored = live(spark.read.schema(_schema(run)).parquet(target))
+        differing = set(index.differing_buckets(stored, restored, n))
+        if source is not None:
+            differing |= set(index.differing_buckets(stored, live(source), n))
+    except Exception as error:
+        tell("verification.failed", error=str(error)[:2000])
+        raise
+    finished = _now()
+    status = "failed" if differing else "verified"
+    result = {
+        **about, "db_type": run["db_type"], "backup_type": run["backup_type"], "started_at": _stamp(started),
+        "finished_at": _stamp(finished), "duration_ms": int((finished - started).total_seconds() * 1000),
+        "row_count": index.root_of(restored)[0], "buckets_checked": n, "buckets_differing": len(differing),
+        "restore_status": "completed", "comparison_status": "differs" if differing else "same", "status": status,
+    }
+    if differing:
+        tell("verification.failed", error=f"{len(differing)} of {n} buckets differ")
+    else:
+        tell("verification.completed", **{k: v for k, v in result.items() if k not in about})
+    return spark.createDataFrame([result], RESULT_SCHEMA)
+
+
+def _now():
+    return datetime.datetime.now(datetime.timezone.utc)
+
+
+def verify_profile(spark, root, source, settings, places, explicit=None, table_now=None, log=None):
+    """``verify_latest`` of profile ``source`` in the folder that ``places`` has for its verification target."""
+    target = verification_target(settings, source, explicit)
+    return verify_latest(spark, root, source, places[target], table_now, target, log)

@@ -60,19 +60,77 @@ def table_snapshot_full(spark, folder):
     return _shown(sn.contents(spark, root, "orders", run))
 
 
-@query("table_snapshot_delta", """WITH
-old AS (SELECT l_returnflag, l_linestatus, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL),
-new AS (SELECT l_returnflag, CASE WHEN l_discount > 0.05 THEN 'X' ELSE l_linestatus END
-  AS l_linestatus, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT l_returnflag, l_linestatus, l_quantity, coalesce(new.n, 0) - coalesce(old.n, 0) AS _change
-FROM old FULL JOIN new USING (l_returnflag, l_linestatus, l_quantity)
-WHERE coalesce(new.n, 0) <> coalesce(old.n, 0)""")
-def table_snapshot_delta(spark, folder):
-    items = load(spark, folder, "lineitem")
+ITEMS = "lineitem"
+ITEM_TIMES = "* REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate)"
+MARKED = "* REPLACE (CASE WHEN l_discount > 0.05 THEN 'X' ELSE l_linestatus END AS l_linestatus)"
+
+
+def _marked(items):
     line = F.when(F.col("l_discount") > 0.05, "X").otherwise(F.col("l_linestatus"))
-    names = ["l_returnflag", "l_linestatus", "l_quantity"]
-    new = items.withColumn("l_linestatus", line).select(*names)
-    return sn.difference(items.select(*names), new)
+    return items.withColumn("l_linestatus", line)
+
+
+@query("table_snapshot_delta", f"""SELECT * EXCLUDE (n), CAST(sum(n) AS BIGINT) AS _change FROM (
+  SELECT {ITEM_TIMES}, 1 AS n FROM (SELECT {MARKED} FROM lineitem)
+  UNION ALL SELECT {ITEM_TIMES}, -1 FROM lineitem)
+GROUP BY ALL HAVING sum(n) <> 0""")
+def table_snapshot_delta(spark, folder):
+    """What a differential snapshot of the whole lineitem table stores after its full one."""
+    root, items = work_dir(spark, "snapshots"), load(spark, folder, ITEMS)
+    sn.snapshot(spark, items, ITEMS, root, START)
+    run = sn.snapshot(spark, _marked(items), ITEMS, root, START + datetime.timedelta(hours=1), "differential")
+    stored = sn.stored_changes(spark, root, ITEMS, run)
+    return stored.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
+
+
+# One order in a hundred changes its price, and one in 250 goes.
+FEW = """few AS (SELECT * REPLACE (CASE WHEN o_orderkey % 100 = 7 THEN o_totalprice + 1 ELSE o_totalprice END
+  AS o_totalprice) FROM first_v WHERE o_orderkey % 250 <> 3)"""
+
+
+def _few(orders):
+    key = F.col("o_orderkey")
+    price = F.when(key % 100 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return orders.filter(key % 250 != 3).withColumn("o_totalprice", price)
+
+
+def _few_history(spark, folder):
+    root = work_dir(spark, "snapshots")
+    orders, _, _ = _versions(spark, folder)
+    ids = [sn.snapshot(spark, df, "orders", root, START + datetime.timedelta(hours=i), "incremental")
+           for i, df in enumerate((orders, _few(orders), _few(orders)))]
+    return root, ids, orders
+
+
+@query("table_restore_small_delta", f"WITH {VERSIONS}, {FEW} SELECT {SHOWN} FROM few")
+def table_restore_small_delta(spark, folder):
+    """Full snapshot, small change, no change: the newest restored."""
+    root, ids, _ = _few_history(spark, folder)
+    target = work_dir(spark, "restored")
+    sn.restore(spark, root, "orders", ids[-1], target)
+    return _shown(st.read_table(spark, target))
+
+
+@query("table_compare_snapshots", f"""WITH {VERSIONS}, {FEW},
+moved AS (SELECT * EXCLUDE (n), CAST(sum(n) AS BIGINT) AS _change FROM (
+  SELECT {SHOWN}, 1 AS n FROM few UNION ALL SELECT {SHOWN}, -1 FROM first_v) GROUP BY ALL HAVING sum(n) <> 0)
+SELECT *, CAST(0 AS BIGINT) AS buckets_read_again FROM moved""")
+def table_compare_snapshots(spark, folder):
+    """Rows by which the first and the second snapshot differ; the second and the third read no bucket."""
+    root, ids, _ = _few_history(spark, folder)
+    changed, _ = sn.changes_between(spark, root, "orders", ids[0], ids[1])
+    _, again = sn.changes_between(spark, root, "orders", ids[1], ids[2])
+    return _shown(changed).withColumn("buckets_read_again", F.lit(len(again)).cast("bigint"))
+
+
+@query("table_source_drift", f"""WITH {VERSIONS}, {FEW}
+SELECT * EXCLUDE (n), CAST(sum(n) AS BIGINT) AS _change FROM (
+  SELECT {SHOWN}, 1 AS n FROM first_v UNION ALL SELECT {SHOWN}, -1 FROM few) GROUP BY ALL HAVING sum(n) <> 0""")
+def table_source_drift(spark, folder):
+    """Rows by which the live table differs from its newest snapshot."""
+    root, ids, orders = _few_history(spark, folder)
+    changed, _ = sn.changes_since(spark, root, "orders", ids[-1], orders)
+    return _shown(changed)
 
 
 @query("table_restore_chain", f"WITH {VERSIONS} SELECT {SHOWN} FROM third_v")
@@ -119,14 +177,45 @@ def table_restore_selected(spark, folder):
     return rows.groupBy("restored").agg(F.count(F.lit(1)).alias("n"))
 
 
+SETTINGS = {"orders": ("table", "orders-check"), "orders-check": ("table", None), "spare": ("table", None)}
+RESULT = ["profile", "target_profile", "db_type", "backup_type", "row_count", "buckets_checked", "buckets_differing",
+          "restore_status", "comparison_status", "status"]
+
+
 @query("table_verify_latest", f"""WITH {VERSIONS}
-SELECT 'orders' AS profile, count(*) AS row_count, 'verified' AS status FROM third_v""")
+SELECT 'orders' AS profile, 'orders-check' AS target_profile, 'table' AS db_type, 'incremental' AS backup_type,
+  count(*) AS row_count, 32 AS buckets_checked, 0 AS buckets_differing, 'completed' AS restore_status,
+  'same' AS comparison_status, 'verified' AS status,
+  'verification.started,verification.completed' AS events FROM third_v""")
 def table_verify_latest(spark, folder):
+    """The newest snapshot restored in the configured target and compared with the live table."""
+    root, _ = _history(spark, folder)
+    _, _, third = _versions(spark, folder)
+    log = work_dir(spark, "log")
+    result = sn.verify_profile(
+        spark, root, "orders", SETTINGS, {"orders-check": work_dir(spark, "verified")}, table_now=third, log=log)
+    return _with_events(spark, result, log)
+
+
+def _with_events(spark, result, log):
+    events = event_log.scan_events(spark, log).agg(F.array_join(F.sort_array(F.collect_list("event"), asc=False), ",").alias("events"))
+    return result.select(*RESULT, events.scalar().alias("events"))
+
+
+@query("table_verify_differing", f"""WITH {VERSIONS}
+SELECT 'orders' AS profile, 'spare' AS target_profile, 'table' AS db_type, 'incremental' AS backup_type,
+  count(*) AS row_count, 32 AS buckets_checked, (SELECT count(*) > 0 FROM first_v WHERE o_orderkey % 100 = 7)
+  AS differs, 'completed' AS restore_status, 'differs' AS comparison_status, 'failed' AS status,
+  'verification.started,verification.failed' AS events FROM third_v""")
+def table_verify_differing(spark, folder):
+    """The live table has moved on since; the target is named and goes before the configured one."""
     root, _ = _history(spark, folder)
     _, _, third = _versions(spark, folder)
-    return sn.verify_latest(
-        spark, root, "orders", work_dir(spark, "verified"), third
-    ).drop("run_id")
+    log = work_dir(spark, "log")
+    result = sn.verify_profile(
+        spark, root, "orders", SETTINGS, {"spare": work_dir(spark, "verified")}, "spare", _few(third), log)
+    return _with_events(spark, result, log).withColumn("differs", F.col("buckets_differing") > 0).drop(
+        "buckets_differing")
 
 
 @query("table_compare_rows", f"""WITH {VERSIONS}
@@ -159,18 +248,14 @@ def table_same_contents(spark, folder):
     return sn.same_contents(first, second)
 
 
-@query("table_compressed_sink", """SELECT 'gzip' AS codec, count(*) AS n, sum(o_totalprice) > 0 AS filled
-FROM orders UNION ALL SELECT 'none', count(*), sum(o_totalprice) > 0 FROM orders""")
+@query("table_compressed_sink", f"""SELECT 'gzip' AS codec, {SHOWN} FROM (SELECT {COLUMNS} FROM orders)
+UNION ALL SELECT 'none', {SHOWN} FROM (SELECT {COLUMNS} FROM orders)""")
 def table_compressed_sink(spark, folder):
-    orders = load(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    """All written values, read back with the codec of their files."""
+    orders = load(spark, folder, "orders").select(*COLUMNS.split(", "))
     parts = []
     for codec in (st.compression_for(), st.compression_for(disabled=True)):
         path = work_dir(spark, "lines")
         st.write_lines(orders, path, codec)
-        parts.append(
-            spark.read.schema(orders.schema).json(path)
-            .select(st.file_codec().alias("codec"), "o_totalprice")
-        )
-    return parts[0].unionAll(parts[1]).groupBy("codec").agg(
-        F.count(F.lit(1)).alias("n"), (F.sum("o_totalprice") > 0).alias("filled")
-    )
+        parts.append(spark.read.schema(orders.schema).json(path).select(st.file_codec().alias("codec"), "*"))
+    return _shown(parts[0].unionAll(parts[1]))

@@ -1,8 +1,11 @@
 import datetime
+import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
+from tablekeeper.operators import digest_index as index
 from tablekeeper.operators import retention
 from tablekeeper.operators import snapshot as sn
 from tablekeeper.sources import event_log, files
@@ -133,3 +136,102 @@ def test_pruned_base_keeps_later_snapshots(spark, tmp_path):
     assert [p.name[-12:] for p in (tmp_path / "snap" / "data" / "t").iterdir()] == [ids[3]]
     assert rows(sn.contents(spark, root, "t", ids[3])) == states[3]
     assert event_log.scan_events(spark, log).count() == 3
+
+
+def numbers(spark, n, changed=()):
+    value = F.when(F.col("id").isin(list(changed)), -1).otherwise(F.col("id") * 7)
+    return spark.range(n).select("id", value.cast("long").alias("v"))
+
+
+def test_untouched_rows_pass_without_exchange(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    sn.snapshot(spark, numbers(spark, 20_000), "t", root, T0)
+    run = sn.snapshot(spark, numbers(spark, 20_000, range(50)), "t", root, T0, "incremental")
+    found = sn._find(spark, root, "t", run)
+    same, touched = index.apply_deltas(*sn._read_parts(spark, root, "t", found, sn._schema(found)))
+    assert "Exchange" not in same._jdf.queryExecution().executedPlan().toString()
+    assert touched.count() < 20_000 * 0.1 and same.count() > 20_000 * 0.9
+    assert rows(sn.contents(spark, root, "t", run)) == rows(numbers(spark, 20_000, range(50)))
+    assert sn.stored_changes(spark, root, "t", run).agg(F.sum(F.abs("_change"))).first()[0] == 100
+
+
+def test_comparison_reads_differing_buckets_only(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    ids = [sn.snapshot(spark, numbers(spark, 3000, c), "t", root, T0 + datetime.timedelta(hours=i), "incremental",
+                       buckets=64) for i, c in enumerate(((), (5,), (5,), ()))]
+    changed, buckets = sn.changes_between(spark, root, "t", ids[0], ids[1])
+    assert rows(changed) == [(5, -1, 1), (5, 35, -1)] and 1 <= len(buckets) <= 2
+    assert "PartitionFilters: [isnotnull(__bucket" in changed._jdf.queryExecution().toString() or "__bucket" in (
+        changed._jdf.queryExecution().toString())
+    assert sn.changes_between(spark, root, "t", ids[1], ids[2])[1] == []
+    assert sn.changes_between(spark, root, "t", ids[0], ids[3])[1] == []  # there and back
+    changed, buckets = sn.changes_since(spark, root, "t", ids[3], numbers(spark, 3000, (5, 6)))
+    assert changed.count() == 4 and len(buckets) <= 4
+    with pytest.raises(KeeperError, match="columns"):
+        sn.changes_since(spark, root, "t", ids[3], spark.range(3))
+
+
+@pytest.mark.parametrize("buckets", [1, 8, 20, 64])
+def test_trees(spark, buckets):
+    left = index.with_digest(numbers(spark, 500), buckets)
+    right = index.with_digest(numbers(spark, 500, (3, 77)), buckets)
+    trees = [index.tree_of(index.leaves(df), buckets) for df in (left, right)]
+    want = {r["__bucket"] for df in (left, right) for r in df.where("id IN (3, 77)").collect()}
+    assert set(index.differing_buckets(*trees, buckets)) == want
+    assert index.differing_buckets(trees[0], trees[0], buckets) == []
+    assert index.root_of(trees[0])[0] == 500 and index.root_of({}) == (0, 0, 0)
+    assert index.read_tree(index.tree_rows(spark, trees[0])) == trees[0]
+    empty = index.tree_of(index.leaves(left.where("false")), buckets)
+    assert len(index.differing_buckets(trees[0], empty, buckets)) == left.select("__bucket").distinct().count()
+
+
+def test_digests_tell_nulls_apart(spark):
+    schema = "a string, b string, c array<string>, d struct<x: int, y: int>"
+    data = [(None, "x", None, None), ("x", None, None, None), (None, None, ["x", None], None),
+            (None, None, [None, "x"], None), (None, None, None, (1, None)), (None, None, None, (None, 1)),
+            (None, None, None, (None, None)), (None, None, [], None)]
+    df = index.with_digest(spark.createDataFrame(data, schema))
+    assert df.select(*index.DIGEST).distinct().count() == len(data)
+
+
+def test_a_row_of_very_many_copies(spark, tmp_path):
+    """Most rows are one row; its copies change, others stay."""
+    root = str(tmp_path / "snap")
+
+    def version(copies):
+        return spark.range(copies).select(F.lit(1).alias("a")).unionAll(spark.range(2, 9).select(F.col("id").cast("int")))
+
+    ids = [sn.snapshot(spark, version(n), "t", root, T0 + datetime.timedelta(hours=i), "incremental")
+           for i, n in enumerate((5000, 3000, 0, 10))]
+    for run, n in zip(ids, (5000, 3000, 0, 10)):
+        got = {r.a: r["count"] for r in sn.contents(spark, root, "t", run).groupBy("a").count().collect()}
+        assert got == {**{a: 1 for a in range(2, 9)}, **({1: n} if n else {})}
+
+
+def test_verification(spark, tmp_path):
+    root, log = str(tmp_path / "snap"), str(tmp_path / "log")
+    run = sn.snapshot(spark, numbers(spark, 100), "t", root, T0)
+    places = {"check": str(tmp_path / "check"), "other": str(tmp_path / "other")}
+    settings = {"t": ("table", "check"), "check": ("table", None), "other": ("table", None), "x": ("files", None)}
+    got = sn.verify_profile(spark, root, "t", settings, places, log=log).first()
+    assert (got.target_profile, got.status, got.run_id, got.row_count) == ("check", "verified", run, 100)
+    assert got.profiles == ["t", "check"] and got.duration_ms >= 0 and got.started_at <= got.finished_at
+    got = sn.verify_profile(spark, root, "t", settings, places, "other", numbers(spark, 100, (4,)), log).first()
+    assert (got.target_profile, got.status, got.comparison_status) == ("other", "failed", "differs")
+    assert 1 <= got.buckets_differing <= 2
+    events = [r.event for r in event_log.scan_events(spark, log).collect()]
+    assert sorted(events) == ["verification.completed", "verification.failed"] + ["verification.started"] * 2
+    for source, explicit, match in (("t", "t", "another"), ("t", "x", "one type"), ("other", None, "no verification"),
+                                    ("t", "nope", "unknown")):
+        with pytest.raises(KeeperError, match=match):
+            sn.verification_target(settings, source, explicit)
+
+
+def test_lost_data_is_logged_and_raised(spark, tmp_path):
+    root, log = str(tmp_path / "snap"), str(tmp_path / "log")
+    run = sn.snapshot(spark, numbers(spark, 10), "t", root, T0)
+    shutil.rmtree(sn._find(spark, root, "t", run)["artifact_path"])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        sn.verify_latest(spark, root, "t", str(tmp_path / "check"), log=log)
+    events = [r.event for r in event_log.scan_events(spark, log).collect()]
+    assert sorted(events) == ["verification.failed", "verification.started"]
