@@ -22,14 +22,20 @@ def throttle(events, window_ms=WINDOW_MS, limit=LIMIT, rows_per_task=ROWS_PER_TA
     Ordinary keys are walked through in order, many keys per task. Keys with more events than one
     task should see go another, exact way that never orders a whole key in one place.
     """
+    return windows(events, window_ms, limit, rows_per_task).drop("opened")
+
+
+def windows(events, window_ms=WINDOW_MS, limit=LIMIT, rows_per_task=ROWS_PER_TASK, ties=("id",)):
+    """Events with ``opened`` (when their window began) and ``allowed``; ``ties`` order those of one time."""
+    ties = list(ties)
     sizes = events.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > rows_per_task).select("key")
     if large.isEmpty():
-        return _walk(events, window_ms, limit)
+        return _walk(events, window_ms, limit, ties)
     ordinary = events.join(large, "key", "left_anti")
     hot = events.join(large, "key", "left_semi")
-    return _walk(ordinary, window_ms, limit).unionByName(
-        _jump(hot, window_ms, limit, rows_per_task)
+    return _walk(ordinary, window_ms, limit, ties).unionByName(
+        _jump(hot, window_ms, limit, rows_per_task, ties)
     )
 
 
@@ -41,7 +47,7 @@ def _walker(window_ms, limit):
         for batch in batches:
             at = batch["at"].to_numpy()
             keys = batch["key"].to_numpy()
-            allowed = np.zeros(len(batch), dtype=bool)
+            allowed, opened = np.zeros(len(batch), dtype=bool), np.zeros(len(batch), dtype=np.int64)
             ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(batch))
             start = 0
             for end in ends:
@@ -55,17 +61,18 @@ def _walker(window_ms, limit):
                     stop = start + int(np.searchsorted(at[start:end], reset, side="right"))
                     take = min(limit - used, stop - start)
                     allowed[start : start + take] = True
+                    opened[start:stop] = reset - window_ms
                     used += take
                     start = stop
-            yield batch.assign(allowed=allowed)
+            yield batch.assign(opened=opened, allowed=allowed)
 
     return walk
 
 
-def _walk(events, window_ms, limit):
-    ordered = events.repartition("key").sortWithinPartitions("key", "at", "id")
+def _walk(events, window_ms, limit, ties):
+    ordered = events.repartition("key").sortWithinPartitions("key", "at", *ties)
     fields = ", ".join(f"{name} {kind}" for name, kind in events.dtypes)
-    return ordered.mapInPandas(_walker(window_ms, limit), f"{fields}, allowed boolean")
+    return ordered.mapInPandas(_walker(window_ms, limit), f"{fields}, opened long, allowed boolean")
 
 
 # --- very large keys -----------------------------------------------------------------------------
@@ -101,19 +108,27 @@ def _openings(times, window_ms, rows_per_task):
     return opened
 
 
-def _jump(events, window_ms, limit, rows_per_task):
-    times = checkpoint(events.groupBy("key", "at").agg(F.min("id").alias("id")))
+def _jump(events, window_ms, limit, rows_per_task, ties):
+    times = checkpoint(events.groupBy("key", "at").agg(F.min(F.struct(*ties)).alias("_tie")).select(
+        "key", "at", "_tie.*"))
     opened = _openings(times.select("key", "at"), window_ms, rows_per_task)
     # the opening event is the first one at that time
-    first = times.join(opened, ["key", "at"]).select("key", "at", "id", F.lit(True).alias("_opens"))
+    first = times.join(opened, ["key", "at"]).select("key", "at", *ties, F.lit(True).alias("_opens"))
     sizes = group_sizes(events, ["key"])
     numbered = running(
-        events.join(first, ["key", "at", "id"], "left"), ["key"], ["at", "id"],
+        _left(events, first, ["key", "at", *ties]), ["key"], ["at", *ties],
         {"_n": ("count", None, True)}, rows_per_task, sizes,
-    ).withColumn("_start", F.when(F.col("_opens"), F.col("_n")))
+    ).withColumn("_start", F.when(F.col("_opens"), F.struct(F.col("_n").alias("n"), F.col("at").alias("at"))))
     placed = running(
-        numbered, ["key"], ["at", "id"], {"_from": ("last", "_start", True)}, rows_per_task,
+        numbered, ["key"], ["at", *ties], {"_from": ("last", "_start", True)}, rows_per_task,
         sizes,
     )
-    allowed = F.col("_n") - F.col("_from") < limit
-    return placed.select(*events.columns, allowed.alias("allowed"))
+    allowed = F.col("_n") - F.col("_from.n") < limit
+    return placed.select(*events.columns, F.col("_from.at").alias("opened"), allowed.alias("allowed"))
+
+
+def _left(events, marks, names):
+    """Events with the mark of the same row; NULLs match."""
+    marks = marks.select(*[F.col(n).alias(f"_m_{n}") for n in names], "_opens")
+    same = [F.col(n).eqNullSafe(F.col(f"_m_{n}")) for n in names]
+    return events.join(marks, same, "left").drop(*[f"_m_{n}" for n in names])

@@ -14,7 +14,7 @@ from tablekeeper.plans.registry import query
 from tablekeeper.plans.text_queries import throttle_events, throttle_sql
 from tablekeeper.session import work_dir
 from tablekeeper.sources.event_log import append_event_stream, scan_events, stream_events
-from tablekeeper.streaming import alerts, counts, ingest, throttle
+from tablekeeper.streaming import alerts, counts, ingest, late, throttle
 from tablekeeper.streaming.state import finish, write_parquet
 
 HALF_MS = FIRST_CHECK_MS + 15 * DAY_MS
@@ -78,9 +78,10 @@ def stream_alert_changes(spark, folder):
 
 @query("stream_throttle", throttle_sql(DAY_MS, 2))
 def stream_throttle(spark, folder):
-    events = throttle_events(spark, folder)
-    return _run_in_steps(
-        spark, events, "at", "throttle", lambda stream: throttle.throttle_stream(stream, DAY_MS, 2))
+    events, root = throttle_events(spark, folder), work_dir(spark, "throttle")
+    _in_steps(spark, events, "at", lambda stream: throttle.throttle_stream(
+        stream, root, f"{root}/checkpoint", DAY_MS, 2))
+    return throttle.read_decided(spark, root, "bigint")
 
 
 @query("event_outcome_counts", f"""WITH {RUN_LOG}
@@ -184,6 +185,68 @@ def stream_ingest_outcomes(spark, folder):
     )
 
 
+@query("stream_ingest_again", f"""WITH {WIRE},
+ok AS (SELECT * FROM wire WHERE token_id IS NOT NULL AND reasons = '')
+SELECT server_id AS id, arg_max(server_name, reported_at * 1000000 + seq) AS name, max(reported_at) AS last_seen_at,
+  min(reported_at) AS created_at, (SELECT count(DISTINCT run_id) FROM ok) AS runs,
+  (SELECT count(DISTINCT run_id) FROM ok) AS runs_compacted FROM ok GROUP BY server_id""")
+def stream_ingest_again(spark, folder):
+    """The servers table after the stream, after every report came again under another checkpoint, and after all
+    buckets were merged."""
+    root = _ingested(spark, folder)
+    wire, path = _wire(spark, folder), work_dir(spark, "input")
+    wire.write.parquet(path)
+    finish(ingest.ingest_stream(_stream(spark, path, wire.schema), root, f"{root}/other", tokens(spark, folder)))
+    _, runs = ingest.tables(spark, root)
+    before = runs.count()
+    ingest.compact(spark, root)
+    servers, runs = ingest.tables(spark, root)
+    return servers.select("*", F.lit(before).cast("bigint").alias("runs"),
+                          F.lit(runs.count()).cast("bigint").alias("runs_compacted"))
+
+
+DELAY_MS = 36 * HOUR_MS
+# The reports of the second half, and a copy of every report of the first half that comes with them.
+LATE = f"""{RUN_REPORTS},
+halves AS (
+  SELECT run_id, reported_at, reported_at < {HALF_MS} AS early FROM run_reports
+  UNION ALL SELECT 'again-' || run_id, reported_at, false FROM run_reports WHERE reported_at < {HALF_MS}),
+mark AS (SELECT coalesce(max(reported_at), 0) - {DELAY_MS} AS m FROM run_reports WHERE reported_at < {HALF_MS})"""
+
+
+def _gated(spark, folder):
+    """Reports parted by the gate: the first half, then the rest with copies of the first half."""
+    root, path = work_dir(spark, "gate"), work_dir(spark, "input")
+    reports = run_reports(spark, folder).select("server_id", "run_id", "status", "reported_at")
+    early = reports.where(F.col("reported_at") < HALF_MS)
+    again = early.withColumn("run_id", F.concat(F.lit("again-"), "run_id"))
+    for step in (early, reports.where(F.col("reported_at") >= HALF_MS).unionByName(again)):
+        step.write.mode("append").parquet(path)
+        finish(late.gate(_stream(spark, path, reports.schema), root, f"{root}/checkpoint", "reported_at", DELAY_MS))
+    return root, reports.schema
+
+
+@query("stream_late_rows", f"""WITH {LATE}
+SELECT run_id, reported_at, CASE WHEN early OR reported_at >= m THEN 'on_time' ELSE 'late' END AS part
+FROM halves, mark""")
+def stream_late_rows(spark, folder):
+    """Every row is on time or in quarantine."""
+    root, schema = _gated(spark, folder)
+    parts = [late.read(spark, root, name, schema).select("run_id", "reported_at", F.lit(name).alias("part"))
+             for name in (late.ON_TIME, late.LATE)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("stream_unique_on_time", f"""WITH {LATE}
+SELECT run_id, count(*) AS n FROM halves, mark WHERE early OR reported_at >= m GROUP BY run_id""")
+def stream_unique_on_time(spark, folder):
+    """First reports with bounded state, behind the gate."""
+    root, schema = _gated(spark, folder)
+    on_time = late.stream_on_time(spark, root, schema)
+    unique = _run(spark, ingest.unique_runs(on_time, f"{DELAY_MS} milliseconds"), "unique")
+    return unique.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_unique_runs", f"""WITH {RUN_REPORTS},
 r AS (SELECT * FROM run_reports UNION ALL BY NAME
   SELECT * REPLACE (reported_at + {HOUR_MS} AS reported_at) FROM run_reports)

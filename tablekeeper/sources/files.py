@@ -78,6 +78,13 @@ def delete_folders(spark, paths):
         system.delete(folder, True)
 
 
+def delete_paths(spark, paths):
+    """Delete a few folders given by name; absent ones are passed over."""
+    for path in paths:
+        folder, system = _file_system(spark, path)
+        system.delete(folder, True)
+
+
 def inventory(spark, root):
     """Files and bytes per profile below ``root``; file contents are never read."""
     files = (

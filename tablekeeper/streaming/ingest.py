@@ -1,27 +1,87 @@
 """Reports from the wire to the tables, batch by batch.
 
 Every micro-batch writes folders named after its stream and number, so a batch that runs again replaces what
-it wrote before, and a stream that starts anew leaves the rows of the one before. The servers and runs tables follow from the accepted reports.
+it wrote before, and a stream that starts anew leaves the rows of the one before. Then it is merged into the servers and
+runs tables, which are kept in buckets: a batch adds deltas to the buckets that it touches, and reading meets the
+rest as it is.
 """
 
 from pyspark.sql import functions as F
 
 from tablekeeper.operators import ingest
-from tablekeeper.sources import files
+from tablekeeper.sources import files, keyed_table
+from tablekeeper.sources.keyed_table import KeyedTable
+from tablekeeper.streaming.state import use_state_store
 
 PARTS = ("accepted", "rejected", "audit")
+AUDIT_SCHEMA = "id bigint, at bigint, event string, actor string, ip string, detail string"
 
 
 def write_batch(reports, batch, root, tokens, shared_token=None, stream="batches"):
-    """Authorise, fill and check one batch of raw reports; three folders below ``root``."""
+    """Authorise, check and fill one batch of raw reports; three folders below ``root``, and the two tables."""
     checked = ingest.authorise(reports, tokens, shared_token)
     known = checked.filter("authorised").drop("authorised", "token", "forwarded_for", "real_ip")
     valid, rejected = ingest.split_valid(ingest.normalise(known))
     parts = {"accepted": valid, "rejected": rejected, "audit": ingest.unauthorised_audit(checked)}
     for name, rows in parts.items():
         rows.write.mode("overwrite").parquet(f"{root}/{name}/stream={stream}/batch={batch}")
+    spark = reports.sparkSession
+    schema = valid.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ")
+    if not files.exists(spark, f"{root}/columns"):
+        spark.createDataFrame([(schema,)], "value string").coalesce(1).write.mode("ignore").text(f"{root}/columns")
+    accepted = spark.read.schema(valid.schema).parquet(f"{root}/accepted/stream={stream}/batch={batch}")
+    keyed_table.append(_seen(accepted), servers_table(root), stream, batch)
+    keyed_table.append(accepted, runs_table(root, schema), stream, batch)
 
 
+# --- tables --------------------------------------------------------------------------------------
+
+def _seen(reports):
+    return reports.select(
+        F.col("server_id").alias("id"), F.struct("reported_at", "seq", "server_name").alias("newest"),
+        F.col("reported_at").alias("last_seen_at"), F.col("reported_at").alias("created_at"))
+
+
+def _merged_servers(rows):
+    return rows.groupBy("id").agg(
+        F.max("newest").alias("newest"), F.max("last_seen_at").alias("last_seen_at"),
+        F.min("created_at").alias("created_at"))
+
+
+def servers_table(root):
+    """Every server once, with the report that named it last."""
+    schema = ("id string, newest struct<reported_at: bigint, seq: bigint, server_name: string>, "
+              "last_seen_at bigint, created_at bigint")
+    return KeyedTable(f"{root}/tables/servers", schema, ("id",), _merged_servers)
+
+
+def runs_table(root, schema):
+    """The first report of every run id."""
+    return KeyedTable(f"{root}/tables/runs", schema, ("run_id",), ingest.first_reports)
+
+
+def _columns(spark, root):
+    if not files.exists(spark, f"{root}/columns"):
+        return ", ".join(f"{c} {'bigint' if c in ingest.NUMBERS else 'string'}" for c in ingest.REPORT_COLUMNS) + (
+            ", reported_at bigint, seq bigint")
+    return spark.read.text(f"{root}/columns").first()[0]
+
+
+def tables(spark, root):
+    """(servers, runs) from everything accepted so far."""
+    servers = keyed_table.read(spark, servers_table(root)).select(
+        "id", F.col("newest.server_name").alias("name"), "last_seen_at", "created_at")
+    return servers, keyed_table.read(spark, runs_table(root, _columns(spark, root)))
+
+
+def compact(spark, root):
+    """Merge what came after the last merge into every bucket."""
+    for table in (servers_table(root), runs_table(root, _columns(spark, root))):
+        keyed_table.compact(spark, table)
+
+
+# --- streams -------------------------------------------------------------------------------------
+
 def ingest_stream(reports, root, checkpoint, tokens, shared_token=None, available_now=True):
     """Start ingesting a stream of raw reports."""
 
@@ -39,22 +99,22 @@ def ingest_stream(reports, root, checkpoint, tokens, shared_token=None, availabl
 
 
 def read_part(spark, root, name):
+    """One of ``PARTS`` of everything so far; empty before the first batch."""
+    if not files.found(spark, f"{root}/{name}/*/*"):
+        columns = AUDIT_SCHEMA if name == "audit" else _columns(spark, root)
+        return spark.createDataFrame([], columns + (", reasons array<string>" if name == "rejected" else ""))
     return spark.read.parquet(f"{root}/{name}")
 
 
-def tables(spark, root):
-    """(servers, runs) from everything accepted so far."""
-    accepted = read_part(spark, root, "accepted").drop("stream", "batch")
-    return ingest.servers_of(accepted), ingest.first_reports(accepted)
-
-
-def publish_tables(spark, root):
-    """Write the servers and runs tables as new versions, for readers that do not stream."""
-    servers, runs = tables(spark, root)
-    files.publish(servers, f"{root}/tables/servers")
-    files.publish(runs, f"{root}/tables/runs")
-
+def unique_runs(reports, within=None):
+    """First report of each run id as a stream.
 
-def unique_runs(reports):
-    """First report of each run id as a stream. Ids are remembered for ever, and no report is too late."""
-    return reports.withColumn("at", F.timestamp_millis("reported_at")).dropDuplicates(["run_id"])
+    Ids are remembered for ever, in the store on disk, and no report is too late. With ``within`` (a delay), an id is
+    remembered until the newest report is so much later, which bounds the state; reports that late must have been
+    set aside before (``late.gate``).
+    """
+    use_state_store(reports.sparkSession)
+    timed = reports.withColumn("at", F.timestamp_millis("reported_at"))
+    if within is None:
+        return timed.dropDuplicates(["run_id"])
+    return timed.withWatermark("at", within).dropDuplicatesWithinWatermark(["run_id"])

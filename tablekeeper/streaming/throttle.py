@@ -1,45 +1,75 @@
-"""Throttling as a stream, in order of arrival."""
+"""Throttling as a stream, in order of arrival.
 
-import pandas as pd
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+Every micro-batch goes through the batch operator, which spreads keys of any size over tasks. What it needs of
+the batches before is two numbers per key, the opening of its last window and the events allowed in it; they
+enter as that many events at that time, and are kept in a keyed table.
+"""
 
-from tablekeeper.operators.throttle import LIMIT, WINDOW_MS
-from tablekeeper.streaming.state import use_state_store
+from pyspark.sql import functions as F
 
-OPEN = T.StructType([
-    T.StructField("reset", T.LongType()), T.StructField("used", T.LongType())
-])
+from tablekeeper.functions.ordering import ROWS_PER_TASK
+from tablekeeper.operators.throttle import LIMIT, WINDOW_MS, windows
+from tablekeeper.session import checkpoint as cut
+from tablekeeper.sources import keyed_table
+from tablekeeper.sources.keyed_table import KeyedTable
 
 
-class ThrottleProcessor(StatefulProcessor):
-    def __init__(self, window_ms, limit):
-        self.window_ms, self.limit = window_ms, limit
+def _last_window(rows):
+    return rows.groupBy("key").agg(F.max(F.struct("opened", "used")).alias("w")).select("key", "w.*")
 
-    def init(self, handle):
-        self.open = handle.getValueState("open", OPEN)
 
-    def handleInputRows(self, key, rows, timerValues):
-        reset, used = tuple(self.open.get()) if self.open.exists() else (None, 0)
-        events = pd.concat(list(rows)).sort_values(["at", "id"])
-        allowed = []
-        for at in events["at"]:
-            if reset is None or at > reset:
-                reset, used = int(at) + self.window_ms, 0
-            allowed.append(used < self.limit)
-            used += allowed[-1]
-        self.open.update((int(reset), int(used)))
-        yield events[["key", "at", "id"]].assign(allowed=allowed)
+def open_windows(root, key_type="string"):
+    """The table of last windows below ``root``."""
+    return KeyedTable(f"{root}/windows", f"key {key_type}, opened bigint, used bigint", ("key",), _last_window)
 
-    def close(self):
-        pass
 
+def throttle_batch(events, number, root, window_ms=WINDOW_MS, limit=LIMIT, stream="batches",
+                   rows_per_task=ROWS_PER_TASK):
+    """Decide one batch of events (``key, at, id``); writes a folder of ``root/decided`` and moves the windows on.
 
-def throttle_stream(events, window_ms=WINDOW_MS, limit=LIMIT):
-    """A stream of events (``key, at, id``) with ``allowed``; each key keeps two numbers."""
-    use_state_store(events.sparkSession)
+    An event that comes later than its time counts in the window that is open then.
+    """
+    spark = events.sparkSession
     kinds = dict(events.dtypes)
-    fields = ", ".join(f"{name} {kinds[name]}" for name in ("key", "at", "id"))
-    return events.select("key", "at", "id").groupBy("key").transformWithStateInPandas(
-        ThrottleProcessor(window_ms, limit), f"{fields}, allowed boolean", "append", "none"
-    )
+    table = open_windows(root, kinds["key"])
+    if keyed_table.applied(spark, table, stream, number):
+        return
+    known = keyed_table.read(spark, table).select(F.col("key").alias("_key"), "opened", "used")
+    joined = events.select("key", "at", "id").join(known, F.col("key").eqNullSafe(F.col("_key")), "left")
+    moved = joined.select(
+        "key", F.greatest("at", "opened").alias("at"), F.col("at").alias("was"), "id", F.lit(False).alias("carried"))
+    carried = known.join(events.select(F.col("key").alias("_here")).distinct(),
+                         F.col("_key").eqNullSafe(F.col("_here")), "left_semi").select(
+        F.col("_key").alias("key"), F.col("opened").alias("at"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("used"))).alias("nth"))
+    # before all events of their time, and each a row of its own
+    carried = carried.select("key", "at", (F.lit(-(1 << 63)) + F.col("nth")).alias("was"),
+                             F.lit(None).cast(kinds["id"]).alias("id"), F.lit(True).alias("carried"))
+    decided = cut(windows(moved.unionByName(carried), window_ms, limit, rows_per_task, ("was", "id")))
+    decided.where("NOT carried").select("key", F.col("was").cast(kinds["at"]).alias("at"), "id", "allowed").write.mode(
+        "overwrite").parquet(f"{root}/decided/stream={stream}/batch={number}")
+    per_window = decided.groupBy("key", "opened").agg(
+        F.count(F.when(F.col("allowed"), 1)).alias("used"))
+    keyed_table.append(per_window, table, stream, number)
+
+
+def throttle_stream(events, root, checkpoint, window_ms=WINDOW_MS, limit=LIMIT, available_now=True,
+                    rows_per_task=ROWS_PER_TASK):
+    """Start throttling a stream of events (``key, at, id``)."""
+
+    def each(batch, number):
+        kept = batch.persist()
+        try:
+            stream = kept.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            throttle_batch(kept, number, root, window_ms, limit, stream, rows_per_task)
+        finally:
+            kept.unpersist()
+
+    writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_decided(spark, root, key_type="string", id_type="bigint"):
+    """All decided events."""
+    schema = f"key {key_type}, at bigint, id {id_type}, allowed boolean"
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/decided")

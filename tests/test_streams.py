@@ -1,9 +1,15 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tablekeeper.operators.alerts import check_history
 from tablekeeper.plans import fixtures as fx
 from tablekeeper.plans import streaming_queries as sq
-from tablekeeper.streaming import alerts, ingest
+from tablekeeper.operators import ingest as report_rules
+from tablekeeper.operators import throttle as rules
+from tablekeeper.sources import files, keyed_table
+from tablekeeper.streaming import alerts, counts, ingest, late, throttle
 from tablekeeper.streaming.state import finish, write_parquet
 
 FOLDER = "/root/testdata/sf0.001"
@@ -23,8 +29,12 @@ def test_ingest_again_changes_nothing(spark, tmp_path):
     first = run("one")
     assert first[0] and first[1]
     assert run("one") == first  # going on from the checkpoint finds nothing new
-    assert run("two") == first  # batches that run again replace what they wrote
-    ingest.publish_tables(spark, root)
+    assert run("two") == first  # what comes again under another checkpoint adds nothing
+    state = files.complete_versions(spark, f"{root}/tables/runs/state")
+    finish(ingest.ingest_stream(sq._stream(spark, path, wire.schema), root, str(tmp_path / "one"), tokens))
+    assert files.complete_versions(spark, f"{root}/tables/runs/state") == state
+    ingest.compact(spark, root)
+    assert run("one") == first
 
 
 def test_reports_sent_twice_count_once(spark, tmp_path):
@@ -96,3 +106,94 @@ def test_batch_has_several_partitions(spark, tmp_path):
         lambda batch, n: seen.append(batch.rdd.getNumPartitions())
     ).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     assert max(seen) > 1
+
+
+def test_keyed_table(spark, tmp_path, monkeypatch):
+    """Batches against one aggregate over all rows; only touched buckets are written, old folders go."""
+    root = str(tmp_path / "t")
+
+    def merge(rows):
+        return rows.groupBy("k").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+    table = keyed_table.KeyedTable(root, "k string, first long, last long", ("k",), merge, buckets=8, most_deltas=2)
+    assert keyed_table.read(spark, table).count() == 0 and not keyed_table.applied(spark, table, "s", 0)
+    rng, seen = random.Random(4), {}
+    for number in range(7):
+        batch = [(None if rng.random() < 0.05 else f"k{rng.randrange(60)}", number, number) for _ in range(30)]
+        batch = [(k, a, b) for k, a, b in batch] if number != 3 else [("k1", 3, 3)]
+        frame = spark.createDataFrame(batch, table.schema)
+        assert keyed_table.append(frame, table, "s", number)
+        assert not keyed_table.append(frame, table, "s", number)  # the same batch again
+        if number == 3:
+            assert sum(n.startswith("_bucket=") for n in files.names(spark, f"{root}/data/s-{3:010d}")) <= 1
+        for k, a, _ in batch:
+            seen.setdefault(k, [a, a])[1] = a
+        got = {r.k: [r.first, r["last"]] for r in keyed_table.read(spark, table).collect()}
+        assert got == seen
+        folders, _ = keyed_table._state(spark, table)
+        assert max(map(len, folders.values())) <= 2
+    assert len(files.complete_versions(spark, f"{root}/state")) <= 5
+    keyed_table.compact(spark, table)
+    keyed_table.compact(spark, table)
+    assert {r.k: [r.first, r["last"]] for r in keyed_table.read(spark, table).collect()} == seen
+
+
+@pytest.mark.parametrize("rows_per_task", [10_000, 60])
+def test_throttle_in_batches(spark, tmp_path, rows_per_task):
+    """In order of arrival, with a key of a third of all rows and late events; a batch may come twice."""
+    rng, root, window, limit = random.Random(8), str(tmp_path / "t"), 50, 3
+    events = [("hot" if rng.random() < 0.4 else f"k{rng.randrange(9)}", at + rng.randrange(-30, 30), i)
+              for i, at in enumerate(sorted(rng.randrange(3000) for _ in range(500)))]
+    open_until, want = {}, {}
+    for number in range(4):
+        batch = events[number * 125:(number + 1) * 125]
+        frame = spark.createDataFrame(batch, "key string, at long, id long")
+        for _ in range(2):
+            throttle.throttle_batch(frame, number, root, window, limit, rows_per_task=rows_per_task)
+        for key, at, i in sorted(batch, key=lambda e: (e[1], e[2])):
+            reset, used = open_until.get(key, (None, 0))
+            if reset is None or at > reset:
+                reset, used = at + window, 0
+            want[i] = (at, used < limit)
+            open_until[key] = (reset, used + want[i][1])
+    got = throttle.read_decided(spark, root).collect()
+    assert len(got) == 500 and {r.id: (r.at, r.allowed) for r in got} == want
+    assert rules.throttle(spark.createDataFrame(events, "key string, at long, id long"), window, limit).columns == [
+        "key", "at", "id", "allowed"]
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    """A late row is in quarantine, none vanishes, and counts behind the gate are those of the rows on time."""
+    root, schema = str(tmp_path / "gate"), "id long, t long"
+    batches = [[(1, 100), (2, 200)], [(3, 149), (4, 150), (5, 400)], [(6, None), (7, 349), (8, 350)], []]
+    for number, batch in enumerate(batches):
+        for _ in range(2):  # a batch that runs again decides the same
+            late.gate_batch(spark.createDataFrame(batch, schema), number, root, "t", 50)
+    ids = {name: sorted(r.id for r in late.read(spark, root, name, schema).collect()) for name in ("on_time", "late")}
+    assert ids == {"on_time": [1, 2, 4, 5, 8], "late": [3, 6, 7]}
+    assert late.read(spark, str(tmp_path / "no"), "late", schema).count() == 0
+
+
+def test_counts_and_alerts_behind_the_gate(spark, tmp_path):
+    day, root = fx.DAY_MS, str(tmp_path / "gate")
+    schema = "server_id string, run_id string, status string, reported_at long"
+    first = [("a", "r1", "success", day), ("b", "r2", "failed", 3 * day), ("a", "r3", "success", 6 * day)]
+    then = [("a", "late", "failed", 2 * day), ("b", "r4", "success", 6 * day + 1), (None, None, None, 12 * day)]
+    for number, batch in enumerate((first, then)):
+        late.gate_batch(spark.createDataFrame(batch, schema), number, root, "reported_at", day)
+    assert [r.run_id for r in late.read(spark, root, late.LATE, schema).collect()] == ["late"]
+    stream = late.stream_on_time(spark, root, schema)
+    changes = alerts.alert_changes(stream, day, day, delay=f"{day} milliseconds", checks=9)
+    finish(write_parquet(changes, str(tmp_path / "out"), str(tmp_path / "cp")))
+    on_time = spark.createDataFrame([r for r in first + then if r[0] and r[1] != "late"], schema)
+    want = check_history(on_time, day, day, 9).filter("state <> previous")
+    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_parts_before_the_first_batch(spark, tmp_path):
+    root = str(tmp_path / "none")
+    servers, runs = ingest.tables(spark, root)
+    assert servers.count() == 0 and set(report_rules.REPORT_COLUMNS) < set(runs.columns)
+    assert all(ingest.read_part(spark, root, name).count() == 0 for name in ingest.PARTS)
+    assert counts.read_counts(spark, root).count() == 0
