@@ -49,22 +49,35 @@ def state_updates(checked):
     )
 
 
-def check_history(runs, start, period, checks, max_age=DEFAULT_MAX_AGE_MS):
+def first_instant(at, start, period):
+    """Number of the first instant that is not before a time."""
+    after = F.greatest(at - F.lit(start), F.lit(0))
+    return F.call_function("div", after + F.lit(period - 1), F.lit(period))
+
+
+def check_history(runs, start, period, checks, max_age=DEFAULT_MAX_AGE_MS, servers=None):
     """State of every known server at ``checks`` instants from ``start``.
 
-    Runs shrink to one row per server and instant before anything is ordered, so a server with very
+    A server is known from its first run on, and one of ``servers`` (``server_id``, ``since``, each once) from then
+    on, or from the start where that is NULL, whether it ever runs or not. Runs shrink to one row per server and instant before anything is ordered, so a server with very
     many runs costs no more than a quiet one.
     """
-    after = F.greatest(F.col("reported_at") - F.lit(start), F.lit(0))
-    place = F.call_function("div", after + F.lit(period - 1), F.lit(period))
+    place = first_instant(F.col("reported_at"), start, period)
+    news = F.struct("reported_at", "run_id", "status")
+    reports = runs.select("server_id", "reported_at", "status", news.alias("news"))
+    if servers is not None:
+        enrolled = servers.where(F.col("server_id").isNotNull()).select(
+            "server_id", F.coalesce("since", F.lit(start)).cast("bigint").alias("reported_at"),
+            F.lit(None).cast("string").alias("status"), F.lit(None).cast(reports.schema["news"].dataType).alias("news"))
+        reports = reports.unionByName(enrolled)
     per_check = (
-        runs.withColumn("n", place)
+        reports.withColumn("n", place)
         .filter(F.col("n") < checks)
         .withColumn("n", F.col("n").cast("int"))
         .groupBy("server_id", "n")
         .agg(
             F.max(F.when(F.col("status") == "success", F.col("reported_at"))).alias("_success"),
-            F.max(F.struct("reported_at", "run_id", "status"))["status"].alias("_status"),
+            F.max("news").alias("_news"),
         )
     )
     by_time = Window.partitionBy("server_id").orderBy("n")
@@ -74,9 +87,10 @@ def check_history(runs, start, period, checks, max_age=DEFAULT_MAX_AGE_MS):
     at = F.lit(start).cast("bigint") + F.col("n").cast("bigint") * F.lit(period).cast("bigint")
     return (
         per_check.withColumn("last_success", F.max("_success").over(so_far))
+        .withColumn("_news", F.last("_news", ignorenulls=True).over(so_far))
         .withColumn("_until", until)
         .select(
-            "server_id", "last_success", F.col("_status").alias("last_status"),
+            "server_id", "last_success", F.col("_news.status").alias("last_status"),
             F.explode(F.sequence("n", "_until")).alias("n"),
         )
         .withColumn("checked_at", at)

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tablekeeper.operators.alerts import check_history
 from tablekeeper.plans.fixtures import (
-    DAY_MS, HOUR_MS, MAX_AGE_MS, RUN_LOG, RUN_REPORTS, TOKENS, log_lines,
+    DAY_MS, HOUR_MS, MAX_AGE_MS, RUN_LOG, RUN_REPORTS, TOKENS, load, log_lines,
     raw_reports, run_reports, tokens,
 )
 from tablekeeper.plans.fleet_queries import (
@@ -67,13 +68,66 @@ SELECT *, CASE WHEN state <> 'ok' AND previous = 'ok' THEN 'problem'
 FROM steps WHERE state <> previous""")
 def stream_alert_changes(spark, folder):
     reports = run_reports(spark, folder).select("server_id", "run_id", "status", "reported_at")
-    # a heartbeat after the last check lets the timers of silent servers fire
+    return _run_in_steps(spark, reports, "reported_at", "alerts", lambda stream: alerts.alert_changes(
+        stream, FIRST_CHECK_MS, DAY_MS, MAX_AGE_MS, delay="0 seconds", checks=CHECKS), _heartbeat(reports))
+
+
+def _heartbeat(reports):
+    """A row after the last check, which lets the timers of silent servers fire."""
     end = FIRST_CHECK_MS + CHECKS * DAY_MS + HOUR_MS
     none = F.lit(None).cast("string")
-    beat = reports.agg(none.alias("server_id"), none.alias("run_id"), none.alias("status"),
+    return reports.agg(none.alias("server_id"), none.alias("run_id"), none.alias("status"),
                        F.lit(end).alias("reported_at"))
+
+
+# Suppliers are servers that were enrolled one after another and never report; some that do are enrolled as well.
+ENROLLED = f"""{RUN_REPORTS},
+enrolled AS (
+  SELECT 'sup-' || s_suppkey AS server_id, CASE WHEN s_suppkey % 5 > 0
+    THEN {FIRST_CHECK_MS} + (s_suppkey % 25) * {DAY_MS} + 1 END AS since FROM supplier
+  UNION ALL SELECT DISTINCT server_id, {FIRST_CHECK_MS} + 3 * {DAY_MS} FROM run_reports),
+known AS (
+  SELECT server_id, min(t) AS since FROM (
+    SELECT server_id, coalesce(since, {FIRST_CHECK_MS}) AS t FROM enrolled
+    UNION ALL SELECT server_id, reported_at FROM run_reports) GROUP BY server_id),
+instants AS (SELECT {FIRST_CHECK_MS} + i * {DAY_MS} AS checked_at FROM range({CHECKS}) t(i)),
+at_check AS (
+  SELECT k.server_id, i.checked_at, max(reported_at) FILTER (status = 'success') AS last_success,
+    arg_max(status, reported_at * 1000000 + seq) AS last_status
+  FROM known k JOIN instants i ON k.since <= i.checked_at
+  LEFT JOIN run_reports r ON r.server_id = k.server_id AND r.reported_at <= i.checked_at
+  GROUP BY k.server_id, i.checked_at),
+states AS (SELECT *, {state_sql('last_success', 'last_status', 'checked_at')} AS state FROM at_check),
+steps AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY server_id ORDER BY checked_at), 'ok')
+  AS previous FROM states),
+enrolled_history AS (SELECT *, CASE WHEN state <> 'ok' AND previous = 'ok' THEN 'problem'
+  WHEN state = 'ok' AND previous <> 'ok' THEN 'recovered' END AS kind FROM steps)"""
+
+
+def _enrolled(spark, folder):
+    key = F.col("s_suppkey")
+    since = F.when(key % 5 > 0, F.lit(FIRST_CHECK_MS) + (key % 25) * F.lit(DAY_MS) + 1)
+    silent = load(spark, folder, "supplier").select(
+        F.concat(F.lit("sup-"), key).alias("server_id"), since.cast("bigint").alias("since"))
+    return silent.unionByName(run_reports(spark, folder).select("server_id").distinct().withColumn(
+        "since", F.lit(FIRST_CHECK_MS + 3 * DAY_MS)))
+
+
+@query("alert_history_enrolled", f"WITH {ENROLLED} SELECT * FROM enrolled_history")
+def alert_history_enrolled(spark, folder):
+    """Checks of all servers, also of those that have never run."""
+    runs = run_reports(spark, folder)
+    return check_history(runs, FIRST_CHECK_MS, DAY_MS, CHECKS, MAX_AGE_MS, _enrolled(spark, folder))
+
+
+@query("stream_alert_enrolled", f"WITH {ENROLLED} SELECT * FROM enrolled_history WHERE state <> previous")
+def stream_alert_enrolled(spark, folder):
+    """The changes of the same history by a stream that starts with the enrolled servers as its state."""
+    reports = run_reports(spark, folder).select("server_id", "run_id", "status", "reported_at")
+    servers = _enrolled(spark, folder)
     return _run_in_steps(spark, reports, "reported_at", "alerts", lambda stream: alerts.alert_changes(
-        stream, FIRST_CHECK_MS, DAY_MS, MAX_AGE_MS, delay="0 seconds", checks=CHECKS), beat)
+        stream, FIRST_CHECK_MS, DAY_MS, MAX_AGE_MS, delay="0 seconds", checks=CHECKS, servers=servers),
+        _heartbeat(reports))
 
 
 @query("stream_throttle", throttle_sql(DAY_MS, 2))

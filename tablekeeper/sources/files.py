@@ -36,6 +36,26 @@ def mark(spark, path):
     system.create(file, True).close()
 
 
+def write_text(spark, path, text):
+    """Write a small file that appears whole or not at all."""
+    part, system = _file_system(spark, f"{path}.part")
+    stream = system.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    target, _ = _file_system(spark, path)
+    system.delete(target, False)
+    system.rename(part, target)
+
+
+def read_text(spark, path):
+    file, system = _file_system(spark, path)
+    stream = system.open(file)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def complete_versions(spark, root):
     """Numbers of the ``version=`` folders whose write finished."""
     pattern, system = _file_system(spark, f"{root}/version=*/_SUCCESS")

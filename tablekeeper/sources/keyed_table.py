@@ -2,14 +2,15 @@
 
 A key lives in one of ``buckets`` by its hash. A batch is reduced to one row per key and appended as a delta of the
 buckets that it touches; nothing else is read or written. A bucket with more than ``most_deltas`` deltas is merged
-into one base. A small state table names the folders that count, and which batch of which stream came
-last; it is published as a new version, so readers see a batch completely or not at all, and a batch that comes
+into one base. A small state file names the folders that count, and which batch of which stream came
+last; every change writes a new one, so readers see a batch completely or not at all, and a batch that comes
 again changes nothing. One writer at a time.
 
 ``merge`` reduces the rows of each key to one. It must give the same whether it is applied at once or step by step,
 and whether a row counts once or twice.
 """
 
+import json
 from dataclasses import dataclass
 from typing import Callable
 
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from tablekeeper.functions.bitmaps import bitmap_of, may_hold
 from tablekeeper.sources import files
 
-STATE_SCHEMA = "kind string, name string, bucket int, number bigint"
 BUCKET = "_bucket"
 
 
@@ -36,22 +36,24 @@ def _hash(table):
     return F.xxhash64(*[F.col(k) for k in table.key])
 
 
-def _state(spark, table):
-    """(folders: {bucket: [name, ...]}, batches: {stream: last batch}); the base, if any, comes first."""
-    current = files.current(spark, f"{table.root}/state")
-    folders, streams = {}, {}
-    for kind, name, bucket, number in current.collect() if current is not None else []:  # buckets x deltas
-        if kind == "stream":
-            streams[name] = number
-        else:
-            folders.setdefault(bucket, []).append((number, name))
-    return {b: [name for _, name in sorted(found)] for b, found in folders.items()}, streams
+def _versions(spark, table):
+    return sorted(int(n[:-5]) for n in files.names(spark, f"{table.root}/state") if n.endswith(".json"))
+
+
+def _state(spark, table, version=None):
+    """({bucket: [folder, ...], the base first}, {stream: last batch}) of a version of the state, of the newest."""
+    versions = _versions(spark, table)
+    if not versions:
+        return {}, {}
+    version = versions[-1] if version is None else version
+    state = json.loads(files.read_text(spark, f"{table.root}/state/{version:010d}.json"))
+    return {int(b): names for b, names in state["folders"].items()}, state["streams"]
 
 
 def _publish(spark, table, folders, streams):
-    rows = [("folder", name, b, n) for b, names in folders.items() for n, name in enumerate(names)]
-    rows += [("stream", name, None, number) for name, number in streams.items()]
-    files.publish(spark.createDataFrame(rows, STATE_SCHEMA).coalesce(1), f"{table.root}/state")
+    version = ([0] + _versions(spark, table))[-1] + 1
+    text = json.dumps({"folders": folders, "streams": streams})  # buckets x deltas names at most
+    files.write_text(spark, f"{table.root}/state/{version:010d}.json", text)
 
 
 def applied(spark, table, stream, batch):
@@ -99,8 +101,7 @@ def compact(spark, table, buckets=None):
     chosen = [b for b in chosen if len(folders.get(b, [])) > 1]
     if not chosen:
         return
-    versions = files.complete_versions(spark, f"{table.root}/state")
-    name = f"base-{versions[-1]:010d}"
+    name = f"base-{_versions(spark, table)[-1]:010d}"
     _write(table, table.merge(_read(spark, table, [(b, n) for b in chosen for n in folders[b]])), name)
     _publish(spark, table, {**folders, **{b: [name] for b in chosen}}, streams)
     _drop_unused(spark, table)
@@ -108,18 +109,17 @@ def compact(spark, table, buckets=None):
 
 def _drop_unused(spark, table):
     """Delete the folders that neither of the two newest states names: a reader may still use the older one."""
-    root = f"{table.root}/state"
-    versions = files.complete_versions(spark, root)
-    used = set()
-    for version in versions[-2:]:
-        rows = spark.read.schema(STATE_SCHEMA).parquet(f"{root}/version={version:010d}").where("kind = 'folder'")
-        used |= {(r["name"], r["bucket"]) for r in rows.collect()}
+    versions = _versions(spark, table)
+    used = {
+        (name, bucket) for version in versions[-2:]
+        for bucket, names in _state(spark, table, version)[0].items() for name in names
+    }
     there = [
         (name, int(part.split("=")[1])) for name in files.names(spark, f"{table.root}/data")
         for part in files.names(spark, f"{table.root}/data/{name}") if part.startswith(f"{BUCKET}=")
     ]
     files.delete_paths(spark, [f"{table.root}/data/{n}/{BUCKET}={b}" for n, b in there if (n, b) not in used])
-    files.delete_paths(spark, [f"{root}/version={v:010d}" for v in versions[:-2]])
+    files.delete_paths(spark, [f"{table.root}/state/{v:010d}.json" for v in versions[:-2]])
 
 
 def read(spark, table):

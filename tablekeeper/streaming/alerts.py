@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from tablekeeper.operators.alerts import DEFAULT_MAX_AGE_MS
+from tablekeeper.operators.alerts import DEFAULT_MAX_AGE_MS, first_instant
 from tablekeeper.streaming.state import use_state_store
 
 OUTPUT = (
@@ -92,25 +92,35 @@ class AlertProcessor(StatefulProcessor):
         if key[0] is None:  # a heartbeat
             return
         known = self._read()
-        due, success, status, state, pending = known or (None, None, None, "ok", {})
+        due, success, status, state, pending = known or (None, None, None, None, {})
+        first_due = due
         for batch in rows:
             columns = [batch[c].tolist() for c in ("n", "success", "reported", "run_id", "status")]
             for n, reached, reported, run_id, result in zip(*columns):
                 # what arrives after its instant was checked counts from the next check on
-                n = n if known is None else max(n, due)
+                n = n if state is None else max(n, due)
                 new = (_number(reached), reported, run_id, result)
                 if n in pending:
                     old = pending[n]
                     newer = max(old, new, key=lambda r: (r[1], r[2]))
                     new = (_larger(old[0], new[0]), *newer[1:])
                 pending[n] = new
-        if known is None:
-            due = min(pending)
-            self.handle.registerTimer(self._instant(due))
+        if state is None:  # never checked so far
+            due = min(pending) if due is None else min(due, *pending)
+            if due != first_due:
+                self.handle.registerTimer(self._instant(due))
         self._write(due, success, status, state, pending)
         return
         yield
 
+    def handleInitialState(self, key, initialState, timerValues):
+        """An enrolled server: known from its first check on, without a run."""
+        if key[0] is None or self._read() is not None:
+            return
+        due = int(initialState["n"].iloc[0])
+        self._write(due, None, None, None, {})
+        self.handle.registerTimer(self._instant(due))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         due, success, status, state, pending = self._read()
         if self.by_arrival:
@@ -127,6 +137,7 @@ class AlertProcessor(StatefulProcessor):
                 new = "overdue"
             else:
                 new = "failing" if status == "failed" else "ok"
+            state = state or "ok"
             if new != state:
                 kind = "problem" if state == "ok" else "recovered" if new == "ok" else None
                 changes.append((key[0], at, success, status, state, new, kind))
@@ -144,14 +155,15 @@ class AlertProcessor(StatefulProcessor):
 
 
 def alert_changes(
-    reports, start, period, max_age=DEFAULT_MAX_AGE_MS, delay=None, checks=None
+    reports, start, period, max_age=DEFAULT_MAX_AGE_MS, delay=None, checks=None, servers=None
 ):
     """State changes of a stream of reports (server_id, run_id, status, reported_at).
 
     Without ``delay`` checks follow the clock, as reports are stamped on arrival: nothing is dropped,
     and what comes in after a check counts from the next one. With ``delay`` checks follow the
     watermark, for replaying a history; reports later than that behind the newest one may be dropped.
-    A heartbeat is a row without a server; it moves the watermark only.
+    A heartbeat is a row without a server; it moves the watermark only. ``servers`` (``server_id``, ``since``) are
+    checked from then on even if they never report; they are the state that the stream starts with.
     """
     use_state_store(reports.sparkSession)
     by_arrival = delay is None
@@ -162,4 +174,10 @@ def alert_changes(
         short = short.withWatermark("at", delay)
     processor = AlertProcessor(start, period, max_age, checks, by_arrival)
     mode = "processingTime" if by_arrival else "eventTime"
-    return short.groupBy("server_id").transformWithStateInPandas(processor, OUTPUT, "append", mode)
+    enrolled = None
+    if servers is not None:
+        since = F.coalesce("since", F.lit(start)).cast("bigint")
+        enrolled = servers.where(F.col("server_id").isNotNull()).select(
+            "server_id", first_instant(since, start, period).alias("n")).groupBy("server_id")
+    return short.groupBy("server_id").transformWithStateInPandas(
+        processor, OUTPUT, "append", mode, initialState=enrolled)

@@ -30,9 +30,9 @@ def test_ingest_again_changes_nothing(spark, tmp_path):
     assert first[0] and first[1]
     assert run("one") == first  # going on from the checkpoint finds nothing new
     assert run("two") == first  # what comes again under another checkpoint adds nothing
-    state = files.complete_versions(spark, f"{root}/tables/runs/state")
+    state = files.names(spark, f"{root}/tables/runs/state")
     finish(ingest.ingest_stream(sq._stream(spark, path, wire.schema), root, str(tmp_path / "one"), tokens))
-    assert files.complete_versions(spark, f"{root}/tables/runs/state") == state
+    assert files.names(spark, f"{root}/tables/runs/state") == state
     ingest.compact(spark, root)
     assert run("one") == first
 
@@ -132,7 +132,7 @@ def test_keyed_table(spark, tmp_path, monkeypatch):
         assert got == seen
         folders, _ = keyed_table._state(spark, table)
         assert max(map(len, folders.values())) <= 2
-    assert len(files.complete_versions(spark, f"{root}/state")) <= 5
+    assert len(files.names(spark, f"{root}/state")) <= 5
     keyed_table.compact(spark, table)
     keyed_table.compact(spark, table)
     assert {r.k: [r.first, r["last"]] for r in keyed_table.read(spark, table).collect()} == seen
@@ -197,3 +197,26 @@ def test_parts_before_the_first_batch(spark, tmp_path):
     assert servers.count() == 0 and set(report_rules.REPORT_COLUMNS) < set(runs.columns)
     assert all(ingest.read_part(spark, root, name).count() == 0 for name in ingest.PARTS)
     assert counts.read_counts(spark, root).count() == 0
+
+
+def test_servers_that_never_report(spark, tmp_path):
+    """They turn overdue in the history and in the stream alike; reports before or after enrolment count as ever."""
+    day = fx.DAY_MS
+    reports = spark.createDataFrame(
+        [("early", "r1", "success", day // 2), ("late", "r2", "failed", 6 * day), ("own", "r3", "success", 2 * day),
+         (None, None, None, 12 * day)], "server_id string, run_id string, status string, reported_at bigint")
+    servers = spark.createDataFrame(
+        [("silent", 3 * day), ("always", None), ("early", 5 * day), ("late", 2 * day + 1)],
+        "server_id string, since bigint")
+    want = check_history(reports.where("server_id IS NOT NULL"), day, day, 9, servers=servers)
+    states = {(r.server_id, r.checked_at // day): r.state for r in want.collect()}
+    assert states["silent", 3] == "overdue" and ("silent", 2) not in states
+    assert states["always", 1] == "overdue" and states["early", 1] == "ok" and states["early", 5] == "overdue"
+    assert states["late", 3] == "overdue" and states["late", 6] == "overdue"
+    reports.write.parquet(str(tmp_path / "in"))
+    stream = sq._stream(spark, str(tmp_path / "in"), reports.schema)
+    changes = alerts.alert_changes(stream, day, day, delay="0 seconds", checks=9, servers=servers)
+    finish(write_parquet(changes, str(tmp_path / "out"), str(tmp_path / "cp")))
+    want = want.filter("state <> previous")
+    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
