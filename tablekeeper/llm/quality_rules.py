@@ -1,8 +1,8 @@
 """Quality rules: line frequency across the documents of a host.
 
 Each document is cut into lines; a line is normalised (blanks joined, lower case) and hashed. For every host
-and line the distinct documents are counted. Lines found in more documents than the limit are removed, and a
-document is rejected if too little of it is left, or if the rules on the document itself fail.
+and line the distinct documents are counted. Lines found in more documents than the limit, which follows the number
+of the host's documents, are removed, and a document is rejected if too little of it is left, or if the rules on the document itself fail.
 
 Everything is DataFrame functions. Lines are explored once per document and line, pre-aggregated before the
 shuffle, and joined back to the few lines above the limit, so that a hot line or host is many narrow rows.
@@ -15,10 +15,11 @@ other columns are ignored.
 
 from pyspark.sql import functions as F
 
-from tablekeeper.llm.tables import SPACE, let, load, words
+from tablekeeper.llm.tables import SPACE, let, load, staged, words
 
-#: A line of a host is removed if more documents than this have it.
-MOST_DOCUMENTS = 100
+#: A line of a host is removed if more documents than this, and more than this share of the host's, have it.
+LEAST_DOCUMENTS = 5
+MOST_PERCENT = 5
 #: A document is kept if at least this many words, and this share of its words in percent, are left.
 LEAST_WORDS = 20
 LEAST_PERCENT = 30
@@ -89,33 +90,43 @@ def host_key(host):
     return F.concat(F.when(host.isNull(), "0").otherwise("1"), F.coalesce(host.cast("string"), F.lit("")))
 
 
-def frequent_lines(docs, most=MOST_DOCUMENTS, host="source"):
-    """(``host``, ``line``, ``check``) of the lines that more than ``most`` distinct documents of a host have.
+def hashed_lines(docs, host="source"):
+    """(``host``, ``doc_id``, ``lines``) of every row."""
+    return docs.select(host_key(F.col(host)).alias("host"), "doc_id", normal_lines(F.col("text")).alias("lines"))
 
-    A document counts each line once: rows of one id are merged per line before they are counted.
+
+def frequent_lines(lines, least=LEAST_DOCUMENTS, percent=MOST_PERCENT):
+    """(``host``, ``line``, ``check``) of the lines that too many distinct documents of their host have.
+
+    ``lines`` is what ``hashed_lines`` gives. A document counts each line once: rows of one id are merged per line
+    before they are counted.
+    """
+    over = lambda n: (F.col(n) > least) & (100 * F.col(n) > percent * F.col("documents"))
+    # Read back, so that a host of very many lines can be split by the join.
+    sizes = staged(lines.select("host", "doc_id").distinct().groupBy("host").agg(
+        F.count("*").alias("documents")), "hosts")
+    each = lines.select("host", "doc_id", F.explode(F.array_distinct(F.transform(
+        "lines", lambda x: F.struct(x["line"], x["check"])))).alias("x")).select("host", "x.line", "x.check", "doc_id")
+    key = ["host", "line", "check"]
+    # Rows are no fewer than documents, so this keeps all lines above the limit.
+    many = each.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > least).join(
+        sizes, "host").where(over("rows")).select(*key, "documents")
+    distinct = each.join(many.select(*key), key, "left_semi").groupBy(*key, "doc_id").agg(F.lit(1).alias("one"))
+    return distinct.groupBy(*key).agg(F.count("*").alias("n")).join(many, key).where(over("n")).select(*key)
+
+
+def judged(docs, least=LEAST_DOCUMENTS, percent=MOST_PERCENT, least_words=LEAST_WORDS, least_percent=LEAST_PERCENT,
+           host="source"):
+    """``doc_id``, the measures, ``base_failed``, ``removed_words`` and ``kept`` of every row.
+
+    Texts are read once: measures and hashes of the lines are staged, and all further work is on these.
     """
-    each = docs.select(
-        host_key(F.col(host)).alias("host"), F.col("doc_id"),
-        F.explode(F.array_distinct(F.transform(
-            normal_lines(F.col("text")), lambda x: F.struct(x["line"], x["check"])))).alias("x"),
-    ).select("host", "x.line", "x.check", "doc_id")
-    counted = each.groupBy("host", "line", "check").agg(
-        F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-    ).where(F.col("rows") > most).select("host", "line", "check")
-    distinct = each.join(counted, ["host", "line", "check"], "left_semi").groupBy(
-        "host", "line", "check", "doc_id").agg(F.lit(1).alias("one"))
-    return distinct.groupBy("host", "line", "check").agg(F.count("*").alias("n")).where(
-        F.col("n") > most).select("host", "line", "check")
-
-
-def judged(docs, most=MOST_DOCUMENTS, least_words=LEAST_WORDS, least_percent=LEAST_PERCENT, host="source"):
-    """``doc_id``, the measures, ``base_failed``, ``removed_words`` and ``kept`` of every row."""
     measures = base_measures(F.col("text"))
-    rows = docs.select(
+    rows = staged(docs.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), host_key(F.col(host)).alias("host"),
         *[column.alias(name) for name, column in measures.items()],
         normal_lines(F.col("text")).alias("lines"),
-    )
+    ), "quality-lines")
     # One row per line; the measures travel on the first one only.
     each = rows.select(
         "row", "host", F.struct("doc_id", *measures).alias("own"), F.posexplode_outer("lines").alias("i", "x"),
@@ -123,7 +134,7 @@ def judged(docs, most=MOST_DOCUMENTS, least_words=LEAST_WORDS, least_percent=LEA
         "row", "host", "x.line", "x.check", "x.n",
         F.when(F.coalesce(F.col("i"), F.lit(0)) == 0, F.col("own")).alias("own"),
     )
-    found = frequent_lines(docs, most, host).withColumn("frequent", F.lit(True))
+    found = frequent_lines(rows.select("host", "doc_id", "lines"), least, percent).withColumn("frequent", F.lit(True))
     together = each.join(found, ["host", "line", "check"], "left").groupBy("row").agg(
         *[F.max(F.col("own")[name]).alias(name) for name in ("doc_id", *measures)],
         F.coalesce(F.sum(F.when(F.col("frequent"), F.col("n"))), F.lit(0)).alias("removed_words"),
@@ -136,21 +147,23 @@ def judged(docs, most=MOST_DOCUMENTS, least_words=LEAST_WORDS, least_percent=LEA
     )
 
 
-def cleaned(docs, most=MOST_DOCUMENTS, host="source"):
+def cleaned(docs, least=LEAST_DOCUMENTS, percent=MOST_PERCENT, host="source"):
     """``docs`` with the frequent lines taken out of ``text``; all columns stay."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("number"), whole.alias("row")), "uncleaned")
     each = rows.select(
-        "_row", host_key(F.col(host)).alias("host"),
-        F.posexplode(F.split("text", "\n")).alias("_i", "_text"),
-    ).withColumn("_x", F.get(normal_lines(F.col("_text")), F.lit(0))).select(
-        "_row", "host", "_i", "_text", F.col("_x.line").alias("line"), F.col("_x.check").alias("check"),
+        "number", host_key(F.col(f"row.{host}")).alias("host"),
+        F.posexplode(F.split("row.text", "\n")).alias("i", "line_text"),
+    ).withColumn("x", F.get(normal_lines(F.col("line_text")), F.lit(0))).select(
+        "number", "host", "i", "line_text", F.col("x.line").alias("line"), F.col("x.check").alias("check"),
     )
-    kept = each.join(frequent_lines(docs, most, host), ["host", "line", "check"], "left_anti").groupBy("_row").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_text"))), lambda x: x["_text"]),
-                     "\n").alias("_new"))
-    return rows.join(kept, "_row", "left").withColumn(
-        "text", F.when(F.col("text").isNotNull(), F.coalesce(F.col("_new"), F.lit("")))
-    ).select(*docs.columns)
+    found = frequent_lines(hashed_lines(rows.select("row.*"), host), least, percent)
+    kept = each.join(found, ["host", "line", "check"], "left_anti").groupBy("number").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line_text"))), lambda x: x["line_text"]),
+                     "\n").alias("new"))
+    text = F.when(F.col("row.text").isNotNull(), F.coalesce(F.col("new"), F.lit("")))
+    return rows.join(kept, "number", "left").select(
+        *[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_quality_rules(spark, folder):
@@ -176,11 +189,15 @@ dl AS (
 ln AS (
   SELECT rid, trim(lower(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS l FROM raw),
 freq AS (
-  SELECT source, l FROM ln JOIN d USING (rid) WHERE l <> ''
-  GROUP BY source, l HAVING count(DISTINCT coalesce(doc_id, -1)) > 100),
+  SELECT source, l, count(DISTINCT coalesce(doc_id, -1)) AS n FROM ln JOIN d USING (rid) WHERE l <> ''
+  GROUP BY source, l HAVING count(DISTINCT coalesce(doc_id, -1)) > 5),
+hosts AS (SELECT source, count(DISTINCT coalesce(doc_id, -1)) AS documents FROM d GROUP BY source),
+many AS (
+  SELECT freq.source, l FROM freq JOIN hosts ON hosts.source IS NOT DISTINCT FROM freq.source
+  WHERE 100 * n > 5 * documents),
 rem AS (
   SELECT rid, sum(len(string_split(ln.l, ' '))) AS n
-  FROM ln JOIN d USING (rid) JOIN freq ON freq.l = ln.l AND freq.source IS NOT DISTINCT FROM d.source
+  FROM ln JOIN d USING (rid) JOIN many ON many.l = ln.l AND many.source IS NOT DISTINCT FROM d.source
   GROUP BY rid),
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
