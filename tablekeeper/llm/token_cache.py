@@ -15,8 +15,10 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from tablekeeper.functions.bitmaps import bitmap_of, may_hold
 from tablekeeper.llm.tables import load, staged
 from tablekeeper.session import work_dir
+from tablekeeper.sources.files import exists
 
 LIMIT = 4096
 #: Words whose counts a task keeps; the memo starts anew when it is full.
@@ -107,19 +109,24 @@ def read_cache(spark, cache, tokenizer):
     Two runs may have stored the same text; it counts once.
     """
     schema = "digest string, n_tokens long, tokenizer string"
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, cache):
         return spark.createDataFrame([], schema).drop("tokenizer")
     stored = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == tokenizer)
     return stored.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
+def _once(rows):
+    """Each distinct text once, combined before it is sent."""
+    return rows.groupBy("digest").agg(F.any_value("text").alias("text"))
+
+
 def token_counts(docs, path, cache, limit=LIMIT):
     """``doc_id``, ``n_bytes``, ``n_tokens`` and ``over_limit`` of every row, through ``cache`` (a folder).
 
-    Digests go around in narrow rows. Text is moved once, to the row that its digest chose (its smallest
-    ``doc_id``), and encoded there; should rows repeat with their id, the repetitions are encoded too. A
-    text that very many rows share makes one key with many narrow rows, which the adaptive join can split.
+    Digests go around in narrow rows, and are looked up first; a bitmap of those that are missing tells which
+    texts may be needed, so that texts in the cache stay where they are. A missing text is sent once from each task
+    that reads it, and encoded once. A text that very many rows share makes one key with many narrow rows, which the
+    adaptive join can split.
     """
     spark = docs.sparkSession
     tokenizer = version(path)
@@ -129,12 +136,14 @@ def token_counts(docs, path, cache, limit=LIMIT):
     slim = staged(
         rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-digests"
     )
-    distinct = slim.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    misses = distinct.join(read_cache(spark, cache, tokenizer), "digest", "left_anti").alias("m")
-    texts = rows.alias("r").join(
-        misses.hint("shuffle_hash"),
-        F.expr("r.digest = m.digest AND r.doc_id <=> m.doc_id"), "left_semi",
-    )
+    distinct = slim.select("digest").distinct()
+    if exists(spark, cache):
+        misses = staged(distinct.join(read_cache(spark, cache, tokenizer), "digest", "left_anti"), "token-misses")
+        number = F.xxhash64("digest")
+        missing = bitmap_of(misses.select(number.alias("number")), misses.count())
+        texts = _once(rows.where(may_hold(missing, number))).join(misses, "digest", "left_semi")
+    else:
+        texts = _once(rows)
     (
         encoded(texts, path).withColumn("tokenizer", F.lit(tokenizer))
         .write.mode("append").parquet(cache)
