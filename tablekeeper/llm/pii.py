@@ -6,9 +6,10 @@ boosted ensemble of small trees scores it, and a threshold per kind, calibrated
 have not seen, selects it. Selected candidates that touch no base span and no better candidate are added.
 
 There are no labels of spans. A candidate that touches a base span of its kind counts as personal data; one that
-lies within a base span of another kind, or breaks the format of its kind (``_fits``), as not. All others are
-unlabelled: the trees and thresholds do not see them, and only those that keep the format can be added. A corpus
-without base spans of a kind gives no model of it, and nothing of that kind is added. The trees see the counts of each feature vector over all candidates of all documents: the
+lies within a base span of another kind, breaks the format of its kind (``_fits``), or stands behind a word that names
+another number, such as an invoice or a lot (``_OTHER``), as not. All others are unlabelled: the trees and thresholds
+do not see them. Which candidates are added is up to trees and threshold alone. A corpus without base spans of a kind, or
+without two halves of ids, gives no model of it, and nothing of that kind is added. The trees see the counts of each feature vector over all candidates of all documents: the
 vectors are few, as every feature has few values (``VALUES``), so the table that reaches the driver is bounded.
 
 Everything is DataFrame functions; the trees become column expressions.
@@ -51,12 +52,15 @@ _YEAR = "(?:19|20)[0-9]{2}"
 _NO_PHONE = (rf"{_YEAR}[./-][01][0-9][./-][0-3][0-9]|[0-3][0-9][./-][01][0-9][./-]{_YEAR}|^{_YEAR}(?:[\x20./-]+{_YEAR})+$"
              r"|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
 CONTEXT = 24
+#: Words before a number that name something else.
+_OTHER = r"(?i)(?:invoice|order|lot|batch|serial|ref|version|release|isbn|part|item)(?:\s*(?:no|nr|number|id))?[\s.:#-]*$"
 _CUES = {
     "email": r"(?i)mail|contact|write", "ip": r"(?i)\bip\b|host|server|addr", "card": r"(?i)card|visa|pay|credit",
     "phone": r"(?i)tel|phone|call|fax|mobile",
 }
 #: Values that each feature may take, beside the kind.
-VALUES = {"digits": 6, "signs": 4, "round": 2, "luhn": 2, "dots": 4, "ending": 2, "cue": 2, "left": 2, "right": 2}
+VALUES = {"digits": 6, "signs": 4, "round": 2, "luhn": 2, "dots": 4, "ending": 2, "cue": 2, "other": 2, "left": 2,
+          "right": 2}
 ROUNDS, RATE, LEAST_PRECISION = 24, 0.4, 0.95
 _SPAN = "array<struct<s:bigint,e:bigint,m:string>>"
 
@@ -167,6 +171,7 @@ def features(text, x, kind):
         F.least(F.length(F.regexp_replace(m, r"[^.]", "")), F.lit(3)).alias("dots"),
         flag(m.rlike(r"\.[A-Za-z]{2,6}\.?$")).alias("ending"),
         flag(before.rlike(_CUES[kind])).alias("cue"),
+        flag(before.rlike(_OTHER)).alias("other"),
         flag(before.rlike(r"[\p{L}0-9+]$")).alias("left"),
         flag(after.rlike(r"[\p{L}0-9]")).alias("right"),
     )
@@ -206,7 +211,7 @@ def _histogram(docs):
     """Counts of (half, kind, features, is_base) over all labelled candidates; halves are by digest of the id."""
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2))
     return prepared(docs).select(half.alias("half"), F.explode("more").alias("x")).where(
-        "x.is_base OR x.is_other OR NOT x.fits").select(
+        "x.is_base OR x.is_other OR NOT x.fits OR x.f.other = 1").select(
         "half", "x.kind", "x.is_base", "x.f.*").groupBy("half", "kind", "is_base", *VALUES).agg(
         F.count("*").alias("n")).collect()
 
@@ -320,7 +325,7 @@ def spans(docs, model, carry=()):
         out = F.lit(None).cast("double")
         for kind, (trees, threshold) in model.items():
             s = tree_score(trees, lambda name: x["f"][name])
-            out = F.when((x["kind"] == kind) & x["fits"] & (s >= threshold - 1e-9), s).otherwise(out)
+            out = F.when((x["kind"] == kind) & (s >= threshold - 1e-9), s).otherwise(out)
         return out
 
     rows = rows.withColumn("base", base).withColumn("picked", F.filter(
@@ -351,8 +356,9 @@ def written(name):
 
 def redacted(docs, model):
     """``docs`` with every span replaced by its kind in brackets; touching spans become one, named by the first."""
-    names = docs.columns
-    rows = spans(docs.withColumn("_null", F.col("text").isNull()), model, carry=[*names, "_null"])
+    # The whole row travels in one column, so that no name of it meets one of the operator's.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = spans(docs.select("doc_id", "text", whole.alias("row")), model, carry=["row"])
     joined = F.aggregate(
         "spans", F.array().cast("array<struct<s:bigint,k:int,e:bigint>>"),
         lambda done, x: F.when(
@@ -369,8 +375,8 @@ def redacted(docs, model):
                 text, (from_ + 1).cast("int"), (x["s"] - from_).cast("int"))),
             F.get(tags, x["k"]))), ""),
         F.substring(text, (F.element_at(spans_, -1)["e"] + 1).cast("int"), F.length(text))))
-    out = F.when(F.size("spans") > 0, pieces).when(~F.col("_null"), text)
-    return rows.withColumn("text", out).select(*names)
+    out = F.when(F.size("spans") > 0, pieces).when(F.col("row.text").isNotNull(), text)
+    return rows.select(*[out.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_personal_data(spark, folder):
