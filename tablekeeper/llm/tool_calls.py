@@ -15,8 +15,8 @@ itself in the end; its depth is NULL) or ``plain``.
 Defined results: a NULL conversation is a value of its own; a message without id is a row of its own and linked
 with nothing, whatever its call id (a call is ``unanswered``, a result ``orphan``, any other ``plain``), at depth
 0; a turn without number is such a message, of NULL seq, and as a call misses the argument ``turn``; a call or
-result without call id is linked with nothing; a dependency on a message that does not exist counts as none; of messages that repeat their id
-the others hang on the smallest depth; NULL content is JSON null; arguments that are no JSON object are
+result without call id is linked with nothing; a dependency on a message that does not exist counts as none; of messages
+that repeat their id each keeps its own place, and the others hang on the first of them by (seq, parent); NULL content is JSON null; arguments that are no JSON object are
 invalid, and written as text; a tool without schema is invalid; an empty table gives no rows; other columns
 are ignored.
 """
@@ -111,8 +111,9 @@ def _statuses(messages):
 
 
 def _depths(messages):
-    """(``conv_id``, ``msg_id``, ``depth``); the depth is NULL on and below cycles."""
-    nodes = messages.groupBy("conv_id", "msg_id").agg(F.max("parent").alias("parent"))
+    """(``conv_id``, ``msg_id``, ``depth``) of the first message of each id; the depth is NULL on and below cycles."""
+    nodes = messages.groupBy("conv_id", "msg_id").agg(
+        F.min(F.struct("seq", "parent"))["parent"].alias("parent"))
     ids = nodes.select(F.col("conv_id").alias("p_conv"), F.col("msg_id").alias("p_id"))
     steps = nodes.join(
         ids, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("parent") == F.col("p_id")), "left"
@@ -157,8 +158,9 @@ def formatted(messages, schemas=SCHEMAS):
     rows = staged(_statuses(messages.where("msg_id IS NOT NULL")), "linked")
     depths = _depths(rows).select(F.col("conv_id").alias("d_conv"), F.col("msg_id").alias("d_id"), "depth")
     rows = rows.join(
-        depths, F.col("conv_id").eqNullSafe(F.col("d_conv")) & (F.col("msg_id") == F.col("d_id")), "left"
-    ).drop("d_conv", "d_id").withColumn("status", F.when(F.col("depth").isNull(), "cycle").otherwise(F.col("status")))
+        depths, F.col("conv_id").eqNullSafe(F.col("d_conv")) & (F.col("parent") == F.col("d_id")), "left"
+    ).withColumn("depth", F.when(F.col("d_id").isNull(), F.lit(0).cast("long")).otherwise(F.col("depth") + 1)).drop(
+        "d_conv", "d_id").withColumn("status", F.when(F.col("depth").isNull(), "cycle").otherwise(F.col("status")))
     rows = rows.unionByName(_without_id(messages).select(*rows.columns))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     kept = ("conv_id", "msg_id", "depth", "seq", "status")

@@ -82,18 +82,29 @@ def test_frequent_lines_reject_depleted_documents(spark):
     boiler = prose(99, 60)
     texts = [f"{own[i]}\n{boiler}" if i < 6 else own[i] for i in range(8)] + [boiler.upper()]
     docs = table(spark, texts)
-    got = {r.doc_id: r for r in quality_rules.judged(docs, most=5, least_percent=30).collect()}
+    got = {r.doc_id: r for r in quality_rules.judged(docs, least=5, least_percent=30).collect()}
     assert [got[i].removed_words for i in range(9)] == [60] * 6 + [0, 0, 60]
     assert [got[i].kept for i in range(9)] == [True] * 8 + [False]
-    assert not any(r.removed_words for r in quality_rules.judged(docs, most=7).collect())
-    left = {r.doc_id: r.text for r in quality_rules.cleaned(docs, most=5).collect()}
+    assert not any(r.removed_words for r in quality_rules.judged(docs, least=7).collect())
+    assert not any(r.removed_words for r in quality_rules.judged(docs, percent=78).collect())  # 7 of 9 have it
+    assert sum(r.removed_words > 0 for r in quality_rules.judged(docs, percent=77).collect()) == 7
+    left = {r.doc_id: r.text for r in quality_rules.cleaned(docs, least=5).collect()}
     assert left[0] == own[0] and left[7] == own[7] and left[8] == ""
 
 
 def test_one_document_many_times_counts_once(spark):
     docs = table(spark, [prose(1, 30)])
     many = docs.crossJoin(spark.range(9).select(F.col("id").alias("copy"))).drop("copy")
-    assert {r.kept for r in quality_rules.judged(many, most=5).collect()} == {True}
+    assert {r.kept for r in quality_rules.judged(many, least=5).collect()} == {True}
+
+
+def test_the_limit_decides_on_the_tables(spark):
+    """Documents of the test tables lose lines, and some are rejected for it alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality_rules.judged(docs).collect()
+    assert sum(r.removed_words > 0 for r in got) > 20
+    depleted = {r.doc_id for r in got if not r.base_failed and not r.kept}
+    assert depleted and all(r.kept for r in quality_rules.judged(docs, least=10**9).collect() if r.doc_id in depleted)
 
 
 # --- 2 -------------------------------------------------------------------------------------------
@@ -195,6 +206,24 @@ def test_cached_counts(spark, odd, name):
             {t or "" for t in texts.values()})
 
 
+def test_copies_are_encoded_once_and_cached_texts_not_again(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    path, cache, sent = public.path("piece_bpe_32k.model"), work_dir(spark, "tokens"), []
+    copies = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit(prose(5, 40)).alias("text"))
+    encode = token_cache.encoded
+
+    def counted(texts, path):
+        sent.append(texts.count())
+        return encode(texts, path)
+
+    monkeypatch.setattr(token_cache, "encoded", counted)
+    more = copies.limit(3).unionByName(spark.createDataFrame([(7, "new text")], "doc_id long, text string"))
+    assert len({r.n_tokens for r in token_cache.token_counts(copies, path, cache).collect()}) == 1
+    assert token_cache.token_counts(copies, path, cache).count() == 500
+    assert token_cache.token_counts(more, path, cache).count() == 4
+    assert sent == [1, 0, 1] and spark.read.parquet(cache).count() == 2
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 PLAIN = {
@@ -254,6 +283,37 @@ def test_planted_cases_beyond_the_base_patterns_are_found(spark):
     assert clean[60].endswith("tel [PHONE] end") and clean[62].endswith("mail [EMAIL] end") and clean[64].endswith("card [CARD] end")
 
 
+def test_thresholds_decide_on_hard_negatives(spark):
+    """Precision and recall of added spans, where half of the look-alikes keep the format; without the thresholds
+    they would be added."""
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "6011000990139424"]
+    cut = lambda sign: [sign.join(c[i:i + 4] for i in range(0, 16, 4)) for c in cards]
+    plain, slashed = cut(" "), cut("/")  # the base pattern takes the first form only
+    seen = [f"{prose(i, 8)}, {('card', 'so')[i % 2]} {plain[i % 4]} so {prose(300 + i, 4)}, "
+            f"{('invoice', 'lot', 'serial no')[i % 3]} {slashed[(i + 1) % 4]} end" for i in range(80)]
+    real = [f"{prose(400 + i, 8)}, {('card', 'visa', 'then')[i % 3]} {slashed[i % 4]} end" for i in range(40)]
+    other = [f"{prose(500 + i, 8)}, {('order', 'batch', 'ref', 'item no')[i % 4]} {slashed[i % 4]} end" for i in range(40)]
+    broken = [f"{prose(600 + i, 8)}, so {slashed[i % 4][:-1]}{9 - int(slashed[i % 4][-1])}1 end" for i in range(40)]
+    docs = table(spark, [*seen, *real, *other, *broken])
+    model = pii.train(docs)
+
+    def added(model):
+        rows = pii.spans(docs, model).where(F.size("spans") > F.size("base")).select("doc_id").collect()
+        return {r.doc_id for r in rows}
+
+    got, truth = added(model), set(range(80, 120))
+    assert len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.95 * len(got)
+    open_ = added({kind: (trees, -math.inf) for kind, (trees, _) in model.items()})
+    assert len(open_ - truth) >= 80 and open_ > got
+
+
+def test_thresholds_decide_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.train(docs)
+    count = lambda m: pii.spans(docs, m).agg(F.sum(F.size("spans") - F.size("base"))).first()[0]
+    assert 0 < count(model) < count({kind: (trees, -math.inf) for kind, (trees, _) in model.items()})
+
+
 def test_trees_learn_a_feature():
     base = dict.fromkeys(pii.VALUES, 0)
     rows = [({**base, "luhn": a, "digits": b}, 90 if a else 1, 1 if a else 90) for a in (0, 1) for b in range(4)]
@@ -332,6 +392,43 @@ def test_tool_calls(spark):
         "$.text: missing", "$.q: unknown", "$.turn: too small"]
 
 
+def plain_depths(messages):
+    """Depth by walking up, of (conv, id, seq, parent) rows with an id."""
+    first = {}
+    for conv, i, seq, parent in messages:
+        key = ((seq is not None, seq or 0), (parent is not None, parent or ""))
+        if (conv, i) not in first or key < first[conv, i][0]:
+            first[conv, i] = (key, parent)
+
+    def depth(conv, parent, seen=()):
+        if (conv, parent) not in first:
+            return 0
+        if parent in seen:
+            return None
+        up = depth(conv, first[conv, parent][1], (*seen, parent))
+        return None if up is None else up + 1
+
+    return collections.Counter((conv, i, seq, depth(conv, parent)) for conv, i, seq, parent in messages)
+
+
+def test_depths_of_random_messages(spark):
+    """Forests with repeated ids, cycles, lost parents and NULLs against walking up."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for conv in [None, *range(12)]:
+        ids = [f"m{k}" for k in range(int(rng.integers(1, 14)))]
+        for _ in range(int(rng.integers(1, 30))):
+            seq = None if rng.random() < 0.1 else int(rng.integers(0, 9))
+            after = None if rng.random() < 0.2 else str(rng.choice([*ids, "gone"]))
+            rows.append((conv, str(rng.choice(ids)), seq, "message", "user", None, None, None, "é" * 50_000 if not len(rows)
+                         else None, after))
+    messages = spark.createDataFrame(rows, "conv_id long, msg_id string, seq long, kind string, role string, call_id string, "
+                                     "tool string, arguments string, content string, after string")
+    got = tool_calls.formatted(messages).select("conv_id", "msg_id", "seq", "depth").collect()
+    want = plain_depths([(r[0], r[1], r[2], r[9]) for r in rows])
+    assert collections.Counter(map(tuple, got)) == want
+
+
 def test_long_chain_of_calls(spark):
     chain = spark.range(300).select(
         F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
@@ -503,3 +600,10 @@ def test_empty_table(spark):
     none = table(spark, ["a"]).limit(0)
     assert quality_rules.judged(none).count() == 0 and mixing.mix(none).count() == 0
     assert lm_trie.score(none).count() == 0 and pii.spans(none, pii.train(none)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(none, toxicity.train(none, labels)).count() == 0
+    bench = spark.createDataFrame([(1, prose(1, 20))], "item_id long, text string")
+    assert decontaminate.contaminated(none, bench).count() == 0
+    public = pytest.importorskip("public_tokenizers")
+    cache = work_dir(spark, "no-tokens")
+    assert token_cache.token_counts(none, public.path("piece_bpe_32k.model"), cache).count() == 0

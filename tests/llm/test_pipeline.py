@@ -6,6 +6,7 @@ import math
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablekeeper.llm import jaccard_join, mixing, pii, toxicity
@@ -168,3 +169,29 @@ def test_groups_are_decided_by_row(spark):
     want = [(1, " ".join(words)), (None, prose(8, 60)), (None, prose(9, 60)), (5, prose(10, 60)), (5, prose(11, 60)),
             (0, prose(12, 60)), (9, prose(13, 60)), (None, None), (None, " "), (3, ""), (4, None)]
     assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
+
+
+#: Names that the operators use for themselves.
+CLASHING = ("n_words score p_0 severity grade rejected hits items n_hit n_items items_sha256 contaminated spans base base_email "
+            "base_ip more picked _null n_email n_ip kept _kept row _row number doc id component_id n_shingles size taken "
+            "target source_size key n line host").split()
+
+
+def test_stages_carry_columns_of_clashing_names(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    for k, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for repeat in (False, True):
+        if repeat:
+            docs = docs.unionByName(docs.limit(3))
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, FOLDER)
+            if name == "mix":
+                assert got.count() == docs.count()
+                continue
+            assert got.schema.names == docs.schema.names and dict(got.dtypes) == dict(docs.dtypes)
+            rows = got.collect()
+            assert rows
+            for r in rows:
+                assert [r[c] for c in CLASHING] == [f"{k}-{r.doc_id}" for k in range(len(CLASHING))]
