@@ -22,44 +22,51 @@ from tablekeeper.llm.tables import load, staged
 ORACLE_SQL = None
 
 
+def _packed(docs):
+    """What the operators read, and the whole row in one column, so that no name of it meets one of theirs."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def drop_toxic(spark, docs, folder):
     """Documents that are not rejected."""
     model = toxic.train(docs, load(spark, folder, "labels"))
-    return toxic.scored(docs, model, carry=docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    return toxic.scored(_packed(docs), model, carry=["row"]).where(~F.col("rejected")).select("row.*")
 
 
 def drop_near_duplicates(spark, docs, folder):
     """One row of each group."""
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    packed = _packed(docs)
     if not repeated.isEmpty():
-        return _one_row_of_each(docs)
-    kept = jaccard_join.joined(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+        return _one_row_of_each(packed)
+    kept = jaccard_join.joined(packed).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept"))
+    return packed.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
 
 
-def _one_row_of_each(docs):
+def _one_row_of_each(packed):
     """The same where ids repeat: rows are numbered, and groups made of their numbers."""
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = staged(packed.withColumn("number", F.monotonically_increasing_id()), "numbered")
     # In this order the first row of a group is the one to keep.
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("number"))
     kept = jaccard_join.joined(rows.select(key.alias("doc_id"), "text")).where(
-        "n_shingles > 0 AND doc_id.row = component_id.row").select(F.col("doc_id.row").alias("_kept"))
+        "n_shingles > 0 AND doc_id.number = component_id.number").select(F.col("doc_id.number").alias("kept"))
     blank = rows.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).groupBy(
-        "doc_id", "text").agg(F.min("_row").alias("_kept")).select("_kept")
-    return rows.join(kept.unionByName(blank).hint("shuffle_hash"), F.col("_row") == F.col("_kept"), "left_semi").drop(
-        "_row")
+        "doc_id", "text").agg(F.min("number").alias("kept")).select("kept")
+    return rows.join(kept.unionByName(blank).hint("shuffle_hash"), F.col("number") == F.col("kept"), "left_semi").select(
+        "row.*")
 
 
 def drop_contaminated(spark, docs, folder):
     """Documents without a benchmark window."""
-    found = benchmark_scan.contaminated(docs, load(spark, folder, "benchmark"), carry=docs.columns)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    found = benchmark_scan.contaminated(_packed(docs), load(spark, folder, "benchmark"), carry=["row"])
+    return found.where(~F.col("contaminated")).select("row.*")
 
 
 def redact(spark, docs, folder):
     """Documents with personal data replaced; ``n_chars`` follows the text."""
     out = pii.redacted(docs, pii.train(docs))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark, docs, folder):
