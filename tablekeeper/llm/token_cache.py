@@ -148,7 +148,9 @@ def token_counts(docs, path, cache, limit=LIMIT):
         encoded(texts, path).withColumn("tokenizer", F.lit(tokenizer))
         .write.mode("append").parquet(cache)
     )
-    return slim.join(read_cache(spark, cache, tokenizer), "digest").select(
+    # Read back, so that a digest of very many rows can be split by the join.
+    known = staged(read_cache(spark, cache, tokenizer).join(distinct, "digest", "left_semi"), "token-counts")
+    return slim.join(known, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 
