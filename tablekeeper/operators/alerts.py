@@ -142,6 +142,25 @@ def digest_subjects(messages, sender="tablekeeper"):
     )
 
 
+def digest_bodies(messages, lines=LINES_PER_PAGE):
+    """The whole mail text of each check, problems before recoveries with a blank line between, in pages of at most
+    ``lines`` lines."""
+    problem = F.col("kind") == "problem"
+    own = messages.select("checked_at", F.when(problem, 1).otherwise(4).alias("section"), "id", "message")
+    none = F.lit(None).cast("string").alias("id")
+    heading = messages.groupBy("checked_at", F.when(problem, 0).otherwise(3).alias("section")).agg(
+        F.when(F.first("kind") == "problem", "Backup problems:").otherwise("Recovered:").alias("message"))
+    blank = messages.groupBy("checked_at").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where(
+        F.col("a") != F.col("b")).select("checked_at", F.lit(2).alias("section"), none, F.lit("").alias("message"))
+    text = own.unionByName(heading.select("checked_at", "section", none, "message")).unionByName(blank)
+    numbered = running(
+        text, ["checked_at"], ["section", "id"], {"line": ("count", None, True)}
+    ).withColumn("page", F.floor((F.col("line") - 1) / lines))
+    pages = numbered.groupBy("checked_at", "page").agg(
+        F.sort_array(F.collect_list(F.struct("line", "message")))["message"].alias("m"))
+    return pages.select("checked_at", "page", F.array_join("m", "\n").alias("body"))
+
+
 def digest_pages(messages, lines=LINES_PER_PAGE):
     """Mail text per check and section, in pages of at most ``lines`` messages."""
     numbered = running(

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
+from tablekeeper.functions.ordering import running
 from tablekeeper.session import checkpoint
 from tablekeeper.sources.artifacts import CHUNK_SIZE, read_ranges, scan_file_blocks
 from tablekeeper.sources.files import delete_files, exists
@@ -85,6 +86,24 @@ def dedup_ratio(summary):
     )
 
 
+def dedup_over_time(blocks):
+    """What each run added: its bytes, those not kept before, and the share of bytes spared up to it.
+
+    Runs come in the order of ``run_seq`` within their profile.
+    """
+    blocks = checkpoint(blocks)
+    key = ["profile", "run_seq", "run_id"]
+    totals = blocks.groupBy(*key).agg(F.sum("n_bytes").alias("total_bytes"))
+    fresh = first_blocks(blocks).groupBy("profile", "run_id").agg(F.sum("n_bytes").alias("_new"))
+    runs = totals.join(fresh, ["profile", "run_id"], "left").withColumn(
+        "new_bytes", F.coalesce("_new", F.lit(0).cast("bigint"))).drop("_new")
+    summed = running(runs, ["profile"], ["run_seq", "run_id"], {
+        "all_bytes": ("sum", "total_bytes", True), "kept_bytes": ("sum", "new_bytes", True)})
+    return summed.select(
+        "profile", "run_id", "total_bytes", "new_bytes", "all_bytes", "kept_bytes",
+        (1 - F.col("kept_bytes") / F.col("all_bytes")).alias("spared"))
+
+
 # --- store ---------------------------------------------------------------------------------------
 
 STORE_SCHEMA = "prefix string, hash string, n_bytes bigint, data binary, profile string"

@@ -7,7 +7,7 @@ from tablekeeper.operators import chunks, retention
 from tablekeeper.plans.fixtures import ARTIFACTS, AS_OF_MS, CHUNK, artifacts
 from tablekeeper.plans.registry import query
 from tablekeeper.session import work_dir
-from tablekeeper.sources import event_log, files
+from tablekeeper.sources import catalogue, event_log, files, restored_files
 from tablekeeper.sources.artifacts import scan_file_blocks
 
 KEPT_RUNS = 20
@@ -52,6 +52,21 @@ def chunk_dedup_ratio(spark, folder):
     return chunks.dedup_ratio(chunks.run_summary(_blocks(spark, folder)))
 
 
+@query("chunk_dedup_over_time", f"""WITH {ARTIFACTS},
+per AS (
+  SELECT b.profile, b.run_id, b.run_seq, CAST(sum(b.n_bytes) AS BIGINT) AS total_bytes,
+    CAST(coalesce(sum(b.n_bytes) FILTER (b.first), 0) AS BIGINT) AS new_bytes
+  FROM (SELECT *, row_number() OVER (PARTITION BY profile, hash ORDER BY run_seq, run_id, idx) = 1 AS first FROM blocks) b
+  GROUP BY b.profile, b.run_id, b.run_seq),
+s AS (
+  SELECT profile, run_id, total_bytes, new_bytes,
+    CAST(sum(total_bytes) OVER w AS BIGINT) AS all_bytes, CAST(sum(new_bytes) OVER w AS BIGINT) AS kept_bytes
+  FROM per WINDOW w AS (PARTITION BY profile ORDER BY run_seq, run_id ROWS UNBOUNDED PRECEDING))
+SELECT *, 1 - kept_bytes / all_bytes AS spared FROM s""")
+def chunk_dedup_over_time(spark, folder):
+    return chunks.dedup_over_time(_blocks(spark, folder))
+
+
 def _stored(spark, folder):
     """Store filled in two steps: texts of one language first, then all texts."""
     path = work_dir(spark, "store")
@@ -246,6 +261,49 @@ def artifact_file_store(spark, folder):
         _name(), F.col("part").alias("nth"), F.sha2("content", 256).alias("digest"))
 
 
+@query("artifact_files_restored", f"""WITH {FILES},
+parts AS (SELECT profile, part, octet_length(content) AS size, unnest(range(0, octet_length(content),
+  {FILE_BLOCK * FILE_PART})) AS pos, content FROM file_texts)
+SELECT 'profile=' || profile || '/part=' || part AS name, pos // {FILE_BLOCK * FILE_PART} AS nth,
+  least({FILE_BLOCK * FILE_PART}, size - pos) AS length,
+  sha256(content[pos + 1 : least(pos + {FILE_BLOCK * FILE_PART}, size)]) AS digest FROM parts""")
+def artifact_files_restored(spark, folder):
+    """Kept files put together again as ordered part files, and these read back."""
+    path, target = work_dir(spark, "store"), work_dir(spark, "restored")
+    blocks = chunks.append_files(spark, f"{text_files(spark, folder)}/*/*/*.txt", path, "files", FILE_BLOCK)
+    parts = chunks.reassemble(blocks, chunks.read_store(spark, path), FILE_PART)
+    restored_files.write_parts(parts, target)
+    files_ = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
+    run = F.url_decode(F.regexp_extract("path", r"([^/]+)/part-[0-9]+$", 1))
+    return files_.select(
+        F.regexp_extract(run, r"(profile=[^/]+/part=[^/]+)/", 1).alias("name"),
+        F.regexp_extract("path", r"part-([0-9]+)$", 1).cast("bigint").alias("nth"), "length",
+        F.sha2("content", 256).alias("digest"))
+
+
+@query("run_folder_scan", """SELECT 's' || s_suppkey AS run_id, 'p ' || s_nationkey AS profile, 'table' AS db_type,
+  'full' AS backup_type, CAST(s_suppkey AS BIGINT) AS duration_ms, 'full run of s' || s_suppkey AS run_dir,
+  'full run of s' || s_suppkey = (SELECT 'full run of s' || max(s_suppkey) FROM supplier) AS found FROM supplier""")
+def run_folder_scan(spark, folder):
+    """Manifests written as ``<profile>/<run>/manifest.json`` and scanned, the last supplier's found by its folder."""
+    root = work_dir(spark, "runs")
+    key = F.col("s_suppkey")
+    runs = spark.read.parquet(f"{folder}/supplier.parquet").select(
+        F.concat(F.lit("s"), key).alias("run_id"), F.concat(F.lit("p "), "s_nationkey").alias("profile"),
+        F.concat(F.lit("full run of s"), key).alias("run_dir"), F.lit("table").alias("db_type"),
+        F.lit("full").alias("backup_type"), F.lit("12:00:00 2024-01-01").alias("finished_at"),
+        key.cast("bigint").alias("duration_ms"))
+    for _ in range(2):  # the second call finds every manifest in its place
+        catalogue.write_run_folders(runs, root)
+    catalog = catalogue.scan_run_folders(spark, root)
+    last = runs.agg(F.max_by("run_dir", F.col("duration_ms"))).first()[0]
+    found = catalogue.find_run(catalog, catalog.where(F.col("run_dir").endswith(f"/{last}") | F.col(
+        "run_dir").endswith("/" + last.replace(" ", "%20"))).first()["run_dir"]).select("run_id").first()[0]
+    name = F.url_decode(F.regexp_extract("run_dir", r"([^/]+)$", 1))
+    return catalog.select("run_id", "profile", "db_type", "backup_type", "duration_ms", name.alias("run_dir"),
+                          (F.col("run_id") == found).alias("found"))
+
+
 @query("artifact_file_blocks", f"""WITH {FILES},
 cut AS (SELECT profile, part, octet_length(content) AS size,
   unnest(range(0, octet_length(content), {FILE_BLOCK})) AS pos, content FROM file_texts)

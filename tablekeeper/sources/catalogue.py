@@ -1,6 +1,8 @@
 """Run manifests: write them, and scan a folder of them into a catalogue."""
 
 import re
+import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
@@ -31,6 +33,27 @@ def write_manifests(runs, root):
     runs.select("profile", record).write.mode("append").partitionBy("profile").text(root)
 
 
+def write_run_folders(runs, root, name="manifest.json"):
+    """Write each run's manifest as ``<root>/<profile>/<run_dir>/<name>``; a manifest that is there stays.
+
+    The texts are written in parallel below a hidden folder. Then each takes its place by one renaming; of the
+    files only names pass the driver, a partition of them at a time. What a call that was cut off left in its hidden
+    folder is not read.
+    """
+    spark = runs.sparkSession
+    record = F.to_json(F.struct(*[n for n in FIELDS if n in runs.columns])).alias("value")
+    hidden = f"{root.rstrip('/')}/.writing-{uuid.uuid4().hex}"
+    runs.select("profile", F.col("run_dir").alias("run"), record).write.partitionBy("profile", "run").text(hidden)
+    path = F.col("_metadata.file_path")
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(hidden).select(
+        path.alias("path"), F.regexp_extract(path, r"/profile=([^/]+)/run=([^/]+)/[^/]+$", 1).alias("profile"),
+        F.regexp_extract(path, r"/profile=([^/]+)/run=([^/]+)/[^/]+$", 2).alias("run"))
+    for path, profile, run in written.toLocalIterator():
+        # both names are escaped as folders of a partition, and again as a path of files
+        files.place(spark, path, f"{root.rstrip('/')}/{unquote(unquote(profile))}/{unquote(unquote(run))}/{name}")
+    files.delete_paths(spark, [hidden])
+
+
 def _catalogue(lines):
     """Catalogue rows of manifest texts; anything unreadable is left out."""
     parsed = lines.filter(F.json_object_keys("value").isNotNull()).withColumn(

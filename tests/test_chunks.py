@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tablekeeper.errors import KeeperError
 from tablekeeper.operators import chunks
+from tablekeeper.sources import catalogue, restored_files
 from tablekeeper.sources.artifacts import read_artifacts, scan_file_blocks
 from tablekeeper.sources.catalogue import scan_chunk_files
 
@@ -201,3 +202,47 @@ def test_chunk_files_of_some_profiles(spark, tmp_path):
     assert [r.profile for r in scan_chunk_files(spark, root, ["r s"]).collect()] == ["r s"]
     assert [r.profile for r in scan_chunk_files(spark, root, ["p"]).collect()] == ["p"]
     assert scan_chunk_files(spark, root, []).collect() == []
+
+
+def test_part_files_are_checked_and_appear_at_once(spark, tmp_path):
+    target = str(tmp_path / "out")
+    schema = "run_id string, part long, content binary, hash string"
+    good = [(run, n, bytearray(f"{run}{n}".encode()), hashlib.sha256(f"{run}{n}".encode()).hexdigest())
+            for run in ("a", "dir/b c%") for n in range(12)]
+    restored_files.write_parts(spark.createDataFrame(good, schema).repartition(5), target)
+    files_ = sorted(p for p in (tmp_path / "out").rglob("part-*"))
+    assert [p.read_bytes() for p in files_] == [bytes(r[2]) for r in good]
+    assert files_[10].name == "part-0000000010"
+    damaged = good[:-1] + [(*good[-1][:3], "0" * 64)]
+    for path, overwrite in ((str(tmp_path / "other"), False), (target, True)):
+        with pytest.raises(Exception, match="damaged"):
+            restored_files.write_parts(spark.createDataFrame(damaged, schema).repartition(5), path, overwrite)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]  # nothing of the aborted writes is left
+    assert [p.read_bytes() for p in sorted((tmp_path / "out").rglob("part-*"))] == [bytes(r[2]) for r in good]
+    with pytest.raises(Exception, match="exists"):
+        restored_files.write_parts(spark.createDataFrame(good[:1], schema), target)
+    restored_files.write_parts(spark.createDataFrame(good[:1], schema), target, overwrite=True)
+    assert len(list((tmp_path / "out").rglob("part-*"))) == 1
+
+
+def test_run_folders(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    runs = [(f"r{n}", p, f"2024_r{n}", "10:00:00 2024-01-01") for p in ("a b", "c%d") for n in range(3)]
+    frame = spark.createDataFrame(runs, "run_id string, profile string, run_dir string, finished_at string")
+    catalogue.write_run_folders(frame, root)
+    for checksum in (tmp_path / "runs").rglob(".*.crc"):
+        checksum.unlink()
+    (tmp_path / "runs" / "a b" / "2024_r0" / "manifest.json").write_text(
+        '{"run_id": "kept", "finished_at": "10:00:00 2024-01-01"}')
+    (tmp_path / "runs" / "a b" / "broken").mkdir()
+    (tmp_path / "runs" / "a b" / "broken" / "manifest.json").write_text("{")
+    catalogue.write_run_folders(frame, root)  # manifests in their place stay
+    got = {(r.profile, r.run_id) for r in catalogue.scan_run_folders(spark, root).collect()}
+    assert got == {("a b", "kept")} | {(p, r) for r, p, _, _ in runs} - {("a b", "r0")}
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["a b", "c%d"]
+    catalog = catalogue.scan_run_folders(spark, root, ["c%d"])
+    assert catalog.count() == 3
+    folder = catalog.where("run_id = 'r1'").first()
+    assert [r.run_id for r in catalogue.find_run(catalog, folder.run_dir + "/").collect()] == ["r1"]
+    assert [r.run_id for r in catalogue.find_run(catalog, folder.manifest_path).collect()] == ["r1"]
+    assert catalogue.find_run(catalog, "nothing").count() == 0
