@@ -8,7 +8,9 @@ from tablekeeper.plans.fixtures import (
 )
 from tablekeeper.plans.registry import query
 from tablekeeper.session import work_dir
-from tablekeeper.sources.event_log import append_events, parse_lines, scan_events
+from tablekeeper.sources.event_log import (
+    append_events, parse_lines, payload_field, scan_events, store_events, stored_events,
+)
 
 EVENT_COLUMNS = "timestamp, event, run_id, profile, other, error, at_ms"
 
@@ -35,6 +37,20 @@ def event_log_append_scan(spark, folder):
     return event_columns(scan_events(spark, path))
 
 
+@query("event_payload_fields", f"""WITH {RUN_LOG}
+SELECT run_id, event, profile, other, target_profile, CAST(duration_ms AS BIGINT) AS duration_ms, at_ms FROM run_log""")
+def event_payload_fields(spark, folder):
+    """Fields of any payload by their path, from events kept as a table."""
+    path = work_dir(spark, "events")
+    store_events(parse_lines(log_lines(spark, folder)), path)
+    events = stored_events(spark, path)
+    return events.select(
+        payload_field(events, "$.run_id").alias("run_id"), "event", payload_field(events, "$.profile").alias("profile"),
+        payload_field(events, "$.profiles[1]").alias("other"),
+        payload_field(events, "$.target_profile").alias("target_profile"),
+        payload_field(events, "$.duration_ms", "bigint").alias("duration_ms"), F.unix_millis("at").alias("at_ms"))
+
+
 @query("event_filter_profile", f"""WITH {RUN_LOG}
 SELECT line_no, event, run_id FROM log_by_profile WHERE for_profile = 'p1'""")
 def event_filter_profile(spark, folder):

@@ -75,6 +75,21 @@ def encrypt_round_trip(spark, folder):
     )
 
 
+@query("encrypt_bucket_keys", """SELECT doc_id, lang, sha256(text) AS digest, CAST(57 AS BIGINT) AS overhead,
+  CAST(NULL AS VARCHAR) AS reason FROM documents
+UNION ALL SELECT doc_id, 'changed', NULL, CAST(57 AS BIGINT), 'wrong passphrase or corrupt' FROM documents""")
+def encrypt_bucket_keys(spark, folder):
+    """Texts under bucket keys opened again, and refused with the number of another bucket."""
+    texts = load(spark, folder, "documents").select(
+        "doc_id", "lang", F.encode("text", "UTF-8").alias("data"), F.octet_length("text").alias("n"))
+    sealed = crypto.encrypt_in_buckets(texts, "data", PASSPHRASE).withColumn(
+        "overhead", (F.octet_length("data") - F.col("n")).cast("bigint"))
+    moved = F.concat(F.substring("data", 1, 28), F.lit(b"\x01"), F.substring("data", 30, 2**31 - 1))
+    both = sealed.unionByName(sealed.withColumn("lang", F.lit("changed")).withColumn("data", moved))
+    return crypto.decrypt(both.drop("n"), "data", PASSPHRASE).select(
+        "doc_id", "lang", F.sha2("data", 256).alias("digest"), "overhead", "reason")
+
+
 @query("encrypt_rejections", """SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'too small or corrupt'
   WHEN doc_id % 5 = 1 THEN 'bad magic' WHEN doc_id % 5 = 2 THEN 'unsupported version'
   WHEN doc_id % 5 = 3 THEN 'wrong passphrase or corrupt' END AS reason FROM documents""")

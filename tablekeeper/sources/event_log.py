@@ -51,6 +51,25 @@ def scan_events(spark, path):
     return parse_lines(lines)
 
 
+def store_events(events, path):
+    """Keep events as a Parquet table whose ``payload_any`` is the whole payload as a variant."""
+    events.select("timestamp", "event", "at", F.try_parse_json("payload_json").alias("payload_any")).write.mode(
+        "append").parquet(path)
+
+
+def payload_field(events, path, kind="string"):
+    """Any field of a stored payload by its path, such as ``$.profiles[0]``; NULL where it is absent or no ``kind``."""
+    return F.try_variant_get(F.col("payload_any"), path, kind)
+
+
+def stored_events(spark, path):
+    """Events that ``store_events`` kept; none before the first."""
+    schema = "timestamp string, event string, at timestamp, payload_any variant"
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def stream_events(spark, path, **options):
     """The same events as a stream of newly arriving files."""
     lines = spark.readStream.options(recursiveFileLookup="true", **options).text(path)

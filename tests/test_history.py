@@ -153,3 +153,20 @@ def test_worst_status(spark):
         "profile string, status string")
     assert {(r.profile, r.status) for r in history.worst_status(checks).collect()} == {
         ("a", "warning"), ("b", "error"), ("c", "ok")}
+
+
+def test_payloads_as_variants(spark, tmp_path):
+    """Any field by its path, also those that no list of fields knows; odd payloads are NULL."""
+    path = str(tmp_path / "events")
+    assert event_log.stored_events(spark, path).count() == 0
+    lines = ['{"event": "a", "payload": {"x": {"y": [1, "two"]}, "n": 7}, "timestamp": "10:00:00 2024-01-01"}',
+             '{"event": "b", "payload": "text", "timestamp": null}', '{"event": "c"}', "not json", ""]
+    events = event_log.parse_lines(spark.createDataFrame([(v,) for v in lines], "value string"))
+    event_log.store_events(events, path)
+    kept = event_log.stored_events(spark, path)
+    field = lambda p, kind="string": event_log.payload_field(kept, p, kind)
+    got = kept.select("event", field("$.x.y[1]").alias("y"), field("$.n", "int").alias("n"), field("$.x.y[1]", "int").alias("bad"),
+                      F.unix_millis("at").alias("at"))
+    assert sorted(map(tuple, got.collect()), key=repr) == [
+        ("a", "two", 7, None, 1704103200000), ("b", None, None, None, None), ("c", None, None, None, None)]
+    assert "event" not in kept.select(field("$.n"))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]

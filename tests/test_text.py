@@ -1,3 +1,4 @@
+import hmac
 import random
 
 import pytest
@@ -62,6 +63,29 @@ def test_refusals(spark):
         "wrong passphrase or corrupt", "bad magic", "too small or corrupt", "unsupported version"]
 
 
+def test_bucket_keys(spark, monkeypatch):
+    """Every bucket has the HMAC of its number as its key; both layouts open in one call."""
+    monkeypatch.setattr(crypto, "BUCKET_ROWS", 4)
+    plain = spark.range(30).repartition(3).select("id", F.encode(F.col("id").cast("string"), "UTF-8").alias("data"))
+    sealed = crypto.encrypt_in_buckets(plain, "data", PASSPHRASE).cache()
+    rows = [bytes(r.data) for r in sealed.collect()]
+    salt, = {r[5:21] for r in rows}
+    buckets = {r[21:29] for r in rows}
+    assert len(buckets) >= 8 and {r[:5] for r in rows} == {crypto.MAGIC + b"\x03"}
+    inner, outer = crypto._pads(crypto.derive_key(PASSPHRASE, salt))
+    for bucket in buckets:
+        got = spark.range(1).select(crypto.bucket_key(F.lit(inner), F.lit(outer), F.lit(bucket))).first()[0]
+        assert bytes(got) == hmac.new(crypto.derive_key(PASSPHRASE, salt), bucket, "sha256").digest()
+    old = crypto.encrypt(plain, "data", PASSPHRASE)
+    for many in (256, 1):
+        monkeypatch.setattr(crypto, "SALTS_AT_ONCE", many)
+        opened = crypto.decrypt(sealed.unionAll(old), "data", PASSPHRASE).collect()
+        assert len(opened) == 60 and all(bytes(r.data) == str(r.id).encode() and r.reason is None for r in opened)
+    assert {r.reason for r in crypto.decrypt(sealed, "data", "wrong").collect()} == {"wrong passphrase or corrupt"}
+    short = sealed.withColumn("data", F.substring("data", 1, 50))
+    assert {r.reason for r in crypto.decrypt(short, "data", PASSPHRASE).collect()} == {"too small or corrupt"}
+
+
 def test_many_salts(spark, monkeypatch):
     plain, sealed = cases(spark)
     other = crypto.encrypt(plain, "data", PASSPHRASE)
