@@ -4,9 +4,10 @@ Every source gets a budget in words from its weight. A budget beyond the size of
 epochs first, then a weighted sample without replacement: each document draws the key ``-ln(u) / quality``,
 ``u`` being a hash of its id and the seed, and the smallest keys are taken while their sizes fit the rest.
 
-Everything is DataFrame functions. Only the sums of sources and of key ranges go through windows; documents
-are sorted within one key range of their source, the one that holds the border, so a source of any size is
-never one task's.
+Everything is DataFrame functions. Only the sums of sources and of stretches of keys go through windows; documents
+are sorted within one stretch of their source, the one that holds the border. It is found by cutting the keys at
+their quantiles again and again, so that it is small however the keys are spread, and a source of any size is never
+one task's.
 
 Defined results: NULL or blank texts have size 0 and are taken 0 words; a NULL source is a source of its own,
 last in order; documents of size 0 are never sampled; equal keys are ordered by id, rows that repeat their id
@@ -24,8 +25,9 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST_EPOCHS = 2
 SEED = "mix-1"
-#: Documents aimed at in one key range.
+#: Documents that one task sorts at most, keys that are equal aside, and stretches that a round cuts keys into.
 RANGE_ROWS = 5_000
+CUTS = 64
 
 
 def quality(text):
@@ -93,30 +95,63 @@ def mix(docs, weights=WEIGHTS, budget=BUDGET, most=MOST_EPOCHS, seed=SEED, weigh
                       F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
                   ).otherwise(0).cast("long"))
                   .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-plan")
-    # Key ranges of about RANGE_ROWS documents: 1 - exp(-key) is even where the weights are alike.
-    ranges = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / RANGE_ROWS))
-    rows = slim.join(plan, "_key").withColumn(
-        "_range", F.floor((1 - F.exp(-F.col("_rank"))) * ranges).cast("long"))
-    in_range = rows.groupBy("_key", "_range").agg(F.sum("size").alias("_range_size"))
-    before = Window.partitionBy("_key").orderBy("_range")
-    starts = in_range.withColumn(
-        "_start", F.sum("_range_size").over(before) - F.col("_range_size")
-    ).withColumnRenamed("_key", "_k").withColumnRenamed("_range", "_r")
-    placed = rows.join(starts, (F.col("_key") == F.col("_k")) & (F.col("_range") == F.col("_r")))
-    border = (F.col("_start") < F.col("rest")) & (F.col("_start") + F.col("_range_size") > F.col("rest"))
-    inner = Window.partitionBy("_key", "_range").orderBy("_rank", "doc_id", "size").rowsBetween(
+    rows = slim.join(plan, "_key")
+    borders = _borders(slim.select("_key", "_rank", "size"), plan.select("_key", "rest", "n_rows")).select(
+        F.col("_key").alias("_k"), "low", "high", "start")
+    placed = rows.join(borders, F.col("_key") == F.col("_k"))
+    at_border = (F.col("_rank") > F.col("low")) & (F.col("_rank") <= F.col("high"))
+    inner = Window.partitionBy("_key").orderBy("_rank", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    at_border = placed.where(border).withColumn("_end", F.col("_start") + F.sum("size").over(inner))
-    others = placed.where(~border).withColumn(
-        "_end", F.when(F.col("_start") + F.col("_range_size") <= F.col("rest"), F.lit(0)).otherwise(
-            F.lit(1 << 62)).cast("long"))
-    once = (F.col("_end") <= F.col("rest")).cast("long")
-    return at_border.unionByName(others).select(
+    inside = placed.where(at_border).withColumn(
+        "once", (F.col("start") + F.sum("size").over(inner) <= F.col("rest")).cast("long"))
+    others = placed.where(~at_border).withColumn("once", (F.col("_rank") <= F.col("low")).cast("long"))
+    return inside.unionByName(others).select(
         "doc_id", *carry, "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("epochs") + once)).alias("taken"),
+        (F.col("size") * (F.col("epochs") + F.col("once"))).alias("taken"),
     )
 
 
+def _borders(rows, plan):
+    """(``_key``, ``low``, ``high``, ``start``): the keys (low, high] among which a source's rest ends, and the words
+    before them.
+
+    All keys up to ``low`` are within the rest, none beyond ``high`` is. Each round cuts the keys between at their
+    quantiles, whatever their distribution, and keeps the stretch in which the running sum passes the rest, until it
+    holds ``RANGE_ROWS`` rows, or rows of one key only.
+    """
+    state = staged(plan.select(
+        "_key", "rest", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"),
+        F.lit(0).cast("long").alias("start"), F.col("n_rows").alias("n"), (F.col("n_rows") > RANGE_ROWS).alias("open")),
+        "mix-border")
+    share = F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)])
+    while not state.where("open").isEmpty():
+        inside = rows.join(state.where("open"), "_key").where("_rank > low AND _rank <= high")
+        cuts = staged(inside.groupBy("_key").agg(F.array_distinct(
+            F.percentile_approx("_rank", share, F.lit(20 * CUTS))).alias("cuts")), "mix-cuts")
+        stretch = F.size(F.filter("cuts", lambda c: c < F.col("_rank")))
+        known = F.struct("rest", "low", "high", "start", F.col("n").alias("before"), "cuts")
+        sums = inside.join(cuts, "_key").groupBy("_key", stretch.alias("at")).agg(
+            F.sum("size").alias("words"), F.count("*").alias("n"), F.any_value(known).alias("known"))
+        so_far = Window.partitionBy("_key").orderBy("at")
+        ends = sums.select("_key", "at", "words", "n", "known.*").withColumn(
+            "end", F.col("start") + F.sum("words").over(so_far))
+        # The first stretch that ends beyond the rest; without one, all keys are within it.
+        last = F.struct("at", "rest", "low", "high", "before", "cuts", "n", (F.col("end") - F.col("words")).alias("start"))
+        found = ends.groupBy("_key").agg(
+            F.min(F.when(F.col("end") > F.col("rest"), last)).alias("x"),
+            F.any_value("rest").alias("rest"), F.any_value("high").alias("high"), F.max("end").alias("end"))
+        x = F.col("x")
+        cut = lambda k: F.get(x["cuts"], k)
+        moved = found.select(
+            "_key", "rest", F.when(x.isNull(), F.col("high")).otherwise(F.coalesce(cut(x["at"] - 1), x["low"])).alias("low"),
+            F.when(x.isNull(), F.col("high")).otherwise(F.coalesce(cut(x["at"]), x["high"])).alias("high"),
+            F.when(x.isNull(), F.col("end")).otherwise(x["start"]).alias("start"),
+            F.coalesce(x["n"], F.lit(0).cast("long")).alias("n"),
+            F.coalesce((x["n"] > RANGE_ROWS) & (x["n"] < x["before"]), F.lit(False)).alias("open"))
+        state = staged(state.where("NOT open").unionByName(moved), "mix-border")
+    return state
+
+
 def op3_mix_sources(spark, folder):
     """The contract's columns for all of ``documents``."""
     return mix(load(spark, folder, "documents")).drop("source")

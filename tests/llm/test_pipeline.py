@@ -195,3 +195,24 @@ def test_stages_carry_columns_of_clashing_names(spark):
             assert rows
             for r in rows:
                 assert [r[c] for c in CLASHING] == [f"{k}-{r.doc_id}" for k in range(len(CLASHING))]
+
+
+def test_borders_of_uneven_keys(spark, monkeypatch):
+    """Sources of low and of mixed quality, cut in several rounds, against sorting each source whole."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 5)
+    monkeypatch.setattr(mixing, "CUTS", 4)
+    symbols = "#" * 40
+    texts = [prose(i, 3 + i % 17) + (symbols if i % 3 or i > 300 else "") for i in range(400)] + ["", " ", "one"]
+    rows = [(i, t, "en", "hot" if i > 90 else f"s{i % 4}", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert got == plain_mix(docs.collect())
+    seen = []
+    staged = mixing.staged
+    monkeypatch.setattr(mixing, "staged", lambda df, name: seen.append((name, out := staged(df, name))) or out)
+    mixing.mix(docs)
+    last = [df for name, df in seen if name == "mix-border"][-1]
+    assert len([n for n, _ in seen if n == "mix-border"]) > 3 and last.agg(F.max("n")).first()[0] <= 5
+    # Rows of one key cannot be cut, and end the search.
+    same = spark.createDataFrame([(7, "a b c", "en", "x", 5)] * 30, docs.schema)
+    assert {r.taken for r in mixing.mix(same).collect()} <= {0, 3, 6}
