@@ -407,7 +407,8 @@ def joined(docs):
     rows = slim.where("bucket IS NULL").drop("bucket")
     classes = staged(
         rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
-    shared = _shared(_postings(docs, levels), tasks)
+    # One document of each class has its postings: copies would only repeat them.
+    shared = _shared(_postings(_maybe(docs, classes), levels), tasks)
 
     lists = shared.groupBy("cid").agg(F.collect_list(F.struct("token", "at")).alias("x")).join(
         classes.select("cid", "n"), "cid")
