@@ -1,5 +1,6 @@
 """Elias-Fano coded monotone sequences and the two-level trie of a bigram model, over mapped files."""
 
+import os
 import tempfile
 
 import numpy as np
@@ -38,6 +39,14 @@ class EliasFano:
                 np.unpackbits(part, axis=1, bitorder="little")[:, :self.width].ravel(), bitorder="little"))
         self.low = np.concatenate(low + [np.zeros(8, np.uint8)])
 
+    @classmethod
+    def of(cls, n, width, buckets, high, zeros, low):
+        """The sequence with these stored parts."""
+        out = cls.__new__(cls)
+        out.n, out.width, out.buckets = n, width, buckets
+        out.high, out.zeros, out.low = high, zeros, low
+        return out
+
     def arrays(self):
         return {"high": self.high, "zeros": self.zeros, "low": self.low}
 
@@ -111,27 +120,14 @@ class EliasFano:
         return (low.astype(np.uint64) << np.uint64(self.width)) | self._low(i)
 
 
-class Mapped:
-    """Arrays moved to one unnamed temporary file and mapped; the file goes with the object."""
+# Kinds of number of a stored trie's arrays: three sequences (high, zeros, low), then counts and codes.
+_KINDS = ("u1", "i8", "u1") * 3 + ("i8", "u2", "u2", "u2")
+_HEAD = 1 + 9 + len(_KINDS)
+_ALIGN = 16
 
-    def __init__(self):
-        self.file, self.size = tempfile.TemporaryFile(), 0
 
-    def keep(self, array):
-        array = np.ascontiguousarray(array)
-        if not array.size:
-            return array
-        at = -(-self.size // 16) * 16
-        self.file.seek(at)
-        self.file.write(array.tobytes())
-        self.file.flush()
-        self.size = at + array.nbytes
-        return np.memmap(self.file, array.dtype, "r", at, array.shape)
-
-    def sequence(self, coded):
-        for name, array in coded.arrays().items():
-            setattr(coded, name, self.keep(array))
-        return coded
+def _aligned(n):
+    return -(-n // _ALIGN) * _ALIGN
 
 
 class BigramTrie:
@@ -139,18 +135,51 @@ class BigramTrie:
     it, each with a code. Pointers and both levels are Elias-Fano coded.
 
     The sequence of level 2 is monotone over all words, as a context is kept relative to its word: number of
-    the word above, hash of the context below.
+    the word above, hash of the context below. ``stored()`` gives the trie as bytes, ``mapped()`` opens them.
     """
 
     def __init__(self, words, counts, unseen, weights, parents, contexts, codes, bits):
-        self.map, self.bits = Mapped(), bits
-        self.words = self.map.sequence(EliasFano(words, 1 << 64))
+        self.bits = bits
         relative = (parents.astype(np.uint64) << np.uint64(bits)) | contexts
-        self.contexts = self.map.sequence(EliasFano(relative, max(1, len(words)) << bits))
         starts = np.searchsorted(parents, np.arange(len(words) + 1))
-        self.pointers = self.map.sequence(EliasFano(starts, len(parents) + 1))
-        self.counts, self.unseen = self.map.keep(counts), self.map.keep(unseen)
-        self.weights, self.codes = self.map.keep(weights), self.map.keep(codes)
+        self.words = EliasFano(words, 1 << 64)
+        self.contexts = EliasFano(relative, max(1, len(words)) << bits)
+        self.pointers = EliasFano(starts, len(parents) + 1)
+        self.counts, self.unseen, self.weights, self.codes = counts, unseen, weights, codes
+
+    def _sequences(self):
+        return self.words, self.contexts, self.pointers
+
+    def stored(self):
+        """Header (bits; size, width and buckets of each sequence; length of each array), then the arrays."""
+        arrays = [a for s in self._sequences() for a in (s.high, s.zeros, s.low)]
+        arrays += [self.counts, self.unseen, self.weights, self.codes]
+        head = [self.bits, *(x for s in self._sequences() for x in (s.n, s.width, s.buckets)), *map(len, arrays)]
+        parts = [np.array(head, "i8").tobytes()] + [
+            np.ascontiguousarray(a, kind).tobytes() for a, kind in zip(arrays, _KINDS)]
+        return b"".join(part.ljust(_aligned(len(part)), b"\0") for part in parts)
+
+    @classmethod
+    def mapped(cls, data):
+        """The trie of ``stored()`` bytes, copied to an unnamed file among Spark's scratch files and mapped:
+        pages are read as queries touch them, and the file goes with the object."""
+        scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        with tempfile.TemporaryFile(dir=scratch or None) as file:
+            file.write(data)
+            file.flush()
+            whole = np.memmap(file, np.uint8, "r")
+        head = whole[:_HEAD * 8].view("i8").tolist()
+        at, arrays = _aligned(_HEAD * 8), []
+        for length, kind in zip(head[10:], _KINDS):
+            size = length * np.dtype(kind).itemsize
+            arrays.append(whole[at:at + size].view(kind))
+            at += _aligned(size)
+        out = cls.__new__(cls)
+        out.bits = head[0]
+        out.words, out.contexts, out.pointers = (
+            EliasFano.of(*head[1 + 3 * k:4 + 3 * k], *arrays[3 * k:3 * k + 3]) for k in range(3))
+        out.counts, out.unseen, out.weights, out.codes = arrays[9:]
+        return out
 
     def find_words(self, hashes):
         """Numbers of the words, -1 for unknown ones."""

@@ -1,14 +1,16 @@
-"""Language-model scoring with Elias-Fano coded n-gram tries.
+"""Language-model scoring with published Elias-Fano coded n-gram tries.
 
 A bigram model with Dirichlet smoothing: p(w | v) = (c(v, w) + m * p1(w)) / (c(v) + m) with
 p1(w) = (c(w) + 1) / (N + V + 1). The log of a text is a sum over its tokens of log(c(v, w) + m * p1(w)),
 which needs counts of w and (v, w) only, less a sum over its words v of log(c(v) + m). So the trie is cut
-into shards by the predicted word, and one exchange takes both the training counts and the queries there.
+into shards by the predicted word; a word so frequent that it would fill a shard is cut by its context.
 
-Each task packs the tokens of a block of documents per shard: words, contexts, and which documents have
-them. A shard builds its trie (see ``elias_fano``) from the training documents, maps it from a temporary file,
-looks up every distinct pair once, and returns sums, packed per block of documents, which then meet. A word so frequent that it would fill a
-shard is cut by its context. Longer n-grams would need a second exchange of all tokens, see the README.
+``train`` sends the distinct pairs of each block of training tokens to their shards, builds one trie (see
+``elias_fano``) per shard and publishes all as a table in a folder, which serves any number of later runs
+(``open_model``). ``score`` sends the tokens of the documents to score, packed per block and shard, to tasks
+that map the stored trie of their shard and walk the blocks one by one: each distinct pair of a block is one
+look-up, whether or not its document took part in training. The sums go back per block of documents.
+Longer n-grams would need one more exchange of all tokens each time, see the README.
 
 Probabilities are stored as 16-bit codes of their logs in steps of ``STEP``. Sums are of whole numbers, so
 that reruns agree.
@@ -17,6 +19,8 @@ Defined results: NULL text is empty and has one token, the end; a NULL id trains
 scored each; without training documents N = V = 0; an empty table gives no rows; other columns are ignored.
 """
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -24,12 +28,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tablekeeper.llm import hashing
 from tablekeeper.llm.elias_fano import BigramTrie
 from tablekeeper.llm.tables import load, staged
+from tablekeeper.session import work_dir
 
 HELD_OUT = (7, 2)
 MASS = 1000.0
-#: Tokens aimed at for one shard of the trie, and shards of one task, whose sums per document are merged.
-SHARD_TOKENS = 1_000_000
-TASK_SHARDS = 4
+#: Training tokens aimed at for one shard of the trie.
+SHARD_TOKENS = 4_000_000
+#: Sums per document that a task keeps before it sends them on.
+WAITING = 1 << 20
 #: Bits of the hash that tells a word's contexts apart.
 CONTEXT_BITS = 40
 LOWEST, STEP = -20.0, 40.0 / 65536
@@ -106,10 +112,11 @@ def _pack(arrays):
     return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays)]))
 
 
-_TYPES = (np.uint64, np.uint32, np.uint32, np.uint8, np.uint32, np.uint32, np.uint32, np.int64, np.bool_)
+_PAIRS = (np.uint64, np.uint32, np.uint32, np.uint8, np.uint32)
+_QUERIES = (*_PAIRS, np.uint32, np.uint32, np.int64)
 
 
-def _unpack(blob, types=_TYPES):
+def _unpack(blob, types):
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(blob)
@@ -121,69 +128,200 @@ def _unpack(blob, types=_TYPES):
     return out
 
 
-def _packed(tokens, before, rows, ids, held, shards, hot):
-    """(shard, blob) for a block of at most _BLOCK tokens."""
-    words, number = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-    token, context = number[:len(tokens)], number[len(tokens):]
-    unit, unit_word = token.copy(), [words]
-    total = len(words)
-    turn = [np.zeros(len(words), np.uint64)]
-    for word, cuts in hot.items():  # a frequent word is cut by its contexts
-        i = np.searchsorted(words, word)
-        if i < len(words) and words[i] == word:
-            mine = np.flatnonzero(token == i)
-            part = (hashing.mixed(before[mine]) % np.uint64(cuts)).astype(np.int64)
-            unit[mine] = np.where(part > 0, total + part - 1, i)
-            unit_word.append(np.full(cuts - 1, word))
-            turn.append(np.arange(1, cuts, dtype=np.uint64))
-            total += cuts - 1
-    unit_word, turn = np.concatenate(unit_word), np.concatenate(turn)
-    unit_shard = (hashing.mixed(unit_word + turn * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
-    by_shard = np.lexsort((unit_word, unit_shard))
-    rank = np.empty(total, np.int64)
-    rank[by_shard] = np.arange(total)
-    c_bits, d_bits = int(len(words)).bit_length(), int(rows[-1] - rows[0] + 1).bit_length()
-    joint = (rank[unit] << (c_bits + d_bits)) | (context << d_bits) | (rows - rows[0])
-    joint.sort()
-    first = np.flatnonzero(np.concatenate(([True], joint[1:] != joint[:-1])))
-    times = np.diff(np.append(first, len(joint)))
-    joint = joint[first]
+def _runs(values):
+    """[from, to) of equal neighbours."""
+    edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return zip(edges, np.append(edges[1:], len(values)))
+
+
+def _units(tokens, before, shards, hot):
+    """(shard, word) of the distinct ones of a block by shard, and each token's place among them."""
+    words, number = np.unique(tokens, return_inverse=True)
+    part = np.zeros(len(tokens), np.uint64)
+    if len(hot["word"]):  # a frequent word is cut by its contexts
+        at = np.minimum(np.searchsorted(hot["word"], words), len(hot["word"]) - 1)
+        cuts = np.where(hot["word"][at] == words, hot["cuts"][at], np.uint64(1))
+        part = hashing.mixed(before) % cuts[number]
+    shard = hashing.mixed(tokens + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)
+    units, rank = np.unique(shard.astype(np.int64) * len(words) + number, return_inverse=True)
+    return units // len(words), words[units % len(words)], rank
+
+
+def _split(contexts):
+    """Contexts as 32 low bits and the rest."""
+    return (contexts & np.uint64(0xFFFFFFFF)).astype(np.uint32), (contexts >> np.uint64(32)).astype(np.uint8)
+
+
+def _joined(low, top):
+    return low.astype(np.uint64) | (top.astype(np.uint64) << np.uint64(32))
+
+
+def _contexts(before):
+    return np.unique(before >> np.uint64(64 - CONTEXT_BITS), return_inverse=True)
+
+
+def _pairs(tokens, before, shards, hot):
+    """(shard, blob): the distinct pairs of a block with their counts."""
+    shard, word, rank = _units(tokens, before, shards, hot)
+    seen, context = _contexts(before)
+    pair, times = np.unique(rank * len(seen) + context, return_counts=True)
+    unit, contexts = pair // len(seen), seen[pair % len(seen)]
+    for a, b in _runs(shard[unit]):
+        units, sizes = np.unique(unit[a:b], return_counts=True)
+        yield int(shard[units[0]]), _pack((
+            word[units], sizes.astype(np.uint32), *_split(contexts[a:b]), times[a:b].astype(np.uint32)))
+
+
+def _queries(tokens, before, rows, ids, shards, hot):
+    """(shard, blob): the distinct pairs of a block, and which documents have them how often."""
+    shard, word, rank = _units(tokens, before, shards, hot)
+    seen, context = _contexts(before)
+    c_bits, d_bits = int(len(seen)).bit_length(), int(rows[-1] - rows[0] + 1).bit_length()
+    joint = (rank << (c_bits + d_bits)) | (context << d_bits) | (rows - rows[0])
+    joint, times = np.unique(joint, return_counts=True)
     pair, doc = joint >> d_bits, joint & ((1 << d_bits) - 1)
     new_pair = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-    pair_size = np.diff(np.append(new_pair, len(pair)))
+    post_at = np.append(new_pair, len(pair))
+    pair_size = np.diff(post_at)
     pair = pair[new_pair]
-    pair_unit = pair >> c_bits
-    seen = words[pair & ((1 << c_bits) - 1)] >> np.uint64(64 - CONTEXT_BITS)
-    shard_of = unit_shard[by_shard][pair_unit]
-    edges = np.flatnonzero(np.concatenate(([True], shard_of[1:] != shard_of[:-1])))
-    post_at = np.append(new_pair, len(doc))
-    for a, b in zip(edges, np.append(edges[1:], len(pair))):
-        units, sizes = np.unique(pair_unit[a:b], return_counts=True)
+    unit, contexts = pair >> c_bits, seen[pair & ((1 << c_bits) - 1)]
+    for a, b in _runs(shard[unit]):
+        units, sizes = np.unique(unit[a:b], return_counts=True)
         lo, hi = post_at[a], post_at[b]
         docs, local = np.unique(doc[lo:hi], return_inverse=True)
-        yield int(shard_of[a]), _pack((
-            unit_word[by_shard][units], sizes.astype(np.uint32), (seen[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
-            (seen[a:b] >> np.uint64(32)).astype(np.uint8), pair_size[a:b].astype(np.uint32),
-            local.astype(np.uint32), times[lo:hi].astype(np.uint32), ids[docs + rows[0]], held[docs + rows[0]],
+        yield int(shard[units[0]]), _pack((
+            word[units], sizes.astype(np.uint32), *_split(contexts[a:b]), pair_size[a:b].astype(np.uint32),
+            local.astype(np.uint32), times[lo:hi].astype(np.uint32), ids[docs + rows[0]],
         ))
 
 
-def _blocks(docs, shards, hot):
-    """Rows (``shard``, ``blob``), and one row per document with its id and token count."""
+# --- training ------------------------------------------------------------------------------------
+
+class Model(NamedTuple):
+    """A published model: ``tries`` has (``shard``, ``blob``), ``hot`` words cut over shards."""
+
+    tries: object
+    hot: dict
+    shards: int
+    total: int
+    distinct: int
+    trained: int
+
+
+def _sent_to(df, shards):
+    """Rows of ``df`` in one partition per shard, ordered."""
+    tasks = max(12, shards)
+    return df.repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard", "kind")
+
+
+def _trie(blobs, hot, total, distinct):
+    """The trie of one shard from the pairs of all blocks."""
+    blocks = [_unpack(b, _PAIRS) for b in blobs]
+    words = np.unique(np.concatenate([b[0] for b in blocks]))
+    keys = np.concatenate([
+        (np.repeat(np.searchsorted(words, units), sizes).astype(np.uint64) << np.uint64(CONTEXT_BITS))
+        | _joined(low, top) for units, sizes, low, top, _ in blocks])
+    pairs, inverse = np.unique(keys, return_inverse=True)
+    times = np.bincount(inverse, np.concatenate([b[4] for b in blocks]), len(pairs)).astype(np.int64)
+    parents = (pairs >> np.uint64(CONTEXT_BITS)).astype(np.int64)
+    counts = np.bincount(parents, times, len(words)).astype(np.int64)
+    if len(hot["word"]):  # their other parts are in other shards
+        at = np.minimum(np.searchsorted(hot["word"], words), len(hot["word"]) - 1)
+        counts = np.where(hot["word"][at] == words, hot["n"][at], counts)
+    prior = MASS * (counts + 1) / (total + distinct + 1)
+    return BigramTrie(
+        words, counts, codes_of(np.log10(prior)), codes_of(np.log10(counts + MASS)), parents,
+        pairs & np.uint64((1 << CONTEXT_BITS) - 1), codes_of(np.log10(times + prior[parents])), CONTEXT_BITS,
+    )
+
+
+def train(docs, shard_tokens=SHARD_TOKENS, path=None):
+    """Learn from the training documents of ``docs`` and publish the model at ``path``."""
+    spark = docs.sparkSession
+    path = path or work_dir(spark, "trie")
+    words = staged(word_counts(docs), "words")
+    end = int(np.array([END]).view(np.int64)[0])
+    total, distinct, trained = words.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("n"))), F.lit(0)),
+    ).first()
+    shards = max(12, -(-total // shard_tokens))
+    # At most two words for each shard's worth of tokens can be this frequent.
+    half = shard_tokens // 2
+    words.where(F.col("n") > half).select(
+        "word", "n", F.ceil(F.col("n") / half).alias("cuts")).write.parquet(f"{path}/hot")
+    spark.createDataFrame(
+        [(shards, total, distinct, trained)], "shards long, total long, distinct long, trained long",
+    ).coalesce(1).write.parquet(f"{path}/size")
+    shared = spark.sparkContext.broadcast(_hot(spark, path))
+
+    def paired(batches):
+        import pyarrow as pa
+
+        for batch in hashing.small_batches(batches):
+            tokens, before, _ = _tokens(batch.column("text"))
+            found = [x for at in range(0, len(tokens), _BLOCK) for x in _pairs(
+                tokens[at:at + _BLOCK], before[at:at + _BLOCK], shards, shared.value)]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())],
+                    ["shard", "blob"])
+
+    def built(batches):
+        import pyarrow as pa
+
+        def row(shard, blobs):
+            trie = _trie(blobs, shared.value, total, distinct).stored()
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([trie], pa.binary())], ["shard", "blob"])
+
+        held, blobs = None, []
+        for batch in batches:
+            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob")):
+                if shard != held and blobs:
+                    yield row(held, blobs)
+                    blobs = []
+                held = shard
+                blobs.append(blob.as_py())
+        if blobs:
+            yield row(held, blobs)
+
+    pairs = _prepared(docs).where(~F.col("held_out")).select("text").mapInArrow(paired, "shard long, blob binary")
+    _sent_to(pairs.withColumn("kind", F.lit(1)), shards).select("shard", "blob").mapInArrow(
+        built, "shard long, blob binary").write.parquet(f"{path}/tries")
+    return open_model(spark, path)
+
+
+def _hot(spark, path):
+    rows = spark.read.parquet(f"{path}/hot").collect()
+    word = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(word)
+    return {"word": word[order], "n": np.array([r["n"] for r in rows], np.int64)[order],
+            "cuts": np.array([r["cuts"] for r in rows], np.uint64)[order]}
+
+
+def open_model(spark, path):
+    """The model published at ``path``."""
+    size = spark.read.parquet(f"{path}/size").first()
+    tries = spark.read.schema("shard long, blob binary").parquet(f"{path}/tries")
+    return Model(tries, _hot(spark, path), *size)
+
+
+# --- scoring -------------------------------------------------------------------------------------
+
+def _asked(docs, model, hot):
+    """Rows (``shard``, ``blob``) of queries, and one row per document with its id and token count."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shards = model.shards
 
     def run(batches):
         import pyarrow as pa
 
-        words = {np.uint64(w): n for w, n in hot.value}
         for batch in hashing.small_batches(batches):
             tokens, before, rows = _tokens(batch.column("text"))
             ids = batch.column("row").to_numpy()
-            held = batch.column("held_out").to_numpy(zero_copy_only=False)
             names, blobs = [], []
             for at in range(0, len(tokens), _BLOCK):
                 cut = slice(at, at + _BLOCK)
-                for shard, blob in _packed(tokens[cut], before[cut], rows[cut], ids, held, shards, words):
+                for shard, blob in _queries(tokens[cut], before[cut], rows[cut], ids, shards, hot.value):
                     names.append(shard)
                     blobs.append(blob)
             n = len(ids)
@@ -196,76 +334,43 @@ def _blocks(docs, shards, hot):
             ], out)
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids % shards), pa.nulls(n, pa.binary()), batch.column("doc_id"), pa.array(ids),
-                pa.array(held), pa.array(np.bincount(rows, minlength=n).astype(np.int64)),
+                batch.column("held_out"), pa.array(np.bincount(rows, minlength=n).astype(np.int64)),
             ], out)
 
     return _prepared(docs).mapInArrow(
         run, f"shard long, blob binary, doc_id {kind}, row long, held_out boolean, n_tokens long")
 
 
-def shard_trie(units, counts, pair_unit, contexts, pair_counts, total, distinct):
-    """Trie over words (with their counts) and the pairs seen in training."""
-    prior = MASS * (counts + 1) / (total + distinct + 1)
-    known = pair_counts > 0
-    return BigramTrie(
-        units, counts, codes_of(np.log10(prior)), codes_of(np.log10(counts + MASS)), pair_unit[known],
-        contexts[known], codes_of(np.log10(pair_counts[known] + prior[pair_unit[known]])), CONTEXT_BITS,
-    )
-
-
-def _scored_shard(blobs, total, distinct, hot):
-    """(row, known tokens, fixed sum of base logs, sum of codes) for all blocks of a shard."""
-    blocks = [_unpack(b) for b in blobs]
-    words = np.unique(np.concatenate([b[0] for b in blocks]))
-    keys, weights, parts = [], [], []
-    for units, sizes, low, top, pair_size, local, times, ids, held in blocks:
-        pair_size = pair_size.astype(np.int64)
-        number = np.repeat(np.searchsorted(words, units), sizes)
-        context = low.astype(np.uint64) | (top.astype(np.uint64) << np.uint64(32))
-        keys.append((number.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | context)
-        trains = np.where(held[local], 0, times).astype(np.int64)
-        weights.append(np.add.reduceat(trains, np.cumsum(pair_size) - pair_size))
-        parts.append((pair_size, local, times, ids))
-    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    pair_counts = np.bincount(inverse, np.concatenate(weights), len(every)).astype(np.int64)
-    pair_unit = (every >> np.uint64(CONTEXT_BITS)).astype(np.int64)
-    contexts = every & np.uint64((1 << CONTEXT_BITS) - 1)
-    counts = np.bincount(pair_unit, pair_counts, len(words)).astype(np.int64)
-    for word, n in hot:  # its other parts are in other shards
-        i = np.searchsorted(words, np.uint64(word))
-        if i < len(words) and words[i] == np.uint64(word):
-            counts[i] = n
-    trie = shard_trie(words, counts, pair_unit, contexts, pair_counts, total, distinct)
-    number = trie.find_words(words)[pair_unit]
-    code = trie.find(number, contexts)
+def _answered(blob, trie, total, distinct):
+    """(row, known tokens, fixed sum of base logs, sum of codes) for one block of queries of a shard."""
+    units, sizes, low, top, pair_size, local, times, ids = _unpack(blob, _QUERIES)
+    word = np.full(len(units), -1) if trie is None else trie.find_words(units)
+    number, contexts, is_end = np.repeat(word, sizes), _joined(low, top), np.repeat(units == END, sizes)
+    known = number >= 0
+    count = np.zeros(len(number), np.int64)
+    code = np.full(len(number), codes_of(np.log10(MASS / (total + distinct + 1))), np.int64)
+    weight = np.full(len(number), codes_of(np.log10(MASS)), np.int64)
+    if known.any():
+        count[known] = trie.counts[number[known]]
+        code[known] = trie.find(number[known], contexts[known])
+        weight[known] = trie.weights[number[known]]
     # Every word is the context of the token after it; the end is none's.
-    code -= np.where(words[pair_unit] == END, 0, trie.weights[number].astype(np.int64))
-    count = trie.counts[number]
+    code -= np.where(is_end, 0, weight)
     base = np.round(np.log10(count + 1.0) * FIXED)
-    at = 0
-    for (pair_size, local, times, ids), block in zip(parts, keys):
-        mine = np.repeat(inverse[at:at + len(block)], pair_size)
-        at += len(block)
-        sums = [np.bincount(local, times * x, len(ids)).astype(np.int64)
-                for x in ((count > 0)[mine], base[mine], code[mine].astype(float))]
-        yield (ids, *sums)
+    mine = np.repeat(np.arange(len(number)), pair_size)
+    sums = [np.bincount(local, times * x[mine], len(ids)).astype(np.int64)
+            for x in (known.astype(float), base, code.astype(float))]
+    return ids, *sums
 
 
-def score(docs, shard_tokens=SHARD_TOKENS):
-    """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
+def score(docs, shard_tokens=SHARD_TOKENS, model=None):
+    """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` by a
+    published model, or by one learnt from the training documents of ``docs``."""
     spark = docs.sparkSession
+    model = model or train(docs, shard_tokens)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    words = staged(word_counts(docs), "words")
-    end = int(np.array([END]).view(np.int64)[0])
-    total, distinct, trained = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("n"))), F.lit(0)),
-    ).first()
-    shards = max(12, -(-total // shard_tokens))
-    # At most two words for each shard's worth of tokens can be this frequent.
-    half = shard_tokens // 2
-    hot = [(int(np.array([r["word"]]).view(np.uint64)[0]), r["n"]) for r in words.where(F.col("n") > half).collect()]
-    cuts = spark.sparkContext.broadcast([(w, -(-n // half)) for w, n in hot])
-    counts = spark.sparkContext.broadcast(hot)
+    hot = spark.sparkContext.broadcast(model.hot)
+    total, distinct = model.total, model.distinct
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches):
@@ -276,42 +381,44 @@ def score(docs, shard_tokens=SHARD_TOKENS):
 
         def merged(sums):
             ids, inverse = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
-            n = len(ids)
-            out = [np.zeros(n, np.int64) for _ in range(3)]
+            out = [np.zeros(len(ids), np.int64) for _ in range(3)]
             for k in range(3):
                 np.add.at(out[k], inverse, np.concatenate([x[k + 1] for x in sums]))
-            edges = np.flatnonzero(np.concatenate(([True], np.diff(ids >> _MEET) != 0)))
-            blobs = [_pack([x[a:b] for x in (ids, *out)]) for a, b in zip(edges, np.append(edges[1:], n))]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids[edges] >> _MEET), pa.array(blobs, pa.binary()),
+            cuts = list(_runs(ids >> _MEET))
+            blobs = [_pack([x[a:b] for x in (ids, *out)]) for a, b in cuts]
+            return pa.RecordBatch.from_arrays([
+                pa.array([ids[a] >> _MEET for a, _ in cuts], pa.int64()), pa.array(blobs, pa.binary()),
                 *(pa.nulls(len(blobs), f.type) for f in list(schema)[2:])], schema=schema)
 
-        held, blobs, done, waiting = None, [], 0, []
+        held, trie, waiting, size = None, None, [], 0
         for batch in batches:
-            shard, blob = batch.column("shard").to_pylist(), batch.column("blob")
-            own = batch.filter(blob.is_null())
+            blobs = batch.column("blob")
+            own = batch.filter(blobs.is_null())
             n = own.num_rows
             if n:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own.column("row").to_numpy() >> _MEET), pa.nulls(n, pa.binary()),
                      *(own.column(c).cast(schema.field(c).type) for c in ("doc_id", "row", "held_out", "n_tokens"))],
                     schema=schema)
-            for i, value in enumerate(blob):
-                if value.is_valid:
-                    if shard[i] != held and blobs:
-                        waiting += _scored_shard(blobs, total, distinct, counts.value)
-                        blobs, done = [], done + 1
-                        if done % TASK_SHARDS == 0:
-                            yield from merged(waiting)
-                            waiting = []
-                    held = shard[i]
-                    blobs.append(value.as_py())
-        if blobs:
-            waiting += _scored_shard(blobs, total, distinct, counts.value)
+            for shard, what, blob in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), blobs):
+                if not blob.is_valid:
+                    continue
+                if shard != held:
+                    held, trie = shard, None
+                if what == 0:
+                    trie = BigramTrie.mapped(blob.as_buffer())
+                    continue
+                waiting.append(_answered(blob.as_py(), trie, total, distinct))
+                size += len(waiting[-1][0])
+                if size >= WAITING:
+                    yield merged(waiting)
+                    waiting, size = [], 0
         if waiting:
-            yield from merged(waiting)
+            yield merged(waiting)
 
-    parts = _blocks(docs, shards, cuts).repartition(max(12, -(-shards // TASK_SHARDS)), "shard").sortWithinPartitions("shard").mapInArrow(
+    asked = _asked(docs, model, hot).withColumn("kind", F.lit(1))
+    tries = model.tries.withColumn("kind", F.lit(0))
+    parts = _sent_to(asked.unionByName(tries, allowMissingColumns=True), model.shards).mapInArrow(
         run, f"block long, sums binary, doc_id {kind}, row long, held_out boolean, n_tokens long")
 
     def meet(table):
@@ -332,9 +439,9 @@ def score(docs, shard_tokens=SHARD_TOKENS):
     sums = parts.groupBy("block").applyInArrow(
         meet, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base long, code long")
     return sums.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") / FIXED - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"),
-        (F.col("code") * STEP + (LOWEST - float(np.log10(trained + MASS)))).alias("score"),
+        (F.col("code") * STEP + (LOWEST - float(np.log10(model.trained + MASS)))).alias("score"),
     )
 
 

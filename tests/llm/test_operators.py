@@ -15,7 +15,7 @@ from tablekeeper.llm import (
     decontaminate, hashing, jaccard_join, lm_trie, mixing, pii, quality_rules, token_cache, tool_calls, toxicity, warc,
 )
 from tablekeeper.llm.components import components
-from tablekeeper.llm.elias_fano import EliasFano
+from tablekeeper.llm.elias_fano import BigramTrie, EliasFano
 from tablekeeper.session import work_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, host string, n string"
@@ -145,6 +145,46 @@ def test_scores_are_those_of_the_model(spark, shard):
         assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) <= lm_trie.STEP * 1.5 * len(w) + 1e-6
 
 
+def test_stored_trie_answers_like_a_dictionary():
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64))
+    keys = np.unique((rng.integers(0, len(words), 2000).astype(np.uint64) << np.uint64(40))
+                     | rng.integers(0, 1 << 40, 2000, dtype=np.uint64))
+    parents, contexts = (keys >> np.uint64(40)).astype(np.int64), keys & np.uint64((1 << 40) - 1)
+    codes = rng.integers(0, 1 << 16, len(keys)).astype(np.uint16)
+    unseen = rng.integers(0, 1 << 16, len(words)).astype(np.uint16)
+    built = BigramTrie(words, np.arange(len(words)), unseen, unseen, parents, contexts, codes, 40)
+    trie = BigramTrie.mapped(built.stored())
+    assert isinstance(trie.contexts.low, np.memmap)
+    assert (trie.find_words(words) == np.arange(len(words))).all()
+    assert (trie.find_words(words[words > 0] - np.uint64(1)) == -1).all()
+    assert (trie.find(parents, contexts) == codes).all()
+    other = rng.integers(0, len(words), 500)
+    assert (trie.find(other, rng.integers(0, 1 << 40, 500, dtype=np.uint64)) == unseen[other]).all()
+    empty = BigramTrie.mapped(BigramTrie(*[np.array([], t) for t in (
+        "u8", "i8", "u2", "u2", "i8", "u8", "u2")], 40).stored())
+    assert (empty.find_words(words) == -1).all()
+
+
+def test_a_published_model_scores_other_documents(spark):
+    docs = table(spark, [prose(i % 20, 30) for i in range(40)])
+    path = work_dir(spark, "model")
+    lm_trie.train(docs, 40, path)
+    model = lm_trie.open_model(spark, path)
+    own = {r.doc_id: r.score for r in lm_trie.score(docs, 40).collect()}
+    assert {r.doc_id: r.score for r in lm_trie.score(docs, model=model).collect()} == own
+    shuffled = [" ".join(reversed(prose(i, 30).split())) for i in range(20)] + ["unheard-of zzz"]
+    others = lm_trie.score(table(spark, shuffled), model=model).orderBy("doc_id").collect()
+    assert others[-1].n_known == 1 and others[0].train_tokens == model.total
+    # the same words in an order that the trie has not seen are less likely
+    assert sum(r.base_score for r in others[:20]) == pytest.approx(
+        sum(r.base_score for r in lm_trie.score(docs.limit(20), model=model).collect()), rel=0.2)
+    assert sum(r.score for r in others[:20]) < sum(own[i] for i in range(20)) - 10
+    # without its tries the model knows no word
+    bare = model._replace(tries=model.tries.limit(0))
+    assert all(r.n_known == 0 for r in lm_trie.score(docs, model=bare).collect())
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 def test_targets_and_takes(spark):
