@@ -54,7 +54,8 @@ class EliasFano:
         if self.width == 0:
             return np.zeros(len(i), np.uint64)
         bit = i.astype(np.int64) * self.width
-        raw = self.low[(bit >> 3)[:, None] + np.arange(8)].view("<u8").ravel()
+        # eight bytes from each byte on; the array ends with eight spare ones
+        raw = np.ndarray(len(self.low) - 7, "<u8", self.low, strides=(1,))[bit >> 3]
         return (raw >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
 
     def _select_zero(self, k):
@@ -79,35 +80,29 @@ class EliasFano:
         out[some] = self._select_zero(k) - k
         return np.minimum(out, self.n)
 
-    def successor(self, x):
-        """Index of the first value not below each x (n if there is none)."""
+    def search(self, x):
+        """(index of the first value not below each x, n if there is none; whether that value is x)."""
         x = np.asarray(x, np.uint64)
         if not self.n:
-            return np.zeros(len(x), np.int64)
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         bucket = (x >> np.uint64(self.width)).astype(np.int64)
         at, end = self._first(bucket), self._first(bucket + 1)
         wanted = x & np.uint64((1 << self.width) - 1)
-        limit = end.copy()
-        while True:  # binary search within the buckets
-            open_ = np.flatnonzero(at < limit)
-            if not len(open_):
-                return at
-            middle = (at[open_] + limit[open_]) >> 1
+        low, high = at, end.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):  # binary search within the buckets
+            middle = (low[open_] + high[open_]) >> 1
             less = self._low(middle) < wanted[open_]
-            at[open_[less]] = middle[less] + 1
-            limit[open_[~less]] = middle[~less]
+            low[open_[less]] = middle[less] + 1
+            high[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < high[open_]]
+        held = low < end
+        held[held] = self._low(low[held]) == wanted[held]
+        return low, held
 
-    def holds(self, x, i):
-        """Whether value i (as found by ``successor``) is x."""
-        x = np.asarray(x, np.uint64)
-        ok = i < self.n
-        out = np.zeros(len(x), bool)
-        if ok.any():
-            j = i[ok]
-            bucket = (x[ok] >> np.uint64(self.width)).astype(np.int64)
-            out[ok] = (self._low(j) == (x[ok] & np.uint64((1 << self.width) - 1))) & (
-                j < self._first(bucket + 1)) & (j >= self._first(bucket))
-        return out
+    def successor(self, x):
+        """Index of the first value not below each x (n if there is none)."""
+        return self.search(x)[0]
 
     def access(self, i):
         """Values at the indices i, by binary search for their bucket."""
@@ -183,17 +178,17 @@ class BigramTrie:
 
     def find_words(self, hashes):
         """Numbers of the words, -1 for unknown ones."""
-        i = self.words.successor(hashes)
-        return np.where(self.words.holds(hashes, i), i, -1)
+        i, held = self.words.search(hashes)
+        return np.where(held, i, -1)
 
     def find(self, word, context):
         """Codes of (word number, context hash): that of the pair, or of the word where the pair is unseen."""
         relative = (word.astype(np.uint64) << np.uint64(self.bits)) | context
-        j = self.contexts.successor(relative)
+        j, held = self.contexts.search(relative)
         number, inverse = np.unique(word, return_inverse=True)
         # The successor must lie in the word's own range.
         end = self.pointers.access(number + 1).astype(np.int64)[inverse] if len(number) else number
-        seen = (j < end) & self.contexts.holds(relative, j)
+        seen = held & (j < end)
         out = self.unseen[word].astype(np.int64)
         out[seen] = self.codes[j[seen]]
         return out

@@ -34,7 +34,9 @@ HELD_OUT = (7, 2)
 MASS = 1000.0
 #: Training tokens aimed at for one shard of the trie.
 SHARD_TOKENS = 4_000_000
-#: Sums per document that a task keeps before it sends them on.
+#: Pairs of blocks that a task looks up together, each distinct one once, and sums per document that it keeps
+#: before it sends them on.
+ASKED = 1 << 21
 WAITING = 1 << 20
 #: Bits of the hash that tells a word's contexts apart.
 CONTEXT_BITS = 40
@@ -341,26 +343,33 @@ def _asked(docs, model, hot):
         run, f"shard long, blob binary, doc_id {kind}, row long, held_out boolean, n_tokens long")
 
 
-def _answered(blob, trie, total, distinct):
-    """(row, known tokens, fixed sum of base logs, sum of codes) for one block of queries of a shard."""
-    units, sizes, low, top, pair_size, local, times, ids = _unpack(blob, _QUERIES)
-    word = np.full(len(units), -1) if trie is None else trie.find_words(units)
-    number, contexts, is_end = np.repeat(word, sizes), _joined(low, top), np.repeat(units == END, sizes)
-    known = number >= 0
-    count = np.zeros(len(number), np.int64)
-    code = np.full(len(number), codes_of(np.log10(MASS / (total + distinct + 1))), np.int64)
-    weight = np.full(len(number), codes_of(np.log10(MASS)), np.int64)
+def _answered(blocks, trie, total, distinct):
+    """(row, known tokens, fixed sum of base logs, sum of codes) for each of some blocks of queries of a shard."""
+    words = np.unique(np.concatenate([b[0] for b in blocks]))
+    number = np.full(len(words), -1) if trie is None else trie.find_words(words)
+    keys = np.concatenate([
+        (np.repeat(np.searchsorted(words, units), sizes).astype(np.uint64) << np.uint64(CONTEXT_BITS))
+        | _joined(low, top) for units, sizes, low, top, *_ in blocks])
+    pairs, inverse = np.unique(keys, return_inverse=True)
+    parent = (pairs >> np.uint64(CONTEXT_BITS)).astype(np.int64)
+    word = number[parent]
+    known = word >= 0
+    count = np.zeros(len(pairs), np.int64)
+    code = np.full(len(pairs), codes_of(np.log10(MASS / (total + distinct + 1))), np.int64)
+    weight = np.full(len(pairs), codes_of(np.log10(MASS)), np.int64)
     if known.any():
-        count[known] = trie.counts[number[known]]
-        code[known] = trie.find(number[known], contexts[known])
-        weight[known] = trie.weights[number[known]]
+        count[known] = trie.counts[word[known]]
+        code[known] = trie.find(word[known], pairs[known] & np.uint64((1 << CONTEXT_BITS) - 1))
+        weight[known] = trie.weights[word[known]]
     # Every word is the context of the token after it; the end is none's.
-    code -= np.where(is_end, 0, weight)
+    code -= np.where(words[parent] == END, 0, weight)
     base = np.round(np.log10(count + 1.0) * FIXED)
-    mine = np.repeat(np.arange(len(number)), pair_size)
-    sums = [np.bincount(local, times * x[mine], len(ids)).astype(np.int64)
-            for x in (known.astype(float), base, code.astype(float))]
-    return ids, *sums
+    at = 0
+    for *_, pair_size, local, times, ids in blocks:
+        mine = np.repeat(inverse[at:at + len(pair_size)], pair_size)
+        at += len(pair_size)
+        yield ids, *(np.bincount(local, times * x[mine], len(ids)).astype(np.int64)
+                     for x in (known.astype(float), base, code.astype(float)))
 
 
 def score(docs, shard_tokens=SHARD_TOKENS, model=None):
@@ -390,7 +399,7 @@ def score(docs, shard_tokens=SHARD_TOKENS, model=None):
                 pa.array([ids[a] >> _MEET for a, _ in cuts], pa.int64()), pa.array(blobs, pa.binary()),
                 *(pa.nulls(len(blobs), f.type) for f in list(schema)[2:])], schema=schema)
 
-        held, trie, waiting, size = None, None, [], 0
+        held, trie, blocks, asked, waiting, size = None, None, [], 0, [], 0
         for batch in batches:
             blobs = batch.column("blob")
             own = batch.filter(blobs.is_null())
@@ -403,16 +412,22 @@ def score(docs, shard_tokens=SHARD_TOKENS, model=None):
             for shard, what, blob in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), blobs):
                 if not blob.is_valid:
                     continue
+                if blocks and (shard != held or asked >= ASKED):
+                    waiting += _answered(blocks, trie, total, distinct)
+                    size += sum(len(x[0]) for x in waiting[-len(blocks):])
+                    blocks, asked = [], 0
+                    if size >= WAITING:
+                        yield merged(waiting)
+                        waiting, size = [], 0
                 if shard != held:
                     held, trie = shard, None
                 if what == 0:
                     trie = BigramTrie.mapped(blob.as_buffer())
-                    continue
-                waiting.append(_answered(blob.as_py(), trie, total, distinct))
-                size += len(waiting[-1][0])
-                if size >= WAITING:
-                    yield merged(waiting)
-                    waiting, size = [], 0
+                else:
+                    blocks.append(_unpack(blob.as_py(), _QUERIES))
+                    asked += len(blocks[-1][4])
+        if blocks:
+            waiting += _answered(blocks, trie, total, distinct)
         if waiting:
             yield merged(waiting)
 
