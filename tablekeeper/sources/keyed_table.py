@@ -6,8 +6,8 @@ into one base. A small state file names the folders that count, and which batch
 last; every change writes a new one, so readers see a batch completely or not at all, and a batch that comes
 again changes nothing. One writer at a time.
 
-``merge`` reduces the rows of each key to one. It must give the same whether it is applied at once or step by step,
-and whether a row counts once or twice.
+``merge`` reduces the rows of each key to one. It must give the same whether it is applied at once or step by step.
+Every row of a batch counts once, so that sums will do.
 """
 
 import json

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tablekeeper.operators.history import event_category, event_status
-from tablekeeper.sources import files
+from tablekeeper.sources import keyed_table
+from tablekeeper.sources.keyed_table import KeyedTable
 
 COUNTS_SCHEMA = "profile string, window_start bigint, category string, status string, n bigint"
 
@@ -25,16 +26,31 @@ def outcome_counts(events, window="1 day"):
     )
 
 
+def counts_table(root):
+    """One row per profile, window, category and outcome: sums of what the batches counted."""
+    key = ("profile", "window_start", "category", "status")
+
+    def merged(rows):
+        return rows.groupBy(*key).agg(F.sum("n").alias("n"))
+
+    return KeyedTable(root, COUNTS_SCHEMA, key, merged)
+
+
+def count_batch(events, number, root, stream="batches", window="1 day"):
+    """Add the counts of one batch; one that the table has already changes nothing."""
+    return keyed_table.append(outcome_counts(events, window), counts_table(root), stream, number)
+
+
 def count_stream(events, root, checkpoint, window="1 day", available_now=True):
-    """Start counting a stream: every micro-batch adds its own counts below ``root``.
+    """Start counting a stream into the keyed table at ``root``.
 
-    No event is too late to count and no state is kept. A batch that runs again replaces its folder.
+    No event is too late to count and no state is kept: a micro-batch adds its counts as deltas of the buckets
+    that it touches, and buckets with many deltas are merged.
     """
 
     def each(batch, number):
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        part = outcome_counts(batch, window)
-        part.write.mode("overwrite").parquet(f"{root}/stream={stream}/batch={number}")
+        count_batch(batch, number, root, stream, window)
 
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -42,7 +58,4 @@ def count_stream(events, root, checkpoint, window="1 day", available_now=True):
 
 def read_counts(spark, root):
     """Counts of everything seen so far; none before the first batch."""
-    if not files.found(spark, f"{root}/*"):
-        return spark.createDataFrame([], COUNTS_SCHEMA)
-    parts = spark.read.parquet(root)
-    return parts.groupBy("profile", "window_start", "category", "status").agg(F.sum("n").alias("n"))
+    return keyed_table.read(spark, counts_table(root))

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +200,21 @@ def test_parts_before_the_first_batch(spark, tmp_path):
     assert counts.read_counts(spark, root).count() == 0
 
 
+def test_counts_are_kept_in_merged_buckets(spark, tmp_path):
+    root, table = str(tmp_path / "counts"), counts.counts_table(str(tmp_path / "counts"))
+    schema = "at timestamp, event string, payload struct<profile: string>"
+    at = datetime(2024, 1, 1, 10)
+    for number in range(12):
+        rows = [(at, "backup.completed", ("p",))] * 2 + [(at, "backup.failed", (None,)), (at, "backup.started", ("p",))]
+        batch = spark.createDataFrame(rows, schema)
+        assert counts.count_batch(batch, number, root)
+        assert not counts.count_batch(batch, number, root)  # comes again: counts once
+    got = {(r.profile, r.status): r.n for r in counts.read_counts(spark, root).collect()}
+    assert got == {("p", "completed"): 24, (None, "failed"): 12}
+    folders = [p.name for p in (tmp_path / "counts" / "data").iterdir() if any(p.iterdir())]
+    assert len(folders) <= 2 * table.most_deltas
+
+
 def test_servers_that_never_report(spark, tmp_path):
     """They turn overdue in the history and in the stream alike; reports before or after enrolment count as ever."""
     day = fx.DAY_MS
