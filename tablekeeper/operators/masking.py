@@ -63,33 +63,32 @@ def mask_table(df, table, rules, key):
     return df.select(*[column.alias(name) for name, column in current.items()])
 
 
-def _changed(df, rule, before, after):
-    text = isinstance(df.schema[rule.column].dataType, T.StringType)
+def _changed(df, table, rules, key, column):
+    """Row with the number of distinct values of a column that the last of its rules changes."""
+    values = df.select(column).distinct()
+    steps, _ = _fold(values, table, rules, key)
+    _, before, after = steps[-1]
+    text = isinstance(df.schema[column].dataType, T.StringType)
     # a non-text value never equals its masked text
-    differs = ~after.eqNullSafe(before) if text else before.isNotNull()
-    return F.countDistinct(F.when(differs, before))
+    changed = F.when(~after.eqNullSafe(before) if text else before.isNotNull(), before)
+    # after an earlier rule, distinct values may have become equal
+    number = F.count(changed) if len(steps) == 1 else F.countDistinct(changed)
+    return values.agg(number.alias("n_masked")).select(F.lit(f"{table}.{column}").alias("masked_column"), "n_masked")
 
 
 def masked_counts(tables, rules, key):
-    """Distinct values changed per ``table.column``, all rules of a table in one pass.
+    """Distinct values changed per ``table.column``.
 
-    Two rules on one column report the later rule's count.
+    Each column is read on its own and reduced to its distinct values before any is masked. Two rules on one
+    column report the later rule's count.
     """
     check_rules(rules, tables)
     parts = None
     for table, df in tables.items():
-        steps, _ = _fold(df, table, rules, key)
-        if not steps:
-            continue
-        last = {f"{table}.{rule.column}": _changed(df, rule, a, b) for rule, a, b in steps}
-        names = list(last)
-        row = df.agg(*[last[n].alias(f"c{i}") for i, n in enumerate(names)])
-        pairs = F.array(*[
-            F.struct(F.lit(n).alias("masked_column"), F.col(f"c{i}").alias("n_masked"))
-            for i, n in enumerate(names)
-        ])
-        rows = row.select(F.inline(pairs))
-        parts = rows if parts is None else parts.unionByName(rows)
+        for column in dict.fromkeys(rule.column for rule in rules if rule.table == table):
+            own = [rule for rule in rules if rule.table == table and rule.column == column]
+            row = _changed(df, table, own, key, column)
+            parts = row if parts is None else parts.unionByName(row)
     return parts
 
 
