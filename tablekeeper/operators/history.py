@@ -33,11 +33,14 @@ def latest_run(catalog, profile):
 
 
 def backup_history(catalog, profile=None, limit=None):
-    """Run listing, newest first, runs without a finish time last."""
+    """Run listing with all of ``HISTORY_COLUMNS``, newest first, runs without a finish time last."""
+    absent = [c for c in HISTORY_COLUMNS if c not in catalog.columns]
+    if absent:
+        raise KeeperError(f"the catalogue lacks {', '.join(absent)}")
     if profile is not None:
         catalog = catalog.filter(F.col("profile") == profile)
     ordered = catalog.orderBy(F.desc_nulls_last("finished_ms"), "profile", "run_id")
-    listed = ordered.select(*[c for c in HISTORY_COLUMNS if c in catalog.columns])
+    listed = ordered.select(*HISTORY_COLUMNS)
     return listed if limit is None else listed.limit(limit)
 
 
@@ -247,6 +250,26 @@ def status_board(profiles, latest, backup_outcome, verification_outcome, retenti
 SEVERITIES = ["ok", "warning", "error"]
 
 
+def check_findings(profiles, checks):
+    """One row per profile and check: its status and number of findings.
+
+    ``checks`` maps a name to (findings with a ``profile``, severity where a profile has any). Findings without a
+    profile, or of one that is not in ``profiles``, are left out.
+    """
+    every = None
+    for name, (findings, severity) in checks.items():
+        if severity not in SEVERITIES:
+            raise KeeperError(f"unknown severity {severity!r}")
+        n = findings.groupBy("profile").agg(F.count(F.lit(1)).alias("findings"))
+        one = profiles.select("profile").distinct().join(n, "profile", "left").select(
+            "profile", F.lit(name).alias("check"),
+            F.when(F.col("findings") > 0, severity).otherwise("ok").alias("status"),
+            F.coalesce("findings", F.lit(0).cast("long")).alias("findings"),
+        )
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
 def worst_status(checks):
     """Worst check status per profile (``checks``: profile, check, status)."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("status"))

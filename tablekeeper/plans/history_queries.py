@@ -185,15 +185,32 @@ def run_latest(spark, folder):
     )
 
 
+LISTED = """SELECT profile, '/backups/' || profile || '/' || run_id AS run_dir, run_id, db_type, backup_type,
+  '/backups/' || profile || '/' || run_id || '/data' AS artifact_path,
+  '/backups/' || profile || '/' || run_id || '/manifest.json' AS manifest_path, compression,
+  strftime(make_timestamp((finished_ms - duration_ms) * 1000), '%Y-%m-%dT%H:%M:%SZ') AS started_at,
+  finished_at, duration_ms
+FROM run_catalog"""
+
+
+def listed_rows(spark, folder):
+    """Catalogue rows with their places below ``/backups`` and their start."""
+    place = F.concat(F.lit("/backups/"), "profile", F.lit("/"), "run_id")
+    start = F.timestamp_millis(F.col("finished_ms") - F.col("duration_ms"))
+    return catalog_rows(spark, folder).withColumns({
+        "run_dir": place, "artifact_path": F.concat(place, F.lit("/data")),
+        "manifest_path": F.concat(place, F.lit("/manifest.json")),
+        "started_at": F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    })
+
+
 @query("run_history", f"""WITH {RUN_CATALOG}
-SELECT profile, run_id, db_type, backup_type, compression, finished_at, duration_ms
-FROM run_catalog ORDER BY finished_ms DESC, profile, run_id""")
+{LISTED} ORDER BY finished_ms DESC, profile, run_id""")
 def run_history(spark, folder):
-    return history.backup_history(catalog_rows(spark, folder))
+    return history.backup_history(listed_rows(spark, folder))
 
 
 @query("run_history_profile", f"""WITH {RUN_CATALOG}
-SELECT profile, run_id, db_type, backup_type, compression, finished_at, duration_ms
-FROM run_catalog WHERE profile = 'p2' ORDER BY finished_ms DESC, profile, run_id LIMIT 25""")
+{LISTED} WHERE profile = 'p2' ORDER BY finished_ms DESC, profile, run_id LIMIT 25""")
 def run_history_profile(spark, folder):
-    return history.backup_history(catalog_rows(spark, folder), "p2", 25)
+    return history.backup_history(listed_rows(spark, folder), "p2", 25)

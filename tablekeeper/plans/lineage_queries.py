@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from tablekeeper.operators import history, lineage, retention
-from tablekeeper.plans.chunk_queries import FILES, text_files
+from tablekeeper.operators import history, ingest, lineage, retention
+from tablekeeper.plans import chunk_queries
+from tablekeeper.plans.chunk_queries import FILES, SURVIVING, text_files
 from tablekeeper.plans.fixtures import (
-    AS_OF_MS, DAY_MS, DEFAULT_POLICY, POLICIES, PROFILE_POLICIES, RUN_CATALOG, RUN_LOG,
-    run_log,
+    AS_OF_MS, DAY_MS, DEFAULT_POLICY, POLICIES, PROFILE_POLICIES, RECEIVED, RUN_CATALOG, RUN_LOG,
+    RUN_REPORTS, received_reports, run_log, run_reports,
 )
 from tablekeeper.plans.history_queries import BACKUP, RANKED, VERIFICATION, catalog_rows, outcome_sql
 from tablekeeper.plans.registry import query
@@ -280,8 +281,6 @@ checks AS (
 SELECT profile, (['ok', 'warning', 'error'])[max(s)] AS status, count(*) AS checks
 FROM checks GROUP BY profile""")
 def check_rollup(spark, folder):
-    from tablekeeper.plans.fixtures import run_reports
-
     summary = _summary(spark, folder)
     pending = summary.select(
         "profile", F.when(F.col("pending_deletions") > 0, "warning").otherwise("ok").alias("status")
@@ -291,3 +290,64 @@ def check_rollup(spark, folder):
         F.when(F.count(F.when(bad, 1)) > 0, "error").otherwise("ok").alias("status")
     )
     return history.worst_status(pending.unionByName(failing))
+
+
+FINDINGS = f"""{PLAN},
+{LINEAGE.split(RUN_CATALOG + ',', 1)[1]},
+{RECEIVED.split(RUN_REPORTS + ',', 1)[1]},
+{SURVIVING},
+walk AS (
+  SELECT run_id AS for_run, parent_run_id AS member FROM lineage
+  WHERE parent_run_id IS NOT NULL AND run_id NOT IN (SELECT run_id FROM plan)
+  UNION ALL
+  SELECT w.for_run, l.parent_run_id FROM walk w JOIN lineage l ON l.run_id = w.member
+  WHERE l.parent_run_id IS NOT NULL AND w.member NOT IN (SELECT run_id FROM plan)
+),
+named AS (SELECT DISTINCT profile, server_id, profile || '-' || size_bytes AS run_id FROM received),
+found AS (
+  SELECT profile, 'old_runs' AS "check", 2 AS s FROM plan
+  UNION ALL SELECT profile, 'failed_runs', 3 FROM run_reports WHERE status = 'failed'
+  UNION ALL SELECT profile, 'missing_blocks', 3 FROM firsts f
+    WHERE NOT EXISTS (SELECT 1 FROM needed n WHERE n.profile = f.profile AND n.hash = f.hash)
+  UNION ALL SELECT l.profile, 'broken_chains', 2 FROM walk w JOIN lineage l ON l.run_id = w.for_run
+    WHERE w.member IN (SELECT run_id FROM plan)
+  UNION ALL SELECT profile, 'clashing_ids', 2 FROM named GROUP BY profile, run_id
+    HAVING count(DISTINCT server_id) > 1
+),
+findings AS (
+  SELECT p.profile, c."check", coalesce(max(s), 1) AS s, count(s) AS findings
+  FROM (SELECT profile FROM run_reports UNION SELECT profile FROM firsts) p
+  CROSS JOIN (VALUES ('old_runs'), ('failed_runs'), ('missing_blocks'), ('broken_chains'), ('clashing_ids')) c("check")
+  LEFT JOIN found f ON f.profile = p.profile AND f."check" = c."check"
+  GROUP BY ALL
+)"""
+
+
+def _findings(spark, folder):
+    """Every check over the whole tables: retention, failures, blocks, chains and run ids."""
+    reports, plan = run_reports(spark, folder), _plan(spark, folder)
+    named = received_reports(spark, folder).select(
+        "server_id", "profile", F.concat_ws("-", "profile", "size_bytes").alias("run_id"))
+    clashes = ingest.clashing_run_ids(named).join(named.select("run_id", "profile").distinct(), "run_id")
+    missing = chunk_queries.chunk_missing(spark, folder)
+    profiles = reports.select("profile").union(chunk_queries.artifacts(spark, folder).select("profile"))
+    return history.check_findings(profiles, {
+        "old_runs": (plan, "warning"),
+        "failed_runs": (reports.filter(F.col("status") == "failed"), "error"),
+        "missing_blocks": (missing, "error"),
+        "broken_chains": (lineage.broken_chains(_lineage(spark, folder), plan, GROUP), "warning"),
+        "clashing_ids": (clashes, "warning"),
+    })
+
+
+@query("check_findings", f"""WITH RECURSIVE {FINDINGS}
+SELECT profile, "check", (['ok', 'warning', 'error'])[s] AS status, findings FROM findings""")
+def check_findings(spark, folder):
+    return _findings(spark, folder)
+
+
+@query("check_rollup_findings", f"""WITH RECURSIVE {FINDINGS}
+SELECT profile, (['ok', 'warning', 'error'])[max(s)] AS status, count(*) AS checks
+FROM findings GROUP BY profile""")
+def check_rollup_findings(spark, folder):
+    return history.worst_status(_findings(spark, folder))

@@ -146,6 +146,22 @@ def test_run_folders(spark, tmp_path):
     listed = history.backup_history(rows).collect()
     assert listed[0].run_id == "r2" and len(history.backup_history(rows, limit=1).collect()) == 1
 
+    assert history.backup_history(rows).columns == history.HISTORY_COLUMNS
+    with pytest.raises(KeeperError, match="duration_ms"):
+        history.backup_history(rows.drop("duration_ms"))
+
+
+def test_check_findings(spark):
+    profiles = spark.createDataFrame([("a",), ("b",), ("b",)], "profile string")
+    lost = spark.createDataFrame([("a", "x"), ("a", "y"), ("z", "x"), (None, "x")], "profile string, hash string")
+    rows = history.check_findings(profiles, {"blocks": (lost, "error"), "old": (lost.limit(0), "warning")})
+    assert {(r["check"], r.profile): (r.status, r.findings) for r in rows.collect()} == {
+        ("blocks", "a"): ("error", 2), ("blocks", "b"): ("ok", 0), ("old", "a"): ("ok", 0), ("old", "b"): ("ok", 0)}
+    assert {r.profile: (r.status, r.checks) for r in history.worst_status(rows).collect()} == {
+        "a": ("error", 2), "b": ("ok", 2)}
+    with pytest.raises(KeeperError):
+        history.check_findings(profiles, {"blocks": (lost, "fatal")})
+
 
 def test_worst_status(spark):
     checks = spark.createDataFrame(
