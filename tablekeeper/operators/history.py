@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tablekeeper.errors import KeeperError
 from tablekeeper.functions.ordering import newest_per_group
 
+# The fields of a listed run.
 HISTORY_COLUMNS = [
     "profile", "run_dir", "run_id", "db_type", "backup_type", "artifact_path", "manifest_path",
     "compression", "started_at", "finished_at", "duration_ms",
@@ -140,6 +141,7 @@ def choose(value, options, otherwise):
 
 def activity_summary(event, payload):
     """One line about an event; ``payload`` is its struct column."""
+    # The field names, the events below and the texts of their lines.
     p = {name: payload[name] for name in (
         "db_type", "compression", "duration_ms", "retention_deleted_count", "error",
         "restore_selection", "restore_selection_kind", "target_profile", "verification_status",

@@ -9,6 +9,7 @@ from tablekeeper.plans.registry import query
 # Secrets known from a configuration.
 SECRETS = ["on", "ention", "tion", "", "the"]
 
+# The redaction patterns of functions/redaction.py in the form of DuckDB's regular expressions.
 SQL_PATTERNS = [
     ("mongodb_uri", r"(mongodb(?:\+srv)?://[^:/@\s]+:)([^@/\s]+)(@)", r"\1***\3", "gi"),
     ("postgres_uri", r"(postgres(?:ql)?://[^:/@\s]+:)([^@/\s]+)(@)", r"\1***\3", "gi"),
