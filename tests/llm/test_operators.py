@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -534,6 +535,30 @@ def test_benchmark_windows(spark, monkeypatch, limit):
     assert decontaminate.contaminated(table(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("lane", [1, 7, 256])
+def test_automaton_beside_brute_force(monkeypatch, lane):
+    """Few words, so that windows overlap, contain one another and end within each other's beginnings."""
+    monkeypatch.setattr(decontaminate, "LANE", lane)
+    monkeypatch.setattr(decontaminate, "BUILD_ROWS", 11)
+    rng = random.Random(lane)
+    windows = {tuple(rng.choices("abc", k=10)) for _ in range(60)} | {
+        tuple(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(12)} - {(w,) for w in "abc"}
+    items = {w: sorted({str(rng.randint(0, 9)) for _ in range(rng.randint(1, 3))}) for w in windows}
+    texts = [" ".join(rng.choices("abcde", (5, 5, 5, 1, 1), k=rng.choice([0, 1, 9, 40, 300]))) for _ in range(40)]
+    texts += [" ".join(w) for w in sorted(windows)] + [None, ""]
+    machine = decontaminate.opened(decontaminate.packed(decontaminate.build(
+        pa.chunked_array([pa.array([" ".join(w) for w in windows])]), pa.chunked_array([pa.array([items[w] for w in windows])]))))
+    for text, (n, runs, found) in zip(texts, decontaminate.scan(texts, machine), strict=True):
+        words, hit, ids = (text or "").split(), set(), set()
+        for w in windows:
+            for at in range(len(words) - len(w) + 1):
+                if tuple(words[at:at + len(w)]) == w:
+                    hit.update(range(at, at + len(w)))
+                    ids.update(items[w])
+        assert n == len(words) and found == sorted(ids)
+        assert [i for a, b in runs for i in range(a, b)] == sorted(hit)
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 
 def shingles(text):
