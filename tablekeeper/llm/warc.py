@@ -20,7 +20,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from tablekeeper.llm.tables import load
+from tablekeeper.llm.tables import load, staged
 from tablekeeper.session import work_dir
 
 LEAST_LINKED = 1000
@@ -258,14 +258,20 @@ def links(records, least=LEAST_LINKED):
 def write_warcs(arcs, folder, least=LEAST_LINKED, archive_bytes=ARCHIVE_BYTES):
     """Convert ARC archives and write WARC archives of about ``archive_bytes`` into ``folder``.
 
-    The records are spread by their page id; the files are those of Spark's text writer, whose line end is
-    set to the two line ends that close a WARC record, and compressed.
+    The archives are parsed for narrow rows (ids, sizes, digests), which are staged, and once more for the records. These
+    are spread by page id and digest, those without id one by one; however many records share an id, a file
+    holds at most four times the usual number. The files are those of Spark's text writer, whose line end
+    is set to the two line ends that close a WARC record, and compressed.
     """
     records = arc_records(arcs)
-    size = records.agg(F.sum("payload_bytes")).first()[0] or 0
+    slim = staged(records.select("page_id", "known", "payload_bytes", "digest"), "digests")
+    size, count = slim.agg(F.sum("payload_bytes"), F.count("*")).first()
+    files = max(1, -(-(size or 0) // archive_bytes))
+    # A record without id refers to nothing, so that its key may be any.
+    key = F.when(F.col("known"), F.col("digest")).otherwise(F.monotonically_increasing_id().cast("string"))
     rows = (
-        records.repartition(max(1, -(-size // archive_bytes)), "page_id", "digest")
-        .join(links(records, least), ["page_id", "digest"], "left")
+        records.withColumn("key", key).repartition(files, "page_id", "key")
+        .join(links(slim, least).withColumnRenamed("digest", "key"), ["page_id", "key"], "left")
         .select("page_id", "url", "ip", "date", "body", F.when(F.col("known"), F.col("refers_to")).alias("refers_to"))
     )
 
@@ -281,7 +287,8 @@ def write_warcs(arcs, folder, least=LEAST_LINKED, archive_bytes=ARCHIVE_BYTES):
 
     (
         rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", "\r\n\r\n").text(folder, compression="gzip")
+        .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 4 * max(1, -(-count // files)))
+        .text(folder, compression="gzip")
     )
 
 

@@ -1,6 +1,7 @@
 """The ten operators on small tables: brute force beside them, and the defined results of odd inputs."""
 
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -646,6 +647,20 @@ def test_archives_round_trip(spark):
     assert warc.read_warcs(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("page", [None, 5])
+def test_equal_pages_spread_over_files(spark, page):
+    """200 equal rows beside 100 others; no file holds more than four times the mean of 30 files."""
+    page_id = F.when(F.col("id") < 200, F.lit(page).cast("long")).otherwise(F.col("id"))
+    frame = spark.range(300).select(page_id.alias("page_id"), F.lit("u").alias("url"), F.lit("z" * 1000).alias("html"))
+    out = work_dir(spark, "warc-spread")
+    warc.write_warcs(warc.pages_to_arcs(frame), out, archive_bytes=10_000)
+    files = [list(warc.parse_warc(gzip.decompress(r.content))) for r in spark.read.format("binaryFile").load(out).collect()]
+    assert sum(map(len, files)) == 300 and max(map(len, files)) <= 40
+    got = warc.read_warcs(spark, out).groupBy(F.col("page_id").eqNullSafe(F.lit(page)).alias("equal"), "refers_to").count()
+    assert {(r.equal, r.refers_to): r["count"] for r in got.collect()} == {
+        (True, None if page is None else 299): 200, (False, 299): 99, (False, None): 1}
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_headers(version):
     rows = [("http://a", "1.2.3.4", "20240102030405", "text/html", 200, b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nbody\n\nx"),
