@@ -22,7 +22,8 @@ def resolve_parent(new_runs, catalog, group):
     ``new_runs`` has run_id, the group and requested_mode; the catalogue also carries ``backup_type``
     (effective) and ``depth``. The newest run comes from one aggregate, not from sorting the group.
     """
-    stored = chunked(catalog).join(new_runs.select("run_id"), "run_id", "left_anti")
+    # every id once: one text for all new runs leaves no key to join by, and each run met each of them
+    stored = chunked(catalog).join(new_runs.select("run_id").distinct(), "run_id", "left_anti")
     others = stored.select(
         *group, F.struct(*ORDER, F.col("depth").alias("depth")).alias("r"), "backup_type"
     )

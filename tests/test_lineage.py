@@ -102,6 +102,24 @@ def test_a_run_is_not_its_own_parent(spark):
     assert {r.run_id for r in history.collect()} == {"a", "b"}
 
 
+def test_new_runs_of_one_text_are_one_row(spark):
+    """Where all new runs have one id there is no key to join by: stored runs must not meet every new run."""
+    stored = spark.range(300).selectExpr(
+        "'r' || id AS run_id", "'s' || id AS server_id", "'p' AS profile", "'chunked' AS compression",
+        "'full' AS backup_type", "id AS finished_ms", "id AS mtime_ms", "0L AS depth")
+    new = spark.range(400).selectExpr(
+        "'next' AS run_id", "'s' || id AS server_id", "'p' AS profile", "'incremental' AS requested_mode")
+    got = lineage.resolve_parent(new, stored, GROUP)
+    rows = got.collect()
+    assert {(r.server_id, r.parent_run_id) for r in rows} == {
+        (f"s{i}", f"r{i}" if i < 300 else None) for i in range(400)} and len(rows) == 400
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(plan) if "Join LeftAnti" in line)
+    other = plan[join].index("Join LeftAnti")  # the right side is the last branch below the join
+    right = next(line for line in plan[join + 1:] if line[other:].startswith("+- "))
+    assert right[other + 3:].startswith("Aggregate")
+
+
 def test_retention(spark):
     day = retention.DAY_MS
     rows = [("a", "s", "p", "full", 1 * day, 1, "gzip"), ("b", "s", "p", "full", 2 * day, 1, "gzip"),
