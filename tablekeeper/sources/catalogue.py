@@ -1,13 +1,15 @@
 """Run manifests: write them, and scan a folder of them into a catalogue."""
 
+import itertools
 import re
 import uuid
-from urllib.parse import unquote
 
+from pyarrow.fs import FileType
 from pyspark.sql import functions as F
 
 from tablekeeper.functions.timestamps import parse_timestamp
 from tablekeeper.sources import files
+from tablekeeper.sources.artifacts import _locate as locate
 
 MANIFEST_SCHEMA = (
     "run_id string, profile string, db_type string, backup_type string, started_at string, "
@@ -36,24 +38,46 @@ def write_manifests(runs, root):
 def write_run_folders(runs, root, name="manifest.json"):
     """Write each run's manifest as ``<root>/<profile>/<run_dir>/<name>``; a manifest that is there stays.
 
-    The texts are written in parallel below a hidden folder. Then each takes its place by one renaming; of the
-    files only names pass the driver, a partition of them at a time. What a call that was cut off left in its hidden
-    folder is not read.
+    Tasks write the texts below a hidden folder and rename each into its place; one task has all rows of a folder.
+    What a call that was cut off left in its hidden folder is not read.
     """
     spark = runs.sparkSession
     record = F.to_json(F.struct(*[n for n in FIELDS if n in runs.columns])).alias("value")
     hidden = f"{root.rstrip('/')}/.writing-{uuid.uuid4().hex}"
-    runs.select("profile", F.col("run_dir").alias("run"), record).write.partitionBy("profile", "run").text(hidden)
-    path = F.col("_metadata.file_path")
-    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(hidden).select(
-        path.alias("path"), F.regexp_extract(path, r"/profile=([^/]+)/run=([^/]+)/[^/]+$", 1).alias("profile"),
-        F.regexp_extract(path, r"/profile=([^/]+)/run=([^/]+)/[^/]+$", 2).alias("run"))
-    for path, profile, run in written.toLocalIterator():
-        # both names are escaped as folders of a partition, and again as a path of files
-        files.place(spark, path, f"{root.rstrip('/')}/{unquote(unquote(profile))}/{unquote(unquote(run))}/{name}")
+    places, places_hidden = files.qualified(spark, root), files.qualified(spark, hidden)
+    rows = runs.select(
+        _folder_name("profile").alias("profile"), _folder_name("run_dir").alias("run"), record,
+        F.monotonically_increasing_id().alias("_at"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(parts, "profile", "run").sortWithinPartitions("profile", "run", "_at").drop("_at")
+    placed.foreachPartition(_placing(places, places_hidden, name))
     files.delete_paths(spark, [hidden])
 
 
+def _folder_name(column):
+    """A value as the name of a folder, as Spark names folders of a partition without one."""
+    text = F.col(column).cast("string")
+    return F.when(text != "", text).otherwise("__HIVE_DEFAULT_PARTITION__")
+
+
+def _placing(root, hidden, name):
+    def place(rows):
+        system, top = locate(root)
+        _, own = locate(hidden)
+        for (profile, run), lines in itertools.groupby(rows, key=lambda r: (r["profile"], r["run"])):
+            folder, part = f"{top}/{profile}/{run}", f"{own}/{uuid.uuid4().hex}"
+            if system.get_file_info(f"{folder}/{name}").type != FileType.NotFound:
+                continue
+            for path in (own, folder):
+                system.create_dir(path, recursive=True)
+            with system.open_output_stream(part) as out:
+                for line in lines:
+                    out.write(f"{line['value']}\n".encode())
+            system.move(part, f"{folder}/{name}")
+
+    return place
+
+
 def _catalogue(lines):
     """Catalogue rows of manifest texts; anything unreadable is left out."""
     parsed = lines.filter(F.json_object_keys("value").isNotNull()).withColumn(

@@ -13,6 +13,12 @@ def exists(spark, path):
     return system.exists(folder)
 
 
+def qualified(spark, path):
+    """The path with its file system, as tasks find it without Spark's settings."""
+    folder, system = _file_system(spark, path)
+    return system.makeQualified(folder).toString()
+
+
 def found(spark, pattern):
     """Whether any file or folder matches a path that may be a glob."""
     folder, system = _file_system(spark, pattern)
@@ -56,15 +62,6 @@ def read_text(spark, path):
         stream.close()
 
 
-def place(spark, path, target):
-    """Move a file, named as Spark lists it, to a place; a file that is there stays."""
-    source = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
-    goal, system = _file_system(spark, target)
-    if not system.exists(goal):
-        system.mkdirs(goal.getParent())
-        system.rename(source, goal)
-
-
 def complete_versions(spark, root):
     """Numbers of the ``version=`` folders whose write finished."""
     pattern, system = _file_system(spark, f"{root}/version=*/_SUCCESS")

@@ -225,6 +225,40 @@ def test_part_files_are_checked_and_appear_at_once(spark, tmp_path):
     assert len(list((tmp_path / "out").rglob("part-*"))) == 1
 
 
+def test_run_folders_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """What the driver does does not grow with the runs; names are those of partition folders, unescaped."""
+    client, calls = spark._sc._gateway._gateway_client, []
+    send = client.send_command
+
+    def counting(command, *args, **kw):
+        calls.extend([1] * (not command.startswith("m\n")))  # apart from objects let go
+        return send(command, *args, **kw)
+
+    monkeypatch.setattr(client, "send_command", counting)
+    counts = {}
+    for n in (5, 200):
+        for again in (False, True):  # one call writes, the other finds all in place
+            calls.clear()
+            catalogue.write_run_folders(spark.range(n).selectExpr(
+                "'r' || id AS run_id", "'p' || id % 3 AS profile", "'d ' || id AS run_dir",
+                "'10:00:00 2024-01-01' AS finished_at"), str(tmp_path / f"n{n}"))
+            counts[n, again] = len(calls)
+    assert all(abs(counts[5, again] - counts[200, again]) < 50 for again in (False, True)), counts
+    assert len(list((tmp_path / "n200").glob("p*/d */manifest.json"))) == 200
+    odd = [("a", None, "x"), ("b", "", "y"), ("c", "50%", "a=b#c+d"), ("d", "p", None), ("e", "p q", "twice"),
+           ("e", "p q", "twice")]
+    frame = spark.createDataFrame(
+        [(*r, "10:00:00 2024-01-01") for r in odd], "run_id string, profile string, run_dir string, finished_at string")
+    catalogue.write_run_folders(frame, str(tmp_path / "odd"))
+    none = "__HIVE_DEFAULT_PARTITION__"
+    assert {str(p.relative_to(tmp_path / "odd").parent) for p in (tmp_path / "odd").rglob("manifest.json")} == {
+        f"{none}/x", f"{none}/y", "50%/a=b#c+d", f"p/{none}", "p q/twice"}
+    got = catalogue.scan_run_folders(spark, str(tmp_path / "odd")).collect()
+    assert sorted((r.run_id, r.profile) for r in got) == [
+        ("a", none), ("b", none), ("c", "50%"), ("d", "p"), ("e", "p q")]
+    assert [p.name for p in (tmp_path / "odd").iterdir() if p.name.startswith(".")] == []
+
+
 def test_run_folders(spark, tmp_path):
     root = str(tmp_path / "runs")
     runs = [(f"r{n}", p, f"2024_r{n}", "10:00:00 2024-01-01") for p in ("a b", "c%d") for n in range(3)]
