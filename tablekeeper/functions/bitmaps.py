@@ -1,5 +1,7 @@
 """Bitmaps of bounded size as column functions: which rows may be among a set of numbers."""
 
+import math
+
 from pyspark.sql import functions as F
 
 #: Bits of one bitmap that Spark's aggregate makes.
@@ -14,6 +16,11 @@ def size_for(count):
     return min(MOST_BITS, max(PIECE, 1 << (count * BITS_PER_NUMBER - 1).bit_length()))
 
 
+def share_held(count):
+    """Share of other numbers that a bitmap of so many lets through."""
+    return 1 - math.exp(-count / size_for(count)) if count else 0.0
+
+
 def bitmap_of(numbers, count):
     """(bytes, bits) of the one bigint column of ``numbers``, at most ``count`` of them."""
     bits = size_for(count)

@@ -1,8 +1,10 @@
 """Rows under their digest: buckets, trees of checksums, and changes found through both.
 
 An indexed table has two 64-bit digests of each row and the bucket that the first one falls in. Rows are stored by
-bucket, sorted by digest. What changes between two versions is found from digests alone; whole rows move only
-where a digest changed, which a bitmap of bounded size tells without an exchange.
+bucket, sorted by digest. Where few rows change between two versions, that is found from digests alone; whole rows
+move only where a digest changed, which a bitmap of bounded size tells without an exchange. Where so many change
+that the bitmap would let most rows through, all rows move at once. Digests are made again after an exchange of whole
+rows instead of moving with them.
 
 A tree holds, for every bucket, the number of rows and the sums of their digests, and the same for groups of
 ``FANOUT`` nodes up to one root. Sums do not depend on the order of rows, and follow a change by adding its rows.
@@ -14,18 +16,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablekeeper.errors import KeeperError
-from tablekeeper.functions.bitmaps import bitmap_of, may_hold
+from tablekeeper.functions.bitmaps import bitmap_of, may_hold, share_held
 from tablekeeper.session import checkpoint
 
 CHANGE = "_change"
 DIGEST = ["__d1", "__d2"]
 BUCKET = "__bucket"
-OWN = [*DIGEST, BUCKET]
+PLACE = "__place"
+OWN = [*DIGEST, BUCKET, PLACE]
 BUCKETS = 32
 FANOUT = 8
 #: A tree has fewer than twice as many nodes.
 MOST_BUCKETS = 1 << 16
 SUMS = ["row_count", "sum1", "sum2"]
+#: Digests fall in so many classes; those of one class in ``SLICE`` tell how much of a table has changed.
+CLASSES = 4096
+SLICE = 64
+#: Rows that one task is given to compare.
+ROWS_PER_TASK = 1 << 19
+#: Rows of columns of these types are equal just where their digests are.
+FLAT = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.FloatType, T.DoubleType,
+        T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
 TREE_SCHEMA = "level int, node int, row_count bigint, sum1 decimal(38,0), sum2 decimal(38,0)"
 
 
@@ -33,25 +44,32 @@ def plain_columns(df):
     return [c for c in df.columns if c not in (*OWN, CHANGE)]
 
 
-def with_digest(df, buckets=BUCKETS):
-    """``df`` with its digests and bucket. NULLs count by their place."""
+def _digests(df):
+    """The two digests of the plain columns."""
     values = []
-    for name in sorted(df.columns):
+    for name in sorted(plain_columns(df)):
         kind = df.schema[name].dataType
         if isinstance(kind, (T.StructType, T.ArrayType)):
             # hashes of nested values would pass over NULLs inside
             values.append(F.to_json(F.struct(name), {"ignoreNullFields": "false"}))
         else:
             values += [F.col(name), F.col(name).isNull()]
-    first, second = (F.xxhash64(F.lit(seed), *values) for seed in (1, 2))
-    return df.select(
-        "*", first.alias(DIGEST[0]), second.alias(DIGEST[1])
-    ).withColumn(BUCKET, F.pmod(DIGEST[0], F.lit(buckets)).cast("int"))
+    return [F.xxhash64(F.lit(seed), *values).alias(name) for seed, name in zip((1, 2), DIGEST)]
+
+
+def with_digest(df, buckets=BUCKETS):
+    """``df`` with its digests and bucket. NULLs count by their place."""
+    return df.select("*", *_digests(df)).withColumn(BUCKET, F.pmod(DIGEST[0], F.lit(buckets)).cast("int"))
 
 
 def write_indexed(rows, path):
     """Write indexed rows by bucket. A bucket of very many rows is spread over several files."""
-    rows.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *DIGEST).write.partitionBy(BUCKET).parquet(path)
+    placed = rows.drop(*DIGEST).hint("rebalance", BUCKET)
+    _write_placed(placed.select("*", *_digests(placed)), path)
+
+
+def _write_placed(rows, path):
+    rows.sortWithinPartitions(BUCKET, *DIGEST).write.partitionBy(BUCKET).parquet(path)
 
 
 def read_indexed(spark, path, schema, buckets=None):
@@ -131,24 +149,86 @@ def _touch(digests):
     return may_hold(bitmap_of(numbers, numbers.count()), F.col(DIGEST[0]))
 
 
-def summed(rows):
-    """One row per digest with the sum of its changes, where that is not zero."""
-    row = F.struct(*plain_columns(rows), BUCKET)
-    return rows.groupBy(*DIGEST).agg(F.sum(CHANGE).alias(CHANGE), F.any_value(row).alias("_row")).where(
-        F.col(CHANGE) != 0).select("_row.*", *DIGEST, CHANGE)
+def _is_flat(rows):
+    kinds = [rows.schema[c].dataType for c in plain_columns(rows)]
+    return all(isinstance(kind, FLAT) or kind == T.StringType() for kind in kinds)
+
+
+def summed(rows, place=()):
+    """One row per digest with the sum of its changes, where that is not zero. Flat rows are combined as they are;
+    ``place`` has columns that equal rows share, by which flat ones have been exchanged already."""
+    plain = plain_columns(rows)
+    change = F.sum(CHANGE).alias(CHANGE)
+    if not _is_flat(rows):
+        row = F.struct(*plain, BUCKET)
+        return rows.groupBy(*DIGEST).agg(change, F.any_value(row).alias("_row")).where(
+            F.col(CHANGE) != 0).select("_row.*", *DIGEST, CHANGE)
+    # keys lose the sign of -0.0, so one of the values goes with them
+    signed = [c for c in plain if isinstance(rows.schema[c].dataType, (T.FloatType, T.DoubleType))]
+    one = rows.groupBy(*place, *plain, BUCKET).agg(change, *[F.max(c).alias(f"__of_{c}") for c in signed]).where(
+        F.col(CHANGE) != 0)
+    one = one.select(*[F.col(f"__of_{c}").alias(c) if c in signed else c for c in plain], BUCKET, CHANGE)
+    return one.select(*plain, BUCKET, *_digests(one), CHANGE)
+
+
+def _class():
+    return F.pmod(DIGEST[1], F.lit(CLASSES)).cast("int")
+
+
+def _survey(both):
+    """(rows, buckets, whether few rows change, classes that rows of very many copies make large).
+
+    Few rows change if a bitmap of their digests would keep back half of all rows.
+    """
+    inside = _class() < CLASSES // SLICE
+    per_digest = both.groupBy(_class().alias("at"), *[F.when(inside, F.col(d)).alias(d) for d in DIGEST]).agg(
+        F.sum(CHANGE).alias(CHANGE), F.count(F.lit(1)).alias("rows"), F.max(BUCKET).alias(BUCKET))
+    moved = F.when((F.col("at") < CLASSES // SLICE) & (F.col(CHANGE) != 0), F.col("rows"))
+    found = per_digest.groupBy("at").agg(
+        F.sum("rows").alias("rows"), F.count(moved).alias("digests"), F.sum(moved).alias("moved"),
+        F.max(BUCKET).alias("last")).collect()  # CLASSES rows at most
+    rows = sum(r["rows"] for r in found)
+    part = sum(r["rows"] for r in found if r["at"] < CLASSES // SLICE)
+    moved = sum(r["moved"] or 0 for r in found)
+    through = moved + (part - moved) * share_held(SLICE * sum(r["digests"] for r in found))
+    large = [r["at"] for r in found if r["rows"] > max(ROWS_PER_TASK, 4 * rows / CLASSES)]
+    return rows, 1 + max([0, *(r["last"] for r in found)]), 2 * through <= part, large
+
+
+def _changes(old, new):
+    """(changes, whether they are in place by bucket)."""
+    both = new.unionByName(old.withColumn(CHANGE, -F.col(CHANGE)))
+    rows, buckets, few, large = _survey(both)
+    if few:
+        moved = checkpoint(both.select(*DIGEST, CHANGE).groupBy(*DIGEST).agg(
+            F.sum(CHANGE).alias(CHANGE)).where(F.col(CHANGE) != 0))
+        return summed(both.where(_touch(moved))), False
+    if not _is_flat(both):
+        return summed(both), False
+    tasks = -(-rows // ROWS_PER_TASK)
+    pieces = -(-tasks // buckets)  # of a bucket
+    tasks = pieces * buckets if pieces > 1 else tasks
+    at = F.pmod(F.col(BUCKET) * pieces + F.pmod(DIGEST[1], F.lit(pieces)), F.lit(tasks)).cast("int")
+    placed = (both.where(~_class().isin(large)) if large else both).withColumn(PLACE, at).drop(*DIGEST)
+    found = summed(placed.repartitionById(tasks, PLACE), [PLACE])
+    if large:  # copies are combined before the exchange
+        found = found.unionByName(summed(both.where(_class().isin(large))).repartition(BUCKET))
+    return found, True
 
 
 def changes(old, new):
     """Indexed rows whose number of copies differs, with the change from old to new.
 
-    Both sides have a ``_change`` with their copies. Digests are exchanged, combined before; whole rows only where
-    their digest may have changed.
+    Both sides have a ``_change`` with their copies. Where few rows change, digests are exchanged, combined before, and
+    whole rows only where their digest may have changed; else whole rows, once.
     """
-    minus = old.withColumn(CHANGE, -F.col(CHANGE))
-    both = new.unionByName(minus)
-    moved = checkpoint(both.select(*DIGEST, CHANGE).groupBy(*DIGEST).agg(
-        F.sum(CHANGE).alias(CHANGE)).where(F.col(CHANGE) != 0))
-    return summed(both.where(_touch(moved)))
+    return _changes(old, new)[0]
+
+
+def write_changes(old, new, path):
+    """Write the changes by bucket."""
+    rows, placed = _changes(old, new)
+    (_write_placed if placed else write_indexed)(rows, path)
 
 
 def apply_deltas(base, deltas):

@@ -153,7 +153,7 @@ def snapshot(spark, df, table, root, started_at, mode=FULL, run_id=None, buckets
         buckets = int(parent["metadata"]["buckets"])
         chain = [*parent["chain"], parent["run_id"]]
         new = counted(index.with_digest(df, buckets))
-        index.write_indexed(index.changes(_indexed(spark, root, table, parent, df.schema), new), path)
+        index.write_changes(_indexed(spark, root, table, parent, df.schema), new, path)
         parts = [*_parts(spark, root, table, parent), path]
         # what was written says how the checksums move
         delta = index.read_indexed(spark, path, _with_change(df.schema))

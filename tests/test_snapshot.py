@@ -235,3 +235,34 @@ def test_lost_data_is_logged_and_raised(spark, tmp_path):
         sn.verify_latest(spark, root, "t", str(tmp_path / "check"), log=log)
     events = [r.event for r in event_log.scan_events(spark, log).collect()]
     assert sorted(events) == ["verification.failed", "verification.started"]
+
+
+@pytest.mark.parametrize("copies", [1, 4000])
+def test_many_changes_move_whole_rows_once(spark, tmp_path, monkeypatch, copies):
+    """Where most rows change, a bitmap would keep none back; rows of very many copies, NULLs and -0.0 come exactly."""
+    monkeypatch.setattr(index, "ROWS_PER_TASK", 1000)
+    monkeypatch.setattr(index, "share_held", lambda count: 1.0)
+    monkeypatch.setattr(index, "_touch", lambda digests: pytest.fail("a bitmap that keeps nothing back"))
+
+    def version(moved):
+        value = F.when(F.col("id") % 3 > 0, F.col("id") + moved).cast("double")
+        own = spark.range(6000).select("id", F.when(F.col("id") == 6, -0.0).otherwise(value).alias("v"))
+        again = spark.range(copies - moved).select(F.lit(-1).cast("long").alias("id"), F.lit(1.5).alias("v"))
+        return own.unionAll(again)
+
+    root = str(tmp_path / "snap")
+    sn.snapshot(spark, version(0), "t", root, T0)
+    run = sn.snapshot(spark, version(1), "t", root, T0 + datetime.timedelta(hours=1), "differential")
+    want = sn.difference(version(0), version(1))
+    assert want.count() == 8001
+    assert sorted(rows(sn.stored_changes(spark, root, "t", run)), key=repr) == sorted(rows(want), key=repr)
+    found = sn._find(spark, root, "t", run)
+    new = sn.counted(index.with_digest(version(1)))
+    old = sn.counted(index.with_digest(version(0)))
+    plan = index.changes(old, new)._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.split("\n") if "Exchange" in line]
+    assert len([line for line in exchanged if "passthrough" in line]) == 1
+    assert int(found["metadata"]["row_count"]) == version(1).count()
+    monkeypatch.undo()
+    signs = sn.contents(spark, root, "t", run).where("id = 6").select(F.col("v").cast("string")).first()
+    assert signs[0] == "-0.0"
