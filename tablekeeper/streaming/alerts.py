@@ -1,7 +1,9 @@
 """Alert changes as a stream, also for servers that have gone silent.
 
-Checks happen at fixed instants, as in ``operators.alerts.check_history``. A server's timer fires
+Checks happen at fixed instants, as in ``operators.alerts.check_history``. A server is due
 when the watermark passes its next instant, which other servers' reports (or a heartbeat) push on.
+Servers are kept in groups by their hash, so that a batch reads, writes and sets the timer of a group once,
+not of every server.
 """
 
 import pandas as pd
@@ -24,14 +26,25 @@ PENDING = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("status", T.StringType()),
 ])
+#: A checkpoint keeps to the number it began with.
+GROUPS = 4096
+GROUP = "_group"
 # ``pending`` holds at most one entry per instant the watermark has not reached
-STATE = T.StructType([
+SERVER = T.StructType([
+    T.StructField("server_id", T.StringType()),
     T.StructField("next", T.LongType()),
     T.StructField("success", T.LongType()),
     T.StructField("status", T.StringType()),
     T.StructField("state", T.StringType()),
     T.StructField("pending", T.ArrayType(PENDING)),
 ])
+STATE = T.StructType([T.StructField("servers", T.ArrayType(SERVER))])
+
+
+def _group():
+    """The group of a server; a heartbeat has none."""
+    number = F.pmod(F.xxhash64("server_id"), F.lit(GROUPS)).cast("int")
+    return F.when(F.col("server_id").isNotNull(), number).alias(GROUP)
 
 
 def _shorten(start, period):
@@ -72,18 +85,22 @@ class AlertProcessor(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.now = handle.getValueState("now", STATE)
+        self.now = handle.getValueState("servers", STATE)
 
     def _read(self):
-        """(next instant, last success, last status, state, pending by instant), None when new."""
+        """{server: (next instant, last success, last status, state, pending by instant)} of a group."""
         kept = self.now.get()
         if kept is None:
-            return None
-        return (*kept[:4], {row[0]: tuple(row)[1:] for row in kept[4]})
+            return {}
+        return {
+            row[0]: (*tuple(row)[1:5], {p[0]: tuple(p)[1:] for p in row[5]}) for row in kept[0]
+        }
 
-    def _write(self, due, success, status, state, pending):
-        rows = [(n, *values) for n, values in pending.items()]
-        self.now.update((due, success, status, state, rows))
+    def _write(self, servers):
+        self.now.update(([
+            (name, *values, [(n, *news) for n, news in pending.items()])
+            for name, (*values, pending) in servers.items()
+        ],))
 
     def _instant(self, n):
         return self.start + n * self.period
@@ -91,43 +108,45 @@ class AlertProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         if key[0] is None:  # a heartbeat
             return
-        known = self._read()
-        due, success, status, state, pending = known or (None, None, None, None, {})
-        first_due = due
+        servers, first_due = self._read(), None
         for batch in rows:
-            columns = [batch[c].tolist() for c in ("n", "success", "reported", "run_id", "status")]
-            for n, reached, reported, run_id, result in zip(*columns):
+            columns = [batch[c].tolist() for c in ("server_id", "n", "success", "reported", "run_id", "status")]
+            for server, n, reached, reported, run_id, result in zip(*columns):
+                due, success, status, state, pending = servers.get(server) or (None, None, None, None, {})
                 # what arrives after its instant was checked counts from the next check on
-                n = n if state is None else max(n, due)
-                new = (_number(reached), reported, run_id, result)
+                n = int(n) if state is None else max(int(n), due)
+                new = (_number(reached), int(reported), run_id, result)
                 if n in pending:
                     old = pending[n]
                     newer = max(old, new, key=lambda r: (r[1], r[2]))
                     new = (_larger(old[0], new[0]), *newer[1:])
                 pending[n] = new
-        if state is None:  # never checked so far
-            due = min(pending) if due is None else min(due, *pending)
-            if due != first_due:
-                self.handle.registerTimer(self._instant(due))
-        self._write(due, success, status, state, pending)
+                if state is None and (due is None or n < due):  # never checked so far
+                    due = n
+                    first_due = n if first_due is None else min(first_due, n)
+                servers[server] = (due, success, status, state, pending)
+        self._write(servers)
+        if first_due is not None:
+            self.handle.registerTimer(self._instant(first_due))
         return
         yield
 
     def handleInitialState(self, key, initialState, timerValues):
-        """An enrolled server: known from its first check on, without a run."""
-        if key[0] is None or self._read() is not None:
+        """Enrolled servers: known from their first check on, without a run."""
+        if key[0] is None:
             return
-        due = int(initialState["n"].iloc[0])
-        self._write(due, None, None, None, {})
-        self.handle.registerTimer(self._instant(due))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due, success, status, state, pending = self._read()
-        if self.by_arrival:
-            now = timerValues.getCurrentProcessingTimeInMs()
-        else:
-            now = timerValues.getCurrentWatermarkInMs()
-        changes = []
+        servers, first_due = self._read(), None
+        for server, n in zip(initialState["server_id"].tolist(), initialState["n"].tolist()):
+            if server not in servers:
+                servers[server] = (int(n), None, None, None, {})
+                first_due = int(n) if first_due is None else min(first_due, int(n))
+        if first_due is not None:
+            self._write(servers)
+            self.handle.registerTimer(self._instant(first_due))
+
+    def _check(self, server, kept, now, changes):
+        """What is kept of a server after its checks up to ``now``; adds its changes."""
+        due, success, status, state, pending = kept
         while self._instant(due) <= now and (self.checks is None or due < self.checks):
             if due in pending:
                 got = pending.pop(due)
@@ -140,11 +159,27 @@ class AlertProcessor(StatefulProcessor):
             state = state or "ok"
             if new != state:
                 kind = "problem" if state == "ok" else "recovered" if new == "ok" else None
-                changes.append((key[0], at, success, status, state, new, kind))
+                changes.append((server, at, success, status, state, new, kind))
             state, due = new, due + 1
-        self._write(due, success, status, state, pending)
-        if self.checks is None or due < self.checks:
-            self.handle.registerTimer(self._instant(due))
+        return due, success, status, state, pending
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        servers = self._read()
+        if self.by_arrival:
+            now = timerValues.getCurrentProcessingTimeInMs()
+        else:
+            now = timerValues.getCurrentWatermarkInMs()
+        changes = []
+        due = {
+            server: self._check(server, kept, now, changes) for server, kept in servers.items()
+            if self._instant(kept[0]) < now and (self.checks is None or kept[0] < self.checks)
+        }
+        if due:  # else another timer of the group came before
+            servers.update(due)
+            self._write(servers)
+            left = [kept[0] for kept in servers.values() if self.checks is None or kept[0] < self.checks]
+            if left:
+                self.handle.registerTimer(self._instant(min(left)))
         if changes:
             columns = [part.split()[0] for part in OUTPUT.split(", ")]
             frame = pd.DataFrame(changes, columns=columns)
@@ -178,6 +213,6 @@ def alert_changes(
     if servers is not None:
         since = F.coalesce("since", F.lit(start)).cast("bigint")
         enrolled = servers.where(F.col("server_id").isNotNull()).select(
-            "server_id", first_instant(since, start, period).alias("n")).groupBy("server_id")
-    return short.groupBy("server_id").transformWithStateInPandas(
+            _group(), "server_id", first_instant(since, start, period).alias("n")).groupBy(GROUP)
+    return short.select("*", _group()).groupBy(GROUP).transformWithStateInPandas(
         processor, OUTPUT, "append", mode, initialState=enrolled)

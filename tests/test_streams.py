@@ -236,3 +236,23 @@ def test_servers_that_never_report(spark, tmp_path):
     want = want.filter("state <> previous")
     got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_servers_share_state_and_timers(spark, tmp_path, monkeypatch):
+    """All servers in three groups, in steps and by an enrolment on other days: the same changes as in the history."""
+    monkeypatch.setattr(alerts, "GROUPS", 3)
+    day, rng, path = fx.DAY_MS, random.Random(5), str(tmp_path / "in")
+    reports = [(f"s{rng.randrange(40)}", f"r{i:04d}", rng.choice(["success", "success", "failed"]), at)
+               for i, at in enumerate(sorted(rng.randrange(9 * day) for _ in range(300)))]
+    schema = "server_id string, run_id string, status string, reported_at long"
+    servers = spark.createDataFrame(
+        [(f"s{i}", None if i % 7 == 0 else i % 11 * day + i % 2) for i in range(60)], "server_id string, since long")
+    for step in (reports[:140], reports[140:], [(None, None, None, 12 * day)]):
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(path)
+        changes = alerts.alert_changes(
+            sq._stream(spark, path, schema), day, day, delay="0 seconds", checks=9, servers=servers)
+        finish(write_parquet(changes, str(tmp_path / "out"), str(tmp_path / "cp")))
+    want = check_history(spark.createDataFrame(reports, schema), day, day, 9, servers=servers)
+    want = want.filter("state <> previous")
+    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
