@@ -42,8 +42,8 @@ STATE = T.StructType([T.StructField("servers", T.ArrayType(SERVER))])
 
 
 def _group():
-    """The group of a server; a heartbeat has none."""
-    number = F.pmod(F.xxhash64("server_id"), F.lit(GROUPS)).cast("int")
+    """The group of a server; a heartbeat has none. It is text, as pandas turns numbers beside NULLs into fractions."""
+    number = F.pmod(F.xxhash64("server_id"), F.lit(GROUPS)).cast("string")
     return F.when(F.col("server_id").isNotNull(), number).alias(GROUP)
 
 

@@ -247,7 +247,8 @@ def test_servers_share_state_and_timers(spark, tmp_path, monkeypatch):
     schema = "server_id string, run_id string, status string, reported_at long"
     servers = spark.createDataFrame(
         [(f"s{i}", None if i % 7 == 0 else i % 11 * day + i % 2) for i in range(60)], "server_id string, since long")
-    for step in (reports[:140], reports[140:], [(None, None, None, 12 * day)]):
+    beats = [(None, None, None, at) for *_, at in reports[::9]]  # come among the reports
+    for step in (reports[:140] + beats[:15], reports[140:] + beats[16:], [(None, None, None, 12 * day)]):
         spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(path)
         changes = alerts.alert_changes(
             sq._stream(spark, path, schema), day, day, delay="0 seconds", checks=9, servers=servers)
