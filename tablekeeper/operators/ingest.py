@@ -92,17 +92,38 @@ def authorise(df, tokens, shared_token=None):
     return joined.withColumn("authorised", allowed)
 
 
-def unauthorised_audit(df):
-    """Audit rows of the reports ``authorise`` turned away."""
+def _audit_entry():
     missing = _given(F.col("token")).isNull()
-    return df.filter(~F.col("authorised")).select(
+    return [
         F.col("seq").alias("id"),
         F.col("reported_at").alias("at"),
         F.lit("ingest.unauthorized").alias("event"),
         F.lit("agent").alias("actor"),
         client_ip(F.col("forwarded_for"), F.col("real_ip")).alias("ip"),
         F.when(missing, "missing token").otherwise("invalid token").alias("detail"),
-    )
+    ]
+
+
+def unauthorised_audit(df):
+    """Audit rows of the reports ``authorise`` turned away."""
+    return df.filter(~F.col("authorised")).select(*_audit_entry())
+
+
+SENDER_COLUMNS = ("token", "forwarded_for", "real_ip")
+
+
+def decide(df, tokens, shared_token=None):
+    """Every raw report with its ``_part``, in one pass.
+
+    ``accepted`` and ``rejected`` reports are filled and have their ``reasons``; of one turned away (``audit``) only its
+    audit row is kept, as ``_audit``. What tells about the sender goes.
+    """
+    checked = authorise(df, tokens, shared_token)
+    known = F.col("authorised")
+    filled = with_reasons(normalise(checked.withColumn("_audit", F.when(~known, F.struct(*_audit_entry())))))
+    part = F.when(~known, "audit").when(F.size("reasons") > 0, "rejected").otherwise("accepted")
+    kept = [c for c in filled.columns if c not in ("authorised", "_audit", *SENDER_COLUMNS)]
+    return filled.select(*[F.when(known, F.col(c)).alias(c) for c in kept], "_audit", part.alias("_part"))
 
 
 def token_use(tokens, authorised):

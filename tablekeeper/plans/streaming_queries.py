@@ -208,10 +208,11 @@ wire AS (
 
 
 def _ingested(spark, folder):
-    root = work_dir(spark, "ingest")
+    root, known = work_dir(spark, "ingest"), work_dir(spark, "tokens")
     wire = _wire(spark, folder)
+    tokens(spark, folder).write.parquet(known)  # a stored table, as batches meet it
     _in_steps(spark, wire, "reported_at", lambda stream: ingest.ingest_stream(
-        stream, root, f"{root}/checkpoint", tokens(spark, folder)))
+        stream, root, f"{root}/checkpoint", spark.read.parquet(known)))
     return root
 
 

@@ -1,7 +1,8 @@
 """Reports from the wire to the tables, batch by batch.
 
-Every micro-batch writes folders named after its stream and number, so a batch that runs again replaces what
-it wrote before, and a stream that starts anew leaves the rows of the one before. Then it is merged into the servers and
+Every micro-batch writes a folder named after its stream and number, so a batch that runs again replaces what
+it wrote before, and a stream that starts anew leaves the rows of the one before. Reports are read, authorised and
+checked once, and written by what became of them (``PARTS``). Then the accepted ones are merged into the servers and
 runs tables, which are kept in buckets: a batch adds deltas to the buckets that it touches, and reading meets the
 rest as it is.
 """
@@ -14,22 +15,24 @@ from tablekeeper.sources.keyed_table import KeyedTable
 from tablekeeper.streaming.state import use_state_store
 
 PARTS = ("accepted", "rejected", "audit")
+PART = "_part"
 AUDIT_SCHEMA = "id bigint, at bigint, event string, actor string, ip string, detail string"
 
 
 def write_batch(reports, batch, root, tokens, shared_token=None, stream="batches"):
-    """Authorise, check and fill one batch of raw reports; three folders below ``root``, and the two tables."""
-    checked = ingest.authorise(reports, tokens, shared_token)
-    known = checked.filter("authorised").drop("authorised", "token", "forwarded_for", "real_ip")
-    valid, rejected = ingest.split_valid(ingest.normalise(known))
-    parts = {"accepted": valid, "rejected": rejected, "audit": ingest.unauthorised_audit(checked)}
-    for name, rows in parts.items():
-        rows.write.mode("overwrite").parquet(f"{root}/{name}/stream={stream}/batch={batch}")
+    """Authorise, check and fill one batch of raw reports; a folder for each part of it, and the two tables."""
+    decided = ingest.decide(reports, tokens, shared_token)
+    path = f"{root}/checked/stream={stream}/batch={batch}"
+    # static, so that a part that is empty this time does not stay from a run before
+    decided.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(path)
     spark = reports.sparkSession
-    schema = valid.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ")
+    columns = decided.drop("reasons", "_audit", PART).schema
+    schema = columns.simpleString()[7:-1].replace(",", ", ").replace(":", " ")
     if not files.exists(spark, f"{root}/columns"):
-        spark.createDataFrame([(schema,)], "value string").coalesce(1).write.mode("ignore").text(f"{root}/columns")
-    accepted = spark.read.schema(valid.schema).parquet(f"{root}/accepted/stream={stream}/batch={batch}")
+        files.write_text(spark, f"{root}/columns", schema)
+    accepted = spark.createDataFrame([], columns)
+    if files.exists(spark, f"{path}/{PART}=accepted"):
+        accepted = spark.read.schema(columns).parquet(f"{path}/{PART}=accepted")
     keyed_table.append(_seen(accepted), servers_table(root), stream, batch)
     keyed_table.append(accepted, runs_table(root, schema), stream, batch)
 
@@ -86,13 +89,9 @@ def ingest_stream(reports, root, checkpoint, tokens, shared_token=None, availabl
     """Start ingesting a stream of raw reports."""
 
     def each(batch, number):
-        kept = batch.persist()
-        try:
-            # the id stays through restarts from one checkpoint
-            stream = kept.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-            write_batch(kept, number, root, tokens, shared_token, stream)
-        finally:
-            kept.unpersist()
+        # the id stays through restarts from one checkpoint
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_batch(batch, number, root, tokens, shared_token, stream)
 
     writer = reports.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -100,10 +99,13 @@ def ingest_stream(reports, root, checkpoint, tokens, shared_token=None, availabl
 
 def read_part(spark, root, name):
     """One of ``PARTS`` of everything so far; empty before the first batch."""
-    if not files.found(spark, f"{root}/{name}/*/*"):
+    if not files.found(spark, f"{root}/checked/*/*/{PART}={name}"):
         columns = AUDIT_SCHEMA if name == "audit" else _columns(spark, root)
         return spark.createDataFrame([], columns + (", reasons array<string>" if name == "rejected" else ""))
-    return spark.read.parquet(f"{root}/{name}")
+    rows = spark.read.parquet(f"{root}/checked").where(F.col(PART) == name).drop(PART)
+    if name == "audit":
+        return rows.select("_audit.*", "stream", "batch")
+    return rows.drop("_audit") if name == "rejected" else rows.drop("_audit", "reasons")
 
 
 def unique_runs(reports, within=None):

@@ -52,6 +52,51 @@ def test_reports_sent_twice_count_once(spark, tmp_path):
     assert servers.agg(F.max("last_seen_at")).first()[0] == seen
 
 
+def _counted(spark, df):
+    """The same rows, and how often one of them has been read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        seen.add(1)
+        return row
+
+    return spark.createDataFrame(spark.createDataFrame(df.collect(), df.schema).rdd.map(count), df.schema), seen
+
+
+def test_batch_is_read_and_checked_once(spark, tmp_path):
+    """Reports and tokens of a batch are read once, however many parts and tables it goes to."""
+    columns = ("seq long, server_id string, server_name string, run_id string, profile string, db_type string, "
+               "backup_type string, status string, size_bytes string, duration_ms string, started_at string, "
+               "finished_at string, error string, reported_at long, token string, forwarded_for string, real_ip string")
+
+    def report(seq, token, status="success", run="r"):
+        return (seq, "s", "S", run, "p", "db", "full", status, "1", "2", None, None, None, seq, token, " 10.1.1.1 , x", "h")
+
+    rows = [report(1, "good"), report(2, "good", "odd"), report(3, None), report(4, "bad"), report(5, "good"),
+            report(6, "", run=None)]
+    reports, read = _counted(spark, spark.createDataFrame(rows, columns))
+    known = spark.createDataFrame([(7, "good", None), (8, "bad", 1)], "id long, token string, revoked_at long").select(
+        "id", F.sha2("token", 256).alias("token_hash"), "revoked_at")
+    tokens, tokens_read = _counted(spark, known)
+    root = str(tmp_path / "root")
+    ingest.write_batch(reports, 0, root, tokens)
+    assert (read.value, tokens_read.value) == (6, 2)
+
+    def part(name):
+        return {r.seq if "seq" in r else r.id: r for r in ingest.read_part(spark, root, name).collect()}
+
+    assert set(part("accepted")) == {1, 5} and part("rejected")[2].reasons == ["status: value"]
+    assert {i: (r.at, r.event, r.actor, r.ip, r.detail) for i, r in part("audit").items()} == {
+        i: (i, "ingest.unauthorized", "agent", "10.1.1.1", why)
+        for i, why in ((3, "missing token"), (4, "invalid token"), (6, "missing token"))}
+    stored = spark.read.parquet(f"{root}/checked")  # nothing else of reports turned away, and no token of any
+    assert stored.where("_part = 'audit' AND coalesce(server_id, run_id, status, error) IS NOT NULL").count() == 0
+    assert not {"token", "forwarded_for", "real_ip"} & set(stored.columns)
+    # the batch runs again when the token has been revoked: every part is replaced, empty ones too
+    ingest.write_batch(reports, 0, root, tokens.withColumn("revoked_at", F.lit(1).cast("long")))
+    assert not part("accepted") and not part("rejected") and len(part("audit")) == 6
+
+
 def test_alerts_by_clock(spark, tmp_path):
     """Reports that arrive at once, long after: every check is due with all of them known."""
     start, period, checks = sq.FIRST_CHECK_MS, fx.DAY_MS, 8
