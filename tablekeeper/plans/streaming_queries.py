@@ -19,6 +19,7 @@ from tablekeeper.streaming import alerts, counts, ingest, late, throttle
 from tablekeeper.streaming.state import finish, write_parquet
 
 HALF_MS = FIRST_CHECK_MS + 15 * DAY_MS
+ROWS_PER_FILE = 250_000  # a file of few bytes and many rows would be read by one task
 
 
 def _stream(spark, path, schema):
@@ -31,7 +32,7 @@ def _in_steps(spark, df, time, start, last=None):
     path = work_dir(spark, "input")
     steps = [df.filter(F.col(time) < HALF_MS), df.filter(F.col(time) >= HALF_MS)]
     for step in steps + ([] if last is None else [last]):
-        step.write.mode("append").parquet(path)
+        step.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
         finish(start(_stream(spark, path, df.schema)))
 
 

@@ -97,6 +97,23 @@ def test_batch_is_read_and_checked_once(spark, tmp_path):
     assert not part("accepted") and not part("rejected") and len(part("audit")) == 6
 
 
+def test_input_of_many_rows_comes_in_several_files(spark, tmp_path, monkeypatch):
+    """What one task writes as input can be read by several."""
+    monkeypatch.setattr(sq, "ROWS_PER_FILE", 10)
+    seen = []
+
+    def start(stream):
+        def each(batch, number):
+            seen.append((batch.count(), batch.select(F.input_file_name()).distinct().count()))
+
+        return stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).trigger(
+            availableNow=True).start()
+
+    rows = spark.range(60).withColumn("t", F.when(F.col("id") < 35, 0).otherwise(sq.HALF_MS).cast("long")).coalesce(1)
+    sq._in_steps(spark, rows, "t", start)
+    assert seen == [(35, 4), (25, 3)]
+
+
 def test_alerts_by_clock(spark, tmp_path):
     """Reports that arrive at once, long after: every check is due with all of them known."""
     start, period, checks = sq.FIRST_CHECK_MS, fx.DAY_MS, 8
